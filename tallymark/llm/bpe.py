@@ -3,9 +3,9 @@
 Documents are cut into blocks of bounded size.  A block keeps its pre-tokens as a
 dictionary of distinct words plus the packed sequence of word numbers by position, so a
 word travels once a block and not once an occurrence.  The distinct words of all blocks
-meet in one shuffle, each is encoded once, the ids are joined back, and every block is
-put together again by position.  Decoding joins the token-byte table to the token ids
-that a block holds.
+meet by hash bucket, where each is encoded once; the ids go back to the blocks, and every
+block is put together again by position.  Decoding joins the ids to the token-byte table,
+whose size is that of the vocabulary, so every task holds it.
 
 Defined cases: a null or empty text has no tokens; rows with equal or null ids stay
 separate rows; other columns are ignored; an empty table gives an empty result.
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import bucket_count, deal, pack_lists, pack_words, spread, unpack_lists, unpack_words
 from .common import Numbering, block_number, materialise, pack, unpack
 
 #: Characters after which a block is closed; one longer text is a block of its own.
@@ -43,7 +44,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
-def _blocks(batches, pattern: str, id_type: pa.DataType, block_chars: int):
+def _blocks(batches, pattern: str, id_type: pa.DataType, block_chars: int, buckets: int, schema: pa.Schema):
     import regex
 
     find = regex.compile(pattern).findall
@@ -53,20 +54,13 @@ def _blocks(batches, pattern: str, id_type: pa.DataType, block_chars: int):
 
     def close():
         nonlocal number, pretokens, chunks, ids, lengths, parts, chars
-        seq = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        out = pa.RecordBatch.from_arrays(
-            [
-                pa.array([number], pa.int64()),
-                pa.array([ids], pa.list_(id_type)),
-                pa.array([lengths], pa.list_(pa.int64())),
-                pa.array([list(pretokens)], pa.list_(pa.string())),
-                pa.array([pack(seq)], pa.binary()),
-            ],
-            names=["block", "ids", "lengths", "words", "seq"],
-        )
+        words = [w.encode() for w in pretokens]
+        place, dealt = deal(words, buckets)
+        rows = [(number, -1, ids, lengths, pack(place[np.concatenate(parts)]))]
+        rows += [(number, b, None, None, pack_words([words[i] for i in own])) for b, own in dealt]
         number += 1
         pretokens, chunks, ids, lengths, parts, chars = Numbering(), {}, [], [], [], 0
-        return out
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -76,7 +70,7 @@ def _blocks(batches, pattern: str, id_type: pa.DataType, block_chars: int):
                 if known is None:
                     known = chunks[chunk] = tuple(pretokens[w] for w in find(chunk))
                 run += known
-            parts.append(np.array(run, np.uint32))
+            parts.append(np.array(run, np.int64))
             ids.append(doc_id)
             lengths.append(len(run))
             chars += len(text or "") + 16
@@ -86,88 +80,73 @@ def _blocks(batches, pattern: str, id_type: pa.DataType, block_chars: int):
         yield close()
 
 
-def blocks(docs: DataFrame, pattern: str, id_col: str, text_col: str, block_chars: int) -> DataFrame:
-    """One row a block: its documents' ids, their pre-token counts, words and sequence."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    id_type = source.schema["id"].dataType
-    schema = T.StructType(
-        [
-            T.StructField("block", T.LongType()),
-            T.StructField("ids", T.ArrayType(id_type)),
-            T.StructField("lengths", T.ArrayType(T.LongType())),
-            T.StructField("words", T.ArrayType(T.StringType())),
-            T.StructField("seq", T.BinaryType()),
-        ]
-    )
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow = to_arrow_type(id_type)
-    return materialise(source.mapInArrow(lambda it: _blocks(it, pattern, arrow, block_chars), schema), "bpe-blocks")
-
-
-def _encode_words(batches, path: str, pattern: str):
+def _encode_words(batches, path: str, pattern: str, schema: pa.Schema):
+    """Rows sorted by bucket: a bucket's words are encoded once each, sequences pass through."""
     import tiktoken
 
     encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-    for batch in batches:
-        words = batch.column(0)
-        ids = [encoding.encode_ordinary(w) for w in words.to_pylist()]
-        yield pa.RecordBatch.from_arrays([words, pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
-
-
-def _assemble(batches, out: pa.Schema):
+    now, known = -1, {}
     for batch in batches:
         for row in batch.to_pylist():
-            ids, lengths = row["ids"], row["lengths"]
-            words: list = [()] * len(row["pairs"] or ())
-            for pair in row["pairs"] or ():
-                words[pair["n"]] = pair["ids"]
-            sizes = np.fromiter(map(len, words), np.int64, len(words))
-            flat = np.fromiter((i for w in words for i in w), np.int32, int(sizes.sum()))
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
-            tokens = {t["id"]: t["bytes"] for t in row["tokens"] or ()}
-            size = np.zeros(max(tokens, default=-1) + 2, np.int64)
-            for k, v in tokens.items():
-                size[k] = len(v)
-            starts = np.concatenate([[0], np.cumsum(size)])
-            pool = np.frombuffer(b"".join(tokens[k] for k in sorted(tokens)), np.uint8)
-            seq = unpack(row["seq"])
-            ends = np.cumsum(lengths)
-            for i, end, n in zip(ids, ends, lengths, strict=True):
-                part = seq[end - n : end]
-                line = flat[_spread(offsets[part], sizes[part])]
-                text = pool[_spread(starts[line], size[line])]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([i], out.field(0).type),
-                        pa.array([len(line)], pa.int64()),
-                        pa.array([line.astype("<u4").tobytes()], pa.binary()),
-                        pa.array([text.tobytes()], pa.binary()),
-                    ],
-                    schema=out,
-                )
-
-
-def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The indexes start, start + 1, ... of each run, one run after the other."""
-    total = int(sizes.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    shift = starts - np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    return np.repeat(shift, sizes) + np.arange(total)
-
-
-def _gathered(batches, out: pa.Schema, rows: int = 256, size: int = 16_000_000):
-    """Join small batches to larger ones of bounded size."""
-    held, total = [], 0
+            if row["bucket"] >= 0:
+                if row["bucket"] != now:
+                    now, known = row["bucket"], {}
+                found = []
+                for word in unpack_words(row["data"]):
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = np.array(encoding.encode_ordinary(word.decode()), "<u4").tobytes()
+                    found.append(ids)
+                row["data"] = pack_lists(np.fromiter(map(len, found), np.uint32, len(found)), b"".join(found))
+            yield pa.RecordBatch.from_pylist([row], schema)
+
+
+def _assemble(batches, tokens, out: pa.Schema, most: int = 400_000):
+    """Rows sorted by block and bucket, a block's sequence first."""
+    pool, starts, size = tokens.value
+
+    def flush(head, parts):
+        sizes = np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)]).astype(np.int64) // 4
+        flat = np.frombuffer(b"".join(p[1] for p in parts), "<u4").astype(np.int64)
+        offsets = np.cumsum(sizes) - sizes
+        seq, ends = unpack(head["data"]).astype(np.int64), np.cumsum(head["lengths"])
+        at = 0
+        while at < len(ends):
+            done = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+            part = seq[done : int(ends[to - 1])]
+            line = flat[spread(offsets[part], sizes[part])]
+            text = pool[spread(starts[line], size[line])]
+            counts = np.concatenate([[0], np.cumsum(sizes[part])])[np.concatenate([[0], ends[at:to] - done])]
+            places = np.concatenate([[0], np.cumsum(size[line])])[counts]
+            binary = lambda data, where: pa.Array.from_buffers(pa.large_binary(), len(where) - 1, [None, pa.py_buffer(where.astype("<i8")), pa.py_buffer(data)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(head["ids"][at:to], out.field(0).type), pa.array(np.diff(counts)), binary(line.astype("<u4").tobytes(), counts * 4), binary(text.tobytes(), places)],
+                schema=out,
+            )
+            at = to
+
+    head, parts = None, []
     for batch in batches:
-        held.append(batch)
-        total += batch.nbytes
-        if len(held) >= rows or total >= size:
-            yield pa.Table.from_batches(held, out).combine_chunks().to_batches()[0]
-            held, total = [], 0
-    if held:
-        yield pa.Table.from_batches(held, out).combine_chunks().to_batches()[0]
+        for row in batch.to_pylist():
+            if row["bucket"] < 0:
+                if head is not None:
+                    yield from flush(head, parts)
+                head, parts = row, []
+            else:
+                parts.append(unpack_lists(row["data"]))
+    if head is not None:
+        yield from flush(head, parts)
+
+
+def _token_pool(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token-byte table: all bytes, and where each id's start and how many they are."""
+    ranks = read_ranks(path)
+    size = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, i in ranks.items():
+        size[i] = len(token)
+    pool = np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8)
+    return pool, np.cumsum(size) - size, size
 
 
 def token_table(spark, path: str) -> DataFrame:
@@ -182,31 +161,24 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     Returns ``id_col``, ``n_tokens`` long, ``ids_le`` binary (the ids as little-endian
     unsigned 32-bit integers) and ``decoded`` binary.
     """
-    spark = docs.sparkSession
-    parts = blocks(docs, pattern, id_col, text_col, block_chars)
-    places = parts.select("block", F.posexplode("words").alias("n", "word"))
-    encoded = places.select("word").distinct().mapInArrow(lambda it: _encode_words(it, path, pattern), "word string, ids array<int>")
-    back = places.join(encoded, "word").select("block", "n", "ids")
-    whole = back.groupBy("block").agg(
-        F.collect_list(F.struct("n", "ids")).alias("pairs"),
-        F.array_distinct(F.flatten(F.collect_list(F.array_distinct("ids")))).alias("held"),
-    )
-    whole = materialise(whole, "bpe-words")
-    known = whole.select("block", F.explode("held").alias("id")).join(F.broadcast(token_table(spark, path)), "id")
-    known = known.groupBy("block").agg(F.collect_list(F.struct("id", "bytes")).alias("tokens"))
-    joined = parts.select("block", "ids", "lengths", "seq").join(whole.select("block", "pairs"), "block", "left").join(known, "block", "left")
-    schema = T.StructType(
-        [
-            T.StructField(id_col, parts.schema["ids"].dataType.elementType),
-            T.StructField("n_tokens", T.LongType()),
-            T.StructField("ids_le", T.BinaryType()),
-            T.StructField("decoded", T.BinaryType()),
-        ]
-    )
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    out = to_arrow_schema(schema)
-    return joined.select("ids", "lengths", "seq", "pairs", "tokens").mapInArrow(lambda it: _gathered(_assemble(it, out), out), schema)
+    spark = docs.sparkSession
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    id_type = source.schema["id"].dataType
+    fields = [("block", T.LongType()), ("bucket", T.IntegerType()), ("ids", T.ArrayType(id_type)), ("lengths", T.ArrayType(T.LongType())), ("data", T.BinaryType())]
+    schema = T.StructType([T.StructField(*f) for f in fields])
+    arrow, buckets = to_arrow_schema(schema), bucket_count(spark)
+    kind = arrow.field("ids").type.value_type
+    rows = source.mapInArrow(lambda it: _blocks(it, pattern, kind, block_chars, buckets, arrow), schema)
+    # Words meet by bucket; sequences are spread by block on their way.
+    met = rows.repartition(F.when(F.col("bucket") < 0, -1 - F.col("block")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
+    encoded = met.mapInArrow(lambda it: _encode_words(it, path, pattern, arrow), schema)
+    back = encoded.repartition("block").sortWithinPartitions("block", "bucket")
+    kinds = [(id_col, id_type), ("n_tokens", T.LongType()), ("ids_le", T.BinaryType()), ("decoded", T.BinaryType())]
+    result = T.StructType([T.StructField(*k) for k in kinds])
+    out, tokens = to_arrow_schema(result), spark.sparkContext.broadcast(_token_pool(path))
+    return back.mapInArrow(lambda it: _assemble(it, tokens, out), result)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
