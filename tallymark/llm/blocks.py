@@ -1,7 +1,7 @@
 """Dictionary blocks: many documents' words as distinct words and numbers by position.
 
 A block's distinct words are dealt to buckets by hash.  Within a block, words are numbered
-by (bucket, word), so a bucket's words travel as one packed list and need no numbers of
+bucket by bucket in order of appearance, so a bucket's words travel as one packed list and need no numbers of
 their own; what comes back for a bucket takes their place.
 """
 
@@ -51,14 +51,13 @@ def unpack_floats(data: bytes) -> np.ndarray:
 
 def deal(words: list[bytes], buckets: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
     """Each word's new number, and for each bucket in order the old numbers of its words."""
-    where = [zlib.crc32(w) % buckets for w in words]
-    order = np.array(sorted(range(len(words)), key=lambda i: (where[i], words[i])), np.int64)
+    where = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+    order = np.argsort(where, kind="stable")
     number = np.empty(len(words), np.int64)
     number[order] = np.arange(len(words))
-    sorted_where = np.array(where, np.int64)[order]
-    cuts = np.flatnonzero(np.diff(sorted_where)) + 1
+    cuts = np.flatnonzero(np.diff(where[order])) + 1
     parts = np.split(order, cuts) if len(order) else []
-    return number, [(where[int(p[0])], p) for p in parts]
+    return number, [(int(where[p[0]]), p) for p in parts]
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -44,35 +45,45 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
-def _blocks(batches, pattern: str, id_type: pa.DataType, block_chars: int, buckets: int, schema: pa.Schema):
+def _blocks(batches, pattern: str, block_chars: int, buckets: int, schema: pa.Schema, heads: bool):
+    """The blocks' sequences if ``heads``, else their words: the same blocks either way."""
     import regex
 
     find = regex.compile(pattern).findall
     number = block_number()
-    pretokens, chunks = Numbering(), {}
-    ids, lengths, parts, chars = [], [], [], 0
+    chunks, ids, sizes, parts, chars = Numbering(), [], [], [], 0
 
     def close():
-        nonlocal number, pretokens, chunks, ids, lengths, parts, chars
+        nonlocal number, chunks, ids, sizes, parts, chars
+        pretokens = Numbering()
+        cut = [[pretokens[w] for w in find(c)] for c in chunks]
+        width = np.fromiter(map(len, cut), np.int64, len(cut))
+        flat = np.fromiter((n for c in cut for n in c), np.int64, int(width.sum()))
+        seen = np.concatenate(parts)
+        seq = flat[spread((np.cumsum(width) - width)[seen], width[seen])]
+        ends = np.concatenate([[0], np.cumsum(width[seen])])[np.concatenate([[0], np.cumsum(sizes)])]
+        lengths = np.diff(ends).tolist()
         words = [w.encode() for w in pretokens]
         place, dealt = deal(words, buckets)
-        rows = [(number, -1, ids, lengths, pack(place[np.concatenate(parts)]))]
-        rows += [(number, b, None, None, pack_words([words[i] for i in own])) for b, own in dealt]
+        rows, checks = [], []
+        for b, own in dealt:
+            mine = [words[i] for i in own]
+            checks.append(zlib.crc32(b"\0".join(mine)))
+            if not heads:
+                rows.append((number, b, None, None, pack_words(mine), checks[-1]))
+        if heads:
+            rows.append((number, -1, ids, lengths, pack(place[seq]), _joined(checks)))
         number += 1
-        pretokens, chunks, ids, lengths, parts, chars = Numbering(), {}, [], [], [], 0
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        chunks, ids, sizes, parts, chars = Numbering(), [], [], [], 0
+        columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            run: list[int] = []
-            for chunk in space_chunks(text) if text else ():
-                known = chunks.get(chunk)
-                if known is None:
-                    known = chunks[chunk] = tuple(pretokens[w] for w in find(chunk))
-                run += known
-            parts.append(np.array(run, np.int64))
+            found = space_chunks(text) if text else []
+            parts.append(np.fromiter(map(chunks.__getitem__, found), np.int64, len(found)))
             ids.append(doc_id)
-            lengths.append(len(run))
+            sizes.append(len(found))
             chars += len(text or "") + 16
             if chars >= block_chars:
                 yield close()
@@ -80,24 +91,28 @@ def _blocks(batches, pattern: str, id_type: pa.DataType, block_chars: int, bucke
         yield close()
 
 
+def _joined(checks: list[int]) -> int:
+    """One checksum of a block's buckets, in order."""
+    return zlib.crc32(np.array(checks, "<u4").tobytes())
+
+
 def _encode_words(batches, path: str, pattern: str, schema: pa.Schema):
-    """Rows sorted by bucket: a bucket's words are encoded once each, sequences pass through."""
+    """Rows sorted by bucket: a bucket's words are encoded once each."""
     import tiktoken
 
     encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
     now, known = -1, {}
     for batch in batches:
         for row in batch.to_pylist():
-            if row["bucket"] >= 0:
-                if row["bucket"] != now:
-                    now, known = row["bucket"], {}
-                found = []
-                for word in unpack_words(row["data"]):
-                    ids = known.get(word)
-                    if ids is None:
-                        ids = known[word] = np.array(encoding.encode_ordinary(word.decode()), "<u4").tobytes()
-                    found.append(ids)
-                row["data"] = pack_lists(np.fromiter(map(len, found), np.uint32, len(found)), b"".join(found))
+            if row["bucket"] != now:
+                now, known = row["bucket"], {}
+            found = []
+            for word in unpack_words(row["data"]):
+                ids = known.get(word)
+                if ids is None:
+                    ids = known[word] = np.array(encoding.encode_ordinary(word.decode()), "<u4").tobytes()
+                found.append(ids)
+            row["data"] = pack_lists(np.fromiter(map(len, found), np.uint32, len(found)), b"".join(found))
             yield pa.RecordBatch.from_pylist([row], schema)
 
 
@@ -106,6 +121,8 @@ def _assemble(batches, tokens, out: pa.Schema, most: int = 400_000):
     pool, starts, size = tokens.value
 
     def flush(head, parts):
+        if _joined([p[2] for p in parts]) != head["check"]:
+            raise ValueError("a block's words are not those of its sequence")
         sizes = np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)]).astype(np.int64) // 4
         flat = np.frombuffer(b"".join(p[1] for p in parts), "<u4").astype(np.int64)
         offsets = np.cumsum(sizes) - sizes
@@ -134,7 +151,7 @@ def _assemble(batches, tokens, out: pa.Schema, most: int = 400_000):
                     yield from flush(head, parts)
                 head, parts = row, []
             else:
-                parts.append(unpack_lists(row["data"]))
+                parts.append((*unpack_lists(row["data"]), row["check"]))
     if head is not None:
         yield from flush(head, parts)
 
@@ -166,15 +183,15 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = source.schema["id"].dataType
-    fields = [("block", T.LongType()), ("bucket", T.IntegerType()), ("ids", T.ArrayType(id_type)), ("lengths", T.ArrayType(T.LongType())), ("data", T.BinaryType())]
+    fields = [("block", T.LongType()), ("bucket", T.IntegerType()), ("ids", T.ArrayType(id_type)), ("lengths", T.ArrayType(T.LongType())), ("data", T.BinaryType()), ("check", T.LongType())]
     schema = T.StructType([T.StructField(*f) for f in fields])
     arrow, buckets = to_arrow_schema(schema), bucket_count(spark)
-    kind = arrow.field("ids").type.value_type
-    rows = source.mapInArrow(lambda it: _blocks(it, pattern, kind, block_chars, buckets, arrow), schema)
-    # Words meet by bucket; sequences are spread by block on their way.
-    met = rows.repartition(F.when(F.col("bucket") < 0, -1 - F.col("block")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
+    # The texts are cut twice, into words and into sequences, so that sequences are shuffled
+    # once only; a block's checksum holds the two together.
+    part = lambda heads: source.mapInArrow(lambda it: _blocks(it, pattern, block_chars, buckets, arrow, heads), schema)
+    met = part(False).repartition("bucket").sortWithinPartitions("bucket")
     encoded = met.mapInArrow(lambda it: _encode_words(it, path, pattern, arrow), schema)
-    back = encoded.repartition("block").sortWithinPartitions("block", "bucket")
+    back = part(True).unionByName(encoded).repartition("block").sortWithinPartitions("block", "bucket")
     kinds = [(id_col, id_type), ("n_tokens", T.LongType()), ("ids_le", T.BinaryType()), ("decoded", T.BinaryType())]
     result = T.StructType([T.StructField(*k) for k in kinds])
     out, tokens = to_arrow_schema(result), spark.sparkContext.broadcast(_token_pool(path))
