@@ -4,15 +4,14 @@ A file is a table of segments in ascending document order.  A segment holds whol
 documents: their ids and lengths, and the ids of their tokens cut into blocks.  Every
 block starts with fresh models and can be read alone.  Its bytes are
 
-    magic "TMK1", ids in the block (4 bytes), CRC-32 of the ids as little-endian
+    magic "TMK2", ids in the block (4 bytes), CRC-32 of the ids as little-endian
     unsigned 32-bit integers (4 bytes), coded bytes.
 
 Contexts of no, one and two earlier ids each predict the next id; logistic mixing with
 weights learned online says how likely the best of these predictions is, and a range
 coder writes whether it holds.  An id that was not predicted is written as its class (its
-number of binary digits, by adaptive counts that blend contexts of no, one and two earlier
-classes) and its remaining digits.  Blocks are independent, so numpy codes many of them
-in step.
+number of binary digits, by adaptive counts after the class before, blended with all) and
+its remaining digits.  Blocks are independent, so numpy codes many of them in step.
 
 The file is written and read by Spark, so it can lie in any store that Spark reaches.
 
@@ -25,6 +24,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,88 +35,122 @@ from pyspark.sql import types as T
 from .bpe import space_chunks
 from .common import block_number, shared_dir
 
-MAGIC = b"TMK1"
+MAGIC = b"TMK2"
 END_ID = 2
-#: The class counts below stay under 2**16 in a block of so many ids.
 BLOCK_IDS = 2048
 SEGMENT_IDS = 4_000_000
-CLASSES, PAIRS, CONF = 25, 64, 8
-ONE_BITS, TWO_BITS = 10, 11
-_TOP, _BOTTOM, _ALL = 1 << 24, 1 << 16, 0xFFFFFFFF
+CLASSES, GROUPS, CONF = 25, 4, 8
+ONE_BITS, TWO_BITS = 9, 10
+#: Steps after which the class intervals follow their counts.
+REFRESH = 32
+_LIMIT = 1 << 24
+_U = np.uint64
+#: 64-bit ranges, written in 16-bit words.  A range of _BOTTOM holds a flag (12 bits, 16
+#: parts at least), a class (12) and 23 digits, so an id needs one renormalisation.
+_TOP, _BOTTOM, _WORD, _TWELVE = _U(1 << 48), _U(1 << 47), _U(16), _U(12)
 # Tables, not exp() and log(): every machine must compute the same predictions.
-_SQUASH = np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256))).clip(16, 4080).astype(np.int64)
+_SQUASH = np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256))).clip(16, 4080).astype(np.int32)
 _ODDS = np.arange(4096).clip(8, 4088)
 _STRETCH = np.round(np.log(_ODDS / (4096 - _ODDS)) * 256).astype(np.float32)
+#: Next confidence: after a wrong guess it halves, after a right one it grows.
+_NEXT = np.array([c >> 1 for c in range(CONF)] + [min(c + 1, CONF - 1) for c in range(CONF)], np.int32)
+#: Group of the class before, the context of a class.
+_GROUP = np.digitize(np.arange(CLASSES), [9, 12, 14])
 
 
 class _Model:
-    """The predictors of many blocks, one lane each; the lanes in use are the first ``live``."""
+    """The predictors of many blocks, one lane each; the lanes in use are the first ``live``.
+
+    A cell of a context is the id it names and the confidence in it (lowest 3 bits).
+    """
 
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
-        self.guess = [np.full(lanes, -1), np.full(lanes << ONE_BITS, -1), np.full(lanes << TWO_BITS, -1)]
-        self.conf = [np.zeros(len(g), np.int64) for g in self.guess]
-        self.hits = np.full((3, lanes * CONF), 2048, np.int64)
-        self.weights = np.full((4, lanes), 0.4, np.float32)
-        self.zero = np.ones((lanes, CLASSES), np.int64)
-        self.one = np.zeros((lanes * CLASSES, CLASSES), np.int64)
-        self.two = np.zeros((lanes * PAIRS, CLASSES), np.int64)
-
-    def predict(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.base = np.stack([self.lane, lanes + (self.lane << ONE_BITS), lanes + (lanes << ONE_BITS) + (self.lane << TWO_BITS)])
+        self.cells = np.full(lanes + (lanes << ONE_BITS) + (lanes << TWO_BITS), -CONF, np.int32)
+        self.own = np.arange(3 * lanes).reshape(3, lanes) * CONF
+        self.hits = np.full(3 * lanes * CONF, 2048, np.int32)
+        self.weights = np.full((3, lanes), 0.4, np.float32)
+        self.bias = np.full(lanes, 0.4, np.float32)
+        self.counts = np.zeros((lanes, GROUPS, CLASSES), np.int32)
+        self.refresh()
+
+    def slots(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of the contexts of one and two ids."""
+        first = (one.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+        both = (first ^ ((two.astype(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B))) * np.uint32(0x27D4EB2F)
+        return first >> np.uint32(32 - ONE_BITS), both >> np.uint32(32 - TWO_BITS)
+
+    def predict(self, first: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The id that the contexts together find likeliest, and its probability in 4096ths.
 
         Each context names the id that last followed it; how often names of that
         confidence came true is its own probability.  A context that names another id
         speaks against.
         """
-        live = len(one)
-        lane = self.lane[:live]
-        first = (one + 1) * 0x9E3779B1 & _ALL
-        both = (first ^ ((two + 1) * 0x85EBCA6B)) * 0x27D4EB2F & _ALL
-        self.slots = [lane, (lane << ONE_BITS) + (first >> (32 - ONE_BITS)), (lane << TWO_BITS) + (both >> (32 - TWO_BITS))]
-        self.named = [g[s] for g, s in zip(self.guess, self.slots, strict=True)]
-        self.cells = [lane * CONF + c[s] for c, s in zip(self.conf, self.slots, strict=True)]
-        chance = [np.where(n >= 0, h[c], 0) for h, c, n in zip(self.hits, self.cells, self.named, strict=True)]
+        live = len(first)
+        self.at = self.base[:, :live].copy()
+        self.at[1] += first
+        self.at[2] += both
+        self.cell = self.cells.take(self.at)
+        self.conf = self.cell & (CONF - 1)
+        self.named = self.cell >> 3
+        self.hit_at = self.own[:, :live] + self.conf
+        self.rate = self.hits.take(self.hit_at)
+        chance = self.rate * (self.cell >= 0)
         best, top = self.named[0], chance[0]
-        for n, c in zip(self.named[1:], chance[1:], strict=True):
-            better = c >= top
-            best, top = np.where(better, n, best), np.where(better, c, top)
-        self.inputs = [np.where(n == best, _STRETCH[c], np.float32(-128)) for n, c in zip(self.named, chance, strict=True)]
-        self.w = self.weights[:, :live]
-        dot = self.w[3] * np.float32(-256)
-        for w, x in zip(self.w[:3], self.inputs, strict=True):
-            dot = dot + w * x
-        self.p = np.where(best >= 0, _SQUASH[dot.clip(-2048, 2047).astype(np.int64) + 2048], 16)
+        for k in (1, 2):
+            best = np.where(chance[k] >= top, self.named[k], best)
+            top = np.maximum(chance[k], top)
+        self.x = np.where(self.named == best, _STRETCH.take(chance), np.float32(-128))
+        terms = self.weights[:, :live] * self.x
+        dot = terms[0] + terms[1] + terms[2] - self.bias[:live] * np.float32(256)
+        squashed = _SQUASH.take(dot.astype(np.int32) + 2048, mode="clip")
+        self.p = np.where(best >= 0, squashed, 16)
         return best, self.p
 
     def learn(self, symbol: np.ndarray, hit: np.ndarray) -> None:
-        error = (np.where(hit, 4096, 0) - self.p).astype(np.float32) * np.float32(3e-8)
-        for w, x in zip(self.w[:3], self.inputs, strict=True):
-            w += error * x
-        self.w[3] -= error * np.float32(256)
-        for guess, conf, hits, slot, cell, named in zip(self.guess, self.conf, self.hits, self.slots, self.cells, self.named, strict=True):
-            right = named == symbol
-            old = hits[cell]
-            hits[cell] = old + ((np.where(right, 4095, 0) - old) >> 4)
-            c = conf[slot]
-            conf[slot] = np.where(right, np.minimum(c + 1, CONF - 1), c >> 1)
-            guess[slot] = np.where(right | (c < 2), symbol, named)
-
-    def classes(self, lanes: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Cumulated counts of the classes after classes ``one`` and ``two``."""
-        self.rows = (lanes, lanes * CLASSES + one, lanes * PAIRS + (one * 5 + two) % PAIRS)
-        counts = self.zero[lanes] + 4 * self.one[self.rows[1]] + 8 * self.two[self.rows[2]]
-        return np.cumsum(counts, axis=1)
-
-    def learn_class(self, cls: np.ndarray) -> None:
-        self.zero[self.rows[0], cls] += 2
-        self.one[self.rows[1], cls] += 1
-        self.two[self.rows[2], cls] += 1
+        live = len(symbol)
+        error = ((hit * np.int32(4096)) - self.p).astype(np.float32) * np.float32(3e-8)
+        self.weights[:, :live] += error * self.x
+        self.bias[:live] -= error * np.float32(256)
+        right = self.named == symbol
+        self.hits[self.hit_at] = self.rate + ((right * np.int32(4095) - self.rate) >> 4)
+        keep = (self.conf >= 2) > right
+        self.cells[self.at] = np.where(keep, self.cell - self.conf, symbol << 3) | _NEXT.take(self.conf + right * np.int32(CONF))
+
+    def refresh(self) -> None:
+        """Class intervals in 4096ths: the counts after a group of classes, blended with all."""
+        blend = 1 + 4 * self.counts + self.counts.sum(axis=1, keepdims=True)
+        sums = np.cumsum(blend, axis=2)
+        ends = sums * (4096 - CLASSES) // sums[:, :, -1:] + np.arange(1, CLASSES + 1)
+        self.bounds = np.zeros((len(ends) * GROUPS, CLASSES + 1), np.uint16)
+        self.bounds[:, 1:] = ends.reshape(-1, CLASSES)
+
+    def learn_class(self, row: np.ndarray, cls: np.ndarray) -> None:
+        self.counts.reshape(-1, CLASSES)[row, cls] += 1
 
 
 def class_of(ids: np.ndarray) -> np.ndarray:
     """The number of binary digits of an id."""
-    return np.searchsorted(1 << np.arange(CLASSES - 1), ids, side="right")
+    return np.frexp(ids.astype(np.float64))[1]
+
+
+def _renormalise(low: np.ndarray, span: np.ndarray, live: int, move) -> None:
+    """Shift out the words that are settled, and those of ranges that got too small.
+
+    ``move(lanes, low)`` writes or reads a word of each of the lanes.
+    """
+    a, r = low[:live], span[:live]
+    lanes = np.flatnonzero(((a ^ (a + r)) < _TOP) | (r < _BOTTOM))
+    a, r = a[lanes], r[lanes]
+    while len(lanes):
+        r = np.where((a ^ (a + r)) < _TOP, r, -a & (_BOTTOM - _U(1)))
+        move(lanes, a)
+        a, r = a << _WORD, r << _WORD
+        low[lanes], span[lanes] = a, r
+        more = np.flatnonzero(((a ^ (a + r)) < _TOP) | (r < _BOTTOM))
+        lanes, a, r = lanes[more], a[more], r[more]
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -126,64 +160,52 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     lengths = np.array([len(b) for b in blocks])
     order = np.argsort(-lengths, kind="stable")
     lanes, sizes, longest = len(blocks), lengths[order], int(lengths.max())
-    if longest > BLOCK_IDS or any(len(b) and (b.min() < 0 or b.max() >= _TOP) for b in blocks):
+    if longest > BLOCK_IDS or any(len(b) and (b.min() < 0 or b.max() >= _LIMIT) for b in blocks):
         raise ValueError("a block is too long or holds an id out of range")
-    ids = np.zeros((longest + 2, lanes), np.int64)  # every block starts after two ids 0
+    ids = np.zeros((longest + 2, lanes), np.int32)  # every block starts after two ids 0
     for lane, b in enumerate(order):
         ids[2 : 2 + len(blocks[b]), lane] = blocks[b]
     cls = class_of(ids)
     model = _Model(lanes)
-    low, span = np.zeros(lanes, np.int64), np.full(lanes, _ALL, np.int64)
-    width = 32 + longest * 8
-    out, at = np.zeros(lanes * width, np.uint8), np.arange(lanes) * width
-
-    def code(lane, start, size, part):
-        """Narrow the lanes' ranges; ``part`` is a range over its total."""
-        a = (low[lane] + start * part) & _ALL
-        r = part * size
-        while True:
-            same = (a ^ (a + r)) & _ALL < _TOP
-            short = ~same & (r < _BOTTOM)
-            if short.any():
-                r = np.where(short, -a & (_BOTTOM - 1), r)
-                same |= short
-            i = np.flatnonzero(same)
-            if not len(i):
-                break
-            out[at[own := lane[i]]] = a[i] >> 24
-            at[own] += 1
-            a[i] = (a[i] << 8) & _ALL
-            r[i] = (r[i] << 8) & _ALL
-        low[lane], span[lane] = a, r
+    first, both = model.slots(ids[1:-1], ids[:-2])
+    low, span = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
+    width = 8 + longest * 3
+    out, at = np.zeros(lanes * width, np.uint16), np.arange(lanes) * width
+
+    def move(own, a):
+        out[at[own]] = a >> _U(48)
+        at[own] += 1
 
     for t in range(longest):
         live = int(np.searchsorted(-sizes, -t, side="left"))
-        lane, symbol = model.lane[:live], ids[t + 2, :live]
-        best, p = model.predict(ids[t + 1, :live], ids[t, :live])
+        symbol = ids[t + 2, :live]
+        best, p = model.predict(first[t, :live], both[t, :live])
         hit = best == symbol
-        code(lane, np.where(hit, 0, p), np.where(hit, p, 4096 - p), span[:live] >> 12)
-        model.learn(symbol, hit)
+        part = span[:live] >> _TWELVE
+        split = part * p.astype(_U)
         miss = np.flatnonzero(~hit)
-        if not len(miss):
-            continue
-        own = cls[t + 2, miss]
-        sums = model.classes(miss, cls[t + 1, miss], cls[t, miss])
-        row = np.arange(len(miss))
-        end = sums[row, own]
-        start = np.where(own > 0, sums[row, own - 1], 0)
-        code(miss, start, end - start, span[miss] // sums[:, -1])
-        model.learn_class(own)
-        rest, left = symbol[miss] - np.where(own > 0, 1 << np.maximum(own - 1, 0), 0), np.maximum(own - 1, 0)
-        while len(miss := miss[left > 0]):
-            rest, left = rest[left > 0], left[left > 0]
-            take = np.minimum(left, 15)
-            left = left - take
-            code(miss, rest >> left, 1, span[miss] >> take)
-            rest = rest & ((1 << left) - 1)
+        span[:live] = np.where(hit, split, (part << _TWELVE) - split)
+        if len(miss):
+            row, own = miss * GROUPS + _GROUP.take(cls[t + 1, miss]), cls[t + 2, miss]
+            place = row * (CLASSES + 1) + own
+            start = model.bounds.take(place).astype(_U)
+            end = model.bounds.take(place + 1).astype(_U)
+            left = np.maximum(own - 1, 0)
+            rest = (symbol[miss] - ((1 << own) >> 1)).astype(_U)
+            part = span[miss] >> _TWELVE
+            fine = (part * (end - start)) >> left.astype(_U)
+            low[miss] += split[miss] + start * part + rest * fine
+            span[miss] = fine
+            model.learn_class(row, own)
+        _renormalise(low, span, live, move)
+        model.learn(symbol, hit)
+        if t % REFRESH == REFRESH - 1:
+            model.refresh()
     result: list[bytes] = [b""] * lanes
     for lane, b in enumerate(order):
         check = zlib.crc32(np.asarray(blocks[b]).astype("<u4").tobytes())
-        result[b] = MAGIC + struct.pack("<II", len(blocks[b]), check) + out[lane * width : at[lane]].tobytes() + int(low[lane]).to_bytes(4, "big")
+        words = np.append(out[lane * width : at[lane]], (low[lane] >> _U(48), low[lane] >> _U(32) & _U(0xFFFF), low[lane] >> _U(16) & _U(0xFFFF), low[lane] & _U(0xFFFF)))
+        result[b] = MAGIC + struct.pack("<II", len(blocks[b]), check) + words.astype(">u2").tobytes()
     return result
 
 
@@ -199,70 +221,55 @@ def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
         raise ValueError("a block's length is out of range")
     order = np.argsort(-lengths, kind="stable")
     lanes, sizes, longest = len(data), lengths[order], int(lengths.max())
-    width = max(map(len, data))
-    coded = np.zeros((lanes, width), np.int64)
+    width = max(4, *(len(d) // 2 for d in data))
+    coded = np.zeros((lanes, width), np.uint16)
     for lane, b in enumerate(order):
-        coded[lane, : len(data[b]) - 12] = np.frombuffer(data[b], np.uint8, offset=12)
-    value = coded[:, :4] @ np.array([1 << 24, 1 << 16, 1 << 8, 1])
+        words = np.frombuffer(data[b], ">u2", len(data[b]) // 2 - 6, 12)
+        coded[lane, : len(words)] = words
+    value = np.zeros(lanes, _U)
+    for k in range(4):
+        value = value << _WORD | coded[:, k].astype(_U)
     flat, at, last = coded.reshape(-1), np.arange(lanes) * width + 4, np.arange(1, lanes + 1) * width - 1
-    ids, cls = np.zeros((longest + 2, lanes), np.int64), np.zeros((longest + 2, lanes), np.int64)
-    model = _Model(lanes)
-    low, span = np.zeros(lanes, np.int64), np.full(lanes, _ALL, np.int64)
-
-    def place(lane, part, total):
-        return np.minimum(((value[lane] - low[lane]) & _ALL) // part, total - 1)
-
-    def code(lane, start, size, part):
-        a = (low[lane] + start * part) & _ALL
-        r = part * size
-        v = value[lane]
-        while True:
-            same = (a ^ (a + r)) & _ALL < _TOP
-            short = ~same & (r < _BOTTOM)
-            if short.any():
-                r = np.where(short, -a & (_BOTTOM - 1), r)
-                same |= short
-            i = np.flatnonzero(same)
-            if not len(i):
-                break
-            own = lane[i]
-            v[i] = ((v[i] << 8) & _ALL) | flat[np.minimum(at[own], last[own])]
-            at[own] += 1
-            a[i] = (a[i] << 8) & _ALL
-            r[i] = (r[i] << 8) & _ALL
-        low[lane], span[lane], value[lane] = a, r, v
+    ids = np.zeros((longest + 2, lanes), np.int32)
+    model, before = _Model(lanes), np.zeros(lanes, np.int64)
+    low, span = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
+
+    def move(own, a):
+        value[own] = value[own] << _WORD | flat.take(np.minimum(at[own], last[own])).astype(_U)
+        at[own] += 1
 
     for t in range(longest):
         live = int(np.searchsorted(-sizes, -t, side="left"))
-        lane = model.lane[:live]
-        best, p = model.predict(ids[t + 1, :live], ids[t, :live])
-        part = span[:live] >> 12
-        hit = place(lane, part, 4096) < p
-        code(lane, np.where(hit, 0, p), np.where(hit, p, 4096 - p), part)
-        symbol = np.where(hit, best, 0)
+        best, p = model.predict(*model.slots(ids[t + 1, :live], ids[t, :live]))
+        part = span[:live] >> _TWELVE
+        split = part * p.astype(_U)
+        hit = value[:live] - low[:live] < split
         miss = np.flatnonzero(~hit)
+        span[:live] = np.where(hit, split, (part << _TWELVE) - split)
+        symbol = best.copy()
         if len(miss):
-            sums = model.classes(miss, cls[t + 1, miss], cls[t, miss])
-            part = span[miss] // sums[:, -1]
-            spot = place(miss, part, sums[:, -1])
-            own = (sums <= spot[:, None]).sum(axis=1)
-            row = np.arange(len(miss))
-            start = np.where(own > 0, sums[row, own - 1], 0)
-            code(miss, start, sums[row, own] - start, part)
-            model.learn_class(own)
-            symbol[miss] = np.where(own > 0, 1 << np.maximum(own - 1, 0), 0)
+            row = miss * GROUPS + before[miss]
+            bounds = model.bounds[row]
+            part = span[miss] >> _TWELVE
+            low[miss] += split[miss]
+            spot = np.minimum((value[miss] - low[miss]) // part, _U(4095)).astype(np.uint16)
+            own = (bounds[:, 1:] <= spot[:, None]).sum(axis=1)
+            lane = np.arange(len(miss))
+            start, end = bounds[lane, own].astype(_U), bounds[lane, own + 1].astype(_U)
+            low[miss] += start * part
             left = np.maximum(own - 1, 0)
-            while len(miss := miss[left > 0]):
-                left = left[left > 0]
-                take = np.minimum(left, 15)
-                left = left - take
-                part = span[miss] >> take
-                bits = place(miss, part, 1 << take)
-                code(miss, bits, 1, part)
-                symbol[miss] += bits << left
+            fine = (part * (end - start)) >> left.astype(_U)
+            rest = np.minimum((value[miss] - low[miss]) // fine, ((1 << left) - 1).astype(_U))
+            low[miss] += rest * fine
+            span[miss] = fine
+            symbol[miss] = ((1 << own) >> 1) + rest.astype(np.int64)
+            model.learn_class(row, own)
+        _renormalise(low, span, live, move)
         ids[t + 2, :live] = symbol
-        cls[t + 2, :live] = class_of(symbol)
+        before = _GROUP.take(class_of(symbol), mode="clip")
         model.learn(symbol, hit)
+        if t % REFRESH == REFRESH - 1:
+            model.refresh()
     result: list = [None] * lanes
     for lane, b in enumerate(order):
         found = ids[2 : 2 + sizes[lane], lane].copy()
@@ -276,29 +283,49 @@ class Encoder:
     """Ids of whole texts by the tokenizers library, each distinct chunk encoded once.
 
     A single space between non-spaces always starts a pre-token, so a text's ids are
-    those of its chunks in order.  ``most`` bounds the chunks that are remembered.
+    those of its chunks in order, and new chunks that meet at such spaces are encoded
+    together; the bytes that tokens stand for tell them apart.  ``most`` bounds the chunks
+    that are remembered.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, list[int]] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        # A character of a byte-level token stands for one byte.
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes[list(vocabulary.values())] = list(map(len, vocabulary))
+        self.known: dict[str, bytes] = {}
         self.most = most
 
-    def batch(self, texts: list[str | None]) -> list[list[int]]:
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, fresh: list[str]) -> None:
+        joint, alone = [], []
+        for c in fresh:
+            (joint if len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace() else alone).append(c)
+        for at in range(0, len(joint), 8192):
+            part = joint[at : at + 8192]
+            ids = self._ids(["".join(part)])[0]
+            wanted = np.cumsum([len(c.encode()) for c in part])
+            covered = np.cumsum(self.bytes[ids])
+            ends = np.searchsorted(covered, wanted) + 1
+            if ends[-1] != len(ids) or (covered[ends - 1] != wanted).any():
+                alone += part
+                continue
+            raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+            self.known.update((c, raw[a:b]) for c, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
+        for at in range(0, len(alone), 8192):
+            part = alone[at : at + 8192]
+            self.known.update(zip(part, (ids.tobytes() for ids in self._ids(part)), strict=True))
+
+    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         chunks = [space_chunks(t) if t else [] for t in texts]
-        fresh = list({c for found in chunks for c in found if c not in self.known})
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            self.known.update(zip(part, (e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
-        out = []
-        for found in chunks:
-            ids: list[int] = []
-            for c in found:
-                ids += self.known[c]
-            out.append(ids)
+        self._learn(list(set(chain.from_iterable(chunks)).difference(self.known)))
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, found)), np.int32) for found in chunks]
         if len(self.known) > self.most:
             self.known.clear()
         return out
@@ -324,7 +351,7 @@ def _write(batches, path: str, id_type: pa.DataType, block_ids: int, segment_ids
         for at in range(0, batch.num_rows, 64):
             piece = batch.slice(at, 64)
             for doc_id, found in zip(piece.column(0).to_pylist(), encoder.batch(piece.column(1).to_pylist()), strict=True):
-                tokens.append(np.array([*found, END_ID], np.int64))
+                tokens.append(np.append(found, np.int32(END_ID)))
                 ids.append(doc_id)
                 lengths.append(len(found) + 1)
                 held += len(found) + 1
