@@ -189,6 +189,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows with a null id are kept, as nothing tells them apart.
     """
     found = classes(docs, id_col=id_col, text_col=text_col)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    one = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
-    return one.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    kept = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_n"))
+    kept = materialise(kept, "simhash-kept")
+    single, repeated = kept.where("_n = 1").select("_kept"), kept.where("_n > 1").select("_kept")
+    match = F.col(id_col) == F.col("_kept")
+    # Only rows whose id repeats are gathered by id; all others stay where they are read.
+    out = docs.join(single, match, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    if not repeated.isEmpty():
+        out = out.unionByName(docs.join(repeated, match, "left_semi").dropDuplicates([id_col]))
+    return out
