@@ -408,6 +408,16 @@ def test_lm(spark, sf):
     got = Q.op9_lm(spark, sf).collect()
     same_scores(got, brute_base(rows))
     assert all(r.score < 0 and r.bits_per_byte > 0 for r in got)
+    known = [r for r in got if r.n_known == r.n_tokens]
+    assert sum(r.score for r in known) > sum(r.base_score for r in known)
+
+
+def test_lm_escaped_words():
+    """Known words' shares and what is left for spelling add up to one."""
+    counts, spelled = np.array([6, 2, 1, 1, 0]), np.array([9.0, 8.0, 12.0, 10.0, 11.0])
+    bits = lm.escaped_bits(spelled, counts, 10, 2)
+    assert abs((2.0**-bits).sum() - (1 - 3 / 12) - 3 / 12 * (2.0**-spelled).sum()) < 1e-12
+    assert (lm.escaped_bits(spelled, counts * 0, 0, 0) == spelled).all()
 
 
 def test_lm_odd(spark):
