@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,25 @@ def space_chunks(text: str) -> list[str]:
     return text.replace(" ", mark + " ").split(mark)
 
 
+def cut_chunks(find, chunks: list[str]) -> tuple[list[str], np.ndarray]:
+    """The pre-tokens of all chunks in order, and how many each chunk has.
+
+    Chunks that meet at a single space between non-spaces are cut together: a pre-token
+    always starts there.
+    """
+    starts = [i for i, c in enumerate(chunks) if i == 0 or c[0] != " " or c[1:2].isspace() or len(c) < 2 or chunks[i - 1][-1].isspace()]
+    found: list[str] = []
+    for a, b in pairwise([*starts, len(chunks)]):
+        found += find("".join(chunks[a:b]))
+    covered = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+    wanted = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))
+    ends = np.searchsorted(covered, wanted) + 1
+    if len(chunks) and (ends[-1] != len(found) or (covered[ends - 1] != wanted).any()):
+        each = list(map(find, chunks))  # the pattern leaves characters out
+        return [w for f in each for w in f], np.fromiter(map(len, each), np.int64, len(each))
+    return found, np.diff(ends, prepend=0)
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as file:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
@@ -56,9 +76,8 @@ def _blocks(batches, pattern: str, block_chars: int, buckets: int, schema: pa.Sc
     def close():
         nonlocal number, chunks, ids, sizes, parts, chars
         pretokens = Numbering()
-        cut = [[pretokens[w] for w in find(c)] for c in chunks]
-        width = np.fromiter(map(len, cut), np.int64, len(cut))
-        flat = np.fromiter((n for c in cut for n in c), np.int64, int(width.sum()))
+        found, width = cut_chunks(find, list(chunks))
+        flat = np.fromiter(map(pretokens.__getitem__, found), np.int64, len(found))
         seen = np.concatenate(parts)
         seq = flat[spread((np.cumsum(width) - width)[seen], width[seen])]
         ends = np.concatenate([[0], np.cumsum(width[seen])])[np.concatenate([[0], np.cumsum(sizes)])]

@@ -110,6 +110,19 @@ def test_bpe(spark, sf):
     assert pairs(Q.op2_bpe(spark, sf), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == expected_bpe(texts_of(spark, sf))
 
 
+def test_bpe_cuts_chunks_together():
+    import regex
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab 'sLL9é\n\t  \x1c\x0b\x85.!") for _ in range(40)) for _ in range(500)]
+    chunks = list(dict.fromkeys(c for t in texts for c in bpe.space_chunks(t)))
+    for pattern in (public_tokenizers.PATTERN, r"[ab]+"):
+        find = regex.compile(pattern).findall
+        found, width = bpe.cut_chunks(find, chunks)
+        assert found == [w for c in chunks for w in find(c)] and width.tolist() == [len(find(c)) for c in chunks]
+    assert bpe.cut_chunks(find, [])[0] == []
+
+
 def test_bpe_odd(spark):
     rng = random.Random(1)
     fuzz = [(100 + i, "".join(rng.choice("ab 'sLL9é\n\t\r  \x1c\x0b\x85.!") for _ in range(60))) for i in range(200)]
