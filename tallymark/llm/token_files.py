@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -331,8 +332,14 @@ class Encoder:
         return out
 
 
+@cache
+def _encoder(path: str) -> Encoder:
+    """One a worker process: the tasks it runs one after the other share what is remembered."""
+    return Encoder(path)
+
+
 def _write(batches, path: str, id_type: pa.DataType, block_ids: int, segment_ids: int):
-    encoder = Encoder(path)
+    encoder = _encoder(path)
     part = block_number() >> 32
     number, ids, lengths, tokens, held = 0, [], [], [], 0
 
