@@ -38,7 +38,7 @@ from .common import block_number, shared_dir
 MAGIC = b"TMK2"
 END_ID = 2
 BLOCK_IDS = 2048
-SEGMENT_IDS = 4_000_000
+SEGMENT_IDS = 2_000_000
 CLASSES, GROUPS, CONF = 25, 4, 8
 ONE_BITS, TWO_BITS = 9, 10
 #: Steps after which the class intervals follow their counts.
