@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans, in DataFrame operations.
 
-A text is cut into sentences that together are the text again.  Every run of ``run``
-consecutive sentences with at least ``least_words`` words is hashed (128 bits), and so is
-a single sentence of at least ``long_words``.  Equal spans meet in one shuffle of hashes,
+A text is cut into sentences that together are the text again.  From each sentence on, and
+up to each, the shortest run of at least ``run`` sentences and ``least_words`` words is
+hashed (128 bits), and so is a single sentence of at least ``long_words``.  Runs of both
+directions cover a repeated passage to its ends, however short its sentences are.  Equal spans meet in one shuffle of hashes,
 which counts them and finds the first by (doc_id, place); sentences that a later copy
 covers are removed.  Counting combines on the map side and a hot span's rows are only
 joined with its one summary row, so no task gathers a span's copies.
@@ -14,7 +15,7 @@ table; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A sentence ends after . ! or ? and a blank, or after a line end.
@@ -23,18 +24,35 @@ CUT = r"(?:(?<=[.!?][ \t])|(?<=\n))(?=\S)"
 
 def spans(sentences: DataFrame, run: int, least_words: int, long_words: int) -> DataFrame:
     """Rows (_row, id, at, size, h1, h2) of ``sentences`` (_row, id, s)."""
-    size = F.size("s")
     clean = F.transform("s", lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
-    base = sentences.select("_row", "id", clean.alias("c"), size.alias("n"))
-    starts = F.sequence(F.lit(1), F.col("n"))
-    keys = F.transform(starts, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("c", i, run), " ").alias("key"), F.get("c", i - 1).alias("one")))
-    rows = base.where("n > 0").select("_row", "id", "n", F.explode(keys).alias("k")).select("_row", "id", "n", "k.at", "k.key", "k.one")
-    words = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "))) + 1
-    runs = (F.col("at") + run - 1 <= F.col("n")) & (words(F.col("key")) >= least_words)
-    single = words(F.col("one")) >= long_words
-    each = F.array_compact(F.array(F.when(runs, F.struct(F.lit(run).alias("size"), F.col("key").alias("key"))), F.when(single, F.struct(F.lit(1).alias("size"), F.col("one").alias("key")))))
-    kept = rows.where(runs | single).select("_row", "id", "at", F.explode(each).alias("e"))
-    return kept.select("_row", "id", "at", "e.size", F.xxhash64("e.key").alias("h1"), F.xxhash64(F.lit(7), "e.key").alias("h2"))
+    base = sentences.select("_row", "id", clean.alias("c")).where(F.size("c") > 0)
+    words = F.transform("c", lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "))) + 1)
+    sizes = range(run, max(run, least_words) + 1)  # every sentence has a word
+
+    def total(i, size, step):
+        """Words of ``size`` sentences from ``i`` on or up to it; null beyond the text."""
+        each = [F.when(i + step * k >= 1, F.get("w", i + step * k - 1)) for k in range(size)]
+        return sum(each[1:], each[0])
+
+    def grown(i, step):
+        return F.coalesce(*(F.when(total(i, n, step) >= least_words, F.lit(n)) for n in sizes))
+
+    def found(x):
+        start, longest = x.at - x.back + 1, F.get("w", x.at - 1) >= long_words
+        # A run that falls short without its last sentence is also the one from its first on.
+        inner = F.aggregate(F.slice("w", start, x.back - 1), F.lit(0), lambda n, w: n + w)
+        own = F.when(x.back > run, F.when(inner >= least_words, _span(start, x.back)))
+        return F.array(F.when(x.ahead.isNotNull(), _span(x.at, x.ahead)), own, F.when(longest, _span(x.at, F.lit(1))))
+
+    at = F.transform(F.sequence(F.lit(1), F.size("c")), lambda i: F.struct(i.alias("at"), grown(i, 1).alias("ahead"), grown(i, -1).alias("back")))
+    keys = base.select("_row", "id", "c", words.alias("w")).select("_row", "id", "c", "w", at.alias("x"))
+    keys = keys.select("_row", "id", F.array_compact(F.flatten(F.transform("x", found))).alias("k"))
+    hashed = F.transform("k", lambda k: F.struct(k.at.alias("at"), k.size.alias("size"), F.xxhash64(k.key).alias("h1"), F.xxhash64(F.lit(7), k.key).alias("h2")))
+    return keys.select("_row", "id", F.explode(hashed).alias("e")).select("_row", "id", "e.*")
+
+
+def _span(at: Column, size: Column) -> Column:
+    return F.struct(at.alias("at"), size.alias("size"), F.array_join(F.slice("c", at, size), " ").alias("key"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, least_words: int = 8, long_words: int = 20) -> DataFrame:

@@ -167,6 +167,17 @@ def test_spans_odd(spark):
     assert got == sorted([(a, b, d) for a, b, _, d in brute_spans(rows)], key=repr)
 
 
+def test_spans_short_sentences(spark):
+    junk = "Yes. No! ERWHED.!! EDHEEA!! Oh well. Go. " * 12
+    verse = "\n".join(f"line {i}" for i in range(30))
+    tail = "One two three four five six seven eight nine ten. Yes. No."
+    inside = "red. green blue. one. two. three four. five. six. seven."
+    rows = [(1, junk + "End"), (2, junk + "End"), (3, verse), (4, verse), (5, tail), (6, tail), (7, f"Mine is here. {inside} And so on."), (8, f"Other. {inside} Bye now."), (9, "Hi. You."), (10, "Hi. You.")]
+    got = {r[0]: r[1] for r in pairs(spans.dedup(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "text")}
+    assert got[2] == got[4] == got[6] == "" and got[8] == "Other. Bye now."
+    assert all(got[i] == t for i, t in rows if i in (3, 5, 7, 9, 10))
+
+
 # 4 nearest neighbours
 
 
