@@ -17,6 +17,8 @@ from .views import ALPHABET, SQL, domains, groups, pairs, preds, strings, table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 SEED, REPS = 7, 20
+#: Draws of the bootstraps without SQL; those with SQL make REPS.
+FULL_REPS = 2_000
 
 
 def query(sql: str | None = None, views: bool = True):
@@ -492,28 +494,58 @@ _POOLED = f"br AS (SELECT rep, {_rank('yl', 'rep')} AS ry, {_rank('pa', 'rep')}
 _WITHIN = f"wr AS (SELECT rep, grp, {_rank('yl', 'rep, grp')} AS ry, {_rank('pa', 'rep, grp')} AS ra, {_rank('pb', 'rep, grp')} AS rb FROM bs), wg AS (SELECT rep, grp, {_corr('ry', 'ra')} AS a, {_corr('ry', 'rb')} AS b FROM wr GROUP BY rep, grp HAVING count(*) >= 12), wi AS (SELECT rep, avg(a) AS a, avg(b) AS b FROM wg GROUP BY rep)"
 
 
-def _boot(spark, sf, grp=None):
+def _boot(spark, sf, grp=None, reps=REPS):
     rows = _val(spark, sf)
-    return resample.replicate_spearman(rows, resample.draws(rows, "seq9", REPS, SEED), "seq9", "yl", ["pa", "pb"], grp)
+    return resample.replicate_spearman(rows, resample.draws(rows, "seq9", reps, SEED), "seq9", "yl", ["pa", "pb"], grp)
+
+
+def _cluster_ci(spark, sf, n):
+    reps = _boot(spark, sf, reps=n)
+    both = [resample.interval(reps, F.col(m), n).select(F.lit(m).alias("metric"), "mean", "lo", "hi", "n_valid") for m in ("pa", "pb")]
+    return _rounded(both[0].unionByName(both[1]))
+
+
+def _paired_ci(spark, sf, n):
+    return _rounded(resample.interval(_boot(spark, sf, reps=n), F.col("pb") - F.col("pa"), n).select(F.lit("pb-pa").alias("metric"), "mean", "lo", "hi", "n_valid"))
+
+
+def _within_ci(spark, sf, n):
+    reps = _boot(spark, sf, "grp", n)
+    both = [resample.interval(reps, c, n, 0.95).select(F.lit(m).alias("metric"), "mean", "lo", "hi", "n_valid") for m, c in (("pb-pa", F.col("pb") - F.col("pa")), ("pb", F.col("pb")))]
+    return _rounded(both[0].unionByName(both[1]))
 
 
 @query(f", {_DRAWS}, {_POOLED} {_interval_sql('a', 'pl', 'pa')} UNION ALL {_interval_sql('b', 'pl', 'pb')}")
 def cluster_bootstrap_ci(spark, sf):
-    reps = _boot(spark, sf)
-    both = [resample.interval(reps, F.col(m), REPS).select(F.lit(m).alias("metric"), "mean", "lo", "hi", "n_valid") for m in ("pa", "pb")]
-    return _rounded(both[0].unionByName(both[1]))
+    return _cluster_ci(spark, sf, REPS)
 
 
 @query(f", {_DRAWS}, {_POOLED} {_interval_sql('(b - a)', 'pl', 'pb-pa')}")
 def paired_bootstrap_ci(spark, sf):
-    return _rounded(resample.interval(_boot(spark, sf), F.col("pb") - F.col("pa"), REPS).select(F.lit("pb-pa").alias("metric"), "mean", "lo", "hi", "n_valid"))
+    return _paired_ci(spark, sf, REPS)
 
 
 @query(f", {_DRAWS}, {_WITHIN} {_interval_sql('(b - a)', 'wi', 'pb-pa', 0.95)} UNION ALL {_interval_sql('b', 'wi', 'pb', 0.95)}")
 def within_bootstrap_ci(spark, sf):
-    reps = _boot(spark, sf, "grp")
-    both = [resample.interval(reps, c, REPS, 0.95).select(F.lit(m).alias("metric"), "mean", "lo", "hi", "n_valid") for m, c in (("pb-pa", F.col("pb") - F.col("pa")), ("pb", F.col("pb")))]
-    return _rounded(both[0].unionByName(both[1]))
+    return _within_ci(spark, sf, REPS)
+
+
+# The same at the number of draws that intervals are reported with: rows only.
+
+
+@query()
+def cluster_bootstrap_ci_full(spark, sf):
+    return _cluster_ci(spark, sf, FULL_REPS)
+
+
+@query()
+def paired_bootstrap_ci_full(spark, sf):
+    return _paired_ci(spark, sf, FULL_REPS)
+
+
+@query()
+def within_bootstrap_ci_full(spark, sf):
+    return _within_ci(spark, sf, FULL_REPS)
 
 
 _ENTITIES = 24
