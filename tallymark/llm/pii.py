@@ -4,20 +4,28 @@ Detected entities (e-mail addresses, phone numbers, card numbers, IPv4 addresses
 security numbers, and names after an honorific) get keyed replacements of their own type
 and format: digits stay digits in the same grouping, a country code stays, a card keeps
 its Luhn validity, names keep script and the gender of their honorific.  An entity is
-known by its canonical form (digits only, lower case), so all its mentions get the same
-surrogate in the format of the mention.
+known by its canonical form (digits only, lower case; a phone by its digits after the
+country code), so all its mentions get the same surrogate in the format of the mention.
+The key enters by HMAC-SHA-256.
 
 Surrogates must be distinct and must not be real entities of the corpus.  Every round
 gives the entities that are still unsettled a candidate, keeps the smallest of those that
-share one, and re-keys the rest; after ``rounds`` what is left gets a name that carries its whole
-digest.  Only distinct entities are shuffled for this; texts wait in the shared folder.
+share one, and re-keys the rest, until all are settled; names and the locals of addresses
+grow with the round, so there is always room.  A round settles nearly all that is left;
+an error is raised if ``most_rounds`` don't, which only a corpus that uses up the numbers
+of a format can cause.  Only distinct entities are shuffled for this; texts wait in the
+shared folder.
 
 Defined cases: a null text stays null; rows with equal or null ids stay separate rows; a
-text without entities is unchanged; an empty table gives an empty result.
+text without entities is unchanged; other columns are ignored; a very long text is one
+row like any other, and patterns take time in proportion to it, whatever its runs of
+letters, digits or dots; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,17 +44,21 @@ SYLLABLES = {
     "cyrillic": "ба бе ди до фа га ха ка ла ле ма мо на ра са ти".split(),
 }
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # A local part starts at the start of its run of characters and never gives any back; a
+    # domain has at most 127 labels of 63, so no long run is scanned twice or recursed into.
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.[A-Za-z]{2,63}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])(?:\d{4}[ -]?){3}\d{4}(?![\d-])",
     "phone": r"(?<![\d\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?!\d)",
-    "name": rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    "name": rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no entity; much cheaper than the patterns.
 HINT = rf"@|\d\.\d|\d{{4}}|\d-\d|\b(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
 HONORIFIC = rf"^(?:{MALE}|{FEMALE})\.? "
+#: Digits of a phone number after its country code.
+PHONE_DIGITS = 10
 
 
 def _kind(x: Column) -> Column:
@@ -69,14 +81,12 @@ def _script(x: Column) -> Column:
 
 
 def canonical(kind: Column, mention: Column) -> Column:
-    """What all mentions of an entity share.  A name's gender belongs to it; a phone's + too."""
+    """What all mentions of an entity share.  A name's gender belongs to it; a country code doesn't."""
     name = F.lower(F.regexp_replace(mention, HONORIFIC, ""))
-    country = F.concat(F.regexp_extract(mention, r"^(\+\d{1,3})[ .(-]", 1), F.lit(":"))
-    # The country code also leads the digits; it marks how many of them stay.
     return (
         F.when(kind == "email", F.lower(mention))
         .when(kind == "ip", mention)
-        .when(kind == "phone", F.concat(country, _digits(mention)))
+        .when(kind == "phone", F.right(_digits(mention), F.lit(PHONE_DIGITS)))
         .when(kind == "name", F.concat(_gender(mention), F.lit(":"), _script(mention), F.lit(":"), F.size(F.split(name, " ")).cast("string"), F.lit(":"), name))
         .otherwise(_digits(mention))
     )
@@ -96,27 +106,35 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(n, F.lit(0), lambda a, b: a + b) % 10
 
 
+def keyed(key: str, message: Column) -> Column:
+    """HMAC-SHA-256 of a string, in hexadecimal digits."""
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in raw)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
+
+
 def candidate(kind: Column, entity: Column, key: str, round_: int) -> Column:
     """A canonical surrogate of the canonical ``entity``: same type, same shape."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, entity, F.lit(str(round_))), 256)
-    digits = F.translate(digest, "abcdef", "246813")
-    more = F.concat(digits, F.translate(F.sha2(digest, 256), "abcdef", "975310"))
-    real = F.element_at(F.split(entity, ":"), -1)
-    code = F.when(kind == "phone", F.length(F.element_at(F.split(entity, ":"), 1))).otherwise(0)
-    kept = F.greatest(code - 1, F.lit(0))  # without the plus
-    number = F.concat(F.substring(real, F.lit(1), kept), F.expr("'2'"), more)
-    phone = F.concat(F.element_at(F.split(entity, ":"), 1), F.lit(":"), F.substring(number, F.lit(1), F.length(real)))
-    bare = F.concat(F.substring(real, F.lit(1), F.lit(1)), F.substring(more, 1, 14), F.lit("0"))
+    digest = keyed(key, F.concat_ws("|", kind, entity, F.lit(str(round_))))
+    more = F.translate(F.concat(digest, F.sha2(digest, 256)), "abcdef", "246813")
+    phone = F.concat(F.lit("2"), F.substring(more, 1, PHONE_DIGITS - 1))
+    bare = F.concat(F.substring(entity, 1, 1), F.substring(more, 1, 14), F.lit("0"))
     # The last digit has weight one, so it can set the sum to anything: valid stays valid.
-    check = (F.lit(20) - _luhn(bare) + F.when(_luhn(real) == 0, 0).otherwise(1 + F.pmod(_byte(digest, 3, 9), F.lit(9)))) % 10
+    check = (F.lit(20) - _luhn(bare) + F.when(_luhn(entity) == 0, 0).otherwise(1 + F.pmod(_byte(digest, 3, 9), F.lit(9)))) % 10
     card = F.concat(F.substring(bare, 1, 15), check.cast("string"))
     ip = F.concat_ws(".", *(((_byte(digest, n, 223) if n == 0 else _byte(digest, n, 254)) + 1).cast("string") for n in range(4)))
     ssn = F.concat(F.lit("9"), F.substring(more, 1, 8))
-    user = F.regexp_extract(entity, "^([^@]*)@", 1)
-    # Letters stay letters and digits digits; the digest's length bounds the local part.
-    letters = F.translate(F.concat(digest, F.sha2(digest, 256)), "0123456789abcdef", "bdfhjkmprstvwxyz")
-    local = F.array_join(F.transform(F.split(F.substring(user, 1, 64), ""), lambda x, i: F.when(F.regexp_like(x, F.lit("[a-z]")), F.substring(letters, i + 1, F.lit(1))).when(F.regexp_like(x, F.lit("[0-9]")), F.substring(more, i + 1, F.lit(1))).otherwise(x)), "")
-    tail = F.when(F.lit(round_ > 0), F.substring(letters, 70, 4 * round_)).otherwise("")
+    user = F.split(F.substring_index(entity, "@", 1), "")
+    # Letters stay letters and digits digits, each by a hexadecimal digit of its own.
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(user) / F.lit(64)).cast("int")), lambda i: F.sha2(F.concat_ws("|", digest, i.cast("string")), 256))
+
+    def like(x: Column, h: Column) -> Column:
+        letter, digit = F.translate(h, "0123456789abcdef", "bdfhjkmprstvwxyz"), F.translate(h, "abcdef", "246813")
+        return F.when(F.regexp_like(x, F.lit("[a-z]")), letter).when(F.regexp_like(x, F.lit("[0-9]")), digit).otherwise(x)
+
+    local = F.array_join(F.zip_with(user, F.split(F.array_join(blocks, ""), ""), like), "")
+    tail = F.substring(F.translate(F.sha2(digest, 256), "0123456789abcdef", "bdfhjkmprstvwxyz"), 1, 4 * round_) if round_ else F.lit("")
     email = F.concat(local, tail, F.lit("@example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), _byte(digest, 5, 3) + 1))
     parts = F.split(entity, ":")
     first = F.lit("")
@@ -124,57 +142,54 @@ def candidate(kind: Column, entity: Column, key: str, round_: int) -> Column:
         first = F.when((parts[0] == gender) & (parts[1] == script), _pick(names, digest, 0)).otherwise(first)
     last = F.lit("")
     for script, syllables in SYLLABLES.items():
-        last = F.when(parts[1] == script, F.initcap(F.concat(*(_pick(syllables, digest, n) for n in range(1, 4 + round_))))).otherwise(last)
+        last = F.when(parts[1] == script, F.initcap(F.concat(*(_pick(syllables, digest, n) for n in range(1, min(4 + round_, 16)))))).otherwise(last)
     name = F.when(parts[2] == "1", last).otherwise(F.concat_ws(" ", first, last))
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ssn", ssn).when(kind == "card", card).when(kind == "phone", phone).otherwise(F.concat_ws(":", parts[0], parts[1], parts[2], F.lower(name)))
 
 
-def surrogates(entities: DataFrame, key: str, rounds: int = 4) -> DataFrame:
+def surrogates(entities: DataFrame, key: str, most_rounds: int = 40) -> DataFrame:
     """``entities``: distinct (kind, entity).  Returns (kind, entity, surrogate), one to one."""
     left, settled = entities, None
-    for n in range(rounds + 1):
-        if n < rounds:
-            tried = left.withColumn("surrogate", candidate(F.col("kind"), F.col("entity"), key, n))
-        else:
-            whole = F.sha2(F.concat_ws("|", F.lit(key), "kind", "entity"), 256)
-            tried = left.withColumn("surrogate", F.concat(F.lit("x:"), whole))
-        real = entities.select("kind", F.col("entity").alias("surrogate"))
+    real = entities.select("kind", F.col("entity").alias("surrogate"))
+    for n in range(most_rounds):
+        tried = left.withColumn("surrogate", candidate(F.col("kind"), F.col("entity"), key, n))
         free = tried.join(real, ["kind", "surrogate"], "left_anti")
         if settled is not None:
             free = free.join(settled.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
         won = free.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity")).select("kind", "entity", "surrogate")
         won = materialise(won, "pii-settled")
         settled = won if settled is None else settled.unionByName(won)
-        left = left.join(won.select("kind", "entity"), ["kind", "entity"], "left_anti")
-        if n < rounds:
-            left = materialise(left, "pii-left")
-            if left.isEmpty():
-                break
-    return settled
+        left = materialise(left.join(won.select("kind", "entity"), ["kind", "entity"], "left_anti"), "pii-left")
+        if left.isEmpty():
+            return settled
+    raise RuntimeError(f"surrogates are not settled after {most_rounds} rounds")
 
 
 def _in_format(kind: Column, mention: Column, surrogate: Column) -> Column:
-    """The surrogate as the mention was written."""
+    """The surrogate as the mention was written: its case, its grouping, its country code."""
     real = F.element_at(F.split(surrogate, ":"), -1)
+    digits = _digits(mention)
+    code = F.when(kind == "phone", F.substring(digits, F.lit(1), F.length(digits) - PHONE_DIGITS)).otherwise("")
+    number = F.split(F.concat(code, real), "")
     empty = F.struct(F.lit(0).alias("k"), F.lit("").alias("out"))
 
     def place(state, x):
         digit = F.regexp_like(x, F.lit(r"\d"))
-        return F.struct((state["k"] + F.when(digit, 1).otherwise(0)).alias("k"), F.concat(state["out"], F.when(digit, F.substring(real, state["k"] + 1, F.lit(1))).otherwise(x)).alias("out"))
+        return F.struct((state["k"] + F.when(digit, 1).otherwise(0)).alias("k"), F.concat(state["out"], F.when(digit, F.get(number, state["k"])).otherwise(x)).alias("out"))
 
     shaped = F.aggregate(F.split(mention, ""), empty, place, lambda s: s["out"])
     bare = F.regexp_replace(mention, HONORIFIC, "")
     title = F.regexp_extract(mention, f"({HONORIFIC})", 1)
     name = F.concat(title, F.when(bare == F.upper(bare), F.upper(real)).otherwise(F.initcap(real)))
-    return F.when(F.startswith(surrogate, F.lit("x:")), F.concat(F.upper(kind), F.lit("-"), real)).when(kind.isin("email", "ip"), real).when(kind == "name", name).otherwise(shaped)
+    email = F.when((mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(real)).otherwise(real)
+    return F.when(kind == "email", email).when(kind == "ip", real).when(kind == "name", name).otherwise(shaped)
 
 
 def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return id_col, text_col with surrogates, n_entities long and kinds (comma-joined, in order)."""
-    text = F.col("text")
-    has = F.regexp_like(text, F.lit(HINT))
-    found = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.when(F.regexp_like(F.col(text_col).cast("string"), F.lit(HINT)), F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(ANY), F.lit(0))).alias("mentions"))
-    del has, text
+    text = F.col(text_col).cast("string")
+    mentions = F.when(F.regexp_like(text, F.lit(HINT)), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    found = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("id"), text.alias("text"), mentions.alias("mentions"))
     held = materialise(found, "pii-texts")
     places = held.where(F.size("mentions") > 0).select("_row", F.posexplode("mentions").alias("n", "mention"))
     places = places.withColumn("kind", _kind(F.col("mention"))).withColumn("entity", canonical(F.col("kind"), F.col("mention")))

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from . import ann, bpe, contamination, lm, pii, quality, secrets, simhash, spans, token_files
 from .common import table
 
-#: Key of the surrogates; a deployment passes its own.
-PII_KEY = "tallymark"
+#: The setting that holds the key of the surrogates, and the key of tests.
+PII_KEY = ("spark.tallymark.pii.key", "tallymark")
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(table(spark, sf_dir, "documents"), PII_KEY)
+    return pii.replace(table(spark, sf_dir, "documents"), spark.conf.get(*PII_KEY))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
