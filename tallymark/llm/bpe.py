@@ -8,7 +8,9 @@ block is put together again by position.  Decoding joins the ids to the token-by
 whose size is that of the vocabulary, so every task holds it.
 
 Defined cases: a null or empty text has no tokens; rows with equal or null ids stay
-separate rows; other columns are ignored; an empty table gives an empty result.
+separate rows; other columns are ignored; an empty table gives an empty result.  A very
+long text is a block of its own, cut and assembled whole; a long run without blanks is one
+chunk, which the pattern cuts like any other.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import bucket_count, deal, pack_lists, pack_words, spread, unpack_lists, unpack_words
-from .common import Numbering, block_number, materialise, pack, unpack
+from .common import Numbering, block_number, materialise, pack, settled, unpack
 
 #: Characters after which a block is closed; one longer text is a block of its own.
 BLOCK_CHARS = 8_000_000
@@ -35,7 +37,10 @@ _GAP = re.compile(r"(?<=\S) (?=\S)")
 
 def space_chunks(text: str) -> list[str]:
     """Cut before each single space between non-spaces, which always starts a pre-token."""
-    mark = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in text)
+    mark = next((c for c in map(chr, range(0xE000, 0xF8FF)) if c not in text), None)
+    if mark is None:  # every private-use character occurs in the text
+        first, *rest = _GAP.split(text)
+        return [first, *(" " + r for r in rest)]
     if _UNEVEN.search(text) or text[:1] == " " or text[-1:] == " ":
         return _GAP.sub(mark + " ", text).split(mark)
     return text.replace(" ", mark + " ").split(mark)
@@ -200,7 +205,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    # Both cuts must see the rows in one order.
+    source = settled(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "bpe-texts")
     id_type = source.schema["id"].dataType
     fields = [("block", T.LongType()), ("bucket", T.IntegerType()), ("ids", T.ArrayType(id_type)), ("lengths", T.ArrayType(T.LongType())), ("data", T.BinaryType()), ("check", T.LongType())]
     schema = T.StructType([T.StructField(*f) for f in fields])

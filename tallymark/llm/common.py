@@ -47,6 +47,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` if its rows are in the same order whenever they are computed, else a written copy.
+
+    Rows read from files are; after a shuffle a recomputed partition may order its rows
+    otherwise, and numbers given to them by place would change.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return materialise(df, name) if "Exchange" in plan else df
+
+
 def clean_up() -> None:
     while _made:
         spark, path = _made.pop()
@@ -86,6 +96,14 @@ class Numbering(dict):
         return number
 
 
+def fresh_name(name: str, columns: list[str]) -> str:
+    """``name`` with underscores before it, as many as make it differ from all columns."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def ascii_lower(column):
     """Lower-case A-Z only, as the contracts ask; other letters stay."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
