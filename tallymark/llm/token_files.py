@@ -16,8 +16,9 @@ its remaining digits.  Blocks are independent, so numpy codes many of them in st
 The file is written and read by Spark, so it can lie in any store that Spark reaches.
 
 Defined cases: a null or empty text has only its end id; null ids come first; rows with
-equal ids stay separate rows, side by side; a bad magic or checksum raises an error; an
-empty table gives an empty file.
+equal ids stay separate rows, side by side; a bad magic or checksum raises an error; a
+very long text is a segment of its own, of as many blocks as it needs; other columns are
+ignored; an empty table gives an empty file.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ END_ID = 2
 BLOCK_IDS = 2048
 SEGMENT_IDS = 2_000_000
 CLASSES, GROUPS, CONF = 25, 4, 8
-ONE_BITS, TWO_BITS = 9, 10
+ONE_BITS, TWO_BITS = 10, 11
 #: Steps after which the class intervals follow their counts.
 REFRESH = 32
 _LIMIT = 1 << 24
@@ -282,6 +283,8 @@ def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
 class Encoder:
     """Ids of whole texts by the tokenizers library, each distinct chunk encoded once.
 
+    The library's defaults hold: a special token's string in a text is that token.
+
     A single space between non-spaces always starts a pre-token, so a text's ids are
     those of its chunks in order, and new chunks that meet at such spaces are encoded
     together; the bytes that tokens stand for tell them apart.  ``most`` bounds the chunks
@@ -292,7 +295,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         # A character of a byte-level token stands for one byte.
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
