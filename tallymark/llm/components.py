@@ -1,7 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Edges stay in Spark; only a count and a checksum of them reach the driver.  Each round
-is written to the shared folder, so a lost executor re-reads the last round.
+is written to the shared folder, so a lost executor re-reads the last round.  Of many
+edges the smallest neighbours are written too: then both sides of the join with them are
+plain shuffles, and Spark splits the edges of a hub over tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: Edges above which the edges of one node may be too many for a task.
+SPLIT_EDGES = 1_000_000
+
 
 def spanning(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """Edges (node, smallest node) of a forest with the same components."""
@@ -44,14 +49,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     now = edges.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long")
     now = materialise(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
+    state, most = None, now.count()
+
+    def plain(df: DataFrame) -> DataFrame:
+        return materialise(df, "least") if most > SPLIT_EDGES else df
+
     for _ in range(most_rounds):
         # Large star: neighbours above a node link to the smallest of it and its neighbours.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = plain(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: a node and its smaller neighbours link to the smallest of those.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = plain(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
         now = materialise(small.distinct(), "edges")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -12,7 +12,11 @@ links over the whole corpus give the classes.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like any other;
 a null doc_id never becomes a component's id unless all ids in it are null; repeated rows
-stay separate rows of one class; an empty table gives an empty result.
+stay separate rows of one class; a very long text is hashed whole; other columns are
+ignored; an empty table gives an empty result.
+
+Links at so few bits are those of copies and lightly edited texts; :mod:`.near_copies`
+finds near copies by similarity.
 """
 
 from __future__ import annotations
@@ -181,20 +185,3 @@ def classes(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col:
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class, all columns: the one with its smallest id (any one of equal rows).
-
-    Rows with a null id are kept, as nothing tells them apart.
-    """
-    found = classes(docs, id_col=id_col, text_col=text_col)
-    kept = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_n"))
-    kept = materialise(kept, "simhash-kept")
-    single, repeated = kept.where("_n = 1").select("_kept"), kept.where("_n > 1").select("_kept")
-    match = F.col(id_col) == F.col("_kept")
-    # Only rows whose id repeats are gathered by id; all others stay where they are read.
-    out = docs.join(single, match, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
-    if not repeated.isEmpty():
-        out = out.unionByName(docs.join(repeated, match, "left_semi").dropDuplicates([id_col]))
-    return out
