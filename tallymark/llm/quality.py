@@ -2,25 +2,29 @@
 
 One view sees a text's content (hashed words and letter shapes), the other its metadata
 (source, language, length).  For each target (low quality, toxic) both are fitted on
-labelled documents; then, round by round, each view labels the unlabelled pool
-documents that it is most sure of for the other view to learn from.  The two views'
-probabilities are calibrated on labelled documents that neither was fitted on, and
-combined there; the combination scores every document.
+labelled documents; then, round by round, each view scores all unlabelled documents, and
+of those that it is sure of the other view learns.  The two views' probabilities are
+calibrated on labelled documents that neither was fitted on, and combined there; the
+combination scores every document.
 
-The fit uses bounded samples: at most ``labelled`` labelled and ``pool`` unlabelled
-documents, taken by hash of the id.  The models have a fixed size.  Scoring is one pass
-over all documents without a shuffle.
+The fits use at most ``labelled`` labelled documents, and ``pseudo`` pseudo-labels a round
+and view in the classes' proportions, both taken by hash of the id: of the pseudo-labels,
+from among all documents of the table that the view is sure of.  The models have a fixed
+size.  A round is one pass over the documents, and so is scoring; neither shuffles them.
 
 Defined cases: labels with a null doc_id or value, and ids with conflicting labels, are
-not used; with fewer than 20 usable labels, or one class only, a target's probability
-is its mean and nothing is rejected for it; a null or empty text and null metadata are
-scored as such; rows stay separate rows; an empty table gives an empty result.
+not used; with fewer than 20 usable labels, or fewer than four of a class, a target's
+probability is its mean, at most half of what rejects, so nothing is rejected for it; a
+null or empty text and null metadata are scored as such; a very long text is scored
+whole; documents with a null id are scored but never learned from; rows stay separate
+rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +37,9 @@ WORD_SLOTS = 1 << 18
 META_SLOTS = 1 << 10
 #: Probability from which a document is rejected.
 REJECT = 0.5
+#: Probability from which a view is sure of a label.
+SURE = 0.98
+TARGETS = (("low", "quality", 0), ("toxic", "toxic", 1))
 _UPPER, _DIGITS, _SYMBOLS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#$%&*+/<=>@[\\]^_`{|}~"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -162,39 +169,60 @@ class View:
         return 1 / (1 + np.exp(-np.clip(views @ mix, -30, 30)))
 
 
-def co_train(text, meta, y: np.ndarray, pool_text, pool_meta, rounds: int = 3, share: float = 0.05, sure: float = 0.95) -> View:
-    """Fit one target.  ``text``, ``meta``: feature rows; a third is kept to calibrate."""
-    mean = float(y.mean()) if len(y) else 0.0
-    if len(y) < 20 or y.sum() < 4 or (1 - y).sum() < 4:
-        return View(None, None, None, min(mean, REJECT / 2))
-    keep = np.zeros(len(y), bool)
-    for value in (0, 1):  # every third of each class
-        keep[np.flatnonzero(y == value)[::3]] = True
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-    def pick(parts, where):
-        return [p for p, k in zip(parts, where.tolist(), strict=True) if k]
 
-    held = (_rows(pick(text, keep)), _rows(pick(meta, keep)))
-    own = [[pick(text, ~keep), y[~keep]], [pick(meta, ~keep), y[~keep]]]
-    pools, sizes = (pool_text, pool_meta), (WORD_SLOTS, META_SLOTS)
-    free = [np.ones(len(pool_text), bool), np.ones(len(pool_text), bool)]
-    models: list[Linear] = []
+class Target:
+    """One target's training: both views' labelled rows, a third of them kept to calibrate."""
+
+    def __init__(self, text, meta, y: np.ndarray):
+        self.mean = float(y.mean()) if len(y) else 0.0
+        self.usable = len(y) >= 20 and y.sum() >= 4 and (1 - y).sum() >= 4
+        keep = np.zeros(len(y), bool)
+        for value in (0, 1):  # every third of each class
+            keep[np.flatnonzero(y == value)[::3]] = True
+
+        def pick(parts, where):
+            return [p for p, k in zip(parts, where.tolist(), strict=True) if k]
+
+        self.held, self.held_y = (_rows(pick(text, keep)), _rows(pick(meta, keep))), y[keep]
+        self.own = [[pick(text, ~keep), y[~keep]], [pick(meta, ~keep), y[~keep]]]
+
+    def fit(self) -> None:
+        sizes = ((WORD_SLOTS, 64), (META_SLOTS, 0))
+        self.models = [Linear.fit(_rows(parts), target, size, plain=plain) for (parts, target), (size, plain) in zip(self.own, sizes, strict=True)]
+        self.calibrate = [_dense_fit(m.margin(h)[:, None], self.held_y) for m, h in zip(self.models, self.held, strict=True)]
+
+    def learn(self, view: int, features: list, value: int) -> None:
+        self.own[view] = [self.own[view][0] + features, np.append(self.own[view][1], np.full(len(features), value))]
+
+    def view(self) -> View:
+        if not self.usable:
+            return View(None, None, None, min(self.mean, REJECT / 2))
+        a, b = self.calibrate
+        views = np.column_stack([m.margin(h) * c[0] + c[1] for m, h, c in zip(self.models, self.held, self.calibrate, strict=True)])
+        return View(self.models[0], self.models[1], (a, b, _dense_fit(views, self.held_y)), self.mean)
+
+
+def co_train(targets: dict[str, Target], label: Callable, rounds: int = 3, pseudo: int = 200) -> dict[str, View]:
+    """Fit all targets.
+
+    ``label(views, wanted, turn)`` gives {(target, teacher, value): [(text, meta) features]}:
+    documents that the teaching view is sure of, at most ``wanted`` of each.
+    """
+    used = {n: t for n, t in targets.items() if t.usable}
     for turn in range(rounds + 1):
-        models = [Linear.fit(_rows(parts), target, size, plain=plain) for (parts, target), size, plain in zip(own, sizes, (64, 0), strict=True)]
-        if turn == rounds or not len(pool_text):
+        for t in used.values():
+            t.fit()
+        if turn == rounds or not used:
             break
-        for teacher, learner in ((0, 1), (1, 0)):
-            a = _dense_fit(models[teacher].margin(held[teacher])[:, None], y[keep])
-            p = 1 / (1 + np.exp(-np.clip(models[teacher].margin(_rows(pools[teacher])) * a[0] + a[1], -30, 30)))
-            for value, trust in ((1, p), (0, 1 - p)):
-                most = max(1, int(share * len(p) * (mean if value else 1 - mean)))
-                best = np.argsort(-np.where(free[learner], trust, -1), kind="stable")[:most]
-                best = best[(trust[best] >= sure) & free[learner][best]]
-                free[learner][best] = False
-                own[learner] = [own[learner][0] + [pools[learner][i] for i in best], np.append(own[learner][1], np.full(len(best), value))]
-    a, b = (_dense_fit(m.margin(h)[:, None], y[keep]) for m, h in zip(models, held, strict=True))
-    views = np.column_stack([models[0].margin(held[0]) * a[0] + a[1], models[1].margin(held[1]) * b[0] + b[1]])
-    return View(models[0], models[1], (a, b, _dense_fit(views, y[keep])), mean)
+        views = {(n, v): (t.models[v], t.calibrate[v]) for n, t in used.items() for v in (0, 1)}
+        wanted = {(n, v, value): max(1, int(pseudo * (t.mean if value else 1 - t.mean))) for n, t in used.items() for v in (0, 1) for value in (0, 1)}
+        for (name, teacher, value), found in label(views, wanted, turn).items():
+            learner = 1 - teacher
+            used[name].learn(learner, [f[learner] for f in found], value)
+    return {n: t.view() for n, t in targets.items()}
 
 
 def _features(batches):
@@ -214,35 +242,84 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), column("source", "string"), column("lang", "string"), column("n_chars", "long"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = 8_000, pool: int = 4_000, id_col: str = "doc_id", text_col: str = "text") -> dict[str, View]:
-    """The models of ``low`` (quality 0) and ``toxic``, from at most ``labelled`` + ``pool`` documents."""
+def _sure(batches, views, wanted, turn: int, sure: float):
+    """Of each key the documents that its view is sure of, those with the smallest hashes."""
+    best: dict[tuple, list[tuple[int, object]]] = {k: [] for k in wanted}
+    for batch in batches:
+        for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            ids, texts, sources, langs, sizes = (part.column(i).to_pylist() for i in range(5))
+            rows = _rows([text_features(t) for t in texts]), _rows([meta_features(*x) for x in zip(sources, langs, sizes, strict=True)])
+            place = [zlib.crc32(f"{turn}|{i}".encode()) for i in ids]
+            for (name, view), (model, scale) in views.value.items():
+                p = _sigmoid(model.margin(rows[view]) * scale[0] + scale[1])
+                for value, trust in ((1, p), (0, 1 - p)):
+                    key = (name, view, value)
+                    best[key] = sorted(best[key] + [(place[k], ids[k]) for k in np.flatnonzero(trust >= sure).tolist()], key=lambda x: (x[0], repr(x[1])))[: wanted[key]]
+    rows = [(n, v, value, at, i) for (n, v, value), found in best.items() for at, i in found]
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    return columns
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = 8_000, pseudo: int = 200, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> dict[str, View]:
+    """The models of ``low`` (quality 0) and ``toxic``."""
+    from pyspark.sql import Window
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark = docs.sparkSession
     agreed = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(*(F.when(F.min(c) == F.max(c), F.min(c)).cast("int").alias(c) for c in ("quality", "toxic")))
     agreed = agreed.where(F.col("quality").isNotNull() & F.col("toxic").isNotNull())
     ranked = agreed.orderBy(F.xxhash64("_id"), "_id").limit(labelled)
     source = _source(docs, id_col, text_col)
-    # Whole rows of the sample only: both samples have a fixed size, so they can be broadcast.
-    free = source.select("_id").where(F.col("_id").isNotNull()).join(labels.select(F.col(id_col).alias("_id")), "_id", "left_anti")
-    free = free.orderBy(F.xxhash64("_id"), "_id").limit(pool).select("_id", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
-    wanted = F.broadcast(ranked.unionByName(free))
-    chosen = source.join(wanted, "_id").select("_id", "_text", "_source", "_lang", "_n_chars", "quality", "toxic")
-    kind = T.StructType([T.StructField("id", chosen.schema["_id"].dataType), *(T.StructField(n, T.ArrayType(t)) for n, t in (("ts", T.IntegerType()), ("tv", T.FloatType()), ("ms", T.IntegerType()), ("mv", T.FloatType()))), T.StructField("quality", T.IntegerType()), T.StructField("toxic", T.IntegerType())])
-    rows = chosen.mapInArrow(_features, kind).toArrow().sort_by("id")
-    columns = {n: rows.column(n).combine_chunks() for n in rows.column_names}
-
-    def lists(name, kind):
-        column = columns[name]
-        flat, at = column.flatten().to_numpy(zero_copy_only=False).astype(kind), column.offsets.to_numpy() - (column.offsets[0].as_py() if len(column.offsets) else 0)
-        return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-
-    text = list(zip(lists("ts", np.int32), lists("tv", np.float32), strict=True)) if rows.num_rows else []
-    meta = list(zip(lists("ms", np.int32), lists("mv", np.float32), strict=True)) if rows.num_rows else []
-    known = [i for i, q in enumerate(columns["quality"].to_pylist()) if q is not None]
-    rest = [i for i, q in enumerate(columns["quality"].to_pylist()) if q is None]
-    out = {}
-    for name, column, value in (("low", "quality", 0), ("toxic", "toxic", 1)):
-        y = np.array([columns[column][i].as_py() == value for i in known], float)
-        out[name] = co_train([text[i] for i in known], [meta[i] for i in known], y, [text[i] for i in rest], [meta[i] for i in rest])
-    return out
+    id_type = source.schema["_id"].dataType
+    kind = T.StructType([T.StructField("id", id_type), *(T.StructField(n, T.ArrayType(t)) for n, t in (("ts", T.IntegerType()), ("tv", T.FloatType()), ("ms", T.IntegerType()), ("mv", T.FloatType()))), T.StructField("quality", T.IntegerType()), T.StructField("toxic", T.IntegerType())])
+
+    def features(wanted: DataFrame):
+        """Features of the documents of a bounded list (_id, quality, toxic), which is broadcast."""
+        chosen = source.join(F.broadcast(wanted), "_id").select("_id", "_text", "_source", "_lang", "_n_chars", "quality", "toxic")
+        rows = chosen.mapInArrow(_features, kind).toArrow()
+        columns = {n: rows.column(n).combine_chunks() for n in rows.column_names}
+
+        def lists(name, kind):
+            column = columns[name]
+            flat, at = column.flatten().to_numpy(zero_copy_only=False).astype(kind), column.offsets.to_numpy() - (column.offsets[0].as_py() if len(column.offsets) else 0)
+            return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+        if not rows.num_rows:
+            return []
+        text, meta = (list(zip(lists(a, np.int32), lists(b, np.float32), strict=True)) for a, b in (("ts", "tv"), ("ms", "mv")))
+        found = list(zip(*(columns[n].to_pylist() for n in ("id", "quality", "toxic")), text, meta, strict=True))
+        return sorted(found, key=lambda r: (r[0], len(r[3][0]), r[3][0].tolist(), r[4][0].tolist()))
+
+    known = features(ranked)
+    targets = {name: Target([r[3] for r in known], [r[4] for r in known], np.array([r[1 if column == "quality" else 2] == value for r in known], float)) for name, column, value in TARGETS}
+    # Labelled documents don't take part in the rounds.
+    free = source.where(F.col("_id").isNotNull()).join(labels.select(F.col(id_col).alias("_id")), "_id", "left_anti").select("_id", "_text", "_source", "_lang", "_n_chars")
+    answer = T.StructType([T.StructField("target", T.StringType()), T.StructField("view", T.IntegerType()), T.StructField("value", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("id", id_type)])
+    arrow = to_arrow_schema(answer)
+
+    def label(views, wanted, turn):
+        models, bound = spark.sparkContext.broadcast(views), SURE
+
+        def sure(batches):
+            columns = _sure(batches, models, wanted, turn, bound)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        each = free.mapInArrow(sure, answer)
+        order = Window.partitionBy("target", "view", "value").orderBy("place", "id")
+        top = each.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(wanted.values()))
+        picks = [r for r in top.collect() if r["r"] <= wanted[r["target"], r["view"], r["value"]]]
+        models.unpersist()
+        ids = sorted({r["id"] for r in picks})
+        own: dict = {}
+        asked = spark.createDataFrame([(i, None, None) for i in ids], T.StructType([T.StructField("_id", id_type), *(T.StructField(n, T.IntegerType()) for n in ("quality", "toxic"))]))
+        for r in features(asked) if ids else []:
+            own.setdefault(r[0], (r[3], r[4]))
+        out: dict = {}
+        for r in sorted(picks, key=lambda r: (r["target"], r["view"], r["value"], r["r"])):
+            out.setdefault((r["target"], r["view"], r["value"]), []).append(own[r["id"]])
+        return out
+
+    return co_train(targets, label, rounds, pseudo)
 
 
 def _score(batches, models, names: list[str]):
