@@ -17,7 +17,7 @@ the smallest ids of each (as many as can matter) stand for it.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and rows
 with a null id, take no part; vectors are compared with those of their own length; repeated
-rows count once; an empty table gives an empty result.
+rows count once; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 SHARD_ROWS, BLOCK_QUERIES = 8192, 1024
 TREES, BITS, RECALL, SAMPLE = 64, 16, 0.96, 32
 #: Rows in the matched ranges of all trees, as a multiple of the shard's; each is a step.
@@ -116,8 +118,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, trees: int = TREES, bits:
     rows = rows.where(finite & F.exists("v", lambda x: x != 0)).distinct()
     # The rank's limit is applied before the shuffle, so a common vector is not gathered.
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
-    unique = ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    queries = rows.where(is_query)
+    unique = materialise(ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
+    queries = materialise(rows.where(is_query), "vector-queries")
     n_rows, n_queries = unique.count(), queries.count()
     shards, blocks = max(1, -(-n_rows // SHARD_ROWS)), max(1, -(-n_queries // BLOCK_QUERIES))
     deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")

@@ -5,8 +5,9 @@ its symbol counts are updated by the symbol that enters and the one that leaves,
 step costs the same for any window.  Windows above the class's threshold are merged into
 spans.  Candidates on the allow-list give none.
 
-Defined cases: a null text counts as empty; rows stay separate, whatever their id;
-other columns are ignored.
+Defined cases: a null text counts as empty; rows stay separate, whatever their id; other
+columns are ignored; a very long text or candidate is scanned whole, in time in proportion
+to it; an empty table gives an empty result.
 """
 
 from __future__ import annotations

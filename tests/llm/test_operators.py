@@ -17,7 +17,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from tallymark.llm import ann, bpe, components, contamination, lm, pii, quality, secrets, simhash, spans, token_files
+from tallymark.llm import ann, bpe, components, contamination, lm, near_copies, pii, quality, secrets, simhash, spans, token_files
 from tallymark.llm import queries as Q
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -56,7 +56,6 @@ def texts_of(spark, sf):
 
 def expected_files(rows):
     t = __import__("tokenizers").Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     out, start = [], 0
     for i, text in rows:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
@@ -137,20 +136,25 @@ def test_bpe_odd(spark):
 # 3 sentence spans
 
 
-def brute_spans(rows, run=2, least=8, long=20):
+def brute_spans(rows, run=2, least=20, long=20):
     cut = [re.split(spans.CUT, t, flags=re.ASCII) if t else [] for _, t in rows]
     found = {}
     for n, s in enumerate(cut):
-        clean = [re.sub(r"\s+", " ", x, flags=re.ASCII).strip(" ") for x in s]
-        for at in range(len(s)):
-            for size, enough in ((run, least), (1, long)):
-                key = " ".join(clean[at : at + size])
-                if at + size <= len(s) and key.count(" ") + 1 >= enough:
-                    found.setdefault((size, key), []).append((rows[n][0] is None, rows[n][0] or 0, n, at))
+        clean = [x.encode().split() for x in s]
+
+        def words(a, b, clean=clean):
+            return sum(map(len, clean[a:b]))
+
+        own = {(k, k + 1) for k in range(len(s)) if len(clean[k]) >= long}
+        for k in range(len(s) + 1):
+            own |= set([(k, e) for e in range(k + run, len(s) + 1) if words(k, e) >= least][:1])
+            own |= set([(a, k) for a in range(k - run, -1, -1) if words(a, k) >= least][:1])
+        for a, e in own:
+            found.setdefault(tuple(map(tuple, clean[a:e])), []).append((rows[n][0] is None, rows[n][0] or 0, n, a, e))
     gone = [set() for _ in rows]
-    for (size, _), places in found.items():
-        for _, _, n, at in sorted(places)[1:]:
-            gone[n] |= set(range(at, at + size))
+    for places in found.values():
+        for _, _, n, a, e in sorted(places)[1:]:
+            gone[n] |= set(range(a, e))
     return [(i, None if t is None else "".join(x for k, x in enumerate(s) if k not in g), len(s), len(g)) for (i, t), s, g in zip(rows, cut, gone, strict=True)]
 
 
@@ -159,23 +163,27 @@ def test_spans(spark, sf):
 
 
 def test_spans_odd(spark):
-    passage = "One two three four five six. Seven eight nine ten eleven. Twelve thirteen fourteen!"
+    passage = "One two three four five six seven. Eight nine ten eleven twelve thirteen. Fourteen fifteen! Sixteen seventeen eighteen nineteen twenty."
     rows = ODD[:4] + [(20, f"Own words here. {passage} The end of it."), (21, f"Others go.\n{passage}\nBye now."), (22, passage)]
     got = pairs(spans.dedup(odd(spark, rows)), "doc_id", "text", "n_removed")
     kept = {r[0]: r[1] for r in got}
     assert passage in kept[20] and kept[21] == "Others go.\nBye now." and kept[22] == ""
     assert got == sorted([(a, b, d) for a, b, _, d in brute_spans(rows)], key=repr)
+    assert spans.dedup(odd(spark).limit(0)).count() == 0
 
 
 def test_spans_short_sentences(spark):
     junk = "Yes. No! ERWHED.!! EDHEEA!! Oh well. Go. " * 12
     verse = "\n".join(f"line {i}" for i in range(30))
-    tail = "One two three four five six seven eight nine ten. Yes. No."
-    inside = "red. green blue. one. two. three four. five. six. seven."
+    tail = " ".join(f"w{i}" for i in range(19)) + ". Yes. No."
+    inside = "red. green blue. " + " ".join(f"n{i}." for i in range(17))
     rows = [(1, junk + "End"), (2, junk + "End"), (3, verse), (4, verse), (5, tail), (6, tail), (7, f"Mine is here. {inside} And so on."), (8, f"Other. {inside} Bye now."), (9, "Hi. You."), (10, "Hi. You.")]
-    got = {r[0]: r[1] for r in pairs(spans.dedup(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "text")}
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0]: r[1] for r in pairs(spans.dedup(table), "doc_id", "text")}
     assert got[2] == got[4] == got[6] == "" and got[8] == "Other. Bye now."
     assert all(got[i] == t for i, t in rows if i in (3, 5, 7, 9, 10))
+    # Rows that come out of a shuffle keep their own spans.
+    assert {r[0]: r[1] for r in pairs(spans.dedup(table.repartition(5)), "doc_id", "text")} == got
 
 
 # 4 nearest neighbours
@@ -245,6 +253,32 @@ def test_secrets(spark, sf):
     assert got == sorted(want, key=repr)
 
 
+def brute_entropy(text):
+    """Entropy spans by counting every window anew."""
+    out = []
+    for kind, (pattern, window, bits) in secrets.CLASSES.items():
+        for m in pattern.finditer(text):
+            body = m[0]
+            if secrets.ALLOW.fullmatch(body):
+                continue
+            hot = set()
+            for a in range(len(body) - window + 1):
+                counts = Counter(body[a : a + window])
+                if -sum(c / window * math.log2(c / window) for c in counts.values()) > bits:
+                    hot |= set(range(a, a + window))
+            starts = [k for k in sorted(hot) if k - 1 not in hot]
+            ends = [k + 1 for k in sorted(hot) if k + 1 not in hot]
+            out += [(m.start() + a, secrets.KINDS.index(kind), m.start() + b) for a, b in zip(starts, ends, strict=True)]
+    return out
+
+
+def test_secret_spans(spark, sf):
+    rows = texts_of(spark, sf) + ODD
+    got = pairs(secrets.scan(odd(spark, rows)), "doc_id", "spans")
+    want = [(i, ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(expected_secrets(t or "") + brute_entropy(t or "")))) for i, t in rows]
+    assert got == sorted(want, key=repr)
+
+
 def test_entropy_windows():
     rng = random.Random(3)
     for _ in range(50):
@@ -300,15 +334,16 @@ def brute_contamination(docs, items):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("most", [200_000, 0])
-def test_contamination_odd(spark, most):
+@pytest.mark.parametrize("most", [1 << 26, 0])
+def test_contamination_odd(spark, most, monkeypatch):
+    monkeypatch.setattr(contamination, "SALT_ROWS", 3)
     long = " ".join(f"w{i % 17} é{i}" for i in range(30))
     items = [(1, long), (2, "Short Item"), (10, "short item"), (3, None), (4, "..."), (None, "null id words"), (5, "a a a a a a a a a a a a a a")]
     docs = ODD + [(30, f"x {long.upper()} y"), (31, "the short ITEM, and null id words"), (32, "a " * 40), (33, "\x01\x00 short\x00item \x01"), (34, "Éa short-item")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("w", F.lit("clash"))
-    got = contamination.report(odd(spark, docs), bench, broadcast_windows=most)
+    got = contamination.report(odd(spark, docs), bench, broadcast_bytes=most)
     assert pairs(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == brute_contamination(docs, items)
-    none = contamination.report(odd(spark, docs), bench.limit(0), broadcast_windows=most)
+    none = contamination.report(odd(spark, docs), bench.limit(0), broadcast_bytes=most)
     assert none.where("contaminated or n_hit > 0").count() == 0 and none.count() == len(docs)
 
 
@@ -325,6 +360,34 @@ def test_quality(spark):
     assert np.mean([r.keep for r in good]) >= 0.98 and np.mean([not r.keep for r in bad]) >= 0.7
 
 
+def test_quality_brute(spark):
+    """The query against the same training on lists in one process."""
+    sf = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, (quality.text_features(r.text), quality.meta_features(r.source, r.lang, r.n_chars))) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    labels = {r.doc_id: (r.quality, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    known = [(labels[i], f) for i, f in docs if i in labels]
+    targets = {n: quality.Target([f[0] for _, f in known], [f[1] for _, f in known], np.array([l[k] == value for l, _ in known], float)) for k, (n, _, value) in enumerate(quality.TARGETS)}
+
+    def label(views, wanted, turn):
+        out = {}
+        for (name, view), (model, scale) in views.items():
+            for value in (0, 1):
+                sure = []
+                for i, f in docs:
+                    p = quality._sigmoid(model.margin(quality._rows([f[view]])) * scale[0] + scale[1])[0]
+                    if i not in labels and (p if value else 1 - p) >= quality.SURE:
+                        sure.append((zlib.crc32(f"{turn}|{i}".encode()), i, f))
+                if sure:
+                    out[name, view, value] = [f for _, _, f in sorted(sure, key=lambda s: s[:2])[: wanted[name, view, value]]]
+        return dict(sorted(out.items()))
+
+    models = quality.co_train(targets, label)
+    for r in Q.op7_quality(spark, sf).collect():
+        f = dict(docs)[r.doc_id]
+        low, toxic = (models[t].probability(quality._rows([f[0]]), quality._rows([f[1]]), 1)[0] for t in ("low", "toxic"))
+        assert abs(low - r.p_low) < 1e-4 and abs(toxic - r.p_toxic) < 1e-4 and r.keep == (r.p_low < 0.5 and r.p_toxic < 0.5)
+
+
 def test_quality_odd(spark):
     docs = odd(spark)
     labels = spark.createDataFrame([(1, 1, None), (2, None, 0), (None, 1, 1), (4, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
@@ -395,11 +458,76 @@ def test_simhash_large_buckets(spark, bucket):
 def test_simhash_odd(spark):
     got = simhash.classes(odd(spark)).withColumn("x", F.lower(F.lpad(F.hex("fp"), 16, "0")))
     assert pairs(got, "doc_id", "x", "component_id") == brute_classes(ODD)
-    kept = simhash.keep_one(odd(spark))
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 4, 5, 6, 7, 9]
     assert simhash.classes(odd(spark).limit(0)).count() == 0
 
 
+def brute_near(rows, similarity=0.8):
+    """{id: smallest id of its class} of rows with distinct ids."""
+    prints = [np.frombuffer(near_copies.fingerprint(t), np.uint8) for _, t in rows]
+    bits = np.unpackbits(np.array(prints), axis=1).astype(np.int32)
+    apart = bits.sum(1)[:, None] + bits.sum(1)[None, :] - 2 * bits @ bits.T
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in zip(*np.nonzero(apart <= near_copies.radius_of(similarity)), strict=True):
+        root[find(a)] = find(b)
+    least = {}
+    for n, (i, _) in enumerate(rows):
+        least[find(n)] = min(i, least.get(find(n), i))
+    return {i: least[find(n)] for n, (i, _) in enumerate(rows)}
+
+
+def edited(rng, words, changes):
+    out = list(words)
+    for at in rng.sample(range(len(out)), changes):
+        out[at] = f"edit{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("bucket", [8192, 4])
+def test_near_copies(spark, bucket, monkeypatch):
+    rng = random.Random(8)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(rng.randrange(150, 400))] for _ in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rows += [(100 + i, edited(rng, t, len(t) // 100)) for i, t in enumerate(texts[:30])]  # one word in a hundred
+    rows += [(200 + i, " ".join(texts[59]) + f" end{i}") for i in range(40)]
+    rows += [(300, None), (301, ""), (302, "  ")]
+    plain = near_copies.links
+    monkeypatch.setattr(near_copies, "links", lambda nodes, similarity: plain(nodes, similarity, bucket))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_copies.classes(table).collect()}
+    assert got == brute_near(rows)
+    assert all(got[100 + i] == i for i in range(30)) and {got[i] for i in range(200, 240)} == {59}
+    assert {got[i] for i in (300, 301, 302)} == {300} and all(got[i] == i for i in range(60))
+
+
+def test_near_copies_reach():
+    """Pairs of similarity 0.8 share a bucket of some table and lie within the radius nearly always."""
+    p = near_copies.differing(0.8)
+    for n in (100, 10**5, 10**8):
+        picks = near_copies.samples(n, 0.8)
+        assert 1 - (1 - (1 - p) ** picks.shape[1]) ** len(picks) >= 0.99
+    rng, hits = random.Random(3), 0
+    for _ in range(200):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        other = words[:355] + [f"v{rng.randrange(10**6)}" for _ in range(45)]  # 351 of 396 shingles: 0.796
+        a, b = (np.frombuffer(near_copies.fingerprint(" ".join(w)), np.uint8) for w in (words, other))
+        hits += int(np.bitwise_count(a ^ b).sum()) <= near_copies.radius_of(0.8)
+    assert hits >= 180
+
+
+def test_keep_one_odd(spark):
+    docs = odd(spark).select("*", *(F.lit("x").alias(c) for c in ("kept", "_kept", "_n", "node", "component_id")))
+    kept = near_copies.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 4, 5, 6, 7, 9]
+    assert near_copies.keep_one(docs.limit(0)).count() == 0
+
+
 # 9 language model
 
 
@@ -506,3 +634,107 @@ def test_pii_collisions(spark):
     mails = [r.text.split(" ")[0] for r in got]
     names = [r.text.split("Mr. ")[-1] for r in got]
     assert len(set(mails)) == len(set(names)) == 100 and not {m for m in mails if m.endswith("@x.com")}
+
+
+def test_pii_key(spark):
+    import hmac
+
+    for key in ("k", "k" * 70):
+        got = spark.range(1).select(pii.keyed(key, F.lit("é|x"))).first()[0]
+        assert got == hmac.new(key.encode(), "é|x".encode(), hashlib.sha256).hexdigest()
+
+
+def test_pii_forms(spark):
+    rows = [(1, "Call +44 499 555 6503 or 499-555-6503 or (499) 555.6503."), (2, "BOB9@X.COM bob9@x.com " + "ab1." * 40 + "@x.com")]
+    one, two = (r.text for r in pii.replace(odd(spark, rows), "k").orderBy("doc_id").collect())
+    phones = re.match(r"Call \+44 (\d{3} \d{3} \d{4}) or (\d{3}-\d{3}-\d{4}) or (\(\d{3}\) \d{3}\.\d{4})\.", one)
+    assert len({re.sub(r"\D", "", p) for p in phones.groups()}) == 1 and "555" not in one
+    upper, lower, long = two.split(" ")
+    assert upper == lower.upper() and re.fullmatch(r"[a-z]{3}\d@example\.(com|net|org)", lower)
+    assert re.fullmatch(r"([a-z]{2}\d\.){40}@example\.(com|net|org)", long) and len(set(long.split("@")[0].split("."))) > 20
+
+
+def test_pii_mapping(spark):
+    """On whole documents: one to one, coreferent, none real, and of the mention's form."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before = {r.doc_id: r.text or "" for r in docs.collect()}
+    pattern = re.compile(pii.ANY.replace(r"\p{L}", "[^\\W\\d_]").replace(r"\p{Lu}", "[A-ZÀ-ÖØ-ÞА-Я]").replace(r"[[^\W", r"[^\W"))
+    to, back, n = {}, {}, 0
+    for r in pii.replace(docs, "k").collect():
+        old, kinds = before[r.doc_id], r.kinds.split(",") if r.kinds else []
+        found = list(pattern.finditer(old))
+        assert len(found) == r.n_entities == len(kinds)
+        rest, at, new = [], 0, r.text or ""
+        pieces = [old[a:b] for a, b in zip([0, *(m.end() for m in found)], [*(m.start() for m in found), len(old)], strict=True)]
+        for k, m in enumerate(found):  # the text between mentions stays, so it tells where surrogates end
+            assert new.startswith(pieces[k], at)
+            at += len(pieces[k])
+            kind, mention = kinds[k], m[0]
+            if kind in ("phone", "card", "ssn"):
+                own = new[at : at + len(mention)]
+                assert re.sub(r"\d", "0", own) == re.sub(r"\d", "0", mention)
+                a, b = (re.sub(r"\D", "", x)[-10 if kind == "phone" else 0 :] for x in (mention, own))
+                at += len(mention)
+            elif kind in ("email", "ip"):
+                own = re.match(r"[\d.]+\d" if kind == "ip" else r"[A-Za-z0-9._%+-]+@example\.(?:com|net|org)", new[at:], re.IGNORECASE)[0]
+                a, b = mention.lower(), own.lower()
+                at += len(own)
+            else:
+                own = re.match(rf"(?:{pii.MALE}|{pii.FEMALE})\.? \w+(?: \w+)?" if " " in mention.split(". ")[-1] else r"\S+ \w+", new[at:])[0]
+                rest.append(own)
+                a = b = None
+                at += len(own)
+            if a is not None:
+                n += 1
+                assert to.setdefault((kind, a), b) == b and back.setdefault((kind, b), a) == a and a != b
+        assert new[at:] == pieces[-1]
+    assert n > 50 and not {(k, s) for (k, _), s in to.items()} & set(to)
+
+
+# All operators: long texts, clashing columns, empty tables
+
+LONG = [
+    (51, "x@" + "a." * 10_000 + "com"),
+    (52, "a" * 1_000_000 + " 1234"),
+    (53, "".join(map(chr, range(0xE000, 0xF900))) + " icon \ue000 font"),
+    (54, "deadbeef" * 100_000),
+    (55, "1.2." * 100_000 + " 1-1"),
+    (56, "word " * 100_000),
+    (57, "Short. " * 20_000),
+    (58, "Mr. " * 50_000 + "A" + "b" * 100_000),
+    (59, "\n" * 100_000),
+]
+INTERNAL = "_row _id _text _n _kept _sure _lang _source id kept n node fp unit words item items wid win at size h1 h2 gone block bucket data chunk mentions kind entity m p_low value place bad".split()
+
+
+def crowded(spark, rows):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    return docs.select("*", *(F.lit("clash").alias(c) for c in INTERNAL))
+
+
+def test_long_texts(spark):
+    docs = crowded(spark, LONG + ODD)
+    rows = LONG + ODD
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = token_files.digests(token_files.written_and_read(docs, path)).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in got) == sorted((i or 0, n, c) for i, _, n, c in expected_files(rows))
+    assert pairs(Q.bpe_digests(docs), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == expected_bpe(rows)
+    assert spans.dedup(docs).count() == len(rows)
+    got = pairs(secrets.scan(docs), "doc_id", "n_assign", "n_access", "n_hex")
+    assert got == sorted(((i, *(sum(k == n for _, k, _ in expected_secrets(t or "")) for n in range(3))) for i, t in rows), key=repr)
+    bench = spark.createDataFrame([(1, "word " * 13), (2, "icon font")], "item_id long, text string")
+    found = {r.doc_id: (r.n_words, r.n_hit) for r in contamination.report(docs, bench).where("doc_id > 50").collect()}
+    assert found[56] == (100_000, 100_000) and found[52] == (2, 0)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 10)], "doc_id long, quality int, toxic int").withColumn("_id", F.lit("clash"))
+    assert quality.score(docs, labels).count() == quality.accepted(docs, labels).count() == len(rows)
+    assert pairs(simhash.classes(docs).withColumn("x", F.lower(F.lpad(F.hex("fp"), 16, "0"))), "doc_id", "x", "component_id") == brute_classes(rows)
+    same_scores(lm.score(docs).collect(), brute_base(rows))
+    changed = {r.doc_id: r.text for r in pii.replace(docs, "k").collect()}
+    assert all(changed[i] == t for i, t in LONG if i != 58)
+
+
+def test_empty_tables(spark):
+    docs = crowded(spark, ODD).limit(0)
+    assert token_files.digests(token_files.written_and_read(docs, public_tokenizers.path("byte_bpe_50k.json"))).count() == 0
+    for f in (Q.bpe_digests, spans.dedup, secrets.scan, secrets.redacted, near_copies.keep_one):
+        assert f(docs).count() == 0

@@ -1,28 +1,67 @@
-"""The pipeline against brute force, stage by stage."""
+"""The pipeline against brute force, stage by stage, and as run() chains it."""
 
 import corpus_pipeline
-from test_operators import brute_classes, brute_contamination, expected_bpe
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from test_operators import INTERNAL, LONG, ODD, brute_contamination, brute_near, crowded, expected_bpe, pairs
 
-from tallymark.llm import secrets
+from tallymark.llm import near_copies, quality, secrets
 
+DIGESTS = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
-def test_pipeline(spark, sf):
+
+def expected(docs, benchmark, accepted):
+    """What the stages after the classifier make of the accepted documents; ids are distinct."""
+    texts = [(i, t) for i, t in docs if i in accepted]
+    classes = brute_near(texts)
+    texts = [(i, t) for i, t in texts if classes[i] == i]
+    dirty = {r[0] for r in brute_contamination(texts, benchmark) if r[-1]}
+    clean = [(i, t and secrets.redact(t, secrets.base_spans(t) + secrets.entropy_spans(t))) for i, t in texts if i not in dirty]
+    return expected_bpe(clean)
+
+
+def test_pipeline_run(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = docs.columns
-    kept = []
-    for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, sf).persist()
-        kept.append((name, {r.doc_id: r for r in docs.collect()}))
-        if name != "bpe":
-            assert docs.columns == columns
-    by = dict(kept)
-    texts = [(i, r.text) for i, r in sorted(by["quality"].items())]
-    assert set(by["near_duplicates"]) == {i for i, _, c in brute_classes(texts) if i == c}
-    texts = [(i, r.text) for i, r in sorted(by["near_duplicates"].items())]
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    assert set(by["contamination"]) == {r[0] for r in brute_contamination(texts, items) if not r[-1]}
-    for i, r in by["secrets"].items():
-        before = by["contamination"][i]
-        assert r.text == secrets.redact(before.text, secrets.base_spans(before.text) + secrets.entropy_spans(before.text)) and r.n_chars == len(r.text)
-    want = expected_bpe([(i, r.text) for i, r in by["secrets"].items()])
-    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in by["bpe"].values()) == sorted(want)
+    scored = quality.score(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    accepted = {r.doc_id for r in scored.where("keep").collect()}
+    benchmark = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
+    assert 0 < len(accepted) < len(rows)
+    assert pairs(corpus_pipeline.run(spark, sf), *DIGESTS) == expected(rows, benchmark, accepted)
+
+
+def test_stages_keep_columns(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    def made(rows, labels=((1, 1, 0),), items=((1, "not in there"),)):
+        crowded(spark, rows).write.parquet(f"file://{tmp_path}/documents.parquet")
+        spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+        spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+        return f"file://{tmp_path}"
+
+    return made
+
+
+def test_pipeline_odd(spark, folder):
+    """Nulls, ties, long texts and clashing columns; one row of copies stays, and every row without an id."""
+    path = folder(LONG + ODD)
+    got = [r.doc_id for r in corpus_pipeline.run(spark, path).collect()]
+    assert got.count(None) == 1 and got.count(4) == 1 and set(got) <= {i for i, _ in LONG + ODD} | {None}
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, path).columns == ["doc_id", "text", "lang", "source", "n_chars", *INTERNAL]
+
+
+def test_pipeline_empty(spark, folder, tmp_path):
+    path = folder([(1, "a")])
+    spark.read.parquet(f"{path}/documents.parquet").limit(0).write.parquet(f"{path}/none/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{path}/none").count() == 0
