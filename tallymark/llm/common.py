@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -88,6 +90,23 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1)
 
 
+def give_back() -> None:
+    """Return a worker's freed memory to the system; workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):  # another C library, which has no such call
+        return
+
+
+def text_rows(batches, rows: int = 512):
+    """(id, text) of the first two columns, a bounded number of texts in memory at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+
+
 class Numbering(dict):
     """Gives each new key the next number."""
 

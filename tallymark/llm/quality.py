@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import give_back
+
 WORD_SLOTS = 1 << 18
 META_SLOTS = 1 << 10
 #: Probability from which a document is rejected.
@@ -205,7 +207,7 @@ class Target:
         return View(self.models[0], self.models[1], (a, b, _dense_fit(views, self.held_y)), self.mean)
 
 
-def co_train(targets: dict[str, Target], label: Callable, rounds: int = 3, pseudo: int = 200) -> dict[str, View]:
+def co_train(targets: dict[str, Target], label: Callable, rounds: int = 2, pseudo: int = 200) -> dict[str, View]:
     """Fit all targets.
 
     ``label(views, wanted, turn)`` gives {(target, teacher, value): [(text, meta) features]}:
@@ -242,25 +244,23 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), column("source", "string"), column("lang", "string"), column("n_chars", "long"))
 
 
-def _sure(batches, views, wanted, turn: int, sure: float):
-    """Of each key the documents that its view is sure of, those with the smallest hashes."""
-    best: dict[tuple, list[tuple[int, object]]] = {k: [] for k in wanted}
+def _sure(batches, views, turn: int, sure: float, schema: pa.Schema):
+    """(target, view, value, place, id) of the documents that a view is sure of."""
     for batch in batches:
         for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
             ids, texts, sources, langs, sizes = (part.column(i).to_pylist() for i in range(5))
             rows = _rows([text_features(t) for t in texts]), _rows([meta_features(*x) for x in zip(sources, langs, sizes, strict=True)])
-            place = [zlib.crc32(f"{turn}|{i}".encode()) for i in ids]
+            found = []
             for (name, view), (model, scale) in views.value.items():
                 p = _sigmoid(model.margin(rows[view]) * scale[0] + scale[1])
                 for value, trust in ((1, p), (0, 1 - p)):
-                    key = (name, view, value)
-                    best[key] = sorted(best[key] + [(place[k], ids[k]) for k in np.flatnonzero(trust >= sure).tolist()], key=lambda x: (x[0], repr(x[1])))[: wanted[key]]
-    rows = [(n, v, value, at, i) for (n, v, value), found in best.items() for at, i in found]
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    return columns
+                    found += [(name, view, value, zlib.crc32(f"{turn}|{ids[k]}".encode()), ids[k]) for k in np.flatnonzero(trust >= sure).tolist()]
+            columns = list(zip(*found, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    give_back()
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = 8_000, pseudo: int = 200, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> dict[str, View]:
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = 8_000, pseudo: int = 200, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> dict[str, View]:
     """The models of ``low`` (quality 0) and ``toxic``."""
     from pyspark.sql import Window
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -292,19 +292,16 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 8_000, pseudo: int =
 
     known = features(ranked)
     targets = {name: Target([r[3] for r in known], [r[4] for r in known], np.array([r[1 if column == "quality" else 2] == value for r in known], float)) for name, column, value in TARGETS}
-    # Labelled documents don't take part in the rounds.
-    free = source.where(F.col("_id").isNotNull()).join(labels.select(F.col(id_col).alias("_id")), "_id", "left_anti").select("_id", "_text", "_source", "_lang", "_n_chars")
+    free = source.where(F.col("_id").isNotNull()).select("_id", "_text", "_source", "_lang", "_n_chars")
+    taken = labels.select(F.col(id_col).alias("id")).distinct()
     answer = T.StructType([T.StructField("target", T.StringType()), T.StructField("view", T.IntegerType()), T.StructField("value", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("id", id_type)])
     arrow = to_arrow_schema(answer)
 
     def label(views, wanted, turn):
         models, bound = spark.sparkContext.broadcast(views), SURE
 
-        def sure(batches):
-            columns = _sure(batches, models, wanted, turn, bound)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-
-        each = free.mapInArrow(sure, answer)
+        # Only ids are joined with the labelled ones, which don't take part.
+        each = free.mapInArrow(lambda it: _sure(it, models, turn, bound, arrow), answer).join(taken, "id", "left_anti")
         order = Window.partitionBy("target", "view", "value").orderBy("place", "id")
         top = each.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(wanted.values()))
         picks = [r for r in top.collect() if r["r"] <= wanted[r["target"], r["view"], r["value"]]]
