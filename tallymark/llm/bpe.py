@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import bucket_count, deal, pack_lists, pack_words, spread, unpack_lists, unpack_words
-from .common import Numbering, block_number, materialise, pack, settled, unpack
+from .common import Numbering, block_number, give_back, materialise, pack, settled, text_rows, unpack
 
 #: Characters after which a block is closed; one longer text is a block of its own.
 BLOCK_CHARS = 8_000_000
@@ -102,17 +102,18 @@ def _blocks(batches, pattern: str, block_chars: int, buckets: int, schema: pa.Sc
         columns = list(zip(*rows, strict=True)) or [()] * len(schema)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = space_chunks(text) if text else []
-            parts.append(np.fromiter(map(chunks.__getitem__, found), np.int64, len(found)))
-            ids.append(doc_id)
-            sizes.append(len(found))
-            chars += len(text or "") + 16
-            if chars >= block_chars:
-                yield close()
+    for doc_id, text in text_rows(batches):
+        found = space_chunks(text) if text else []
+        parts.append(np.fromiter(map(chunks.__getitem__, found), np.int32, len(found)))
+        ids.append(doc_id)
+        sizes.append(len(found))
+        chars += len(text or "") + 16
+        if chars >= block_chars:
+            yield close()
+            give_back()
     if ids:
         yield close()
+        give_back()
 
 
 def _joined(checks: list[int]) -> int:
@@ -178,6 +179,7 @@ def _assemble(batches, tokens, out: pa.Schema, most: int = 400_000):
                 parts.append((*unpack_lists(row["data"]), row["check"]))
     if head is not None:
         yield from flush(head, parts)
+    give_back()
 
 
 def _token_pool(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import space_chunks
-from .common import block_number, shared_dir
+from .common import block_number, give_back, shared_dir
 
 MAGIC = b"TMK2"
 END_ID = 2
@@ -347,6 +347,7 @@ def _write(batches, path: str, id_type: pa.DataType, block_ids: int, segment_ids
             names=["part", "number", "n_ids", "ids", "lengths", "blocks"],
         )
         number, ids, lengths, tokens, held = number + 1, [], [], [], 0
+        give_back()
         return out
 
     for batch in batches:
@@ -381,6 +382,7 @@ def _read(batches, id_col: str, id_type: pa.DataType):
     for batch in batches:
         for row in batch.to_pylist():
             flat = np.concatenate(decode_blocks(row["blocks"]))
+            give_back()
             ends = np.cumsum(row["lengths"])
             if ends[-1] != len(flat):
                 raise ValueError("a segment's lengths don't match its ids")
