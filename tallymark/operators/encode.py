@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 #: The twenty amino acids in alphabetical order, a fixed value.
 ALPHABET = "ACDEFGHIKLMNPQRSTVWY"
 
@@ -23,8 +25,7 @@ def positional_one_hot(df: DataFrame, key: str, text: str, alphabet: str = ALPHA
 
 def vocabulary(df: DataFrame, column: str) -> DataFrame:
     """(column, index) of the distinct values in order."""
-    own = df.select(column).where(F.col(column).isNotNull()).distinct()
-    return own.select(column, (F.row_number().over(Window.orderBy(column)) - 1).alias("index"))
+    return numbered(df.select(column).where(F.col(column).isNotNull()).distinct(), [column], "index")
 
 
 def vocabulary_one_hot(df: DataFrame, key: str, column: str, known: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clamp0, safe_corr, safe_divide
+from .lineage import checkpointed
 from .ranks import average_rank, group_rank, spearman, spearman_by
 
 #: Rows that a group needs for a statistic of its own.
@@ -21,7 +22,7 @@ def errors(y: str, p: str) -> dict[str, Column]:
 
 def record(df: DataFrame, y: str, p: str, grp: str, least: int = MIN_ROWS) -> DataFrame:
     """One row: n, pooled and within-group Spearman, groups supported, Pearson and errors."""
-    rows = df.select(y, p, grp)
+    rows = checkpointed(df.select(y, p, grp), "scored")  # read seven times below
     whole = rows.agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, safe_corr(y, p)).alias("pearson_log"), *(c.alias(n) for n, c in errors(y, p).items()))
     pooled = spearman(rows, y, p).select(F.col("rho").alias("spearman_pooled"))
     within = spearman_by(rows, y, p, grp, least=least).agg(F.avg("rho").alias("spearman_within"), F.count("rho").alias("groups_supported"))

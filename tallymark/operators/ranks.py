@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_corr
+from .order import numbered, running
 
 
 def average_rank(df: DataFrame, value: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Ranks from 1; equal values share the mean of theirs.
 
-    Rows are first counted by value, so that only distinct values are sorted.  Without
-    groups those are dealt into ranges whose bounds come from approximate quantiles, and
-    a range's start is the sum of the earlier ranges: no task sorts all values.
+    Rows are first counted by value, so that only distinct values are sorted; without
+    groups in ranges, so no task sorts them all.  Both sides of the join that takes the
+    ranks back to the rows are plain shuffles, so a frequent value's rows can be split.
     """
     keys = [*by, value]
     seen = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
@@ -21,15 +22,7 @@ def average_rank(df: DataFrame, value: str, out: str, by: tuple[str, ...] = ())
         before = F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
         ranked = seen.withColumn("_before", F.coalesce(before, F.lit(0)))
     else:
-        bounds = sorted(set(df.approxQuantile(value, [i / 32 for i in range(1, 32)], 0.01)))
-        bucket = sum(((F.col(value) > b).cast("int") for b in bounds), F.lit(0))
-        seen = seen.withColumn("_bucket", bucket)
-        inner = Window.partitionBy("_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        outer = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        totals = seen.groupBy("_bucket").agg(F.sum("_n").alias("_total"))
-        starts = totals.select("_bucket", F.coalesce(F.sum("_total").over(outer), F.lit(0)).alias("_start"))
-        own = F.coalesce(F.sum("_n").over(inner), F.lit(0))
-        ranked = seen.withColumn("_own", own).join(F.broadcast(starts), "_bucket").withColumn("_before", F.col("_own") + F.col("_start"))
+        ranked = running(seen, [value], {"_before": F.col("_n")})
     ranks = ranked.select(*keys, (F.col("_before") + (F.col("_n") + 1) / F.lit(2.0)).alias(out))
     return df.join(ranks, keys, "left")
 
@@ -67,25 +60,25 @@ def ks_statistic(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     both = a.select(value, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(b.select(value, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
     seen = both.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
     total = seen.agg(F.sum("_a").alias("_ta"), F.sum("_b").alias("_tb"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)  # over distinct values only
-    steps = seen.select(F.sum("_a").over(w).alias("_ca"), F.sum("_b").over(w).alias("_cb")).join(F.broadcast(total))
+    steps = running(seen, [value], {"_ba": F.col("_a"), "_bb": F.col("_b")}).join(F.broadcast(total))
+    steps = steps.withColumn("_ca", F.col("_ba") + F.col("_a")).withColumn("_cb", F.col("_bb") + F.col("_b"))
     gap = F.col("_ca") / F.nullif(F.col("_ta"), F.lit(0)) - F.col("_cb") / F.nullif(F.col("_tb"), F.lit(0))
     return steps.agg(F.max(F.abs(gap)).alias("ks"))
 
 
 def spread_picks(df: DataFrame, order: list, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     """``k`` rows at even steps of the order, first and last included (all, if fewer)."""
-    w = Window.partitionBy(*(by or (F.lit(0),)))
-    ranked = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (F.col("_n") - 1) / F.lit(max(k - 1, 1))).cast("int"))
-    return ranked.where(F.array_contains(wanted, F.col("_i"))).drop("_i", "_n")
+    if by:
+        w = Window.partitionBy(*by)
+        ranked = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    else:
+        ranked = numbered(df, order).join(F.broadcast(df.agg(F.count("*").alias("_n"))))
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (F.col("_n") - 1) / F.lit(max(k - 1, 1))).cast("long"))
+    return ranked.where(F.array_contains(wanted, F.col("_i").cast("long"))).drop("_i", "_n")
 
 
 def value_gaps(df: DataFrame, value: str) -> DataFrame:
     """Distinct values with the distance to the next larger one."""
-    seen = df.select(value).distinct()
-    return seen.select(value, (F.lead(value).over(Window.orderBy(value)) - F.col(value)).alias("gap"))
-
-
-def order_statistic(df: DataFrame, value: str, k: Column) -> Column:
-    return F.element_at(F.sort_array(F.collect_list(value)), k)
+    seen = numbered(df.select(value).distinct(), [value])
+    above = seen.select((F.col("_i") - 1).alias("_i"), F.col(value).alias("_next"))
+    return seen.join(above, "_i", "left").select(value, (F.col("_next") - F.col(value)).alias("gap"))

@@ -10,16 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash32, safe_corr, uniform
-
-
-def numbered(df: DataFrame, key: str) -> DataFrame:
-    """(key, _i): distinct keys numbered from 0 in order."""
-    return df.select(key).distinct().select(key, (F.row_number().over(Window.orderBy(key)) - 1).alias("_i"))
+from .order import numbered, running
 
 
 def draws(df: DataFrame, cluster: str, reps: int, seed: int) -> DataFrame:
     """(rep, cluster, w): how often each replicate draws a cluster; as many draws as clusters."""
-    own = numbered(df, cluster)
+    own = numbered(df.select(cluster).distinct(), [cluster])
     size = own.agg(F.count("*").alias("_n"))
     picks = own.join(F.broadcast(size)).select("_n", "_i", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     chosen = picks.select("rep", (hash32("boot", seed, F.col("rep").cast("string"), F.col("_i").cast("string")) % F.col("_n")).cast("int").alias("_i"))
@@ -114,10 +110,15 @@ def overlap_test(chosen: DataFrame, marked: DataFrame, universe: int, reps: int,
 
 def shuffled(df: DataFrame, key: list[str], value: str, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``value`` dealt anew over all rows, or within groups."""
-    w = Window.partitionBy(*(by or (F.lit(0),)))
     name = F.concat_ws("|", *(F.col(k).cast("string") for k in key))
-    a = df.withColumn("_i", F.row_number().over(w.orderBy(*key)))
-    b = df.select(*by, F.col(value).alias("_v"), F.row_number().over(w.orderBy(hash32("shuffle", seed, name), *key)).alias("_i"))
+    mixed = hash32("shuffle", seed, name)
+    if by:
+        w = Window.partitionBy(*by)
+        a = df.withColumn("_i", F.row_number().over(w.orderBy(*key)))
+        b = df.select(*by, F.col(value).alias("_v"), F.row_number().over(w.orderBy(mixed, *key)).alias("_i"))
+    else:
+        a = numbered(df, key)
+        b = numbered(df.select(*key, F.col(value).alias("_v")), [mixed, *key]).select("_v", "_i")
     return a.join(b, [*by, "_i"]).withColumn(value, F.col("_v")).drop("_v", "_i")
 
 
@@ -132,8 +133,8 @@ def conformal(calibration: DataFrame, test: DataFrame, y: str, p: str, alphas: l
     # (n + 1)(1 - alpha) is rounded first: 0.1 has no exact binary form.
     k = F.least(F.ceil(F.round((F.col("n") + 1) * (1 - F.col("alpha")), 9)), F.col("n"))
     wanted = levels.join(n).select("alpha", k.cast("int").alias("k"))
-    ranked = r.select("r", F.row_number().over(Window.orderBy("r")).alias("i"))
-    q = ranked.join(F.broadcast(wanted), F.col("i") == F.col("k")).select("alpha", F.col("r").alias("q"))
+    ranked = numbered(r, ["r"])
+    q = ranked.join(F.broadcast(wanted), F.col("_i") + 1 == F.col("k")).select("alpha", F.col("r").alias("q"))
     rows = test.select(y, p).join(F.broadcast(q))
     inside = (F.abs(F.col(y) - F.col(p)) <= F.col("q")).cast("double")
     hours = F.expm1(F.col(p) + F.col("q")) - F.expm1(F.greatest(F.col(p) - F.col("q"), F.lit(0.0)))
@@ -142,15 +143,14 @@ def conformal(calibration: DataFrame, test: DataFrame, y: str, p: str, alphas: l
 
 def hashed_subset(df: DataFrame, key: str, share: float, tag: str, seed: int) -> DataFrame:
     """The first ceil(share) of the distinct keys in hashed order."""
-    order = Window.orderBy(uniform(tag, seed, F.col(key)), key)
-    own = df.select(key).distinct()
+    own = numbered(df.select(key).distinct(), [uniform(tag, seed, F.col(key)), key])
     n = own.agg(F.count("*").alias("_n"))
-    return own.withColumn("_r", F.row_number().over(order)).join(F.broadcast(n), F.col("_r") <= F.ceil(F.col("_n") * share)).select(key)
+    return own.join(F.broadcast(n), F.col("_i") < F.ceil(F.col("_n") * share)).select(key)
 
 
 def quota_take(df: DataFrame, cluster: str, share: float, seed: int) -> DataFrame:
     """(cluster, n): whole clusters in hashed order while the rows before them are under the share."""
     sizes = df.groupBy(cluster).agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n").alias("_t"))
-    order = Window.orderBy(uniform("quota", seed, F.col(cluster)), cluster).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("_before", F.coalesce(F.sum("n").over(order), F.lit(0))).join(F.broadcast(total), F.col("_before") < F.round(F.col("_t") * share, 6)).select(cluster, "n")
+    taken = running(sizes, [uniform("quota", seed, F.col(cluster)), cluster], {"_before": F.col("n")})
+    return taken.join(F.broadcast(total), F.col("_before") < F.round(F.col("_t") * share, 6)).select(cluster, "n")
