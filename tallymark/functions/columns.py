@@ -43,6 +43,32 @@ def masked_keys(text: Column, length: int, distance: int) -> Column:
     return F.array(*(one(p) for p in combinations(range(1, length + 1), distance)))
 
 
+def identity(a: Column, b: Column, length: int) -> Column:
+    """The share of equal positions."""
+    return (F.lit(length) - hamming(a, b, length)) / F.lit(float(length))
+
+
+def attention(query: Column, keys: Column, values: Column, width: int) -> Column:
+    """Scaled dot-product attention of one query: ``keys`` and ``values`` are arrays of arrays of ``width``."""
+    def dot(k: Column) -> Column:
+        return F.aggregate(F.zip_with(query, k, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x) / F.lit(float(width) ** 0.5)
+
+    def weighted(scores: Column) -> Column:
+        shifted = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
+        return bind(shifted, lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y)))
+
+    def pooled(weights: Column) -> Column:
+        at = lambda j: F.aggregate(F.zip_with(weights, values, lambda w, v: w * F.get(v, j).cast("double")), F.lit(0.0), lambda s, x: s + x)
+        return F.array(*(at(j) for j in range(width)))
+
+    return bind(bind(F.transform(keys, dot), weighted), pooled)
+
+
+def or_na(value: Column, decimals: int) -> Column:
+    """A number with so many decimals, or ``n/a``."""
+    return F.coalesce(F.format_string(f"%.{decimals}f", value), F.lit("n/a"))
+
+
 def safe_corr(x: str, y: str) -> Column:
     """Pearson's r as an aggregate; null where a side is constant."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()

@@ -72,3 +72,42 @@ def extremes(table: DataFrame, value: str, key: str, k: int) -> DataFrame:
     """The k rows with the largest and the k with the smallest ``value``, by ``key`` on ties; ``side`` tells which."""
     tops = [table.where(F.col(value).isNotNull()).orderBy(way(value), key).limit(k).withColumn("side", F.lit(side)) for way, side in ((F.desc, "top"), (F.asc, "bottom"))]
     return tops[0].unionByName(tops[1])
+
+
+def null_gate(table: DataFrame, value: str, bound: float) -> DataFrame:
+    """``table``, failing at run time if a null control's ``value`` lies further from zero than ``bound``."""
+    checked = F.when(F.abs(value) > bound, F.raise_error(F.concat(F.lit("the null control is off: "), F.col(value))).cast("double")).otherwise(F.col(value))
+    return table.withColumn(value, checked)
+
+
+def audit(checks: list[tuple[str, DataFrame, float, float]]) -> DataFrame:
+    """(check, value, ok) of one-row tables, with the bounds of each, and a last row ``all`` that counts the failures."""
+    out = None
+    for name, table, low, high in checks:
+        value = F.col(table.columns[0]).cast("double")
+        one = table.select(F.lit(name).alias("check"), value.alias("value"), F.coalesce(value.between(low, high), F.lit(False)).alias("ok"))
+        out = one if out is None else out.unionByName(one)
+    failed = out.agg(F.lit("all").alias("check"), F.sum((~F.col("ok")).cast("double")).alias("value"))
+    return out.unionByName(failed.withColumn("ok", F.col("value") == 0))
+
+
+def require_audit(table: DataFrame) -> None:
+    """Raise if a check of :func:`audit` failed."""
+    failed = [r["check"] for r in table.where("NOT ok AND check <> 'all'").collect()]  # a row a check
+    if failed:
+        raise ValueError(f"failed: {', '.join(sorted(failed))}")
+
+
+def feature_sets(train: DataFrame, rows: DataFrame, text: str, y: str, length: int, sets: dict[str, list[int]]) -> DataFrame:
+    """(set, n, r): Pearson of an additive scorer that sees some positions (from 1) only, for each named set.
+
+    The effects of letters are a small table, a literal of the plan; rows are not shuffled.
+    """
+    effects = position_scores(train, text, y, length).where("letter <> ''").collect()  # positions times letters
+    pairs = [F.lit(v) for r in effects for v in (f"{r['position'] + 1}{r['letter']}", r["effect"])]
+    known = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
+    value = lambda p: F.coalesce(F.try_element_at(known, F.concat(F.lit(str(p)), F.substring(text, p, 1))), F.lit(0.0))
+    scored = rows.select(y, F.array(*(value(p) for p in range(1, length + 1))).alias("_e"))
+    total = lambda places: sum((F.get("_e", p - 1) for p in places), F.lit(0.0))
+    each = F.array(*(F.struct(F.lit(n).alias("set"), F.lit(len(p)).alias("n"), total(sorted(p)).alias("s")) for n, p in sets.items()))
+    return scored.select(y, F.explode(each).alias("x")).select(y, "x.*").groupBy("set", "n").agg(safe_corr("s", y).alias("r"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
@@ -38,6 +40,54 @@ def require_one(joined: DataFrame, text: Column) -> DataFrame:
     return joined.withColumn(column, F.when(F.coalesce(F.col("_n") == 1, F.lit(False)), F.col(column)).otherwise(F.raise_error(text).cast(joined.schema[column].dataType)))
 
 
+def chained(left: DataFrame, *steps: tuple) -> DataFrame:
+    """Checked many-to-one joins one after another; a step is (right, key, ...)."""
+    for right, *keys in steps:
+        left = many_to_one(left, right, *keys)
+    return left
+
+
+def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row a key: the first in the order.  An aggregate, so a frequent key's rows meet pre-reduced."""
+    rest = [c for c in df.columns if c not in keys]
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
+    return first.select(*keys, *(F.col(f"_first.`{c}`").alias(c) for c in rest)).select(df.columns)
+
+
+def concat_dedup_head(frames: list[DataFrame], keys: list[str], order: list[str], k: int) -> DataFrame:
+    """The first ``k`` rows of all frames together, each key once."""
+    whole = frames[0]
+    for other in frames[1:]:
+        whole = whole.unionByName(other)
+    return keep_first(whole, keys, order).orderBy(*order).limit(k)
+
+
+def key_union(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    return a.select(*keys).unionByName(b.select(*keys)).distinct()
+
+
+def completeness(rows: DataFrame, entity: str, part: str) -> DataFrame:
+    """One row: distinct entities, the sum of the parts' distinct entities, and whether they are equal."""
+    parts = rows.select(part, entity).distinct().agg(F.count("*").alias("parts"))
+    whole = rows.select(entity).distinct().agg(F.count("*").alias("whole"))
+    return whole.join(parts).withColumn("complete", F.col("whole") == F.col("parts"))
+
+
+def distinct_then_scatter(rows: DataFrame, key: str, encode) -> DataFrame:
+    """``encode`` applied to the distinct keys only, joined back to every row: a key's cost is paid once."""
+    return rows.join(encode(rows.select(key).distinct()), key)
+
+
+def bank(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(index, key, vector): stored vectors with the place of each key in order, from 0."""
+    return numbered(df.select(key, vector), [key], "index")
+
+
+def gather(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the index and vector of their key; a key that the bank lacks is an error."""
+    return many_to_one(rows, stored, key)
+
+
 def left_with_flag(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     """Left join with a column ``matched``."""
     return left.join(right.withColumn("_hit", F.lit(True)), list(keys), "left").withColumn("matched", F.coalesce("_hit", F.lit(False))).drop("_hit")

@@ -26,12 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def written(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which :func:`clean_up` removes."""
+    path = f"{shared_dir(spark)}/tallymark-{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def checkpointed(df: DataFrame, name: str = "rows") -> DataFrame:
     """``df`` written as Parquet and read back; removed by :func:`clean_up`, at the latest when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallymark-{name}-{uuid.uuid4().hex}"
+    path = written(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import record
-from .resample import quota_take
+from ..functions.columns import hash32, uniform
+from .lineage import checkpointed
+from .order import running
 
 
 def group_median(train: DataFrame, rows: DataFrame, grp: str, y: str, out: str = "pred") -> DataFrame:
@@ -60,22 +61,35 @@ def greedy_split(groups: DataFrame, targets: dict[str, float], seed: int, stratu
         return pdf.assign(split=out)[["cluster", "n", "split"]]
 
     key = F.col(stratum) if stratum else F.lit(0)
-    rows = groups.select("cluster", F.col("n").cast("long").alias("n"), F.xxhash64(F.lit(seed), "cluster").alias("_h"), key.alias("_s"))
+    rows = groups.select("cluster", F.col("n").cast("long").alias("n"), hash32("greedy", seed, F.col("cluster")).alias("_h"), key.alias("_s"))
     cluster_type = rows.schema["cluster"].dataType.simpleString()
     return rows.groupBy("_s").applyInPandas(assign, f"cluster {cluster_type}, n long, split string")
 
 
 def learning_curve(train: DataFrame, evaluation: DataFrame, cluster: str, grp: str, y: str, shares: list[float], seeds: list[int]) -> DataFrame:
-    """(frac, seed, n_rows, rmse_log) of the group-median baseline fitted on parts of the clusters."""
-    out = None
-    for share in shares:
-        for seed in seeds:
-            part = train.join(quota_take(train, cluster, share, seed).select(cluster), cluster, "left_semi")
-            scored = group_median(part, evaluation, grp, y, "_p")
-            own = scored.agg(F.sqrt(F.avg(F.pow(F.col("_p") - F.col(y), 2))).alias("rmse_log")).join(part.agg(F.count("*").alias("n_rows")))
-            one = own.select(F.lit(share).alias("frac"), F.lit(seed).alias("seed"), "n_rows", "rmse_log")
-            out = one if out is None else out.unionByName(one)
-    return out
+    """(frac, seed, n_rows, rmse_log, rmse_floor): the group-median baseline, and the overall median, fitted on parts of the clusters."""
+    spark = train.sparkSession
+    sizes = checkpointed(train.groupBy(cluster).agg(F.count("*").alias("n")), "clusters")
+    total, taken = sizes.agg(F.sum("n").alias("_t")), None
+    for seed in seeds:
+        one = running(sizes, [uniform("quota", seed, F.col(cluster)), cluster], {"_before": F.col("n")}).select(cluster, "_before", F.lit(seed).alias("seed"))
+        taken = one if taken is None else taken.unionByName(one)
+    levels = spark.createDataFrame([(float(s),) for s in shares], "frac double")
+    kept = taken.join(F.broadcast(total)).join(F.broadcast(levels), F.col("_before") < F.round(F.col("_t") * F.col("frac"), 6)).select(cluster, "frac", "seed")
+    part = train.select(cluster, grp, y).join(kept, cluster)
+    own = part.groupBy("frac", "seed", grp).agg(F.median(y).alias("_own"))
+    whole = part.groupBy("frac", "seed").agg(F.median(y).alias("_all"), F.count("*").alias("n_rows"))
+    rows = evaluation.select(grp, y).join(F.broadcast(whole)).join(own, ["frac", "seed", grp], "left")
+    error = lambda p: F.sqrt(F.avg(F.pow(p - F.col(y), 2)))
+    return rows.groupBy("frac", "seed", "n_rows").agg(error(F.coalesce("_own", "_all")).alias("rmse_log"), error(F.col("_all")).alias("rmse_floor"))
+
+
+def crossover(curve: DataFrame, better: str, worse: str) -> DataFrame:
+    """One row: the smallest share from which on ``better`` has the smaller mean over seeds; null if there is none."""
+    means = curve.groupBy("frac").agg(F.avg(better).alias("a"), F.avg(worse).alias("b")).withColumn("ahead", F.round("a", 9) < F.round("b", 9))
+    behind = means.agg(F.max(F.when(~F.col("ahead"), F.col("frac"))).alias("last"))
+    ahead = means.join(F.broadcast(behind)).where(F.col("ahead") & (F.col("last").isNull() | (F.col("frac") > F.col("last"))))
+    return ahead.agg(F.min("frac").alias("frac"))
 
 
 def _dense(groups: list[str], texts: list[str], alphabet: str, length: int, known: dict[str, int]) -> np.ndarray:
@@ -89,52 +103,88 @@ def _dense(groups: list[str], texts: list[str], alphabet: str, length: int, know
     return x
 
 
-def mlp_predictions(train: DataFrame, rows: DataFrame, grp: str, text: str, y: str, alphabet: str, length: int, seeds: list[int], sample: int = 20_000, hidden: int = 64, epochs: int = 30) -> DataFrame:
-    """``rows`` with column ``pred``: the seeds' mean of one-hidden-layer networks on one-hot features.
-
-    Fitted on at most ``sample`` training rows, taken by hash; every seed is a task.  An
-    unseen group and a letter outside the alphabet are zeros.  Scoring is one pass.
+def _forward(x: np.ndarray, layers: list[np.ndarray]) -> list[np.ndarray]:
+    """The values of each layer; ``layers`` holds weights and biases in turn."""
+    values = [x]
+    for k in range(0, len(layers), 2):
+        z = values[-1] @ layers[k] + layers[k + 1]
+        values.append(np.maximum(z, 0) if k + 2 < len(layers) else z)
+    return values
+
+
+def _fit_mlp(x, target, held, held_y, hidden: tuple[int, ...], epochs: int, patience: int, seed: int) -> tuple[list[np.ndarray], int]:
+    """Adam on squared error; the epoch with the best Spearman on the held rows is kept."""
+    rng = np.random.default_rng(seed)
+    widths = [x.shape[1], *hidden, 1]
+    layers = [p for a, b in zip(widths[:-1], widths[1:], strict=True) for p in (rng.normal(0, np.sqrt(2 / max(min(a, 64), 1)), (a, b)).astype(np.float32), np.zeros(b, np.float32))]
+    layers[-2] *= np.float32(0.1)
+    layers[-1] += np.float32(target.mean())
+    m, v, t = [np.zeros_like(p) for p in layers], [np.zeros_like(p) for p in layers], 0
+    best, kept, chosen, stale = -np.inf, [p.copy() for p in layers], 0, 0
+    ranks = lambda z: pd.Series(z).rank().to_numpy()
+    for epoch in range(1, epochs + 1):
+        order = rng.permutation(len(x))
+        for at in range(0, len(x), 256):
+            pick = order[at : at + 256]
+            values = _forward(x[pick], layers)
+            back, grads = ((values[-1][:, 0] - target[pick]) / len(pick))[:, None], [None] * len(layers)
+            for k in range(len(layers) - 2, -1, -2):
+                grads[k], grads[k + 1] = values[k // 2].T @ back, back.sum(axis=0)
+                back = (back @ layers[k].T) * (values[k // 2] > 0)
+            t += 1
+            for i, g in enumerate(grads):
+                m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
+                layers[i] = (layers[i] - 1e-3 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+        p = _forward(held, layers)[-1][:, 0]
+        rho = np.corrcoef(ranks(p), ranks(held_y))[0, 1] if len(p) > 2 and p.std() > 0 and held_y.std() > 0 else -1.0
+        if rho > best + 1e-5:
+            best, kept, chosen, stale = rho, [p.copy() for p in layers], epoch, 0
+        elif (stale := stale + 1) >= patience:
+            break
+    return kept, chosen
+
+
+def mlp_predictions(train: DataFrame, held: DataFrame, rows: DataFrame, grp: str, text: str, y: str, alphabet: str, length: int, seeds: list[int], sample: int = 20_000, hidden: tuple[int, ...] = (256, 64), epochs: int = 60, patience: int = 8) -> DataFrame:
+    """``rows`` with column ``pred``: the seeds' mean of networks on one-hot features.
+
+    Fitted on at most ``sample`` training rows and stopped by at most a quarter as many held
+    rows, taken by hash; every seed is a task.  An unseen group and a letter outside the
+    alphabet are zeros.  Scoring is one pass.
     """
-    chosen = train.select(F.col(grp).alias("g"), F.col(text).alias("t"), F.col(y).cast("double").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("g", "t"), "g", "t").limit(sample)
-    known = {r["g"]: i for i, r in enumerate(chosen.select("g").distinct().orderBy("g").collect())}
+    def some(df, n, part):
+        own = df.select(F.col(grp).alias("g"), F.col(text).alias("t"), F.col(y).cast("double").alias("y"), F.lit(part).alias("part"))
+        return own.orderBy(F.xxhash64("g", "t"), "g", "t").limit(n)
+
+    chosen = checkpointed(some(train, sample, 0).unionByName(some(held, sample // 4, 1)), "mlp-rows")
+    known = {r["g"]: i for i, r in enumerate(chosen.where("part = 0").select("g").distinct().orderBy("g").collect())}
+    width = length * len(alphabet) + len(known)
+    shapes = [s for a, b in zip([width, *hidden], [*hidden, 1], strict=True) for s in ((a, b), (b,))]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         seed = int(pdf["seed"].iloc[0])
         pdf = pdf.sort_values(["g", "t"], kind="stable")
-        x, target = _dense(pdf["g"].tolist(), pdf["t"].tolist(), alphabet, length, known), pdf["y"].to_numpy()
-        rng = np.random.default_rng(seed)
-        w1, b1 = rng.normal(0, np.sqrt(2 / (length + 1)), (x.shape[1], hidden)).astype(np.float32), np.zeros(hidden, np.float32)
-        w2, b2 = rng.normal(0, np.sqrt(1 / hidden), hidden).astype(np.float32), np.float32(target.mean())
-        params = [w1, b1, w2, np.array([b2], np.float32)]
-        m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-        for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for at in range(0, len(x), 256):
-                pick = order[at : at + 256]
-                h = np.maximum(x[pick] @ params[0] + params[1], 0)
-                e = ((h @ params[2] + params[3]) - target[pick]) / len(pick)
-                back = np.outer(e, params[2]) * (h > 0)
-                t += 1
-                for i, g in enumerate((x[pick].T @ back, back.sum(0), h.T @ e, np.array([e.sum()]))):
-                    m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
-                    params[i] = (params[i] - 3e-3 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-        return pd.DataFrame({"seed": [seed], "weights": [b"".join(p.astype("<f4").tobytes() for p in params)]})
+        x, own = _dense(pdf["g"].tolist(), pdf["t"].tolist(), alphabet, length, known), pdf["part"].to_numpy() == 0
+        target = pdf["y"].to_numpy(np.float32)
+        layers, epoch = _fit_mlp(x[own], target[own], x[~own], target[~own], hidden, epochs, patience, seed)
+        return pd.DataFrame({"seed": [seed], "epoch": [epoch], "weights": [b"".join(p.astype("<f4").tobytes() for p in layers)]})
 
     # Every seed gets the same bounded sample.
     tasks = chosen.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
-    fitted = tasks.groupBy("seed").applyInPandas(fit, "seed int, weights binary").collect()
-    width = length * len(alphabet) + len(known)
-    models = rows.sparkSession.sparkContext.broadcast([np.frombuffer(bytes(r["weights"]), "<f4") for r in fitted])
+    fitted = tasks.groupBy("seed").applyInPandas(fit, "seed int, epoch int, weights binary").orderBy("seed").collect()
+
+    def unpacked(raw: bytes) -> list[np.ndarray]:
+        flat, out, at = np.frombuffer(raw, "<f4"), [], 0
+        for shape in shapes:
+            out.append(flat[at : at + int(np.prod(shape))].reshape(shape))
+            at += int(np.prod(shape))
+        return out
+
+    models = rows.sparkSession.sparkContext.broadcast([unpacked(bytes(r["weights"])) for r in fitted])
 
     def score(batches):
         for pdf in batches:
             x = _dense(pdf[grp].tolist(), pdf[text].tolist(), alphabet, length, known)
-            total = np.zeros(len(x))
-            for flat in models.value:
-                w1, b1 = flat[: width * hidden].reshape(width, hidden), flat[width * hidden : (width + 1) * hidden]
-                total += np.maximum(x @ w1 + b1, 0) @ flat[(width + 1) * hidden : (width + 2) * hidden] + flat[-1]
-            yield pdf.assign(pred=total / len(models.value))
+            yield pdf.assign(pred=sum(_forward(x, m)[-1][:, 0].astype(float) for m in models.value) / len(models.value))
 
     from pyspark.sql import types as T
 
@@ -157,6 +207,3 @@ def hurdle_predictions(train: DataFrame, rows: DataFrame, features: str, y: str)
     scored = level.transform(classifier.transform(rows))
     return scored.withColumn("p_positive", F.get(vector_to_array("_prob"), 1)).withColumn("pred", F.col("p_positive") * F.col("level")).drop("_prob", "_cls", "_raw")
 
-
-def evaluate(scored: DataFrame, y: str, p: str, grp: str) -> DataFrame:
-    return record(scored, y, p, grp)

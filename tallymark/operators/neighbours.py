@@ -34,6 +34,15 @@ def brute_pairs(a: DataFrame, b: DataFrame | None, length: int, distance: int, k
     return pairs.withColumn("d", hamming(F.col("a"), F.col("b"), length))
 
 
+def segment_pairs(df: DataFrame, text: str, length: int, distance: int) -> DataFrame:
+    """All pairs (a, b, d) of long strings within ``distance``: one of ``distance`` + 1 segments must be equal."""
+    edges = [length * i // (distance + 1) for i in range(distance + 2)]
+    parts = F.array(*(F.concat(F.lit(f"{i}|"), F.substring(text, a + 1, b - a)) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))))
+    cut = df.select(text).distinct().select(F.col(text).alias("a"), F.explode(parts).alias("_m"))
+    met = cut.join(cut.withColumnRenamed("a", "b"), "_m").where("a < b").select("a", "b").distinct()
+    return met.withColumn("d", hamming(F.col("a"), F.col("b"), length)).where(F.col("d") <= distance)
+
+
 def star_edges(df: DataFrame, length: int, distance: int, key: str = "seq") -> DataFrame:
     """Edges with the same components as all near pairs: each masked bucket links to its smallest string.
 
@@ -117,10 +126,8 @@ def banded_neighbours(a: DataFrame, b: DataFrame | None, length: int, furthest:
     Within one set the first neighbours are taken before pairs are reduced to a < b, so a
     late string can lose a pair.
     """
-    left = a.select(F.col(key).alias("a")).distinct()
-    right = (a if b is None else b).select(F.col(key).alias("b")).distinct()
-    d = hamming(F.col("a"), F.col("b"), length)
-    near = left.join(right, d.between(1, furthest)).withColumn("d", d)
+    # Equality of strings with ``furthest`` wildcards finds every pair; both directions are wanted.
+    near = masked_pairs(a, a if b is None else b, length, furthest, key).where("d >= 1")
     first = near.withColumn("_r", F.row_number().over(Window.partitionBy("a", "d").orderBy("b"))).where(F.col("_r") <= most)
     return (first.where("a < b") if b is None else first).select("a", "b", "d")
 

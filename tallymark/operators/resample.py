@@ -6,10 +6,15 @@ stream are met in distribution, not digit by digit.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash32, safe_corr, uniform
+from .audits import verdict
 from .order import numbered, running
 
 
@@ -70,29 +75,142 @@ def permutation(ids: DataFrame, key: str, reps: int, tag: str, seed: int, by: tu
     return a.join(b, ["rep", *by, "_i"]).drop("_i")
 
 
-def mantel(pairs: DataFrame, reps: int, seed: int) -> DataFrame:
-    """One row (r, p): Spearman between two distances of all unordered pairs, permuting the entities of ``g``.
+def mantel(pairs: DataFrame, reps: int, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, r, p, noise): Spearman between two distances of all unordered pairs, permuting the entities of ``g``.
 
-    ``pairs``: (a, b, g, t) with a < b.  p counts replicates at least as far from zero,
-    the observed one included.
+    ``pairs``: (by, a, b, g, t) with a < b.  p counts replicates at least as far from zero,
+    the observed one included; ``noise`` is the deviation of the permuted values.
     """
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    moved = permutation(ids, "id", reps, "mantel", seed)
-    left = moved.select("rep", F.col("id").alias("a"), F.col("other").alias("x"))
-    right = moved.select("rep", F.col("id").alias("b"), F.col("other").alias("y"))
-    g = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "g")
-    at = pairs.select("a", "b", "t").join(left, "a").join(right, ["rep", "b"])
-    at = at.select("rep", "t", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).join(g, ["x", "y"])
-    by = Window.partitionBy("rep")
+    ids = pairs.select(*by, F.col("a").alias("id")).unionByName(pairs.select(*by, F.col("b").alias("id"))).distinct()
+    moved = permutation(ids, "id", reps, "mantel", seed, by)
+    left = moved.select("rep", *by, F.col("id").alias("a"), F.col("other").alias("x"))
+    right = moved.select("rep", *by, F.col("id").alias("b"), F.col("other").alias("y"))
+    g = pairs.select(*by, F.col("a").alias("x"), F.col("b").alias("y"), "g")
+    at = pairs.select(*by, "a", "b", "t").join(left, [*by, "a"]).join(right, ["rep", *by, "b"])
+    at = at.select("rep", *by, "t", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).join(g, [*by, "x", "y"])
+    own = Window.partitionBy("rep", *by)
 
     def rank(c):
-        return F.rank().over(by.orderBy(c)) + (F.count("*").over(Window.partitionBy("rep", c)) - 1) / F.lit(2.0)
+        return F.rank().over(own.orderBy(c)) + (F.count("*").over(Window.partitionBy("rep", *by, c)) - 1) / F.lit(2.0)
 
-    ranked = at.select("rep", rank("g").alias("rg"), rank("t").alias("rt"))
-    rho = ranked.groupBy("rep").agg(safe_corr("rg", "rt").alias("r"))
+    ranked = at.select("rep", *by, rank("g").alias("rg"), rank("t").alias("rt"))
+    rho = ranked.groupBy("rep", *by).agg(safe_corr("rg", "rt").alias("r"))
     seen = F.max(F.when(F.col("rep") == 0, F.col("r")))
-    one = rho.select("r", "rep", seen.over(Window.partitionBy()).alias("r0"))  # one row a replicate
-    return one.agg(F.max("r0").alias("r"), (F.sum(((F.col("rep") > 0) & (F.abs("r") >= F.abs("r0") - 1e-12)).cast("int")) + 1).cast("double").alias("n")).select("r", (F.col("n") / (reps + 1)).alias("p"))
+    one = rho.select(*by, "r", "rep", seen.over(Window.partitionBy(*by)).alias("r0"))  # one row a replicate
+    far = ((F.col("rep") > 0) & (F.abs("r") >= F.abs("r0") - 1e-12)).cast("int")
+    out = one.groupBy(*by).agg(F.max("r0").alias("r"), (F.sum(far) + 1).cast("double").alias("n"), F.stddev_pop(F.when(F.col("rep") > 0, F.col("r"))).alias("noise"))
+    return out.select(*by, "r", (F.col("n") / (reps + 1)).alias("p"), "noise")
+
+
+def _ranks(v: np.ndarray) -> np.ndarray:
+    _, at, n = np.unique(v, return_inverse=True, return_counts=True)
+    return (np.cumsum(n) - (n - 1) / 2)[at]
+
+
+def _permuted_r(g: np.ndarray, t: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Spearman of the upper triangles of ``t`` and of ``g`` under each row of ``moves``; nan where a side is constant."""
+    i, j = np.triu_indices(len(g), 1)
+    ranks, own = np.zeros_like(g), _ranks(t[i, j])
+    ranks[i, j] = ranks[j, i] = _ranks(g[i, j])
+    x = ranks[moves[:, i], moves[:, j]]
+    x, own = x - x.mean(axis=1, keepdims=True), own - own.mean()
+    scale = np.sqrt((x * x).sum(axis=1) * (own * own).sum())
+    return np.where(scale > 0, (x @ own) / np.where(scale > 0, scale, 1), np.nan)
+
+
+def mantel_blocks(df: DataFrame, by: str, key: str, vector: str, width: int, reps: int, seed: int) -> DataFrame:
+    """(by, r, p, noise) of :func:`mantel` between all cells of the vectors and the first ``width``, a structure a group.
+
+    For many replicates: a structure's entities (bounded, as all its pairs are compared)
+    are one small matrix, and its replicates are array operations.
+    """
+    def test(pdf):
+        pdf = pdf.sort_values(key)
+        ids, x = pdf[key].tolist(), np.array(pdf[vector].tolist(), float)
+        apart = lambda v: np.abs(v[:, None, :] - v[None, :, :]).mean(axis=2).round(9)
+        hashes = np.array([[int(hashlib.md5(f"mantel|{seed}|{rep}|{i}".encode()).hexdigest()[:8], 16) for i in ids] for rep in range(1, reps + 1)]).reshape(reps, len(ids))
+        moves = np.vstack([np.arange(len(ids)), np.argsort(hashes, axis=1, kind="stable")])
+        r = _permuted_r(apart(x), apart(x[:, :width]), moves) if len(ids) > 1 else np.full(reps + 1, np.nan)
+        far = np.nansum(np.abs(r[1:]) >= abs(r[0]) - 1e-12)
+        clean = lambda v: None if v != v else float(v)
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "r": [clean(r[0])], "p": [(far + 1) / (reps + 1)], "noise": [clean(np.std(r[1:]))]}).astype({"r": float, "noise": float})
+
+    return df.select(by, key, vector).groupBy(by).applyInPandas(test, f"{by} long, r double, p double, noise double")
+
+
+def mantel_power(spark, effects: list[float], sims: int, reps: int, entities: int, seed: int) -> DataFrame:
+    """(effect, sims, power): how often simulated distances with a share ``effect`` of the true ones reach p <= 0.05.
+
+    A simulation is a task's row; its random numbers depend on the effect and its number only.
+    """
+    rows = spark.range(len(effects) * sims).select((F.col("id") / sims).cast("int").alias("e"), (F.col("id") % sims).cast("int").alias("sim"))
+
+    def run(batches):
+        i, j = np.triu_indices(entities, 1)
+        for pdf in batches:
+            out = []
+            for e, sim in zip(pdf["e"].tolist(), pdf["sim"].tolist(), strict=True):
+                rng = np.random.default_rng([seed, e, sim])
+                g, t = np.zeros((entities, entities)), np.zeros((entities, entities))
+                g[i, j] = g[j, i] = rng.random(len(i))
+                t[i, j] = t[j, i] = effects[e] * g[i, j] + (1 - effects[e]) * rng.random(len(i))
+                moves = np.vstack([np.arange(entities), *(rng.permutation(entities) for _ in range(reps))])
+                r = _permuted_r(g, t, moves)
+                out.append((e, float(((np.abs(r[1:]) >= abs(r[0]) - 1e-12).sum() + 1) / (reps + 1) <= 0.05)))
+            yield pd.DataFrame(out, columns=["e", "hit"])
+
+    hits = rows.repartition(len(effects) * 4).mapInPandas(run, "e int, hit double").groupBy("e").agg(F.count("*").alias("sims"), F.avg("hit").alias("power"))
+    return hits.select(F.element_at(F.array(*map(F.lit, effects)), F.col("e") + 1).alias("effect"), "sims", "power")
+
+
+def ci_width_curve(spark, targets: list[float], rows: int, clusters: int, reps: int, seed: int) -> DataFrame:
+    """(target, achieved, width): the width of a cluster bootstrap's interval for a predictor of a given Spearman.
+
+    Simulated data of a stated size; the noise that gives the accuracy is found by bisection.
+    """
+    levels = spark.createDataFrame([(float(t),) for t in targets], "target double").repartition(len(targets))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for target in pdf["target"].tolist():
+                rng = np.random.default_rng([seed, int(target * 1000)])
+                y, noise, own = rng.normal(size=rows), rng.normal(size=rows), rng.integers(0, clusters, rows)
+                rho = lambda x, z: np.corrcoef(_ranks(x), _ranks(z))[0, 1]
+                low, high = 0.0, 100.0
+                for _ in range(40):
+                    mid = (low + high) / 2
+                    low, high = (mid, high) if rho(y, y + mid * noise) > target else (low, mid)
+                p = y + low * noise
+                members = [np.flatnonzero(own == c) for c in range(clusters)]
+                values = []
+                for _ in range(reps):
+                    at = np.concatenate([members[c] for c in rng.integers(0, clusters, clusters)])
+                    values.append(rho(y[at], p[at]))
+                a, b = np.percentile(values, [2.5, 97.5])
+                out.append((target, float(rho(y, p)), float(b - a)))
+            yield pd.DataFrame(out, columns=["target", "achieved", "width"])
+
+    return levels.mapInPandas(run, "target double, achieved double, width double")
+
+
+def replicate_metric(rows: DataFrame, picks: DataFrame, cluster: str, y: str, models: list[str], metric) -> DataFrame:
+    """(rep, model columns): ``metric(y, model, w)``, an aggregate of weighted rows, on each replicate."""
+    drawn = rows.select(cluster, y, *models).join(picks, cluster)
+    return drawn.groupBy("rep").agg(*(metric(F.col(y), F.col(m), F.col("w")).alias(m) for m in models))
+
+
+def weighted_rmse(y: Column, p: Column, w: Column) -> Column:
+    return F.sqrt(F.sum(w * (p - y) * (p - y)) / F.sum(w))
+
+
+def comparison_suite(replicates: DataFrame, pairs: list[tuple[str, str]], reps: int, noise: float, gate: float = 0.0) -> DataFrame:
+    """(a, b, mean, lo, hi, n_valid, verdict): the interval of a - b for named pairs of models, all on the same draws."""
+    each = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col(a) - F.col(b)).alias("v")) for a, b in pairs))
+    values = replicates.select(F.explode(each).alias("x")).select("x.*")
+    enough = F.count("v") >= F.lit(gate * reps)
+    out = values.groupBy("a", "b").agg(*(F.when(enough, c).alias(n) for n, c in (("mean", F.avg("v")), ("lo", F.percentile("v", 0.025)), ("hi", F.percentile("v", 0.975)))), F.count("v").alias("n_valid"))
+    return out.withColumn("verdict", verdict(F.col("mean"), F.col("lo"), F.col("hi"), noise))
 
 
 def overlap_test(chosen: DataFrame, marked: DataFrame, universe: int, reps: int, seed: int, key: str = "position") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,21 +19,34 @@ def mean_pool(vector: Column, rows: int, width: int) -> Column:
     return F.array(*(at(j) for j in range(width)))
 
 
-def pair_l1(df: DataFrame, key: str, vector: str, mask: Column | None = None) -> DataFrame:
-    """(a, b, dist): mean absolute difference of all unordered pairs, over the cells where ``mask`` of ``k`` holds.
+def pair_l1(df: DataFrame, key: str, vector: str, mask: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, a, b, dist): mean absolute difference of all pairs of a group, over the cells where ``mask`` of ``k`` holds.
 
-    For small sets of entities: pairs are all compared.
+    Pairs of one group are all compared: groups are structures of a bounded size.
     """
-    left = df.select(F.col(key).alias("a"), F.col(vector).alias("_va"))
-    right = df.select(F.col(key).alias("b"), F.col(vector).alias("_vb"))
-    both = left.join(right, F.col("a") < F.col("b")).select("a", "b", F.posexplode(F.zip_with("_va", "_vb", lambda x, y: F.abs(x.cast("double") - y.cast("double")))).alias("k", "x"))
+    left = df.select(*by, F.col(key).alias("a"), F.col(vector).alias("_va"))
+    right = df.select(*by, F.col(key).alias("b"), F.col(vector).alias("_vb"))
+    met = left.join(right, list(by)).where("a < b") if by else left.join(right, F.col("a") < F.col("b"))
+    both = met.select(*by, "a", "b", F.posexplode(F.zip_with("_va", "_vb", lambda x, y: F.abs(x.cast("double") - y.cast("double")))).alias("k", "x"))
     both = both.where(mask) if mask is not None else both
-    return both.groupBy("a", "b").agg(F.avg("x").alias("dist"))
+    return both.groupBy(*by, "a", "b").agg(F.avg("x").alias("dist"))
 
 
-def contact_set(long: DataFrame, limit: float) -> DataFrame:
-    """(i, j): cells whose smallest value over all entities is under the limit."""
-    return long.groupBy("i", "j").agg(F.min("x").alias("least")).where(F.col("least") < limit).select("i", "j")
+def contact_set(long: DataFrame, limit: float, *by: str) -> DataFrame:
+    """(by, i, j): cells whose smallest value over a group's entities is under the limit."""
+    return long.groupBy(*by, "i", "j").agg(F.min("x").alias("least")).where(F.col("least") < limit).select(*by, "i", "j")
+
+
+def pca_variance(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(component, retained): the share of variance that each principal component of a few columns retains.
+
+    Only their covariances reach the driver.
+    """
+    cells = [(a, b) for a in columns for b in columns]
+    row = df.agg(*(F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")) for a, b in cells)).first()
+    values = np.linalg.eigvalsh(np.array([x or 0.0 for x in row], float).reshape(len(columns), -1))[::-1]
+    total = values.sum() or 1.0
+    return df.sparkSession.createDataFrame([(i, float(v / total)) for i, v in enumerate(values)], "component int, retained double")
 
 
 def min_distance(left: DataFrame, right: DataFrame, *by: str) -> DataFrame:

@@ -16,7 +16,7 @@ from .views import ALPHABET, SQL, domains, groups, pairs, preds, strings, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-SEED, REPS = 7, 20
+SEED, REPS = 7, 200
 #: Draws of the bootstraps without SQL; those with SQL make REPS.
 FULL_REPS = 2_000
 
@@ -200,13 +200,15 @@ def cross_split_violations(spark, sf):
     return _rounded(neighbours.cross_split_violations(preds(spark, sf), 9, 2, "seq9"))
 
 
-@query("SELECT 'positive' AS kind, CAST(2 AS BIGINT) AS distance, CAST(1 AS BIGINT) AS fired UNION ALL SELECT 'negative', CAST(3 AS BIGINT), CAST(0 AS BIGINT)", views=False)
+@query(""", tr AS (SELECT DISTINCT seq9 FROM train), cp AS (SELECT seq9, translate(substr(seq9, 1, 2), 'ACDEFGHI', 'CDEFGHIA') || substr(seq9, 3) AS two, translate(substr(seq9, 1, 3), 'ACDEFGHI', 'CDEFGHIA') || substr(seq9, 4) AS three FROM tr),
+pr AS (SELECT 'positive' AS kind, 2 AS distance, two AS s FROM (SELECT two FROM cp ORDER BY seq9 LIMIT 1) UNION ALL SELECT 'negative', 3, three FROM (SELECT three FROM cp WHERE NOT EXISTS (SELECT 1 FROM tr WHERE hamming(tr.seq9, three) <= 2) ORDER BY seq9 LIMIT 1))
+SELECT kind, CAST(distance AS BIGINT) AS distance, CAST(CASE WHEN EXISTS (SELECT 1 FROM tr WHERE hamming(tr.seq9, s) <= 2) THEN 1 ELSE 0 END AS BIGINT) AS fired FROM pr""")
 def detector_probe(spark, sf):
     return _rounded(neighbours.detector_probe(preds(spark, sf), 9, 2, ALPHABET, "seq9"))
 
 
 _BANDED = """st AS (SELECT grp, avg(yl) AS m, stddev_samp(yl) AS s FROM train GROUP BY grp), z AS (SELECT grp, seq9, (yl - m) / coalesce(nullif(s, 0), 1) AS z FROM train JOIN st USING (grp)),
-ts AS (SELECT DISTINCT seq9 FROM train), nb AS (SELECT a.seq9 AS a, b.seq9 AS b, hamming(a.seq9, b.seq9) AS d FROM ts a JOIN ts b ON hamming(a.seq9, b.seq9) BETWEEN 1 AND 4),
+ts AS (SELECT DISTINCT seq9 FROM train), nb AS (SELECT a.seq9 AS a, b.seq9 AS b, hamming(a.seq9, b.seq9) AS d FROM ts a JOIN ts b ON hamming(a.seq9, b.seq9) BETWEEN 1 AND 5),
 fi AS (SELECT *, row_number() OVER (PARTITION BY a, d ORDER BY b) AS r FROM nb), pr AS (SELECT fi.d, x.z AS za, y.z AS zb FROM fi JOIN z x ON x.seq9 = fi.a JOIN z y ON y.seq9 = fi.b AND y.grp = x.grp WHERE r <= 3 AND a < b)"""
 
 
@@ -214,10 +216,17 @@ fi AS (SELECT *, row_number() OVER (PARTITION BY a, d ORDER BY b) AS r FROM nb),
 SELECT CAST(d AS BIGINT) AS d, CAST(count(*) AS BIGINT) AS n_pairs, round(CASE WHEN count(*) >= 3 THEN {_corr("a", "b")} END, 6) AS rho FROM rk GROUP BY d""")
 def label_agreement_by_distance(spark, sf):
     train = preds(spark, sf).where("split = 'train'")
-    stats = train.groupBy("grp").agg(F.avg("yl").alias("m"), F.stddev_samp("yl").alias("s"))
-    z = train.join(stats, "grp").select("grp", "seq9", ((F.col("yl") - F.col("m")) / F.coalesce(F.nullif("s", F.lit(0.0)), F.lit(1.0))).alias("z"))
-    near = neighbours.banded_neighbours(train.select(F.col("seq9").alias("seq")), None, 9, 4, 3)
-    a, b = z.select("grp", F.col("seq9").alias("a"), F.col("z").alias("za")), z.select("grp", F.col("seq9").alias("b"), F.col("z").alias("zb"))
+    return _agreement(train, train, None)
+
+
+def _agreement(stats_of, rows, others):
+    """d, n_pairs and rho of z-scores of near strings in one group; ``others`` None: within one set."""
+    stats = stats_of.groupBy("grp").agg(F.avg("yl").alias("m"), F.stddev_samp("yl").alias("s"))
+    scored = lambda df: df.join(stats, "grp").select("grp", "seq9", ((F.col("yl") - F.col("m")) / F.coalesce(F.nullif("s", F.lit(0.0)), F.lit(1.0))).alias("z"))
+    texts = lambda df: None if df is None else df.select(F.col("seq9").alias("seq"))
+    near = neighbours.banded_neighbours(texts(rows), texts(others), 9, 5, 3)
+    a = scored(rows).select("grp", F.col("seq9").alias("a"), F.col("z").alias("za"))
+    b = scored(rows if others is None else others).select("grp", F.col("seq9").alias("b"), F.col("z").alias("zb"))
     both = near.join(a, "a").join(b, ["grp", "b"])
     return _rounded(ranks.spearman_by(both, "za", "zb", "d", least=1).select("d", F.col("n").alias("n_pairs"), "rho"))
 
@@ -237,11 +246,12 @@ c AS (SELECT dist, a, b, count(*) AS n, {_corr("ra", "rb")} AS rho, sqrt(avg((ya
 SELECT CAST(dist AS BIGINT) AS dist, CAST(count(*) AS BIGINT) AS pairs, round(median(rho), 6) AS median_rho, round(max(rho), 6) AS max_rho, CAST(median(n) AS DOUBLE) AS median_n, round(median(rmse), 6) AS median_rmse FROM c GROUP BY dist""")
 def noise_ceiling(spark, sf):
     g, rows = groups(spark, sf), preds(spark, sf).select("grp", "seq9", "yl")
-    # Close groups by masked equality: 34 positions and distance 2 cover the families.
-    names = g.select(F.col("grp").alias("a"), F.col("pseudo").alias("pa")), g.select(F.col("grp").alias("b"), F.col("pseudo").alias("pb"))
-    from ..functions.columns import hamming, safe_corr
+    from ..functions.columns import safe_corr
 
-    close = names[0].join(names[1], (F.col("a") < F.col("b")) & (hamming(F.col("pa"), F.col("pb"), 34) <= 4)).select("a", "b", hamming(F.col("pa"), F.col("pb"), 34).alias("dist"))
+    # Groups may share a string: equal ones are pairs at distance 0.
+    near = neighbours.segment_pairs(g, "pseudo", 34, 4).select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("d").alias("dist"))
+    both = near.unionByName(near.select(F.col("pa").alias("pb"), F.col("pb").alias("pa"), "dist")).unionByName(g.select(F.col("pseudo").alias("pa"), F.col("pseudo").alias("pb"), F.lit(0).alias("dist")).distinct())
+    close = both.join(g.select(F.col("grp").alias("a"), F.col("pseudo").alias("pa")), "pa").join(g.select(F.col("grp").alias("b"), F.col("pseudo").alias("pb")), "pb").where("a < b").select("a", "b", "dist")
     shared = close.join(rows.select(F.col("grp").alias("a"), "seq9", F.col("yl").alias("ya")), "a").join(rows.select(F.col("grp").alias("b"), "seq9", F.col("yl").alias("yb")), ["b", "seq9"])
     e = F.col("ya") - F.col("yb")
     ranked = shared.select("dist", "a", "b", e.alias("e"), ranks.group_rank("ya", "a", "b").alias("ra"), ranks.group_rank("yb", "a", "b").alias("rb"))
@@ -387,20 +397,32 @@ def log_softmax_pll(spark, sf):
     return _rounded(e.select("vec_id", logp.alias("lp")).groupBy("vec_id").agg(F.sum("lp").alias("total")))
 
 
-@query("""WITH e AS (SELECT vec_id, embedding AS v FROM embeddings WHERE label = 0), p AS (SELECT a.vec_id AS a, b.vec_id AS b, avg(abs(CAST(a.v[CAST(k AS INT)] AS DOUBLE) - CAST(b.v[CAST(k AS INT)] AS DOUBLE))) AS dist FROM e a JOIN e b ON a.vec_id < b.vec_id, range(1, 65) r(k) GROUP BY 1, 2)
-SELECT a, b, round(dist, 6) AS dist FROM p""", views=False)
+# A structure is sixteen consecutive vectors; every vector is in one.
+_L1 = "abs(CAST(a.v[CAST(k AS INT)] AS DOUBLE) - CAST(b.v[CAST(k AS INT)] AS DOUBLE))"
+_STRUCTURES = "e AS (SELECT vec_id // 16 AS s, vec_id, embedding AS v FROM embeddings)"
+
+
+def _structures(spark, sf):
+    return table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 16).cast("long").alias("structure"), "vec_id", "embedding")
+
+
+@query(f"""WITH {_STRUCTURES}, p AS (SELECT a.s, a.vec_id AS a, b.vec_id AS b, avg({_L1}) AS dist FROM e a JOIN e b ON a.s = b.s AND a.vec_id < b.vec_id, range(1, 65) r(k) GROUP BY 1, 2, 3)
+SELECT CAST(s AS BIGINT) AS structure, a, b, round(dist, 6) AS dist FROM p""", views=False)
 def pairwise_l1(spark, sf):
-    return _rounded(vectors.pair_l1(table(spark, sf, "embeddings").where("label = 0"), "vec_id", "embedding"))
+    return _rounded(vectors.pair_l1(_structures(spark, sf), "vec_id", "embedding", by=("structure",)))
+
+
+_CONTACT = """c AS (SELECT label, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j FROM (SELECT label, i, j, min(abs(CAST(embedding[CAST(i * 8 + j + 1 AS INT)] AS DOUBLE)) * 100) AS d FROM embeddings, range(8) a(i), range(8) b(j) GROUP BY ALL) WHERE d < 0.02)"""
 
 
-_CONTACT = """c AS (SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j FROM (SELECT label, i, j, min(abs(CAST(embedding[CAST(i * 8 + j + 1 AS INT)] AS DOUBLE)) * 100) AS d FROM embeddings, range(8) a(i), range(8) b(j) WHERE label <= 4 GROUP BY ALL) GROUP BY 1, 2 HAVING min(d) < 0.02)"""
+def _contacts(spark, sf):
+    long = vectors.cells(table(spark, sf, "embeddings").select(F.struct("label", "vec_id").alias("key"), "embedding"), "key", "embedding", 8)
+    return vectors.contact_set(long.select(F.col("key.label").alias("label"), "i", "j", (F.abs("x") * 100).alias("x")), 0.02, "label")
 
 
-@query(f"WITH {_CONTACT} SELECT i, j FROM c", views=False)
+@query(f"WITH {_CONTACT} SELECT CAST(label AS BIGINT) AS label, i, j FROM c", views=False)
 def contact_set(spark, sf):
-    e = table(spark, sf, "embeddings").where("label <= 4")
-    long = vectors.cells(e, "vec_id", "embedding", 8).withColumn("x", F.abs("x") * 100)
-    return _rounded(vectors.contact_set(long, 0.02))
+    return _rounded(_contacts(spark, sf))
 
 
 # Models compared
@@ -548,32 +570,62 @@ def within_bootstrap_ci_full(spark, sf):
     return _within_ci(spark, sf, FULL_REPS)
 
 
-_ENTITIES = 24
+def _mantel_sql(reps: int, row: bool) -> str:
+    """``row``: the second distance over each row of eight cells in turn, else over the first half of the cells."""
+    by = "s, row" if row else "s"
+    cells = "x.row AS row, " if row else ""
+    t = f"avg(CASE WHEN (k - 1) // 8 = x.row THEN {_L1} END)" if row else f"avg(CASE WHEN k <= 32 THEN {_L1} END)"
+    rows = ", range(8) x(row)" if row else ""
+    keys = "a.s, x.row" if row else "a.s"
+    return f"""WITH {_STRUCTURES}, pr AS (SELECT a.s AS s, {cells}a.vec_id AS a, b.vec_id AS b, round(avg({_L1}), 9) AS g, round({t}, 9) AS t FROM e a JOIN e b ON a.s = b.s AND a.vec_id < b.vec_id, range(1, 65) z(k){rows} GROUP BY {keys}, a.vec_id, b.vec_id),
+ps AS (SELECT rep, s, vec_id, row_number() OVER (PARTITION BY rep, s ORDER BY vec_id) AS i, row_number() OVER (PARTITION BY rep, s ORDER BY CASE WHEN rep = 0 THEN 0 ELSE {_hash(f"'mantel|{SEED}|' || CAST(rep AS VARCHAR) || '|' || CAST(vec_id AS VARCHAR)")} END, vec_id) AS j FROM e, range({reps + 1}) q(rep)),
+mv AS (SELECT x.rep, x.s, x.vec_id AS id, y.vec_id AS other FROM ps x JOIN ps y ON x.rep = y.rep AND x.s = y.s AND x.i = y.j),
+at_ AS (SELECT l.rep, p.*, least(l.other, r.other) AS x, greatest(l.other, r.other) AS y FROM pr p JOIN mv l ON l.s = p.s AND l.id = p.a JOIN mv r ON r.s = p.s AND r.id = p.b AND r.rep = l.rep),
+bo AS (SELECT o.rep, o.s, {"o.row, " if row else ""}o.t, p.g FROM at_ o JOIN pr p ON p.s = o.s AND p.a = o.x AND p.b = o.y{" AND p.row = o.row" if row else ""}), rk AS (SELECT rep, {by}, {_rank("g", "rep, " + by)} AS rg, {_rank("t", "rep, " + by)} AS rt FROM bo), rs AS (SELECT rep, {by}, {_corr("rg", "rt")} AS r FROM rk GROUP BY rep, {by}),
+r0 AS (SELECT {by}, r AS r0 FROM rs WHERE rep = 0), f AS (SELECT {by}, any_value(r0) AS r, (sum(CASE WHEN rep > 0 AND abs(r) >= abs(r0) - 1e-12 THEN 1 ELSE 0 END) + 1) / {reps + 1}.0 AS p, stddev_pop(r) FILTER (rep > 0) AS noise FROM rs JOIN r0 USING ({by}) GROUP BY {by})
+SELECT CAST(s AS BIGINT) AS structure, {"CAST(row AS BIGINT) AS row, " if row else ""}round(r, 6) AS r, round(p, 6) AS p, round(noise, 6) AS noise{", round(abs(r) / nullif(noise, 0), 6) AS ratio" if row else ""} FROM f"""
 
 
-@query(f"""WITH e AS (SELECT vec_id, embedding AS v FROM (SELECT *, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings) WHERE i <= {_ENTITIES}),
-pr AS (SELECT a.vec_id AS a, b.vec_id AS b, round(avg(abs(CAST(a.v[CAST(k AS INT)] AS DOUBLE) - CAST(b.v[CAST(k AS INT)] AS DOUBLE))), 9) AS g, round(avg(CASE WHEN k <= 32 THEN abs(CAST(a.v[CAST(k AS INT)] AS DOUBLE) - CAST(b.v[CAST(k AS INT)] AS DOUBLE)) END), 9) AS t FROM e a JOIN e b ON a.vec_id < b.vec_id, range(1, 65) r(k) GROUP BY 1, 2),
-ps AS (SELECT rep, vec_id, row_number() OVER (PARTITION BY rep ORDER BY vec_id) AS i, row_number() OVER (PARTITION BY rep ORDER BY CASE WHEN rep = 0 THEN 0 ELSE {_hash(f"'mantel|{SEED}|' || CAST(rep AS VARCHAR) || '|' || CAST(vec_id AS VARCHAR)")} END, vec_id) AS j FROM e, range(200) t(rep)),
-mv AS (SELECT x.rep, x.vec_id AS id, y.vec_id AS other FROM ps x JOIN ps y ON x.rep = y.rep AND x.i = y.j),
-at_ AS (SELECT l.rep, p.t, least(l.other, r.other) AS x, greatest(l.other, r.other) AS y FROM pr p JOIN mv l ON l.id = p.a JOIN mv r ON r.id = p.b AND r.rep = l.rep),
-bo AS (SELECT a.rep, a.t, p.g FROM at_ a JOIN pr p ON p.a = a.x AND p.b = a.y), rk AS (SELECT rep, {_rank("g", "rep")} AS rg, {_rank("t", "rep")} AS rt FROM bo), rs AS (SELECT rep, {_corr("rg", "rt")} AS r FROM rk GROUP BY rep)
-SELECT round((SELECT r FROM rs WHERE rep = 0), 6) AS r, round((sum(CASE WHEN rep > 0 AND abs(r) >= abs((SELECT r FROM rs WHERE rep = 0)) - 1e-12 THEN 1 ELSE 0 END) + 1) / 200.0, 6) AS p FROM rs""", views=False)
+def _distances(spark, sf, mask):
+    own = vectors.pair_l1(_structures(spark, sf), "vec_id", "embedding", mask, ("structure",))
+    return own.select("structure", "a", "b", F.round("dist", 9).alias("t"))
+
+
+@query(_mantel_sql(199, False), views=False)
 def mantel(spark, sf):
-    # The test is defined on a chosen set of entities: the first of the table.
-    e = table(spark, sf, "embeddings").orderBy("vec_id").limit(_ENTITIES)
-    g = vectors.pair_l1(e, "vec_id", "embedding").select("a", "b", F.round("dist", 9).alias("g"))
-    t = vectors.pair_l1(e, "vec_id", "embedding", F.col("k") < 32).select("a", "b", F.round("dist", 9).alias("t"))
-    return _rounded(resample.mantel(g.join(t, ["a", "b"]), 199, SEED))
+    """One test a structure, over all vectors."""
+    g = _distances(spark, sf, None).withColumnRenamed("t", "g")
+    return _rounded(resample.mantel(g.join(_distances(spark, sf, F.col("k") < 32), ["structure", "a", "b"]), 199, SEED, ("structure",)))
+
+
+@query(_mantel_sql(49, True), views=False)
+def mantel_subsets(spark, sf):
+    """The test with the second distance restricted to each row of cells, and the ratio of signal to permuted noise."""
+    g, t = _distances(spark, sf, None).withColumnRenamed("t", "g"), None
+    for row in range(8):
+        one = _distances(spark, sf, F.floor(F.col("k") / 8) == row).withColumn("row", F.lit(row))
+        t = one if t is None else t.unionByName(one)
+    out = resample.mantel(g.join(t, ["structure", "a", "b"]), 49, SEED, ("structure", "row"))
+    return _rounded(out.withColumn("ratio", F.abs("r") / F.nullif("noise", F.lit(0.0))))
+
+
+@query()
+def mantel_full(spark, sf):
+    """9,999 permutations a structure."""
+    return _rounded(resample.mantel_blocks(_structures(spark, sf), "structure", "vec_id", "embedding", 32, 9_999, SEED))
 
 
-@query(f"""WITH {_CONTACT}, a AS (SELECT i * 8 + j + 1 AS position FROM c), b AS (SELECT position FROM range(1, 65) t(position) WHERE position % 3 = 0), s AS (SELECT (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb, (SELECT count(*) FROM a JOIN b USING (position)) AS overlap),
-rk AS (SELECT rep, position, row_number() OVER (PARTITION BY rep ORDER BY {_hash(f"'subset|{SEED}|' || CAST(rep AS VARCHAR) || '|' || CAST(position AS VARCHAR)")}, position) AS r FROM range(1, 65) t(position), range(1, 200) q(rep)),
+@query(f"""WITH {_CONTACT}, a AS (SELECT i * 8 + j + 1 AS position FROM c GROUP BY i, j HAVING count(*) > (SELECT count(DISTINCT label) FROM embeddings) / 10.0), b AS (SELECT position FROM range(1, 65) t(position) WHERE position % 3 = 0), s AS (SELECT (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb, (SELECT count(*) FROM a JOIN b USING (position)) AS overlap),
+rk AS (SELECT rep, position, row_number() OVER (PARTITION BY rep ORDER BY {_hash(f"'subset|{SEED}|' || CAST(rep AS VARCHAR) || '|' || CAST(position AS VARCHAR)")}, position) AS r FROM range(1, 65) t(position), range(1, 10000) q(rep)),
 h AS (SELECT rep, sum(CASE WHEN position % 3 = 0 THEN 1 ELSE 0 END) AS hits FROM rk, s WHERE r <= na GROUP BY rep)
-SELECT CAST(any_value(overlap) AS BIGINT) AS overlap, round(any_value(na) * any_value(nb) / 64.0, 6) AS expected, round((sum(CASE WHEN hits >= overlap THEN 1 ELSE 0 END) + 1) / 200.0, 6) AS p FROM h, s HAVING count(*) > 0""", views=False)
+SELECT CAST(any_value(overlap) AS BIGINT) AS overlap, round(any_value(na) * any_value(nb) / 64.0, 6) AS expected, round((sum(CASE WHEN hits >= overlap THEN 1 ELSE 0 END) + 1) / 10000.0, 6) AS p FROM h, s HAVING count(*) > 0""", views=False)
 def overlap_permutation(spark, sf):
-    chosen = contact_set(spark, sf).select((F.col("i") * 8 + F.col("j") + 1).cast("int").alias("position"))
+    """Positions in contact in more than a tenth of the labels, against a fixed set; 9,999 random sets."""
+    labels = table(spark, sf, "embeddings").select("label").distinct().agg(F.count("*").alias("labels"))
+    counted = _contacts(spark, sf).groupBy("i", "j").agg(F.count("*").alias("n")).join(F.broadcast(labels)).where(F.col("n") > F.col("labels") / 10.0)
+    chosen = counted.select((F.col("i") * 8 + F.col("j") + 1).cast("int").alias("position"))
     marked = spark.range(1, 65).where("id % 3 = 0").select(F.col("id").cast("int").alias("position"))
-    return _rounded(resample.overlap_test(chosen, marked, 64, 199, SEED))
+    return _rounded(resample.overlap_test(chosen, marked, 64, 9_999, SEED))
 
 
 def _shuffle_sql(by: str) -> str:
@@ -657,16 +709,32 @@ def cost_benefit(spark, sf):
     return _rounded(report.cost_benefit(runs, spark.createDataFrame(RATES, "device string, rate double"), spark.createDataFrame(SCORES, "label string, rho double"), "one_hot_id"))
 
 
-@query("""SELECT 'pooled' AS claim, '0.780' AS quoted, CAST(0.7802 AS DOUBLE) AS found, 'ok' AS verdict UNION ALL SELECT 'rows', '2817', CAST(2817 AS DOUBLE), 'ok' UNION ALL SELECT 'within', '0.71', CAST(0.6328 AS DOUBLE), 'mismatch' UNION ALL SELECT 'gone', '1.0', NULL, 'missing'""", views=False)
+#: The same paths as DuckDB writes them.
+_PATHS = [(a, p.replace("['", '."').replace("']", '"'), q) for a, p, q in CLAIMS]
+
+
+@query(f"""WITH c(claim, path, quoted) AS (VALUES {_values(_PATHS)}), f AS (SELECT claim, quoted, CAST(json_extract_string('{DOCUMENT}', path) AS DOUBLE) AS found FROM c),
+d AS (SELECT *, CASE WHEN quoted LIKE '%.%' THEN length(split_part(rtrim(quoted, '0'), '.', 2)) ELSE 0 END AS decimals FROM f)
+SELECT claim, quoted, found, CASE WHEN found IS NULL THEN 'missing' WHEN abs(found - CAST(quoted AS DOUBLE)) <= CASE WHEN decimals = 0 THEN 0.5 ELSE greatest(0.5 * pow(10, -decimals), 6e-4) END + 1e-12 THEN 'ok' ELSE 'mismatch' END AS verdict FROM d""", views=False)
 def claims_audit(spark, sf):
     claims = spark.createDataFrame([(a, "run.json", p, q) for a, p, q in CLAIMS], "claim string, file string, path string, quoted string")
     return _rounded(report.claims_audit(claims, spark.createDataFrame([("run.json", DOCUMENT)], "file string, json string")).drop("path"))
 
 
-# Sequential and learned: rows only
+# Sequential and learned
 
 
-@query()
+def _greedy_sql(stratum: str) -> str:
+    need = lambda share, have: f"(t * CAST({share} AS DOUBLE) - {have}) / greatest(t * CAST({share} AS DOUBLE), 1e-9)"
+    first = f"CASE WHEN {need(0.8, 'a')} >= {need(0.1, 'b')} AND {need(0.8, 'a')} >= {need(0.1, 'c')} THEN 'train' WHEN {need(0.1, 'b')} >= {need(0.1, 'c')} THEN 'val' ELSE 'test' END"
+    return f""", {_clusters_sql(2)}, sz AS (SELECT root AS cluster, count(*) AS n FROM pairs JOIN cl2 ON cl2.seq = pairs.seq9 GROUP BY root),
+od AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY n DESC, {_hash(f"'greedy|{SEED}|' || cluster")}, cluster) AS i, sum(n) OVER (PARTITION BY st) AS t FROM (SELECT *, {stratum} AS st FROM sz)),
+gr AS (SELECT st, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS c, CAST(NULL AS VARCHAR) AS cluster, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS split FROM od GROUP BY st
+  UNION ALL SELECT st, i, a + CASE WHEN pick = 'train' THEN n ELSE 0 END, b + CASE WHEN pick = 'val' THEN n ELSE 0 END, c + CASE WHEN pick = 'test' THEN n ELSE 0 END, cluster, n, pick FROM (SELECT od.st, od.i, gr.a, gr.b, gr.c, od.cluster, CAST(od.n AS BIGINT) AS n, {first} AS pick FROM gr JOIN od ON od.st = gr.st AND od.i = gr.i + 1))
+SELECT cluster, n, split FROM gr WHERE i > 0"""
+
+
+@query(_greedy_sql("'all'"))
 def greedy_split(spark, sf):
     rows = pairs(spark, sf)
     roots = neighbours.clusters(rows.select(F.col("seq9").alias("seq")), 9, 2)
@@ -676,9 +744,10 @@ def greedy_split(spark, sf):
 
 @query()
 def mlp_baseline(spark, sf):
+    """Three seeds, two hidden layers, the epoch by the validation rows; scored on test rows."""
     rows = preds(spark, sf)
-    val = rows.where("split = 'val'").select("grp", "seq9", "yl")
-    scored = models.mlp_predictions(rows.where("split = 'train'"), val, "grp", "seq9", "yl", ALPHABET, 9, [42, 43, 44], sample=8_000, epochs=10)
+    part = lambda s: rows.where(F.col("split") == s).select("grp", "seq9", "yl")
+    scored = models.mlp_predictions(part("train"), part("val"), part("test"), "grp", "seq9", "yl", ALPHABET, 9, [42, 43, 44], sample=8_000)
     return metrics.record(scored, "yl", "pred", "grp")
 
 
@@ -697,7 +766,25 @@ def hurdle(spark, sf):
     return metrics.record(scored, "yl", "pred", "grp")
 
 
-@query()
-def learning_curve(spark, sf):
+_SHARES, _CURVE_SEEDS = [0.05, 0.1, 0.25, 0.5, 1.0], [1, 2, 3]
+_CURVE = f"""lv AS (SELECT CAST(unnest({_SHARES}) AS DOUBLE) AS frac), sd AS (SELECT unnest({_CURVE_SEEDS}) AS seed), z AS (SELECT seq9, count(*) AS n FROM train GROUP BY seq9),
+tk AS (SELECT seed, seq9, coalesce(sum(n) OVER (PARTITION BY seed ORDER BY {_hash("'quota|' || CAST(seed AS VARCHAR) || '|' || seq9")}, seq9 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY seed) AS t FROM z, sd),
+pt AS (SELECT frac, seed, train.* FROM tk JOIN lv ON before < round(t * frac, 6) JOIN train USING (seq9)), ow AS (SELECT frac, seed, grp, median(yl) AS own FROM pt GROUP BY ALL), wh AS (SELECT frac, seed, median(yl) AS every, count(*) AS n_rows FROM pt GROUP BY ALL),
+cu AS (SELECT frac, seed, any_value(n_rows) AS n_rows, sqrt(avg((coalesce(own, every) - yl) * (coalesce(own, every) - yl))) AS rmse_log, sqrt(avg((every - yl) * (every - yl))) AS rmse_floor FROM wh CROSS JOIN val LEFT JOIN ow USING (frac, seed, grp) GROUP BY frac, seed)"""
+
+
+def _curve(spark, sf):
     rows = preds(spark, sf)
-    return models.learning_curve(rows.where("split = 'train'"), rows.where("split = 'val'"), "seq9", "grp", "yl", [0.05, 0.25, 1.0], [1, 2])
+    return models.learning_curve(rows.where("split = 'train'"), rows.where("split = 'val'"), "seq9", "grp", "yl", _SHARES, _CURVE_SEEDS)
+
+
+@query(f", {_CURVE} SELECT frac, CAST(seed AS BIGINT) AS seed, CAST(n_rows AS BIGINT) AS n_rows, round(rmse_log, 6) AS rmse_log, round(rmse_floor, 6) AS rmse_floor FROM cu")
+def learning_curve(spark, sf):
+    return _rounded(_curve(spark, sf))
+
+
+@query(f""", {_CURVE}, mm AS (SELECT frac, round(avg(rmse_floor), 9) < round(avg(rmse_log), 9) AS ahead FROM cu GROUP BY frac)
+SELECT min(frac) AS frac FROM mm WHERE ahead AND frac > coalesce((SELECT max(frac) FROM mm WHERE NOT ahead), -1)""")
+def learning_crossover(spark, sf):
+    """From which share on the overall median beats the group medians; null if it never does for good."""
+    return models.crossover(_curve(spark, sf), "rmse_floor", "rmse_log")

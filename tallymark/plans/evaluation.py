@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import safe_corr, uniform
 from ..operators import audits, contracts, metrics, models, neighbours, ranks, vectors
-from .catalogue import SEED, _corr, _hash, _rank, _rounded, _val, query
+from .catalogue import SEED, _corr, _greedy_sql, _hash, _rank, _rounded, _val, query
 from .views import groups, pairs, preds, strings, table
 
 
@@ -138,7 +138,7 @@ def strata_sizes(spark, sf):
     return _rounded(strings(spark, sf).groupBy((hash32("stratum", F.col("seq")) % 4).alias("stratum")).agg(F.count("*").alias("n")))
 
 
-@query()
+@query(_greedy_sql("CASE WHEN n > 20 THEN 'large' ELSE 'small' END"))
 def greedy_split_stratified(spark, sf):
     rows = pairs(spark, sf)
     roots = neighbours.clusters(rows.select(F.col("seq9").alias("seq")), 9, 2)

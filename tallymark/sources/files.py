@@ -21,7 +21,7 @@ def write_sorted_csv(df: DataFrame, path: str, *order: str, overwrite: bool = Fa
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(file, json): whole JSON files, the file named without its folder."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    raw = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     return raw.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("value").alias("json"))
 
 
@@ -97,3 +97,55 @@ def matrix_table(spark: SparkSession, text: str) -> DataFrame:
     if sorted(rows) != sorted(letters) or any(rows[a][letters.index(b)] != rows[b][letters.index(a)] for a in letters for b in letters):
         raise ValueError("the matrix is not square and symmetric")
     return spark.createDataFrame([(a, rows[a]) for a in letters], "letter string, vector array<double>")
+
+
+def write_manifest(df: DataFrame, path: str, valid_only_if: dict[str, str]) -> None:
+    """One JSON document beside a table: its rows, columns, checksum, and what must hold for it to be used."""
+    n, check = df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string")).first()
+    text = json.dumps({"rows": n, "columns": df.dtypes, "checksum": check, "valid_only_if": valid_only_if}, sort_keys=True)
+    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+
+
+def require_manifest(df: DataFrame, path: str, now: dict[str, str]) -> DataFrame:
+    """``df`` if it is what the manifest describes and all its conditions hold now, else an error."""
+    told = json.loads(df.sparkSession.read.text(path, wholetext=True).first()["value"])
+    broken = [k for k, v in told["valid_only_if"].items() if now.get(k) != v]
+    if broken:
+        raise ValueError(f"not valid here: {', '.join(sorted(broken))}")
+    n, check = df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string")).first()
+    if (n, check, [list(t) for t in df.dtypes]) != (told["rows"], told["checksum"], told["columns"]):
+        raise ValueError("the table is not the one that the manifest describes")
+    return df
+
+
+def read_atoms(spark: SparkSession, path: str) -> DataFrame:
+    """(file, chain, residue, name, atom, element, x, y, z): the atoms of mmCIF structure files, one task a file.
+
+    Reads the ``_atom_site`` loop of each file; hydrogens are left out.
+    """
+    wanted = ("label_asym_id", "label_seq_id", "label_comp_id", "label_atom_id", "type_symbol", "Cartn_x", "Cartn_y", "Cartn_z")
+
+    def parse(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for file, text in zip(pdf["file"], pdf["text"], strict=True):
+                names, rows, inside = [], [], False
+                for line in text.splitlines():
+                    if line.startswith("_atom_site."):
+                        names.append(line.split()[0].split(".", 1)[1])
+                        inside = True
+                    elif inside and line[:1] in ("#", "_", "l"):
+                        break
+                    elif inside and line.strip():
+                        cells = dict(zip(names, line.replace('"', "").split(), strict=False))
+                        if cells["type_symbol"] not in ("H", "D"):
+                            a, r, c, n, e, *at = (cells[w] for w in wanted)
+                            rows.append((file, a, int(r) if r.isdigit() else None, c, n, e, *map(float, at)))
+                if rows:
+                    out = pd.DataFrame(rows, columns=["file", "chain", "residue", "name", "atom", "element", "x", "y", "z"])
+                    yield out.astype({"residue": "Int64"})
+
+    raw = spark.read.option("pathGlobFilter", "*.cif").text(path, wholetext=True)
+    named = raw.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("value").alias("text"))
+    return named.mapInPandas(parse, "file string, chain string, residue long, name string, atom string, element string, x double, y double, z double")

@@ -156,3 +156,125 @@ def test_streaming_errors(spark, tmp_path):
     q.stop()
     got = spark.table("errors").first()
     assert (got.n, got.rmse, got.mae) == (2, 1.0, 1.0)
+
+
+def test_order_kit(spark):
+    from tallymark.operators.order import numbered, running
+
+    rows = spark.createDataFrame([((i * 37) % 101, i % 7) for i in range(500)], "x int, w int").withColumn("id", F.monotonically_increasing_id())
+    got = numbered(rows, ["x", "id"]).orderBy("_i").collect()
+    assert [r._i for r in got] == list(range(500)) and [(r.x, r.id) for r in got] == sorted((r.x, r.id) for r in got)
+    total = 0
+    for r in running(rows, ["x", "id"], {"before": F.col("w")}).orderBy("x", "id").collect():
+        assert r.before == total
+        total += r.w
+    assert numbered(rows.limit(0), ["x"]).count() == 0
+
+
+def test_no_task_sees_all_rows(spark, sf):
+    """Windows over all rows run over a range's totals only."""
+    from tallymark.operators import order
+    from tallymark.plans.catalogue import QUERIES
+
+    rows = spark.range(1000).select((F.col("id") % 97).cast("double").alias("x"), F.col("id").alias("k"))
+    for df in (ranks.average_rank(rows, "x", "r"), order.numbered(rows, ["k"]), ranks.value_gaps(rows, "x"), resample.hashed_subset(rows, "k", 0.3, "t", 1)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        single = [line for line in plan.splitlines() if "SinglePartition" in line]
+        assert len(single) <= 2, plan  # the ranges' totals, and a count
+    assert QUERIES["shuffle_global"](spark, sf).count() == 1
+
+
+def test_keys_and_banks(spark):
+    left = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "g string, n int, s string")
+    one, two = spark.createDataFrame([("a", 5), ("b", 6)], "g string, v int"), spark.createDataFrame([("x", 7)], "s string, u int")
+    with pytest.raises(PySparkException):
+        contracts.chained(left, (one, "g"), (two, "s")).collect()
+    assert contracts.chained(left.where("n = 1"), (one, "g"), (two, "s")).first().u == 7
+    dup = spark.createDataFrame([("a", 3, 1.0), ("a", 1, 2.0), ("b", 2, 3.0)], "k string, o int, v double")
+    assert {(r.k, r.v) for r in contracts.keep_first(dup, ["k"], ["o"]).collect()} == {("a", 2.0), ("b", 3.0)}
+    assert [r.k for r in contracts.concat_dedup_head([dup, dup], ["k"], ["o"], 1).collect()] == ["a"]
+    bank = contracts.bank(dup.where("o > 1"), "k", "v")
+    assert sorted((r["index"], r.k) for r in bank.collect()) == [(0, "a"), (1, "b")]
+    with pytest.raises(PySparkException):
+        contracts.gather(spark.createDataFrame([("c",)], "k string"), bank, "k").collect()
+
+
+def test_audits_stop(spark):
+    from tallymark.operators import audits
+
+    null = spark.createDataFrame([(0.2,)], "rho double")
+    assert audits.null_gate(null, "rho", 0.3).first().rho == 0.2
+    with pytest.raises(PySparkException):
+        audits.null_gate(null, "rho", 0.08).collect()
+    table = audits.audit([("a", null, 0, 1), ("b", null, 0, 0.1), ("c", null.where("rho > 1").agg(F.max("rho")), 0, 1)])
+    assert {(r.check, r.ok) for r in table.collect()} == {("a", True), ("b", False), ("c", False), ("all", False)}
+    with pytest.raises(ValueError, match="b, c"):
+        audits.require_audit(table)
+    audits.require_audit(table.where("check = 'a'"))
+
+
+def test_mantel_blocks_equal_the_plan(spark, sf):
+    from tallymark.plans import catalogue
+
+    own = catalogue._structures(spark, sf).where("structure < 4")
+    blocks = {r.structure: r for r in resample.mantel_blocks(own, "structure", "vec_id", "embedding", 32, 199, catalogue.SEED).collect()}
+    plan = {r.structure: r for r in catalogue.mantel(spark, sf).collect() if r.structure < 4}
+    assert set(blocks) == set(plan)
+    for s, r in plan.items():
+        assert abs(blocks[s].r - r.r) < 1e-5 and abs(blocks[s].p - r.p) < 1e-9 and abs(blocks[s].noise - r.noise) < 1e-5
+
+
+def test_simulated_curves(spark):
+    power = {r.effect: r.power for r in resample.mantel_power(spark, [0.0, 0.8], 40, 99, 12, 1).collect()}
+    assert power[0.0] <= 0.2 and power[0.8] >= 0.95
+    curve = sorted(resample.ci_width_curve(spark, [0.5, 0.9], 600, 100, 60, 1).collect(), key=lambda r: r.target)
+    assert all(abs(r.achieved - r.target) < 0.01 for r in curve) and curve[0].width > curve[1].width > 0
+
+
+def test_mlp_learns(spark):
+    rows = [("g", "AC"[i % 2] + "DE"[i // 2 % 2] + "FG"[i // 4 % 2], float(i % 2) + 0.5 * (i // 2 % 2)) for i in range(400)]
+    table = spark.createDataFrame(rows, "grp string, s string, y double")
+    kind = dict(hidden=(16, 8), epochs=200, patience=200, sample=400)
+    scored = models.mlp_predictions(table, table.distinct(), table.distinct(), "grp", "s", "y", "ACDEFG", 3, [1, 2], **kind).collect()
+    ordered = [r.y for r in sorted(scored, key=lambda r: r.pred)]
+    assert len(scored) == 8 and ordered == sorted(ordered)  # the epoch is chosen by rank
+
+
+def test_segments_and_pca(spark):
+    import random
+
+    import numpy as np
+
+    from tallymark.functions.columns import hamming
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("AB") for _ in range(12)) for _ in range(60)]
+    table = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = {(r.a, r.b, r.d) for r in neighbours.segment_pairs(table, "s", 12, 3).collect()}
+    want = {(a, b, d) for a in texts for b in texts if a < b and (d := sum(x != y for x, y in zip(a, b, strict=True))) <= 3}
+    assert got == want and spark.range(1).select(hamming(F.lit("AB"), F.lit("AA"), 2)).first()[0] == 1
+    x = np.random.default_rng(1).normal(size=(50, 4)) * [1, 2, 3, 4]
+    cells = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double, d double")
+    share = [r.retained for r in vectors.pca_variance(cells, list("abcd")).orderBy("component").collect()]
+    values = np.linalg.svd(x - x.mean(0), compute_uv=False) ** 2
+    assert np.allclose(share, values / values.sum())
+
+
+def test_documents_are_whole(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{\n "n": 1\n}\n')
+    assert [(r.file, r.json) for r in files.read_documents(spark, f"file://{tmp_path}").collect()] == [("a.json", '{\n "n": 1\n}\n')]
+
+
+def test_manifest_and_structures(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "n int, s string")
+    files.write_manifest(rows, f"file://{tmp_path}/m", {"model": "x"})
+    assert files.require_manifest(rows, f"file://{tmp_path}/m", {"model": "x", "more": "y"}).count() == 2
+    for df, now in ((rows, {"model": "z"}), (rows.limit(1), {"model": "x"}), (rows.withColumn("s", F.lit("c")), {"model": "x"})):
+        with pytest.raises(ValueError):
+            files.require_manifest(df, f"file://{tmp_path}/m", now)
+    heads = ["group_PDB", "type_symbol", "label_atom_id", "label_comp_id", "label_asym_id", "label_seq_id", "Cartn_x", "Cartn_y", "Cartn_z"]
+    text = "data_t\nloop_\n" + "".join(f"_atom_site.{h}\n" for h in heads) + "ATOM N N GLY A 1 1.0 2.0 3.0\nATOM H H GLY A 1 0 0 0\nATOM C \"C1'\" ALA B 2 4 5 6.5\n#\nloop_\n_other.x\nATOM\n"
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "one.cif").write_text(text)
+    got = sorted(files.read_atoms(spark, f"file://{tmp_path}/s").collect(), key=lambda r: r.chain)
+    assert [(r.file, r.chain, r.residue, r.name, r.atom, r.z) for r in got] == [("one.cif", "A", 1, "GLY", "N", 3.0), ("one.cif", "B", 2, "ALA", "C1'", 6.5)]
