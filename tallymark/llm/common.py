@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -14,39 +11,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[tuple[SparkSession, str]] = []
+from ..operators.lineage import checkpointed, clean_up, shared_dir, written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Unset, a folder of this machine is made, which only a plain local master may use.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or ""
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tallymark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
-
-    A lost executor costs a re-read, not a recomputation.  The tables are removed when
-    the driver ends (or by :func:`clean_up`).
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallymark-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it back: a lost executor costs a re-read, not a recomputation."""
+    return checkpointed(df, name)
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
@@ -59,20 +33,6 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return materialise(df, name) if "Exchange" in plan else df
 
 
-def clean_up() -> None:
-    while _made:
-        spark, path = _made.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended; its folder goes with the cluster's
-            continue
-
-
-atexit.register(clean_up)
-
-
 def block_number() -> int:
     """First number for the blocks of this task; a retried task gets the same."""
     context = TaskContext.get()

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import space_chunks
-from .common import block_number, give_back, shared_dir
+from .common import block_number, give_back, written
 
 MAGIC = b"TMK2"
 END_ID = 2
@@ -427,13 +427,8 @@ def digests(read_back: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def written_and_read(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
     """Write a file to the shared folder and return its documents as :func:`read` does."""
-    import uuid
-
-    from . import common
-
     spark = docs.sparkSession
-    target = f"{shared_dir(spark)}/tallymark-tokens-{uuid.uuid4().hex}"
-    common._made.append((spark, target))
+    target = written(spark, "tokens")
     write(docs, path, target, id_col, text_col, **sizes)
     return read(spark, target, id_col)
 
