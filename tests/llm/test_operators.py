@@ -580,17 +580,89 @@ def test_lm_odd(spark):
 def test_lm_is_a_probability():
     """The costs of all symbols in one place are those of a distribution."""
     rng = np.random.default_rng(4)
-    model = rng.normal(0, 1, (lm.TOKEN_PREDICTORS + lm.BYTE_PREDICTORS, lm.SLOTS)).astype(np.float32)
+    model, bits = rng.normal(0, 1, (lm.TOKEN_PREDICTORS, 1 << 18)).astype(np.float32), 10
     total = 0.0
-    for symbol in range(1 << lm.CODE_BITS):
+    for symbol in range(1 << bits):
         run = np.array([5, 9, symbol], np.int64)
         starts, ends = np.array([0]), np.array([3])
-        total += 2.0 ** -lm.bit_costs(model, 0, run, lm.token_contexts(run, starts), lm.CODE_BITS, starts, ends, 1)[0]
+        total += 2.0 ** -lm.bit_costs(model, run, lm.token_contexts(run, starts), bits, starts, ends, 1)[0]
     run = np.array([5, 9], np.int64)
-    prefix = 2.0 ** -lm.bit_costs(model, 0, run, lm.token_contexts(run, np.array([0])), lm.CODE_BITS, np.array([0]), np.array([2]), 1)[0]
+    prefix = 2.0 ** -lm.bit_costs(model, run, lm.token_contexts(run, np.array([0])), bits, np.array([0]), np.array([2]), 1)[0]
     assert abs(total / prefix - 1) < 1e-3
 
 
+def plain_costs(tables, symbols, contexts, bits, step):
+    """Bits of one run of symbols, a symbol and a bit at a time; weights move after every ``step`` symbols."""
+    n, slots = len(contexts), tables.shape[1]
+    weights = [[0.9 / n + 0.1] * n + [0.0] for _ in range(bits)]
+    total = 0.0
+    for at in range(0, len(symbols), step):
+        moves = [[0.0] * (n + 1) for _ in range(bits)]
+        for i in range(at, min(at + step, len(symbols))):
+            for k in range(bits):
+                node, bit = (1 << k) | (symbols[i] >> (bits - k)), (symbols[i] >> (bits - 1 - k)) & 1
+                x = [float(tables[p][lm._slots(c[i : i + 1], np.array([node]), slots)[0]]) for p, c in enumerate(contexts)] + [1.0]
+                dot = min(max(sum(w * v for w, v in zip(weights[k], x, strict=True)), -12), 12)
+                p_one = 1 / (1 + math.exp(-dot))
+                total -= math.log2(p_one if bit else 1 - p_one)
+                for j, v in enumerate(x):
+                    moves[k][j] += (bit - p_one) * v * lm.RATE
+        weights = [[w + m for w, m in zip(a, b, strict=True)] for a, b in zip(weights, moves, strict=True)]
+    return total
+
+
+def test_lm_score_brute(spark, sf):
+    """Every score against counts in one process and costs a bit at a time."""
+    rows = sorted(texts_of(spark, sf))[:120]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), block_chars=20_000).collect()}
+    words = {i: t.encode().lower().split() for i, t in rows}
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for i in train for w in words[i])
+    bits = lm.code_bits(sum(map(len, words.values())))
+    frequent = sorted(counts, key=lambda w: (-counts[w], w))[: (1 << bits) - 2]
+    code = {w: k + 2 for k, w in enumerate(frequent)}
+    start = np.array([0])
+
+    def stream(i):
+        return np.array([*(code.get(w, lm.ESCAPE) for w in words[i]), lm.END])
+
+    def learned(runs, contexts, predictors, slots, bits):
+        tables = [Counter() for _ in range(predictors)]
+        for run in runs:
+            own = contexts(run, start)
+            for k in range(bits):
+                for p, c in enumerate(own):
+                    for at, bit in zip(lm._slots(c, (1 << k) | (run >> (bits - k)), slots).tolist(), ((run >> (bits - 1 - k)) & 1).tolist(), strict=True):
+                        tables[p][at, bit] += 1
+        out = np.zeros((predictors, slots))
+        for p, t in enumerate(tables):
+            for at in {a for a, _ in t}:
+                zero, one = t[at, 0], t[at, 1]
+                out[p, at] = math.log((one + 0.4) / (zero + 0.4)) * (zero + one) / (zero + one + 1)
+        return out
+
+    rare = [w for w in counts if w not in code]
+    spelling = lambda w: np.frombuffer(w + b" ", np.uint8).astype(np.int64)
+    tokens = learned([stream(i) for i in train], lm.token_contexts, lm.TOKEN_PREDICTORS, 1 << (bits + 8), bits)
+    letters = learned([spelling(w) for w in rare], lm.byte_contexts, lm.BYTE_PREDICTORS, lm.BYTE_SLOTS, 8)
+    escaped, ones = sum(counts[w] for w in rare), sum(counts[w] == 1 for w in rare)
+    assert len(rare) > 100
+    for i, _ in rows[::9]:
+        run = stream(i)
+        cost = plain_costs(tokens, run.tolist(), lm.token_contexts(run, start), bits, lm.SYMBOLS_A_STEP)
+        for w in words[i]:
+            if w not in code:
+                own = spelling(w)
+                new, spelled = (ones + 1) / (escaped + 2), 2.0 ** -plain_costs(letters, own.tolist(), lm.byte_contexts(own, start), 8, 1)
+                cost -= math.log2(new * spelled + (1 - new) * counts[w] / escaped)
+        assert abs(got[i] + cost * math.log10(2)) < 2e-3 * max(1, cost / 100)
+
+
+def test_lm_beats_its_base(spark):
+    got = lm.score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+
+
 # 10 personal data
 
 PRIVATE = [
