@@ -9,7 +9,6 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.lineage import checkpointed, clean_up, shared_dir, written  # noqa: F401
 
@@ -81,9 +80,3 @@ def fresh_name(name: str, columns: list[str]) -> str:
     while name in taken:
         name = "_" + name
     return name
-
-
-def ascii_lower(column):
-    """Lower-case A-Z only, as the contracts ask; other letters stay."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(column, upper, upper.lower())
