@@ -278,3 +278,16 @@ def test_manifest_and_structures(spark, tmp_path):
     (tmp_path / "s" / "one.cif").write_text(text)
     got = sorted(files.read_atoms(spark, f"file://{tmp_path}/s").collect(), key=lambda r: r.chain)
     assert [(r.file, r.chain, r.residue, r.name, r.atom, r.z) for r in got] == [("one.cif", "A", 1, "GLY", "N", 3.0), ("one.cif", "B", 2, "ALA", "C1'", 6.5)]
+
+
+def test_residuals_seeds_and_skill(spark):
+    from pyspark.sql import Window
+
+    rows = spark.createDataFrame([(f"g{i % 3}", i, float((i * 7) % 36), float(i)) for i in range(36)], "grp string, k int, y double, p double")
+    assert rows.select("k", metrics.rank_residual("y", "p").alias("e")).agg(F.sum("e")).first()[0] == 0
+    z = rows.select(metrics.z_score("y", Window.partitionBy("grp")).alias("z"))
+    assert abs(z.agg(F.sum("z")).first()[0]) < 1e-9
+    seeds = rows.withColumn("seed", F.explode(F.array(F.lit(1), F.lit(3)))).withColumn("p", F.col("p") + F.col("seed"))
+    mean, long = models.seed_ensemble(seeds, ["k"], "p", "seed")
+    assert {(r.k, r.p) for r in mean.collect()} == {(i, i + 2.0) for i in range(36)} and long.count() == 72
+    assert metrics.skill_vs_support(rows, "y", "p", "grp").first().groups == 3
