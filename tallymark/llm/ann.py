@@ -1,7 +1,7 @@
 """Nearest neighbours by a hash-prefix forest.
 
-Rows are dealt into shards of bounded size and queries into blocks of bounded size; a unit
-of work is one shard and one block.  For its shard it builds ``trees`` sorted arrays of
+Rows are dealt into shards of bounded size and queries into blocks of bounded size (both in
+components, so longer vectors make smaller ones); a unit of work is one shard and one block.  For its shard it builds ``trees`` sorted arrays of
 hash strings (the signs of random projections, most significant bit first).  A query
 descends each array to its longest matching prefix by binary search; all trees then ascend
 together, a bit at a time, until the matched ranges hold enough rows.  The rows in those
@@ -29,14 +29,17 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-SHARD_ROWS, BLOCK_QUERIES = 8192, 1024
-TREES, BITS, RECALL, SAMPLE = 64, 16, 0.96, 32
+#: Components in a shard and a block: of 64 dimensions, 32,768 rows and 16,384 queries.
+SHARD_VALUES, BLOCK_VALUES = 1 << 21, 1 << 20
+TREES, BITS, RECALL, SAMPLE = 128, 32, 0.96, 64
 #: Rows in the matched ranges of all trees, as a multiple of the shard's; each is a step.
-STEPS = (0.125, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
+STEPS = tuple(2 ** (i / 2) for i in range(-8, 10))
+#: Queries whose ranges are held at once.
+QUERIES_AT_ONCE = 1024
 
 
 def _codes(x: np.ndarray, planes: np.ndarray, trees: int, bits: int) -> np.ndarray:
-    """uint32 hash strings, one row a tree."""
+    """uint32 hash strings of up to 32 bits, one row a tree."""
     out = np.empty((trees, len(x)), np.uint32)
     weights = (1 << np.arange(bits - 1, -1, -1)).astype(np.uint32)
     for t in range(trees):
@@ -58,6 +61,10 @@ class Forest:
 
     def candidates(self, queries: np.ndarray, share: float):
         """Yield for each query the indexes of its candidate rows."""
+        for at in range(0, len(queries), QUERIES_AT_ONCE):
+            yield from self._candidates(queries[at : at + QUERIES_AT_ONCE], share)
+
+    def _candidates(self, queries: np.ndarray, share: float):
         trees, bits = self.trees, self.bits
         query_codes = _codes(np.column_stack([queries, np.zeros(len(queries))]), self.planes, trees, bits)
         low = np.zeros((trees, len(queries)), np.int64)
@@ -85,7 +92,8 @@ class Forest:
     def share(self, queries: np.ndarray, k: int, recall: float) -> float:
         """The smallest step that finds ``recall`` of the sampled queries' nearest rows."""
         sample = queries[:: max(1, len(queries) // SAMPLE)][:SAMPLE]
-        best = [set(np.argsort(-(self.rows @ q), kind="stable")[:k].tolist()) for q in sample]
+        # One more than k: the query's own vector may be among them.
+        best = [set(np.argsort(-(self.rows @ q), kind="stable")[: k + 1].tolist()) for q in sample]
         for step in STEPS:
             hits = sum(len(b & set(f.tolist())) for b, f in zip(best, self.candidates(sample, step), strict=True))
             if hits >= recall * sum(map(len, best)):
@@ -103,14 +111,13 @@ def _best(rows: pd.DataFrame, queries: pd.DataFrame, k: int, trees: int, bits: i
         for i, (own, found) in enumerate(zip(queries["query_id"].tolist(), forest.candidates(q, share), strict=True)):
             near = (x[found] * q[i]).sum(axis=1)
             if len(found) > k + 1:
-                # One more than k: the query's own vector may be among them.
                 found, near = found[keep := near >= np.partition(near, -k - 1)[-k - 1]], near[keep]
             best = sorted((-s, v) for s, f in zip(near.tolist(), found.tolist(), strict=True) for v in ids[f] if v != own)[:k]
             out += [(own, v, -s) for s, v in best]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, trees: int = TREES, bits: int = BITS, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, trees: int = TREES, bits: int = BITS, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding", shard_values: int = SHARD_VALUES, block_values: int = BLOCK_VALUES) -> DataFrame:
     """Return query_id, rank, vec_id and score; ``is_query`` is a condition on column ``id``."""
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
@@ -120,8 +127,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, trees: int = TREES, bits:
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
     unique = materialise(ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
     queries = materialise(rows.where(is_query), "vector-queries")
-    n_rows, n_queries = unique.count(), queries.count()
-    shards, blocks = max(1, -(-n_rows // SHARD_ROWS)), max(1, -(-n_queries // BLOCK_QUERIES))
+    values = lambda df: df.agg(F.sum(F.size("v").cast("long"))).first()[0] or 0
+    shards, blocks = max(1, -(-values(unique) // shard_values)), max(1, -(-values(queries) // block_values))
     deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     left = unique.select(deal("v", shards).alias("shard"), F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "v", "ids")
     right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.size("v").alias("dim"), deal("id", blocks).alias("block"), F.col("id").alias("query_id"), "v")

@@ -228,6 +228,20 @@ def test_neighbours_odd(spark):
     assert ann.search(table.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_neighbours_many_shards(spark):
+    """Recall over several shards and blocks, and all neighbours when every row is asked for."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((4000, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))]
+    table, want = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), brute_nearest(rows)
+    for recall, least in ((ann.RECALL, 0.9), (1.0, 0.99)):
+        got = {}
+        for r in ann.search(table, F.col("id") % 20 == 0, recall=recall, shard_values=16_000, block_values=1600).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert all(len(f) == 20 for f in got.values()) and set(got) == set(want)
+        assert np.mean([len(got[q] & {v for _, v in w}) / 20 for q, w in want.items()]) >= least
+
+
 # 5 secrets
 
 
