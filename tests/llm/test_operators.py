@@ -606,22 +606,30 @@ def test_lm_is_a_probability():
 
 
 def plain_costs(tables, symbols, contexts, bits, step):
-    """Bits of one run of symbols, a symbol and a bit at a time; weights move after every ``step`` symbols."""
+    """Bits of one run of symbols, a symbol and a bit at a time; weights and corrections move after every step."""
     n, slots = len(contexts), tables.shape[1]
     weights = [[0.9 / n + 0.1] * n + [0.0] for _ in range(bits)]
-    total = 0.0
-    for at in range(0, len(symbols), step):
+    corrections, total, at = Counter(), 0.0, 0
+    while at < len(symbols):
+        end = at + (1 if at < 32 else max(1, step // 4) if at < 256 else step)
         moves = [[0.0] * (n + 1) for _ in range(bits)]
-        for i in range(at, min(at + step, len(symbols))):
-            for k in range(bits):
-                node, bit = (1 << k) | (symbols[i] >> (bits - k)), (symbols[i] >> (bits - 1 - k)) & 1
-                x = [float(tables[p][lm._slots(c[i : i + 1], np.array([node]), slots)[0]]) for p, c in enumerate(contexts)] + [1.0]
+        run = range(at, min(end, len(symbols)))
+        for k in range(bits):
+            shift = Counter()  # a bit's corrections move before the next bit's
+            for i in run:
+                bit, spread = (symbols[i] >> (bits - 1 - k)) & 1, lm._spread(np.array([symbols[i]]), k, bits)
+                x = [float(tables[p][lm._slots(c[i : i + 1], spread, slots)[0]]) for p, c in enumerate(contexts)] + [1.0]
                 dot = min(max(sum(w * v for w, v in zip(weights[k], x, strict=True)), -12), 12)
-                p_one = 1 / (1 + math.exp(-dot))
-                total -= math.log2(p_one if bit else 1 - p_one)
+                cell = round(dot * 2)
+                p_one, p_last = (1 / (1 + math.exp(-d)) for d in (dot, min(max(dot + corrections[cell], -24), 24)))
+                total -= math.log2(p_last if bit else 1 - p_last)
+                shift[cell] += (bit - p_last) * lm.CORRECTION_RATE
                 for j, v in enumerate(x):
                     moves[k][j] += (bit - p_one) * v * lm.RATE
+            for cell, move in shift.items():
+                corrections[cell] += move
         weights = [[w + m for w, m in zip(a, b, strict=True)] for a, b in zip(weights, moves, strict=True)]
+        at = end
     return total
 
 
@@ -646,7 +654,7 @@ def test_lm_score_brute(spark, sf):
             own = contexts(run, start)
             for k in range(bits):
                 for p, c in enumerate(own):
-                    for at, bit in zip(lm._slots(c, (1 << k) | (run >> (bits - k)), slots).tolist(), ((run >> (bits - 1 - k)) & 1).tolist(), strict=True):
+                    for at, bit in zip(lm._slots(c, lm._spread(run, k, bits), slots).tolist(), ((run >> (bits - 1 - k)) & 1).tolist(), strict=True):
                         tables[p][at, bit] += 1
         out = np.zeros((predictors, slots))
         for p, t in enumerate(tables):
