@@ -1,7 +1,9 @@
-"""Places and running sums in one order of all rows, with no task that sees them all.
+"""Places and running sums in an order of all rows or of each group's, with no task that sees them all.
 
-Rows are dealt into ranges of the order and written with their range's number; a range's
-start is the sum of the earlier ranges, a table of one row a range.
+Rows are dealt into ranges of (group, order) and written with their range's number, so a
+group of any size is cut where a range ends.  A range's start in a group is the sum of the
+group's earlier ranges; only the first group of a range can have begun before it, so the
+starts are a table of at most one row a range.
 """
 
 from __future__ import annotations
@@ -18,22 +20,24 @@ def ranged(df: DataFrame, order: list) -> DataFrame:
     return checkpointed(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranges")
 
 
-def running(df: DataFrame, order: list, sums: dict[str, Column]) -> DataFrame:
-    """``df`` with running sums of the rows before each; ``order`` should leave no ties.
+def running(df: DataFrame, order: list, sums: dict[str, Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with running sums of the rows before each in its group; ``order`` should leave no ties.
 
-    ``order`` names columns, or gives ascending expressions.
+    ``order`` names columns, or gives ascending expressions.  Null keys of ``by`` are a group.
     """
-    named = df.select("*", *(o.alias(f"_o{k}") if isinstance(o, Column) else F.col(o).alias(f"_o{k}") for k, o in enumerate(order)), *(c.alias(f"_v_{n}") for n, c in sums.items()))
+    group = F.struct(*by) if by else F.lit(0)
+    named = df.select("*", group.alias("_g"), *(o.alias(f"_o{k}") if isinstance(o, Column) else F.col(o).alias(f"_o{k}") for k, o in enumerate(order)), *(c.alias(f"_v_{n}") for n, c in sums.items()))
     keys = [f"_o{k}" for k in range(len(order))]
-    rows = ranged(named, keys)
-    inner = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("_part").agg(*(F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums))
-    starts = totals.select("_part", *(F.coalesce(F.sum(f"_t_{n}").over(outer), F.lit(0)).alias(f"_s_{n}") for n in sums))
+    rows = ranged(named, ["_g", *keys] if by else keys)
+    inner = Window.partitionBy("_part", "_g").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most one row a range
+    totals = rows.groupBy("_part", "_g").agg(*(F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums))
+    starts = totals.select("_part", "_g", F.count("*").over(outer).alias("_k"), *(F.coalesce(F.sum(f"_t_{n}").over(outer), F.lit(0)).alias(f"_s_{n}") for n in sums)).where("_k > 0").drop("_k")
     own = rows.select("*", *(F.coalesce(F.sum(f"_v_{n}").over(inner), F.lit(0)).alias(f"_w_{n}") for n in sums))
-    return own.join(F.broadcast(starts), "_part").select(*df.columns, *((F.col(f"_w_{n}") + F.col(f"_s_{n}")).alias(n) for n in sums))
+    both = own.join(F.broadcast(starts), ["_part", "_g"], "left")
+    return both.select(*df.columns, *((F.col(f"_w_{n}") + F.coalesce(F.col(f"_s_{n}"), F.lit(0))).alias(n) for n in sums))
 
 
-def numbered(df: DataFrame, order: list, out: str = "_i") -> DataFrame:
-    """``df`` with each row's place in the order, from 0."""
-    return running(df, order, {out: F.lit(1).cast("long")})
+def numbered(df: DataFrame, order: list, out: str = "_i", by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with each row's place in the order of its group, from 0."""
+    return running(df, order, {out: F.lit(1).cast("long")}, by)
