@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, contamination, lm, pii, quality, secrets, simhash, spans, token_files
+from . import ann, bpe, contamination, distinct, lm, pii, quality, secrets, simhash, spans, token_files, trie
 from .common import table
 
 #: The setting that holds the key of the surrogates, and the key of tests.
@@ -65,10 +65,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(table(spark, sf_dir, "documents"), spark.conf.get(*PII_KEY))
 
 
+def op11_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct.window_algebra(table(spark, sf_dir, "clicks"), "kind", "ts", "client_id")
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.grafted_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_files, op2_bpe, op3_spans, op4_neighbours, op5_secrets, op6_contamination, op7_quality, op8_simhash, op9_lm, op10_pii)
+    own = (op1_token_files, op2_bpe, op3_spans, op4_neighbours, op5_secrets, op6_contamination, op7_quality, op8_simhash, op9_lm, op10_pii, op11_distinct, op12_trie)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_contamination": contamination.SQL}
+    return {"op6_contamination": contamination.SQL, "op12_trie": trie.SQL}
