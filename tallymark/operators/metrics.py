@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clamp0, safe_corr, safe_divide
 from .lineage import checkpointed
+from .order import median
 from .ranks import average_rank, group_rank, spearman, spearman_by
 
 #: Rows that a group needs for a statistic of its own.
@@ -35,8 +36,9 @@ def operational(df: DataFrame, y: str, p: str, short: float = 2.0, long: float =
     expm1 of a logarithm is not exact, so a value equal to a limit belongs to the lower stratum.
     """
     t = F.expm1(F.col(y))
-    rows = df.select(t.alias("t"), F.abs(F.expm1(F.col(p)) - t).alias("e"))
-    return rows.agg(F.avg("e").alias("mae_hours_raw"), F.median("e").alias("median_hours"), F.avg(F.when(F.col("t") <= short + 1e-9, F.col("e"))).alias("mae_short"), F.avg(F.when(F.col("t") > long + 1e-9, F.col("e"))).alias("mae_long"))
+    rows = checkpointed(df.select(t.alias("t"), F.abs(F.expm1(F.col(p)) - t).alias("e")), "errors")
+    means = rows.agg(F.avg("e").alias("mae_hours_raw"), F.avg(F.when(F.col("t") <= short + 1e-9, F.col("e"))).alias("mae_short"), F.avg(F.when(F.col("t") > long + 1e-9, F.col("e"))).alias("mae_long"))
+    return means.join(median(rows, "e", "median_hours")).select("mae_hours_raw", "median_hours", "mae_short", "mae_long")
 
 
 def calibration(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -57,13 +59,13 @@ def top_k_precision(df: DataFrame, y: str, p: str, grp: str, key: str, k: int) -
 
 
 def skill_table(df: DataFrame, y: str, p: str, grp: str, least: int = MIN_ROWS) -> DataFrame:
-    sizes = df.groupBy(grp).agg(F.median(y).alias("median_y"))
-    return spearman_by(df, y, p, grp, least=least).join(sizes, grp).where(F.col("rho").isNotNull())
+    rows = checkpointed(df.select(grp, y, p), "skill")
+    return spearman_by(rows, y, p, grp, least=least).join(median(rows, y, "median_y", (grp,)), grp).where(F.col("rho").isNotNull())
 
 
 def skill_vs_support(df: DataFrame, y: str, p: str, grp: str) -> DataFrame:
     """Whether groups with more rows or larger values are predicted better."""
-    table = skill_table(df, y, p, grp)
+    table = checkpointed(skill_table(df, y, p, grp), "skill-table")
     a = spearman(table, "n", "rho").select(F.col("rho").alias("rho_n"), F.col("n").alias("groups"))
     return a.join(spearman(table, "median_y", "rho").select(F.col("rho").alias("rho_median")))
 

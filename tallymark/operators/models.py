@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hash32, uniform
 from .lineage import checkpointed
-from .order import running
+from .order import median, running
 
 
 def group_median(train: DataFrame, rows: DataFrame, grp: str, y: str, out: str = "pred") -> DataFrame:
     """``rows`` with the training median of their group, or of all training rows for an unseen group."""
-    own = train.groupBy(grp).agg(F.median(y).alias("_own"))
-    whole = train.agg(F.median(y).alias("_all"))
+    train = checkpointed(train.select(grp, y), "train")
+    own, whole = median(train, y, "_own", (grp,)), median(train, y, "_all")
     return rows.join(own, grp, "left").join(F.broadcast(whole)).withColumn(out, F.coalesce("_own", "_all")).drop("_own", "_all")
 
 
@@ -76,9 +76,9 @@ def learning_curve(train: DataFrame, evaluation: DataFrame, cluster: str, grp: s
         taken = one if taken is None else taken.unionByName(one)
     levels = spark.createDataFrame([(float(s),) for s in shares], "frac double")
     kept = taken.join(F.broadcast(total)).join(F.broadcast(levels), F.col("_before") < F.round(F.col("_t") * F.col("frac"), 6)).select(cluster, "frac", "seed")
-    part = train.select(cluster, grp, y).join(kept, cluster)
-    own = part.groupBy("frac", "seed", grp).agg(F.median(y).alias("_own"))
-    whole = part.groupBy("frac", "seed").agg(F.median(y).alias("_all"), F.count("*").alias("n_rows"))
+    part = checkpointed(train.select(cluster, grp, y).join(kept, cluster).select("frac", "seed", grp, y), "parts")
+    own = median(part, y, "_own", ("frac", "seed", grp))
+    whole = median(part, y, "_all", ("frac", "seed")).join(part.groupBy("frac", "seed").agg(F.count("*").alias("n_rows")), ["frac", "seed"])
     rows = evaluation.select(grp, y).join(F.broadcast(whole)).join(own, ["frac", "seed", grp], "left")
     error = lambda p: F.sqrt(F.avg(F.pow(p - F.col(y), 2)))
     return rows.groupBy("frac", "seed", "n_rows").agg(error(F.coalesce("_own", "_all")).alias("rmse_log"), error(F.col("_all")).alias("rmse_floor"))

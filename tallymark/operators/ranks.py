@@ -6,51 +6,65 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_corr
-from .order import numbered, running
+from .lineage import checkpointed
+from .order import numbered, quantiles, ranks, running
 
 
 def average_rank(df: DataFrame, value: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Ranks from 1; equal values share the mean of theirs.
+    """Ranks from 1 within groups of any size; equal values share the mean of theirs.
 
-    Rows are first counted by value, so that only distinct values are sorted; without
-    groups in ranges, so no task sorts them all.  Both sides of the join that takes the
-    ranks back to the rows are plain shuffles, so a frequent value's rows can be split.
+    Distinct values are ranked by ranges of (group, value).  Both sides of the join that
+    takes the ranks back to the rows are plain shuffles, so a frequent value's rows can be split.
     """
-    keys = [*by, value]
-    seen = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
-    if by:
-        before = F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-        ranked = seen.withColumn("_before", F.coalesce(before, F.lit(0)))
-    else:
-        ranked = running(seen, [value], {"_before": F.col("_n")})
-    ranks = ranked.select(*keys, (F.col("_before") + (F.col("_n") + 1) / F.lit(2.0)).alias(out))
-    return df.join(ranks, keys, "left")
+    return _with_ranks(df, ranks(df, value, by), value, out, by)
+
+
+def _with_ranks(df: DataFrame, ranked: DataFrame, value: str, out: str, by: tuple[str, ...]) -> DataFrame:
+    same = F.col(value) == F.col("_rv")
+    for k, name in enumerate(by):
+        same = same & F.col(name).eqNullSafe(F.col(f"_rg{k}"))
+    named = ranked.select(*(F.col(name).alias(f"_rg{k}") for k, name in enumerate(by)), F.col(value).alias("_rv"), F.col("rank").alias(out))
+    return df.join(named.hint("merge"), same, "left").select(*df.columns, out)
 
 
 def group_rank(value: str, *by: str) -> Column:
-    """Average rank within groups as a window expression."""
+    """Average rank as a window expression: for groups of a bounded size."""
     w = Window.partitionBy(*by)
     return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / F.lit(2.0)
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: n and rho; null if there are fewer than three rows or a side is constant."""
-    ranked = average_rank(average_rank(df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, "_rx"), y, "_ry")
+    ranked = _both_ranked(df, x, y, ())
     rho = F.when(F.count("*") >= 3, safe_corr("_rx", "_ry"))
     return ranked.agg(F.count("*").alias("n"), rho.alias("rho"))
 
 
+def with_both_ranks(df: DataFrame, x: str, y: str, by: tuple[str, ...], rx: str, ry: str) -> DataFrame:
+    """``df`` with the ranks of two columns within groups of any size; the two are placed in one pass."""
+    rows = checkpointed(df, "to-rank")
+    sides = [rows.select(*by, F.lit(k).alias("_side"), F.col(c).cast("double").alias("_v")) for k, c in enumerate((x, y))]
+    placed = checkpointed(ranks(sides[0].unionByName(sides[1]), "_v", ("_side", *by)), "ranks")
+    for k, (c, out) in enumerate(((x, rx), (y, ry))):
+        rows = _with_ranks(rows, placed.where(F.col("_side") == k).select(*by, F.col("_v").alias(c), "rank"), c, out, by)
+    return rows
+
+
+def _both_ranked(df: DataFrame, x: str, y: str, by: tuple[str, ...]) -> DataFrame:
+    """(by, _rx, _ry): ranks of the rows that have both values."""
+    rows = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x is not null and _y is not null")
+    return with_both_ranks(rows, "_x", "_y", by, "_rx", "_ry")
+
+
 def spearman_by(df: DataFrame, x: str, y: str, *by: str, least: int = 3) -> DataFrame:
-    """n and rho of each group with at least ``least`` rows."""
-    rows = df.select(*by, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = rows.select(*by, group_rank(x, *by).alias("_rx"), group_rank(y, *by).alias("_ry"))
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), safe_corr("_rx", "_ry").alias("rho"))
+    """n and rho of each group with at least ``least`` rows; groups of any size."""
+    out = _both_ranked(df, x, y, by).groupBy(*by).agg(F.count("*").alias("n"), safe_corr("_rx", "_ry").alias("rho"))
     return out.where(F.col("n") >= least).withColumn("rho", F.when(F.col("n") >= 3, F.col("rho")))
 
 
 def quantile_bins(df: DataFrame, value: str, k: int, out: str) -> DataFrame:
     """Bins from 0, right-closed, cut at the i/k quantiles; equal cuts count once."""
-    cuts = df.agg(F.array_distinct(F.percentile(value, F.array(*(F.lit(i / k) for i in range(1, k))))).alias("_cuts"))
+    cuts = quantiles(df, value, [i / k for i in range(1, k)]).select(F.array_distinct("q").alias("_cuts"))
     number = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     return df.join(F.broadcast(cuts)).withColumn(out, number.cast("int")).drop("_cuts")
 

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hash32, safe_corr, uniform
 from .audits import verdict
-from .order import numbered, running
+from .lineage import checkpointed
+from .order import median, numbered, quantiles, running
 
 
 def draws(df: DataFrame, cluster: str, reps: int, seed: int) -> DataFrame:
@@ -58,11 +59,14 @@ def replicate_spearman(rows: DataFrame, picks: DataFrame, cluster: str, y: str,
     return rho.where(F.col("n") >= least).groupBy("rep").agg(*(F.avg(m).alias(m) for m in models))
 
 
-def interval(values: DataFrame, value: Column, reps: int, gate: float = 0.0) -> DataFrame:
-    """One row: mean, lo, hi (2.5 and 97.5 percentiles) and n_valid; null if fewer than ``gate`` of the draws are valid."""
-    rows = values.select(value.alias("v")).where(F.col("v").isNotNull())
-    enough = F.count("*") >= F.lit(gate * reps)
-    return rows.agg(*(F.when(enough, c).alias(n) for n, c in (("mean", F.avg("v")), ("lo", F.percentile("v", 0.025)), ("hi", F.percentile("v", 0.975)))), F.count("*").alias("n_valid"))
+def intervals(values: DataFrame, named: dict[str, Column], reps: int, gate: float = 0.0) -> DataFrame:
+    """(metric, mean, lo, hi, n_valid) of each named value: 2.5 and 97.5 percentiles; null if fewer than ``gate`` of the draws are valid."""
+    each = F.array(*(F.struct(F.lit(n).alias("metric"), c.cast("double").alias("v")) for n, c in named.items()))
+    rows = checkpointed(values.select(F.explode(each).alias("x")).select("x.*"), "replicates")
+    means = rows.groupBy("metric").agg(F.avg("v").alias("mean"), F.count("v").alias("n_valid"))
+    both = means.join(quantiles(rows, "v", [0.025, 0.975], ("metric",)), "metric", "left")
+    enough = F.col("n_valid") >= F.lit(gate * reps)
+    return both.select("metric", *(F.when(enough, c).alias(n) for n, c in (("mean", F.col("mean")), ("lo", F.get("q", 0)), ("hi", F.get("q", 1)))), "n_valid")
 
 
 def permutation(ids: DataFrame, key: str, reps: int, tag: str, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -206,10 +210,9 @@ def weighted_rmse(y: Column, p: Column, w: Column) -> Column:
 
 def comparison_suite(replicates: DataFrame, pairs: list[tuple[str, str]], reps: int, noise: float, gate: float = 0.0) -> DataFrame:
     """(a, b, mean, lo, hi, n_valid, verdict): the interval of a - b for named pairs of models, all on the same draws."""
-    each = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col(a) - F.col(b)).alias("v")) for a, b in pairs))
-    values = replicates.select(F.explode(each).alias("x")).select("x.*")
-    enough = F.count("v") >= F.lit(gate * reps)
-    out = values.groupBy("a", "b").agg(*(F.when(enough, c).alias(n) for n, c in (("mean", F.avg("v")), ("lo", F.percentile("v", 0.025)), ("hi", F.percentile("v", 0.975)))), F.count("v").alias("n_valid"))
+    wanted = replicates.sparkSession.createDataFrame([(f"{a}|{b}", a, b) for a, b in pairs], "metric string, a string, b string")
+    found = intervals(replicates, {f"{a}|{b}": F.col(a) - F.col(b) for a, b in pairs}, reps, gate)
+    out = found.join(F.broadcast(wanted), "metric").select("a", "b", "mean", "lo", "hi", "n_valid")
     return out.withColumn("verdict", verdict(F.col("mean"), F.col("lo"), F.col("hi"), noise))
 
 
@@ -245,7 +248,7 @@ def conformal(calibration: DataFrame, test: DataFrame, y: str, p: str, alphas: l
 
     q is the k-th smallest residual, k = ceil((n + 1)(1 - alpha)) and at most n.
     """
-    r = calibration.select(F.abs(F.col(y) - F.col(p)).alias("r"))
+    r = checkpointed(calibration.select(F.abs(F.col(y) - F.col(p)).alias("r")), "residuals")
     levels = calibration.sparkSession.createDataFrame([(a,) for a in alphas], "alpha double")
     n = r.agg(F.count("*").alias("n"))
     # (n + 1)(1 - alpha) is rounded first: 0.1 has no exact binary form.
@@ -253,10 +256,13 @@ def conformal(calibration: DataFrame, test: DataFrame, y: str, p: str, alphas: l
     wanted = levels.join(n).select("alpha", k.cast("int").alias("k"))
     ranked = numbered(r, ["r"])
     q = ranked.join(F.broadcast(wanted), F.col("_i") + 1 == F.col("k")).select("alpha", F.col("r").alias("q"))
-    rows = test.select(y, p).join(F.broadcast(q))
+    q = checkpointed(q, "quantiles")  # a row a level
+    rows = checkpointed(test.select(y, p).join(F.broadcast(q)), "tested")
     inside = (F.abs(F.col(y) - F.col(p)) <= F.col("q")).cast("double")
     hours = F.expm1(F.col(p) + F.col("q")) - F.expm1(F.greatest(F.col(p) - F.col("q"), F.lit(0.0)))
-    return rows.groupBy("alpha", "q").agg(F.avg(inside).alias("coverage"), F.median(hours).alias("median_width")).select("alpha", "q", "coverage", (F.col("q") * 2).alias("width"), "median_width")
+    shares = rows.groupBy("alpha", "q").agg(F.avg(inside).alias("coverage"))
+    widths = median(rows.select("alpha", hours.alias("h")), "h", "median_width", ("alpha",))
+    return shares.join(widths, "alpha").select("alpha", "q", "coverage", (F.col("q") * 2).alias("width"), "median_width")
 
 
 def hashed_subset(df: DataFrame, key: str, share: float, tag: str, seed: int) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import layer_norm, log_softmax_at, on_grid, r6, uniform
-from ..operators import contracts, encode, metrics, models, neighbours, ranks, report, resample, vectors
+from ..operators import contracts, encode, metrics, models, neighbours, order, ranks, report, resample, vectors
+from ..operators.lineage import checkpointed
 from .views import ALPHABET, SQL, domains, groups, pairs, preds, strings, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,7 +82,7 @@ def metric_record(spark, sf):
 @query(_record_sql("(SELECT v.*, (SELECT median(yl) FROM train) AS pc FROM val v) x", "pc"))
 def metric_record_constant(spark, sf):
     rows = preds(spark, sf)
-    whole = rows.where("split = 'train'").agg(F.median("yl").alias("pc"))
+    whole = order.median(rows.where("split = 'train'"), "yl", "pc")
     return _rounded(metrics.record(rows.where("split = 'val'").join(F.broadcast(whole)), "yl", "pc", "grp"))
 
 
@@ -97,21 +98,22 @@ def spearman_by_group(spark, sf):
 @query(""" SELECT split, CAST(count(*) AS BIGINT) AS n, round(100.0 * count(*) / (SELECT count(*) FROM preds), 1) AS pct, round(median(y), 6) AS median_y, round(avg(y), 6) AS mean_y,
   round(avg(CASE WHEN y = 0 THEN 1.0 ELSE 0.0 END), 6) AS frac_zero, CAST(count(DISTINCT grp) AS BIGINT) AS groups, CAST(count(DISTINCT seq9) AS BIGINT) AS seqs FROM preds GROUP BY split""")
 def split_summary(spark, sf):
-    rows = preds(spark, sf)
+    rows = checkpointed(preds(spark, sf).select("split", "grp", "seq9", "y"), "summary")
     total = rows.agg(F.count("*").alias("total"))
     # Distinct counts as two-level aggregates: no row is expanded for them.
-    plain = rows.groupBy("split").agg(F.count("*").alias("n"), F.median("y").alias("median_y"), F.avg("y").alias("mean_y"), F.avg((F.col("y") == 0).cast("double")).alias("frac_zero"))
+    plain = rows.groupBy("split").agg(F.count("*").alias("n"), F.avg("y").alias("mean_y"), F.avg((F.col("y") == 0).cast("double")).alias("frac_zero"))
     g = rows.select("split", "grp").distinct().groupBy("split").agg(F.count("*").alias("groups"))
     s = rows.select("split", "seq9").distinct().groupBy("split").agg(F.count("*").alias("seqs"))
-    out = plain.join(F.broadcast(total)).join(g, "split").join(s, "split")
+    out = plain.join(F.broadcast(total)).join(order.median(rows, "y", "median_y", ("split",)), "split").join(g, "split").join(s, "split")
     return _rounded(out.select("split", "n", F.round(100.0 * F.col("n") / F.col("total"), 1).alias("pct"), "median_y", "mean_y", "frac_zero", "groups", "seqs"))
 
 
 @query(""", c AS (SELECT split, seq9, count(DISTINCT grp) AS k FROM preds GROUP BY split, seq9)
 SELECT split, round(avg(k), 6) AS mean, CAST(median(k) AS DOUBLE) AS median, CAST(max(k) AS BIGINT) AS max FROM c GROUP BY split""")
 def seq_group_counts(spark, sf):
-    each = preds(spark, sf).select("split", "seq9", "grp").distinct().groupBy("split", "seq9").agg(F.count("*").alias("k"))
-    return _rounded(each.groupBy("split").agg(F.avg("k").alias("mean"), F.median("k").alias("median"), F.max("k").alias("max")))
+    each = checkpointed(preds(spark, sf).select("split", "seq9", "grp").distinct().groupBy("split", "seq9").agg(F.count("*").alias("k")), "counts")
+    plain = each.groupBy("split").agg(F.avg("k").alias("mean"), F.max("k").alias("max"))
+    return _rounded(plain.join(order.median(each, "k", "median", ("split",)), "split").select("split", "mean", "median", "max"))
 
 
 @query(f""", part AS (SELECT * FROM train WHERE {_hash("'hold|' || grp")} / 4294967296.0 >= 0.2) SELECT DISTINCT grp FROM val WHERE grp NOT IN (SELECT grp FROM part)""")
@@ -254,9 +256,13 @@ def noise_ceiling(spark, sf):
     close = both.join(g.select(F.col("grp").alias("a"), F.col("pseudo").alias("pa")), "pa").join(g.select(F.col("grp").alias("b"), F.col("pseudo").alias("pb")), "pb").where("a < b").select("a", "b", "dist")
     shared = close.join(rows.select(F.col("grp").alias("a"), "seq9", F.col("yl").alias("ya")), "a").join(rows.select(F.col("grp").alias("b"), "seq9", F.col("yl").alias("yb")), ["b", "seq9"])
     e = F.col("ya") - F.col("yb")
-    ranked = shared.select("dist", "a", "b", e.alias("e"), ranks.group_rank("ya", "a", "b").alias("ra"), ranks.group_rank("yb", "a", "b").alias("rb"))
+    ranked = ranks.with_both_ranks(shared.select("dist", "a", "b", "ya", "yb", e.alias("e")), "ya", "yb", ("a", "b"), "ra", "rb")
     each = ranked.groupBy("dist", "a", "b").agg(F.count("*").alias("n"), safe_corr("ra", "rb").alias("rho"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse")).where("n >= 30")
-    return _rounded(each.groupBy("dist").agg(F.count("*").alias("pairs"), F.median("rho").alias("median_rho"), F.max("rho").alias("max_rho"), F.median("n").alias("median_n"), F.median("rmse").alias("median_rmse")))
+    each = checkpointed(each, "ceilings")
+    out = each.groupBy("dist").agg(F.count("*").alias("pairs"), F.max("rho").alias("max_rho"))
+    for name in ("rho", "n", "rmse"):
+        out = out.join(order.median(each, name, f"median_{name}", ("dist",)), "dist", "left")
+    return _rounded(out.select("dist", "pairs", "median_rho", "max_rho", "median_n", "median_rmse"))
 
 
 # Distributions, ranks and bins
@@ -285,21 +291,22 @@ def zero_mass(spark, sf):
 @query(""", v AS (SELECT DISTINCT round(y, 6) AS y FROM pairs), g AS (SELECT y, lead(y) OVER (ORDER BY y) - y AS gap FROM v)
 SELECT CAST(count(*) AS BIGINT) AS n_values, round(min(gap), 6) AS least_gap, round(max(gap), 6) AS largest_gap, round(median(gap), 6) AS median_gap FROM g""")
 def value_gaps(spark, sf):
-    gaps = ranks.value_gaps(pairs(spark, sf).select(F.round("y", 6).alias("y")), "y")
-    return _rounded(gaps.agg(F.count("*").alias("n_values"), F.min("gap").alias("least_gap"), F.max("gap").alias("largest_gap"), F.median("gap").alias("median_gap")))
+    gaps = checkpointed(ranks.value_gaps(pairs(spark, sf).select(F.round("y", 6).alias("y")), "y"), "gaps")
+    plain = gaps.agg(F.count("*").alias("n_values"), F.min("gap").alias("least_gap"), F.max("gap").alias("largest_gap"))
+    return _rounded(plain.join(order.median(gaps, "gap", "median_gap")))
 
 
 @query(""", m AS (SELECT grp, median(y) AS my FROM pairs GROUP BY grp), c AS (SELECT list_distinct(quantile_cont(my, [0.2, 0.4, 0.6, 0.8])) AS cuts FROM m)
 SELECT grp, CAST(len(list_filter(cuts, lambda x: x < my)) AS BIGINT) AS stratum FROM m, c""")
 def qcut_strata(spark, sf):
-    medians = pairs(spark, sf).groupBy("grp").agg(F.median("y").alias("my"))
+    medians = checkpointed(order.median(pairs(spark, sf), "y", "my", ("grp",)), "medians")
     return _rounded(ranks.quantile_bins(medians, "my", 5, "stratum").select("grp", "stratum"))
 
 
 @query(""", m AS (SELECT grp, median(y) AS my FROM pairs GROUP BY grp), r AS (SELECT grp, row_number() OVER (ORDER BY my, grp) - 1 AS i, count(*) OVER () AS n FROM m)
 SELECT grp FROM r WHERE i IN (SELECT CAST(floor(k * (n - 1) / 5.0) AS BIGINT) FROM range(6) t(k))""")
 def spread_picks(spark, sf):
-    medians = pairs(spark, sf).groupBy("grp").agg(F.median("y").alias("my"))
+    medians = checkpointed(order.median(pairs(spark, sf), "y", "my", ("grp",)), "medians")
     return ranks.spread_picks(medians, ["my", "grp"], 6).select("grp")
 
 
@@ -487,7 +494,7 @@ def ensemble_z(spark, sf):
 k AS (SELECT {_rank("n")} AS rn, {_rank("rho")} AS rr, {_rank("md")} AS rm FROM t WHERE rho IS NOT NULL)
 SELECT CAST(count(*) AS BIGINT) AS groups, round({_corr("rn", "rr")}, 6) AS rho_n, round({_corr("rm", "rr")}, 6) AS rho_median FROM k""")
 def skill_vs_support(spark, sf):
-    rounded = metrics.skill_table(_val(spark, sf), "yl", "pb", "grp").withColumn("rho", F.round("rho", 9))
+    rounded = checkpointed(metrics.skill_table(_val(spark, sf), "yl", "pb", "grp").withColumn("rho", F.round("rho", 9)), "skill-table")
     a = ranks.spearman(rounded, "n", "rho").select(F.col("n").alias("groups"), F.col("rho").alias("rho_n"))
     return _rounded(a.join(ranks.spearman(rounded, "median_y", "rho").select(F.col("rho").alias("rho_median"))))
 
@@ -522,19 +529,15 @@ def _boot(spark, sf, grp=None, reps=REPS):
 
 
 def _cluster_ci(spark, sf, n):
-    reps = _boot(spark, sf, reps=n)
-    both = [resample.interval(reps, F.col(m), n).select(F.lit(m).alias("metric"), "mean", "lo", "hi", "n_valid") for m in ("pa", "pb")]
-    return _rounded(both[0].unionByName(both[1]))
+    return _rounded(resample.intervals(_boot(spark, sf, reps=n), {m: F.col(m) for m in ("pa", "pb")}, n))
 
 
 def _paired_ci(spark, sf, n):
-    return _rounded(resample.interval(_boot(spark, sf, reps=n), F.col("pb") - F.col("pa"), n).select(F.lit("pb-pa").alias("metric"), "mean", "lo", "hi", "n_valid"))
+    return _rounded(resample.intervals(_boot(spark, sf, reps=n), {"pb-pa": F.col("pb") - F.col("pa")}, n))
 
 
 def _within_ci(spark, sf, n):
-    reps = _boot(spark, sf, "grp", n)
-    both = [resample.interval(reps, c, n, 0.95).select(F.lit(m).alias("metric"), "mean", "lo", "hi", "n_valid") for m, c in (("pb-pa", F.col("pb") - F.col("pa")), ("pb", F.col("pb")))]
-    return _rounded(both[0].unionByName(both[1]))
+    return _rounded(resample.intervals(_boot(spark, sf, "grp", n), {"pb-pa": F.col("pb") - F.col("pa"), "pb": F.col("pb")}, n, 0.95))
 
 
 @query(f", {_DRAWS}, {_POOLED} {_interval_sql('a', 'pl', 'pa')} UNION ALL {_interval_sql('b', 'pl', 'pb')}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_corr, uniform
-from ..operators import audits, contracts, metrics, models, neighbours, ranks, vectors
+from ..operators import audits, contracts, metrics, models, neighbours, order, ranks, vectors
 from .catalogue import SEED, _corr, _greedy_sql, _hash, _rank, _rounded, _val, query
 from .views import groups, pairs, preds, strings, table
 
@@ -72,8 +72,8 @@ def skill_extremes(spark, sf):
 
 @query(f"""SELECT split, round(min(yl), 6) AS low, round(quantile_cont(yl, 0.25), 6) AS q1, round(quantile_cont(yl, 0.75), 6) AS q3, round(max(yl), 6) AS high, round(max(yl) - min(yl), 6) AS width FROM preds GROUP BY split""")
 def value_ranges(spark, sf):
-    at = F.percentile("yl", F.array(F.lit(0.25), F.lit(0.75)))
-    own = preds(spark, sf).groupBy("split").agg(F.min("yl").alias("low"), at.alias("q"), F.max("yl").alias("high"))
+    rows = preds(spark, sf).select("split", "yl")
+    own = rows.groupBy("split").agg(F.min("yl").alias("low"), F.max("yl").alias("high")).join(order.quantiles(rows, "yl", [0.25, 0.75], ("split",)), "split")
     return _rounded(own.select("split", "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), "high", (F.col("high") - F.col("low")).alias("width")))
 
 

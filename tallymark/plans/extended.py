@@ -200,7 +200,7 @@ SELECT 'pb-pa' AS metric, round(avg(b - a), 6) AS mean, round(quantile_cont(b -
 def rmse_bootstrap_ci(spark, sf):
     rows = _val(spark, sf)
     reps = resample.replicate_metric(rows, resample.draws(rows, "seq9", REPS, SEED), "seq9", "yl", ["pa", "pb"], resample.weighted_rmse)
-    return _rounded(resample.interval(reps, F.col("pb") - F.col("pa"), REPS).select(F.lit("pb-pa").alias("metric"), "mean", "lo", "hi", "n_valid"))
+    return _rounded(resample.intervals(reps, {"pb-pa": F.col("pb") - F.col("pa")}, REPS))
 
 
 @query()

@@ -51,7 +51,7 @@ def test_bootstrap_of_weight_one_is_the_point(spark):
     ones = rows.select("c").distinct().select(F.lit(0).alias("rep"), "c", F.lit(1).cast("long").alias("w"))
     one = resample.replicate_spearman(rows, ones, "c", "y", ["p"]).first().p
     assert abs(one - ranks.spearman(rows, "y", "p").first().rho) < 1e-9
-    gate = resample.interval(spark.createDataFrame([(1.0,)] * 18 + [(None,)] * 2, "v double"), F.col("v"), 20, 0.95).first()
+    gate = resample.intervals(spark.createDataFrame([(1.0,)] * 18 + [(None,)] * 2, "v double"), {"v": F.col("v")}, 20, 0.95).first()
     assert gate.mean is None and gate.n_valid == 18
 
 
