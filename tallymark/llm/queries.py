@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, contamination, distinct, lm, pii, quality, secrets, simhash, spans, token_files, trie
+from . import ann, bpe, contamination, distinct, lm, pii, prefix_bpe, quality, secrets, simhash, spans, token_files, trie
 from .common import table
 
 #: The setting that holds the key of the surrogates, and the key of tests.
@@ -73,8 +73,17 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.grafted_trie(table(spark, sf_dir, "conversations"))
 
 
+def prefix_bpe_digests(docs: DataFrame) -> DataFrame:
+    whole = prefix_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return whole.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_bpe_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_files, op2_bpe, op3_spans, op4_neighbours, op5_secrets, op6_contamination, op7_quality, op8_simhash, op9_lm, op10_pii, op11_distinct, op12_trie)
+    own = (op1_token_files, op2_bpe, op3_spans, op4_neighbours, op5_secrets, op6_contamination, op7_quality, op8_simhash, op9_lm, op10_pii, op11_distinct, op12_trie, op13_prefix_bpe)
     return {f.__name__: f for f in own}
 
 
