@@ -29,36 +29,6 @@ def draws(df: DataFrame, cluster: str, reps: int, seed: int) -> DataFrame:
     return counted.join(own, "_i").select("rep", cluster, "w")
 
 
-def weighted_rank(value: str, by: list[str]) -> tuple[Column, Column]:
-    """Average rank of rows that stand for ``w`` equal rows: weight before, plus half of one more than the ties'."""
-    ties = F.sum("w").over(Window.partitionBy(*by, value))
-    upto = F.sum("w").over(Window.partitionBy(*by).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return upto - ties + (ties + 1) / F.lit(2.0)
-
-
-def weighted_corr(x: str, y: str) -> Column:
-    """Pearson's r of weighted rows; null where a side is constant."""
-    w, n = F.col("w").cast("double"), F.sum("w").cast("double")
-    mx, my = F.sum(w * F.col(x)) / n, F.sum(w * F.col(y)) / n
-    cov = F.sum(w * F.col(x) * F.col(y)) / n - mx * my
-    var = (F.sum(w * F.col(x) * F.col(x)) / n - mx * mx) * (F.sum(w * F.col(y) * F.col(y)) / n - my * my)
-    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), cov / F.sqrt(var))
-
-
-def replicate_spearman(rows: DataFrame, picks: DataFrame, cluster: str, y: str, models: list[str], grp: str | None = None, least: int = 12) -> DataFrame:
-    """(rep, model columns): Spearman of each model on each replicate, pooled or as the mean within groups.
-
-    All models are ranked on the same draw.  A group counts with ``least`` drawn rows.
-    """
-    by = ["rep"] + ([grp] if grp else [])
-    drawn = rows.select(cluster, y, *models, *([grp] if grp else [])).join(picks, cluster)
-    ranked = drawn.select(*by, "w", weighted_rank(y, by).alias("_ry"), *(weighted_rank(m, by).alias(f"_r_{m}") for m in models))
-    rho = ranked.groupBy(*by).agg(F.sum("w").alias("n"), *(weighted_corr(f"_r_{m}", "_ry").alias(m) for m in models))
-    if not grp:
-        return rho.select("rep", *(F.when(F.col("n") >= 3, F.col(m)).alias(m) for m in models))
-    return rho.where(F.col("n") >= least).groupBy("rep").agg(*(F.avg(m).alias(m) for m in models))
-
-
 def intervals(values: DataFrame, named: dict[str, Column], reps: int, gate: float = 0.0) -> DataFrame:
     """(metric, mean, lo, hi, n_valid) of each named value: 2.5 and 97.5 percentiles; null if fewer than ``gate`` of the draws are valid."""
     each = F.array(*(F.struct(F.lit(n).alias("metric"), c.cast("double").alias("v")) for n, c in named.items()))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import layer_norm, log_softmax_at, on_grid, r6, uniform
-from ..operators import contracts, encode, metrics, models, neighbours, order, ranks, report, resample, vectors
+from ..operators import contracts, encode, metrics, models, neighbours, order, ranks, replicates, report, resample, vectors
 from ..operators.lineage import checkpointed
 from .views import ALPHABET, SQL, domains, groups, pairs, preds, strings, table
 
@@ -524,8 +524,7 @@ _WITHIN = f"wr AS (SELECT rep, grp, {_rank('yl', 'rep, grp')} AS ry, {_rank('pa'
 
 
 def _boot(spark, sf, grp=None, reps=REPS):
-    rows = _val(spark, sf)
-    return resample.replicate_spearman(rows, resample.draws(rows, "seq9", reps, SEED), "seq9", "yl", ["pa", "pb"], grp)
+    return replicates.bootstrap_spearman(_val(spark, sf), "seq9", "yl", ["pa", "pb"], reps, SEED, grp)
 
 
 def _cluster_ci(spark, sf, n):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import attention, hash32, identity, or_na, uniform
-from ..operators import audits, contracts, encode, metrics, models, neighbours, ranks, report, resample, vectors
+from ..operators import audits, contracts, encode, metrics, models, neighbours, ranks, replicates, report, resample, vectors
 from .catalogue import _BANDED, _DRAWS, REPS, SEED, _agreement, _corr, _hash, _rank, _rounded, _val, null_pairs, query
 from .views import domains, groups, pairs, preds, strings, table
 
@@ -191,7 +191,7 @@ su AS ({" UNION ALL ".join(_suite_sql(a, b) for a, b in _SUITE)})
 SELECT a, b, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, n_valid, CASE WHEN lo <= 0 AND hi >= 0 THEN 'spans zero' WHEN abs(mean) <= 0.01 THEN 'within seed noise' ELSE 'survives' END AS verdict FROM su""")
 def comparison_suite(spark, sf):
     rows = _val(spark, sf).withColumn("pm", (F.col("pa") + F.col("pb")) / 2)
-    reps = resample.replicate_spearman(rows, resample.draws(rows, "seq9", REPS, SEED), "seq9", "yl", ["pa", "pb", "pm"])
+    reps = replicates.bootstrap_spearman(rows, "seq9", "yl", ["pa", "pb", "pm"], REPS, SEED)
     return _rounded(resample.comparison_suite(reps, _SUITE, REPS, 0.01))
 
 

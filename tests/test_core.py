@@ -2,12 +2,13 @@
 
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tallymark.functions.columns import r6, safe_corr, tolerance
-from tallymark.operators import contracts, encode, metrics, models, neighbours, ranks, report, resample, vectors
+from tallymark.operators import contracts, encode, metrics, models, neighbours, ranks, replicates, report, resample, vectors
 from tallymark.sources import files
 from tallymark.streaming.running import windowed_errors
 
@@ -48,8 +49,8 @@ def test_rank_is_invariant_and_whole(spark):
 
 def test_bootstrap_of_weight_one_is_the_point(spark):
     rows = spark.createDataFrame([(str(i), float(i % 7), float(i % 5)) for i in range(40)], "c string, y double, p double")
-    ones = rows.select("c").distinct().select(F.lit(0).alias("rep"), "c", F.lit(1).cast("long").alias("w"))
-    one = resample.replicate_spearman(rows, ones, "c", "y", ["p"]).first().p
+    ones = rows.select("c").distinct().withColumn("w", F.lit(replicates.pack(np.ones(1))))
+    one = replicates.weighted_spearman(rows, ones, "c", "y", ["p"], 1).first().p
     assert abs(one - ranks.spearman(rows, "y", "p").first().rho) < 1e-9
     gate = resample.intervals(spark.createDataFrame([(1.0,)] * 18 + [(None,)] * 2, "v double"), {"v": F.col("v")}, 20, 0.95).first()
     assert gate.mean is None and gate.n_valid == 18
