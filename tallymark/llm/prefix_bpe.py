@@ -278,7 +278,9 @@ def library_pattern(pattern: str, special: dict[str, int], odd: dict[str, str])
         other = rf"(?:[^\s\p{{L}}\p{{N}}]|(?!{low})[{either}])"
     else:
         other = r"[^\s\p{L}\p{N}]"
-    return rf"(?V1){one}|\s+(?={one})|" + out.replace("<other>", rf"(?:(?!{one}){other})+")
+    # No earlier alternative can match where a special token or blanks before one begin, so these come late.
+    out = out.replace(r"\s+(?!\S)", rf"{one}|\s+(?={one})|\s+(?!\S)")
+    return "(?V1)" + out.replace("<other>", rf"(?:(?!{one}){other})+")
 
 
 def _encode_lists(batches, path: str, schema: pa.Schema):
