@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hash32, uniform
 from .lineage import checkpointed
-from .order import median, running
+from .order import median, numbered, running
 
 
 def group_median(train: DataFrame, rows: DataFrame, grp: str, y: str, out: str = "pred") -> DataFrame:
@@ -42,28 +42,72 @@ def best_epoch(history: DataFrame, run: str, epoch: str, score: str, patience: i
     return history.groupBy(run).agg(F.aggregate(ordered, start, step).alias("best")).select(run, F.col("best.e").alias("epoch"), F.col("best.s").alias("score"))
 
 
+def _shared_out(sizes: list[tuple[int, int]], want: np.ndarray) -> list[tuple[int, int, float, int]]:
+    """(size, split, have, count): how many of the clusters of each size a split takes, and what it had before.
+
+    ``sizes``: (size, clusters) from the largest on.  A split's need falls by equal steps as it
+    takes clusters of one size, so a run of equal clusters is a merge of falling sequences: it
+    ends at a level of need, found by halving, and only needs at that level are dealt singly.
+    """
+    have, floor, out = np.zeros(len(want)), np.maximum(want, 1e-9), []
+    for size, clusters in sizes:
+        need = lambda took: (want - (have + took * size)) / floor
+
+        def above(level):
+            """How many steps of each split begin with a need above the level."""
+            took = np.maximum(np.ceil((want - have - level * floor) / size), 0)
+            took = np.minimum(took, clusters)
+            while (more := (need(took) > level) & (took < clusters)).any():
+                took = took + more
+            while (less := (took > 0) & (need(took - 1) <= level)).any():
+                took = took - less
+            return took
+
+        low, high = float(need(np.full(len(want), float(clusters))).min()) - 1.0, float(need(np.zeros(len(want))).max())
+        for _ in range(200):  # until the two levels are neighbours
+            mid = (low + high) / 2
+            if not low < mid < high:
+                break
+            low, high = (mid, high) if above(mid).sum() > clusters else (low, mid)
+        took = above(high)
+        while took.sum() < clusters:
+            took[int(np.argmax(need(took)))] += 1
+        out += [(int(size), k, float(have[k]), int(n)) for k, n in enumerate(took) if n]
+        have = have + took * size
+    return out
+
+
+#: Steps of a split that one row of the plan stands for.
+_STEPS = 10_000
+
+
 def greedy_split(groups: DataFrame, targets: dict[str, float], seed: int, stratum: str | None = None) -> DataFrame:
     """(cluster, n, split): clusters by falling size to the split that lacks most of its share.
 
-    Sequential by nature, so a stratum's clusters (not its rows) go to one task; strata run
-    in parallel.  Ties in size are dealt by hash, ties in need by the order of ``targets``.
+    Clusters of one size are one step: how many of them each split takes, and in what order,
+    follows from the sizes.  The driver sees the distinct sizes of a stratum and how many
+    clusters have them; clusters are numbered within their size by hash and meet the
+    splits' turns by number.  Ties in need go by the order of ``targets``.
     """
     names, shares = list(targets), np.array(list(targets.values()), float)
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "_h", "cluster"], ascending=[False, True, True], kind="stable")
-        want = shares * pdf["n"].sum()
-        have, out = np.zeros(len(names)), []
-        for n in pdf["n"].tolist():
-            best = int(np.argmax((want - have) / np.maximum(want, 1e-9)))
-            have[best] += n
-            out.append(names[best])
-        return pdf.assign(split=out)[["cluster", "n", "split"]]
-
-    key = F.col(stratum) if stratum else F.lit(0)
-    rows = groups.select("cluster", F.col("n").cast("long").alias("n"), hash32("greedy", seed, F.col("cluster")).alias("_h"), key.alias("_s"))
-    cluster_type = rows.schema["cluster"].dataType.simpleString()
-    return rows.groupBy("_s").applyInPandas(assign, f"cluster {cluster_type}, n long, split string")
+    spark = groups.sparkSession
+    key = F.col(stratum).cast("string") if stratum else F.lit("")
+    rows = checkpointed(groups.select("cluster", F.col("n").cast("long").alias("n"), F.coalesce(key, F.lit("\0null")).alias("_s")), "clusters")
+    counted: dict[str, list[tuple[int, int]]] = {}
+    for r in rows.groupBy("_s", "n").agg(F.count("*").alias("k")).collect():
+        counted.setdefault(r["_s"], []).append((r["n"], r["k"]))
+    plan = []
+    for s, sizes in counted.items():
+        want = shares * sum(n * k for n, k in sizes)
+        plan += [(s, size, split, have, float(want[split]), n) for size, split, have, n in _shared_out(sorted(sizes, reverse=True), want)]
+    turns = spark.createDataFrame(plan, "_s string, n long, k int, have double, want double, took long")
+    first = turns.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("took") - 1, F.lit(_STEPS).cast("long"))))
+    steps = first.repartition("_s", "n", "at").withColumn("m", F.explode(F.sequence("at", F.least(F.col("at") + _STEPS, F.col("took")) - 1)))
+    need = (F.col("want") - (F.col("have") + F.col("m") * F.col("n"))) / F.greatest("want", F.lit(1e-9))
+    dealt = numbered(steps.select("_s", "n", "k", need.alias("need")), [-F.col("need"), F.col("k")], "_i", ("_s", "n"))
+    placed = numbered(rows.withColumn("_h", hash32("greedy", seed, F.col("cluster"))), ["_h", "cluster"], "_i", ("_s", "n"))
+    both = placed.join(dealt.select("_s", "n", "_i", "k").hint("merge"), ["_s", "n", "_i"])
+    return both.select("cluster", "n", F.get(F.array(*map(F.lit, names)), F.col("k")).alias("split"))
 
 
 def learning_curve(train: DataFrame, evaluation: DataFrame, cluster: str, grp: str, y: str, shares: list[float], seeds: list[int]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,14 +122,97 @@ def detector_probe(entities: DataFrame, length: int, distance: int, alphabet: st
     return planted.join(fired, key, "left").select("kind", "distance", F.coalesce("hit", F.lit(0)).alias("fired"))
 
 
+def first_unlike(letters: np.ndarray, bucket: np.ndarray, asks: np.ndarray, listed: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (ask, found): for each asking row its first ``most`` listed rows of its bucket that differ in every letter.
+
+    Rows are sorted by bucket and letters.  A listed row that agrees with the asking one in its
+    p-th letter is skipped with all that share its first p letters, so a row looks at a few
+    places of its bucket's list, however long it is.
+    """
+    lists, queries = np.flatnonzero(listed), np.flatnonzero(asks)
+    words, n, width = letters[lists], len(lists), letters.shape[1]
+    following = np.empty((width, n), np.int64)
+    fresh = np.append(True, bucket[lists][1:] != bucket[lists][:-1]) if n else np.zeros(0, bool)
+    for p in range(width):
+        fresh = fresh | (np.append(True, words[1:, p] != words[:-1, p]) if n else fresh)
+        starts = np.where(fresh, np.arange(n), n)
+        following[p] = np.append(np.minimum.accumulate(starts[::-1])[::-1][1:], n) if n else starts
+    at, end = np.searchsorted(bucket[lists], bucket[queries], "left"), np.searchsorted(bucket[lists], bucket[queries], "right")
+    taken, ask, found = np.zeros(len(queries), np.int64), [], []
+    active = np.flatnonzero(at < end)
+    while len(active):
+        here = at[active]
+        same = words[here] == letters[queries[active]]
+        met, place = same.any(axis=1), same.argmax(axis=1)
+        good = active[~met]
+        ask.append(queries[good])
+        found.append(lists[at[good]])
+        taken[good] += 1
+        at[active] = np.where(met, following[place, here], here + 1)
+        active = active[(at[active] < end[active]) & (taken[active] < most)]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *ask]), np.concatenate([none, *found])
+
+
+#: Rows of whole buckets that are looked through together.
+_BUCKET_ROWS = 100_000
+
+
+def _first_in_buckets(batches, length: int, most: int):
+    """Rows sorted by mask size, bucket and text: the first neighbours of each asking text in its bucket."""
+    def done(rows):
+        width, bucket, text, asks, listed = (np.concatenate(c) for c in zip(*rows, strict=True))
+        parts = []
+        for d in np.unique(width):
+            own = np.flatnonzero(width == d)
+            chars = lambda v: v[own].astype(f"U{length}").view(np.uint32).reshape(len(own), length)
+            words, hidden = chars(text), chars(bucket) == ord("*")
+            # Rows of one mask size: the hidden letters of each, in order.
+            letters = words[hidden].reshape(len(own), int(d))
+            ask, found = first_unlike(letters, bucket[own].astype(f"U{length}"), asks[own], listed[own], most)
+            parts.append((text[own][ask], text[own][found], np.full(len(ask), d)))
+        a, b, d = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(d.astype(np.int32))], names=["a", "b", "d"])
+
+    held = []
+    for batch in batches:
+        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)])
+        if sum(len(c[0]) for c in held) < _BUCKET_ROWS:
+            continue
+        held = [[np.concatenate(c) for c in zip(*held, strict=True)]]
+        bucket = held[0][1]
+        # The last bucket may go on in the next batch.
+        cut = int(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))[-1])
+        if cut:
+            yield done([[v[:cut] for v in held[0]]])
+            held = [[v[cut:] for v in held[0]]]
+    if sum(len(c[0]) for c in held):
+        yield done(held)
+
+
 def banded_neighbours(a: DataFrame, b: DataFrame | None, length: int, furthest: int, most: int, key: str = "seq") -> DataFrame:
     """(a, b, d): for each string of ``a`` and each distance from 1 to ``furthest`` its first ``most`` neighbours in order.
 
-    Within one set the first neighbours are taken before pairs are reduced to a < b, so a
-    late string can lose a pair.
+    A neighbour at distance d is in the bucket of the one mask of d positions in which the
+    strings differ, and differs from it in all of them.  A bucket is an ordered list, from
+    which each string takes its first ``most``; no pairs are made.  A bucket holds as many
+    strings as the alphabet has words of d letters.  Within one set the first neighbours
+    are taken before pairs are reduced to a < b, so a late string can lose a pair.  Strings
+    have ``length`` characters, none of them ``*``; null strings take no part.
     """
-    # Equality of strings with ``furthest`` wildcards finds every pair; both directions are wanted.
-    near = masked_pairs(a, a if b is None else b, length, furthest, key).where("d >= 1")
+    texts = a.select(F.col(key).alias("t")).distinct().select("t", F.lit(True).alias("asks"), F.lit(b is None).alias("listed"))
+    if b is not None:
+        both = texts.unionByName(b.select(F.col(key).alias("t")).distinct().select("t", F.lit(False).alias("asks"), F.lit(True).alias("listed")))
+        texts = both.groupBy("t").agg(F.bool_or("asks").alias("asks"), F.bool_or("listed").alias("listed"))
+
+    def masks(d):
+        return F.transform(masked_keys(F.col("t"), length, d), lambda m: F.struct(F.lit(d).alias("d"), m.alias("m")))
+
+    buckets = F.concat(*map(masks, range(1, furthest + 1)))
+    spread = texts.where(F.length("t") == length).select("t", "asks", "listed", F.explode(buckets).alias("x")).select("x.d", "x.m", "t", "asks", "listed")
+    met = spread.repartition("m").sortWithinPartitions("d", "m", "t")
+    near = met.mapInArrow(lambda it: _first_in_buckets(it, length, most), "a string, b string, d int")
+    # At most ``most`` rows a mask come together here.
     first = near.withColumn("_r", F.row_number().over(Window.partitionBy("a", "d").orderBy("b"))).where(F.col("_r") <= most)
     return (first.where("a < b") if b is None else first).select("a", "b", "d")
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tallymark.functions.columns import r6, safe_corr, tolerance
+from tallymark.functions.columns import hash32, r6, safe_corr, tolerance
 from tallymark.operators import contracts, encode, metrics, models, neighbours, ranks, replicates, report, resample, vectors
 from tallymark.sources import files
 from tallymark.streaming.running import windowed_errors
@@ -96,6 +96,65 @@ def test_tolerance_and_claims(spark):
     assert report.heading_count(texts, r"## Run \d+").first().n == 2
 
 
+def one_by_one(sizes, shares):
+    """The split of each cluster, dealt in order to the split that lacks most."""
+    want, have, out = np.array(shares) * sum(sizes), np.zeros(len(shares)), []
+    for n in sizes:
+        best = int(np.argmax((want - have) / np.maximum(want, 1e-9)))
+        have[best] += n
+        out.append(best)
+    return out
+
+
+def test_runs_of_equal_clusters_are_shared_as_one_by_one():
+    rng = np.random.default_rng(2)
+    for shares in ([0.8, 0.1, 0.1], [0.5, 0.5], [1.0], [0.7, 0.3, 0.0], [0.34, 0.33, 0.33]):
+        for _ in range(30):
+            sizes = sorted(rng.choice([1, 1, 1, 2, 3, 5, 40, 1000], rng.integers(1, 400)).tolist(), reverse=True)
+            split = np.array(one_by_one(sizes, shares))
+            runs = [(n, sizes.count(n)) for n in sorted(set(sizes), reverse=True)]
+            got = models._shared_out(runs, np.array(shares) * sum(sizes))
+            want = [(n, k, int(((np.array(sizes) == n) & (split == k)).sum())) for n, _ in runs for k in range(len(shares))]
+            assert [(n, k, c) for n, k, _, c in got] == [w for w in want if w[2]]
+    # A hundred million clusters of one size are as quick.
+    assert sum(c for *_, c in models._shared_out([(3, 5), (1, 10**8)], np.array([0.8, 0.1, 0.1]) * (15 + 10**8))) == 10**8 + 5
+
+
+def test_greedy_split_is_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(models, "_STEPS", 7)
+    rng = np.random.default_rng(4)
+    rows = [(f"c{i}", int(n), str(i % 2) if i % 5 else None) for i, n in enumerate(rng.choice([1, 1, 2, 9, 60], 300))]
+    names = ["train", "val", "test"]
+    for stratum in (None, "s"):
+        got = {r.cluster: r.split for r in models.greedy_split(spark.createDataFrame(rows, "cluster string, n int, s string"), {"train": 0.8, "val": 0.1, "test": 0.1}, 1, stratum).collect()}
+        assert len(got) == len(rows)
+        hashes = {r.cluster: r.h for r in spark.createDataFrame(rows, "cluster string, n int, s string").select("cluster", hash32("greedy", 1, F.col("cluster")).alias("h")).collect()}
+        for own in ({None, "0", "1"},) if stratum is None else ({None}, {"0"}, {"1"}):
+            ordered = sorted((r for r in rows if stratum is None or r[2] in own), key=lambda r: (-r[1], hashes[r[0]], r[0]))
+            assert [got[r[0]] for r in ordered] == [names[k] for k in one_by_one([r[1] for r in ordered], [0.8, 0.1, 0.1])]
+
+
+@pytest.mark.parametrize("rows_together", [5, 100_000])
+def test_banded_neighbours_are_the_first(spark, monkeypatch, rows_together):
+    """Against all pairs, within a set and across two that overlap."""
+    monkeypatch.setattr(neighbours, "_BUCKET_ROWS", rows_together)
+    rng = np.random.default_rng(6)
+    words = lambda n: sorted({"".join(rng.choice(list("ABCé"), 6)) for _ in range(n)})
+    one, two = words(160), words(120)
+    two = sorted({*two, *one[:30]})
+    df = lambda w: spark.createDataFrame([(x,) for x in [*w, w[0], None]], "seq string")
+    apart = lambda x, y: sum(p != q for p, q in zip(x, y, strict=True))
+
+    def brute(a, b):
+        return {(x, y, d) for x in a for d in range(1, 5) for y in [y for y in b if apart(x, y) == d][:3]}
+
+    got = {tuple(r) for r in neighbours.banded_neighbours(df(one), df(two), 6, 4, 3).collect()}
+    assert got == brute(one, two)
+    got = {tuple(r) for r in neighbours.banded_neighbours(df(one), None, 6, 4, 3).collect()}
+    assert got == {(x, y, d) for x, y, d in brute(one, one) if x < y}
+    assert neighbours.banded_neighbours(df(one).limit(0), None, 6, 4, 3).collect() == []
+
+
 def test_greedy_split_keeps_clusters_and_quota(spark):
     groups = spark.createDataFrame([(f"c{i}", 1 + i % 5, i % 2) for i in range(200)], "cluster string, n long, s int")
     for stratum in (None, "s"):
