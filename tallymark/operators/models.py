@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash32, uniform
+from .encode import vocabulary
 from .lineage import checkpointed
 from .order import median, numbered, running
+from .training import OneHot, fit, predicted
 
 
 def group_median(train: DataFrame, rows: DataFrame, grp: str, y: str, out: str = "pred") -> DataFrame:
@@ -136,103 +137,23 @@ def crossover(curve: DataFrame, better: str, worse: str) -> DataFrame:
     return ahead.agg(F.min("frac").alias("frac"))
 
 
-def _dense(groups: list[str], texts: list[str], alphabet: str, length: int, known: dict[str, int]) -> np.ndarray:
-    x = np.zeros((len(texts), length * len(alphabet) + len(known)), np.float32)
-    for row, (g, t) in enumerate(zip(groups, texts, strict=True)):
-        for i, c in enumerate(t[:length]):
-            if (k := alphabet.find(c)) >= 0:
-                x[row, i * len(alphabet) + k] = 1
-        if g in known:
-            x[row, length * len(alphabet) + known[g]] = 1
-    return x
-
-
-def _forward(x: np.ndarray, layers: list[np.ndarray]) -> list[np.ndarray]:
-    """The values of each layer; ``layers`` holds weights and biases in turn."""
-    values = [x]
-    for k in range(0, len(layers), 2):
-        z = values[-1] @ layers[k] + layers[k + 1]
-        values.append(np.maximum(z, 0) if k + 2 < len(layers) else z)
-    return values
-
-
-def _fit_mlp(x, target, held, held_y, hidden: tuple[int, ...], epochs: int, patience: int, seed: int) -> tuple[list[np.ndarray], int]:
-    """Adam on squared error; the epoch with the best Spearman on the held rows is kept."""
-    rng = np.random.default_rng(seed)
-    widths = [x.shape[1], *hidden, 1]
-    layers = [p for a, b in zip(widths[:-1], widths[1:], strict=True) for p in (rng.normal(0, np.sqrt(2 / max(min(a, 64), 1)), (a, b)).astype(np.float32), np.zeros(b, np.float32))]
-    layers[-2] *= np.float32(0.1)
-    layers[-1] += np.float32(target.mean())
-    m, v, t = [np.zeros_like(p) for p in layers], [np.zeros_like(p) for p in layers], 0
-    best, kept, chosen, stale = -np.inf, [p.copy() for p in layers], 0, 0
-    ranks = lambda z: pd.Series(z).rank().to_numpy()
-    for epoch in range(1, epochs + 1):
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), 256):
-            pick = order[at : at + 256]
-            values = _forward(x[pick], layers)
-            back, grads = ((values[-1][:, 0] - target[pick]) / len(pick))[:, None], [None] * len(layers)
-            for k in range(len(layers) - 2, -1, -2):
-                grads[k], grads[k + 1] = values[k // 2].T @ back, back.sum(axis=0)
-                back = (back @ layers[k].T) * (values[k // 2] > 0)
-            t += 1
-            for i, g in enumerate(grads):
-                m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
-                layers[i] = (layers[i] - 1e-3 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-        p = _forward(held, layers)[-1][:, 0]
-        rho = np.corrcoef(ranks(p), ranks(held_y))[0, 1] if len(p) > 2 and p.std() > 0 and held_y.std() > 0 else -1.0
-        if rho > best + 1e-5:
-            best, kept, chosen, stale = rho, [p.copy() for p in layers], epoch, 0
-        elif (stale := stale + 1) >= patience:
-            break
-    return kept, chosen
-
-
-def mlp_predictions(train: DataFrame, held: DataFrame, rows: DataFrame, grp: str, text: str, y: str, alphabet: str, length: int, seeds: list[int], sample: int = 20_000, hidden: tuple[int, ...] = (256, 64), epochs: int = 60, patience: int = 8) -> DataFrame:
-    """``rows`` with column ``pred``: the seeds' mean of networks on one-hot features.
-
-    Fitted on at most ``sample`` training rows and stopped by at most a quarter as many held
-    rows, taken by hash; every seed is a task.  An unseen group and a letter outside the
-    alphabet are zeros.  Scoring is one pass.
+def mlp_predictions(train: DataFrame, held: DataFrame, rows: DataFrame, grp: str, text: str, y: str, alphabet: str, length: int, seeds: list[int], hidden: tuple[int, ...] = (64, 16), rounds: int = 20, patience: int = 4) -> DataFrame:
+    """``rows`` with column ``pred``: the seeds' mean of networks on one-hot features, fitted on all training rows.
+
+    An unseen group and a letter outside the alphabet count for nothing.
     """
-    def some(df, n, part):
-        own = df.select(F.col(grp).alias("g"), F.col(text).alias("t"), F.col(y).cast("double").alias("y"), F.lit(part).alias("part"))
-        return own.orderBy(F.xxhash64("g", "t"), "g", "t").limit(n)
-
-    chosen = checkpointed(some(train, sample, 0).unionByName(some(held, sample // 4, 1)), "mlp-rows")
-    known = {r["g"]: i for i, r in enumerate(chosen.where("part = 0").select("g").distinct().orderBy("g").collect())}
-    width = length * len(alphabet) + len(known)
-    shapes = [s for a, b in zip([width, *hidden], [*hidden, 1], strict=True) for s in ((a, b), (b,))]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        seed = int(pdf["seed"].iloc[0])
-        pdf = pdf.sort_values(["g", "t"], kind="stable")
-        x, own = _dense(pdf["g"].tolist(), pdf["t"].tolist(), alphabet, length, known), pdf["part"].to_numpy() == 0
-        target = pdf["y"].to_numpy(np.float32)
-        layers, epoch = _fit_mlp(x[own], target[own], x[~own], target[~own], hidden, epochs, patience, seed)
-        return pd.DataFrame({"seed": [seed], "epoch": [epoch], "weights": [b"".join(p.astype("<f4").tobytes() for p in layers)]})
-
-    # Every seed gets the same bounded sample.
-    tasks = chosen.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
-    fitted = tasks.groupBy("seed").applyInPandas(fit, "seed int, epoch int, weights binary").orderBy("seed").collect()
-
-    def unpacked(raw: bytes) -> list[np.ndarray]:
-        flat, out, at = np.frombuffer(raw, "<f4"), [], 0
-        for shape in shapes:
-            out.append(flat[at : at + int(np.prod(shape))].reshape(shape))
-            at += int(np.prod(shape))
-        return out
-
-    models = rows.sparkSession.sparkContext.broadcast([unpacked(bytes(r["weights"])) for r in fitted])
-
-    def score(batches):
-        for pdf in batches:
-            x = _dense(pdf[grp].tolist(), pdf[text].tolist(), alphabet, length, known)
-            yield pdf.assign(pred=sum(_forward(x, m)[-1][:, 0].astype(float) for m in models.value) / len(models.value))
-
-    from pyspark.sql import types as T
-
-    return rows.mapInPandas(score, T.StructType([*rows.schema.fields, T.StructField("pred", T.DoubleType())]))
+    known = checkpointed(vocabulary(train, grp), "groups")
+    count = known.count()
+    model = OneHot(length * len(alphabet) + count, hidden)
+    cells = [F.instr(F.lit(alphabet), F.substring(text, p, 1)) for p in range(1, length + 1)]
+    places = [F.when((F.length(F.substring(text, p, 1)) == 1) & (c > 0), (p - 1) * len(alphabet) + c - 1).otherwise(-1).cast("long") for p, c in enumerate(cells, 1)]
+    own = F.coalesce(F.col("_index") + length * len(alphabet), F.lit(-1)).cast("long")
+
+    def ready(df):
+        return df.join(known.withColumnRenamed("index", "_index"), grp, "left").withColumn("_cells", F.array(*places, own)).drop("_index")
+
+    fitted = fit(ready(train), ready(held), model, F.col("_cells"), y, seeds, rounds, patience)
+    return predicted(ready(rows), fitted, model, F.col("_cells")).drop("_cells")
 
 
 def hurdle_predictions(train: DataFrame, rows: DataFrame, features: str, y: str) -> DataFrame:

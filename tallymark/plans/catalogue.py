@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import layer_norm, log_softmax_at, on_grid, r6, uniform
-from ..operators import contracts, encode, metrics, models, neighbours, order, ranks, replicates, report, resample, vectors
+from ..operators import contracts, encode, metrics, models, neighbours, order, ranks, replicates, report, resample, training, vectors
 from ..operators.lineage import checkpointed
 from .views import ALPHABET, SQL, domains, groups, pairs, preds, strings, table
 
@@ -746,13 +746,29 @@ def greedy_split(spark, sf):
 
 @query()
 def mlp_baseline(spark, sf):
-    """Three seeds, two hidden layers, the epoch by the validation rows; scored on test rows."""
+    """Three seeds, two hidden layers, all training rows, the round by the validation rows; scored on test rows."""
     rows = preds(spark, sf)
     part = lambda s: rows.where(F.col("split") == s).select("grp", "seq9", "yl")
-    scored = models.mlp_predictions(part("train"), part("val"), part("test"), "grp", "seq9", "yl", ALPHABET, 9, [42, 43, 44], sample=8_000)
+    scored = models.mlp_predictions(part("train"), part("val"), part("test"), "grp", "seq9", "yl", ALPHABET, 9, [42, 43, 44])
     return metrics.record(scored, "yl", "pred", "grp")
 
 
+@query()
+def embedding_heads(spark, sf):
+    """A mean-pool and an attention head on all vectors against their labels: three seeds, stopped by held vectors, scored on test vectors."""
+    u = uniform("heads", F.col("vec_id").cast("string"))
+    rows = table(spark, sf, "embeddings").where((F.size("embedding") == 64) & F.col("label").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("double").alias("y"), F.when(u < 0.8, "train").when(u < 0.9, "val").otherwise("test").alias("split"))
+    rows, out = checkpointed(rows, "vectors"), None
+    part = lambda s: rows.where(F.col("split") == s)
+    for name, model in (("mean_pool", training.MeanPool(8, 8, (32,))), ("attention", training.Attention(8, 8, (32,)))):
+        fitted = training.fit(part("train"), part("val"), model, F.col("x"), "y", [42, 43, 44])
+        scored = checkpointed(training.predicted(part("test"), fitted, model, F.col("x")).select("y", "pred"), "scored")
+        rmse = scored.agg(F.sqrt(F.avg(F.pow(F.col("pred") - F.col("y"), 2))).alias("rmse"))
+        one = ranks.spearman(scored, "y", "pred").join(rmse).select(F.lit(name).alias("head"), "n", "rho", "rmse")
+        out = one if out is None else out.unionByName(one)
+    return _rounded(out)
+
+
 @query()
 def hurdle(spark, sf):
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
