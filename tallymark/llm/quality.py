@@ -1,23 +1,28 @@
 """Quality classifier by co-training of two views.
 
-One view sees a text's content (hashed words and letter shapes), the other its metadata
-(source, language, length).  For each target (low quality, toxic) both are fitted on
-labelled documents; then, round by round, each view scores all unlabelled documents, and
-of those that it is sure of the other view learns.  The two views' probabilities are
-calibrated on labelled documents that neither was fitted on, and combined there; the
-combination scores every document.
+One view sees a text's content (hashed words), the other what is known of the page:
+source, language, length, and how its lines and characters are laid out.  For each target
+(low quality, toxic) both are fitted on labelled documents; then, round by round, each view
+scores all unlabelled documents, and of those that it is sure of the other view learns.  A
+view is sure of a class where its calibrated chance to be wrong is ``SURER`` times smaller
+than that of the class's share.  A third of the labelled documents, on which neither view is
+fitted, calibrates: a view that, calibrated on one half of it, is no better on the other than
+the class's share neither teaches nor counts.  The combination of the views scores every
+document.
 
 The fits use at most ``labelled`` labelled documents, and ``pseudo`` pseudo-labels a round
 and view in the classes' proportions, both taken by hash of the id: of the pseudo-labels,
-from among all documents of the table that the view is sure of.  The models have a fixed
-size.  A round is one pass over the documents, and so is scoring; neither shuffles them.
+from among all documents of the table that the view is sure of.  ``pseudo`` bounds what a fit
+holds; it is no cap on what is scored.  The models have a fixed size.  A round is one pass over the documents, and so is scoring; neither shuffles them.
 
 Defined cases: labels with a null doc_id or value, and ids with conflicting labels, are
 not used; with fewer than 20 usable labels, or fewer than four of a class, a target's
 probability is its mean, at most half of what rejects, so nothing is rejected for it; a
 null or empty text and null metadata are scored as such; a very long text is scored
 whole; documents with a null id are scored but never learned from; rows stay separate
-rows; an empty table gives an empty result.
+rows; an empty table gives an empty result.  Equal ids among pseudo-labels teach once, by the
+row whose features come first; ties in the order of documents go by id; other columns, also
+of names used here, are ignored and kept by :func:`accepted`.
 """
 
 from __future__ import annotations
@@ -39,20 +44,28 @@ WORD_SLOTS = 1 << 18
 META_SLOTS = 1 << 10
 #: Probability from which a document is rejected.
 REJECT = 0.5
-#: Probability from which a view is sure of a label.
-SURE = 0.98
+#: How many times less often than the class's share a view has to be wrong to be sure.
+SURER = 5.0
+#: What a pseudo-label counts for beside a label.
+PSEUDO_WEIGHT = 0.2
+#: Share of the class mean's loss below which a view counts as better.
+BETTER = 0.95
 TARGETS = (("low", "quality", 0), ("toxic", "toxic", 1))
 _UPPER, _DIGITS, _SYMBOLS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#$%&*+/<=>@[\\]^_`{|}~"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, values): distinct lower-cased words, and how letters and words are shaped."""
-    text = text or ""
-    found = _WORD.findall(text.lower())
-    words = set(found)
+    """(slots, values): distinct lower-cased words, and one slot that all texts have."""
+    words = set(_WORD.findall((text or "").lower()))
     slots = sorted({64 + zlib.crc32(w.encode()) % (WORD_SLOTS - 64) for w in words})
-    n, chars = max(len(found), 1), max(len(text), 1)
+    return np.array([0, *slots], np.int32), np.ones(len(slots) + 1, np.float32)
+
+
+def meta_features(source: str | None, lang: str | None, n_chars: int | None, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, values) of a page: where it is from, how long it is and how it is laid out."""
+    text = text or ""
+    n, chars = max(text.count(" ") + text.count("\n"), 1), max(len(text), 1)
     lines, raw = text.split("\n"), text.encode()
 
     def part(these: bytes) -> float:
@@ -64,25 +77,20 @@ def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         part(_SYMBOLS),
         text.count("!") / n,
         text.count("|") / n,
-        len(words) / n,
-        min(sum(map(len, found)) / n / 10, 2.0),
         len(set(lines)) / len(lines),
+        min(chars / n / 20, 2.0),
+        min(len(lines) / n, 1.0),
         min(n, 1000) / 1000,
         float(n < 20),
-        float(not found),
+        float(not text),
     ]
     # Steps of each shape, so that a linear model can bend.
     steps = [int(s * 8) if s < 1 else 8 for s in (min(v * f, 1.0) for v, f in zip(shapes[:5], (2, 4, 5, 1, 1), strict=True))]
-    values = np.concatenate([np.full(len(slots), 1.0), [3.0 * v for v in shapes], [1.0] * 5]).astype(np.float32)
-    places = np.concatenate([slots, np.arange(len(shapes)), [16 + 9 * i + s for i, s in enumerate(steps)]]).astype(np.int32)
-    return places, values
-
-
-def meta_features(source: str | None, lang: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, values) of a document's metadata."""
     size = -1 if n_chars is None else int(n_chars).bit_length()
     keys = (f"s{source}", f"l{lang}", f"n{size}", f"s{source}l{lang}")
-    return np.array([zlib.crc32(k.encode()) % META_SLOTS for k in keys], np.int32), np.ones(len(keys), np.float32)
+    values = np.array([*(3.0 * v for v in shapes), *[1.0] * (5 + len(keys))], np.float32)
+    places = [*range(len(shapes)), *(16 + 9 * i + s for i, s in enumerate(steps)), *(64 + zlib.crc32(k.encode()) % (META_SLOTS - 64) for k in keys)]
+    return np.array(places, np.int32), values
 
 
 @dataclass
@@ -99,8 +107,8 @@ class Linear:
         return np.add.reduceat(self.weights[slots] * values, starts) + self.bias
 
     @classmethod
-    def fit(cls, rows, y: np.ndarray, size: int, rounds: int = 200, decay: float = 1e-4, least: int = 4, plain: int = 64):
-        """Logistic regression on slots scaled by their log odds.
+    def fit(cls, rows, y: np.ndarray, size: int, weight: np.ndarray | None = None, rounds: int = 200, decay: float = 1e-4, least: int = 4, plain: int = 64):
+        """Logistic regression on slots scaled by their log odds, of rows that may count for less.
 
         Slots from ``plain`` on take part if at least ``least`` rows have them and they
         tell the classes apart; the scale lets few rows teach a telling slot much.
@@ -108,9 +116,11 @@ class Linear:
         slots, values, starts = rows
         owner = np.repeat(np.arange(len(y)), np.diff(np.append(starts, len(slots))))
         present = values != 0
-        ones = np.bincount(slots, weights=present * y[owner], minlength=size)
-        zeros = np.bincount(slots, weights=present * (1 - y[owner]), minlength=size)
-        odds = np.log((ones + 0.5) / (y.sum() + 1)) - np.log((zeros + 0.5) / ((1 - y).sum() + 1))
+        weight = np.ones(len(y)) if weight is None else weight
+        n, positive = weight.sum(), (weight * y).sum()
+        ones = np.bincount(slots, weights=present * (weight * y)[owner], minlength=size)
+        zeros = np.bincount(slots, weights=present * (weight * (1 - y))[owner], minlength=size)
+        odds = np.log((ones + 0.5) / (positive + 1)) - np.log((zeros + 0.5) / (n - positive + 1))
         scale = np.where((ones + zeros >= least) & (np.abs(odds) >= 0.7), odds, 0)
         scale[:plain] = 1
         used = np.flatnonzero(scale)
@@ -119,7 +129,7 @@ class Linear:
         kept = place[slots] >= 0
         owner, column, value = owner[kept], place[slots[kept]], values[kept] * scale[slots[kept]]
         w, g2, m, bias, bm, b2 = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0, 0.0
-        pull = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
+        pull = weight * np.where(y > 0, 0.5 / max(positive, 1e-9), 0.5 / max(n - positive, 1e-9))
         for t in range(1, rounds + 1):
             z = np.bincount(owner, weights=w[column] * value, minlength=len(y)) + bias
             r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * pull
@@ -156,62 +166,101 @@ def _rows(parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class View:
-    """A target's model: both views, their calibrations and the combination."""
+    """A target's model: both views, the calibration of each, how they combine, and who taught what."""
 
-    text: Linear | None
-    meta: Linear | None
-    calibrate: tuple | None
+    models: list[Linear] | None
+    calibrate: list | None
+    mix: np.ndarray | None
     mean: float
+    #: (round, teaching view, class, pseudo-labels)
+    taught: list[tuple[int, int, int, int]]
+    better: list[bool]
 
     def probability(self, text_rows, meta_rows, n: int) -> np.ndarray:
-        if self.text is None:
+        if self.models is None:
             return np.full(n, self.mean)
-        a, b, mix = self.calibrate
-        views = np.column_stack([self.text.margin(text_rows) * a[0] + a[1], self.meta.margin(meta_rows) * b[0] + b[1], np.ones(n)])
-        return 1 / (1 + np.exp(-np.clip(views @ mix, -30, 30)))
+        columns = [m.margin(rows) * c[0] + c[1] for m, rows, c in zip(self.models, (text_rows, meta_rows), self.calibrate, strict=True)]
+        return _sigmoid(np.column_stack([*columns, np.ones(n)]) @ self.mix)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _loss(p: np.ndarray, y: np.ndarray) -> float:
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+
 class Target:
     """One target's training: both views' labelled rows, a third of them kept to calibrate."""
 
     def __init__(self, text, meta, y: np.ndarray):
         self.mean = float(y.mean()) if len(y) else 0.0
         self.usable = len(y) >= 20 and y.sum() >= 4 and (1 - y).sum() >= 4
-        keep = np.zeros(len(y), bool)
-        for value in (0, 1):  # every third of each class
-            keep[np.flatnonzero(y == value)[::3]] = True
+        self.taught: list[tuple[int, int, int, int]] = []
+        keep, half = np.zeros(len(y), bool), np.zeros(len(y), bool)
+        for value in (0, 1):  # every third of each class, every other one of those in a half
+            held = np.flatnonzero(y == value)[::3]
+            keep[held], half[held[::2]] = True, True
 
         def pick(parts, where):
             return [p for p, k in zip(parts, where.tolist(), strict=True) if k]
 
-        self.held, self.held_y = (_rows(pick(text, keep)), _rows(pick(meta, keep))), y[keep]
-        self.own = [[pick(text, ~keep), y[~keep]], [pick(meta, ~keep), y[~keep]]]
+        self.held, self.held_y, self.half = (_rows(pick(text, keep)), _rows(pick(meta, keep))), y[keep], half[keep]
+        self.own, self.labelled = [[pick(text, ~keep), y[~keep]], [pick(meta, ~keep), y[~keep]]], int((~keep).sum())
+        self.models, self.calibrate, self.loss, self.better, self.fresh = [None, None], [None, None], [np.inf, np.inf], [False, False], [0, 0]
+
+    def _crossed(self, margin: np.ndarray) -> np.ndarray:
+        """Probabilities on each half of the kept third, calibrated on the other."""
+        out = np.zeros(len(margin))
+        for one in (self.half, ~self.half):
+            c = _dense_fit(margin[~one][:, None], self.held_y[~one])
+            out[one] = _sigmoid(margin[one] * c[0] + c[1])
+        return out
 
     def fit(self) -> None:
-        sizes = ((WORD_SLOTS, 64), (META_SLOTS, 0))
-        self.models = [Linear.fit(_rows(parts), target, size, plain=plain) for (parts, target), (size, plain) in zip(self.own, sizes, strict=True)]
-        self.calibrate = [_dense_fit(m.margin(h)[:, None], self.held_y) for m, h in zip(self.models, self.held, strict=True)]
+        """Fit the views, at first and after pseudo-labels; those that make a view worse on the kept third are taken back."""
+        base = _loss(np.full(len(self.held_y), self.held_y.mean()), self.held_y)
+        for v, size in ((0, WORD_SLOTS), (1, META_SLOTS)):
+            if self.models[v] is not None and self.fresh[v] == 0:
+                continue
+            parts, target = self.own[v]
+            weight = np.append(np.ones(self.labelled), np.full(len(target) - self.labelled, PSEUDO_WEIGHT))
+            model = Linear.fit(_rows(parts), target, size, weight)
+            margin = model.margin(self.held[v])
+            loss = _loss(self._crossed(margin), self.held_y)
+            if loss <= self.loss[v]:
+                self.models[v], self.loss[v], self.better[v] = model, loss, loss < BETTER * base
+                self.calibrate[v] = _dense_fit(margin[:, None], self.held_y)
+            else:
+                self.own[v] = [parts[: len(parts) - self.fresh[v]], target[: len(target) - self.fresh[v]]]
+            self.fresh[v] = 0
+
+    def bounds(self) -> dict[int, float]:
+        """The probability of each class from which a view is sure of it."""
+        return {1: 1 - (1 - self.mean) / SURER, 0: 1 - self.mean / SURER}
 
     def learn(self, view: int, features: list, value: int) -> None:
         self.own[view] = [self.own[view][0] + features, np.append(self.own[view][1], np.full(len(features), value))]
+        self.fresh[view] += len(features)
 
     def view(self) -> View:
-        if not self.usable:
-            return View(None, None, None, min(self.mean, REJECT / 2))
-        a, b = self.calibrate
+        if not self.usable or not any(self.better):
+            return View(None, None, None, min(self.mean, REJECT / 2), self.taught, [False, False])
         views = np.column_stack([m.margin(h) * c[0] + c[1] for m, h, c in zip(self.models, self.held, self.calibrate, strict=True)])
-        return View(self.models[0], self.models[1], (a, b, _dense_fit(views, self.held_y)), self.mean)
+        use = np.array(self.better)
+        mix = np.zeros(3)
+        mix[np.append(use, True)] = _dense_fit(views[:, use], self.held_y)
+        return View(self.models, self.calibrate, mix, self.mean, self.taught, self.better)
 
 
 def co_train(targets: dict[str, Target], label: Callable, rounds: int = 2, pseudo: int = 200) -> dict[str, View]:
     """Fit all targets.
 
     ``label(views, wanted, turn)`` gives {(target, teacher, value): [(text, meta) features]}:
-    documents that the teaching view is sure of, at most ``wanted`` of each.
+    documents that the teaching view is sure of, at most ``wanted`` of each.  ``views`` has the
+    model, the calibration and the bounds of every view that is better than its class's share.
     """
     used = {n: t for n, t in targets.items() if t.usable}
     for turn in range(rounds + 1):
@@ -219,10 +268,11 @@ def co_train(targets: dict[str, Target], label: Callable, rounds: int = 2, pseud
             t.fit()
         if turn == rounds or not used:
             break
-        views = {(n, v): (t.models[v], t.calibrate[v]) for n, t in used.items() for v in (0, 1)}
+        views = {(n, v): (t.models[v], t.calibrate[v], t.bounds()) for n, t in used.items() for v in (0, 1) if t.better[v]}
         wanted = {(n, v, value): max(1, int(pseudo * (t.mean if value else 1 - t.mean))) for n, t in used.items() for v in (0, 1) for value in (0, 1)}
         for (name, teacher, value), found in label(views, wanted, turn).items():
             learner = 1 - teacher
+            used[name].taught.append((turn, teacher, value, len(found)))
             used[name].learn(learner, [f[learner] for f in found], value)
     return {n: t.view() for n, t in targets.items()}
 
@@ -230,7 +280,7 @@ def co_train(targets: dict[str, Target], label: Callable, rounds: int = 2, pseud
 def _features(batches):
     for batch in batches:
         ids, texts, sources, langs, sizes = (batch.column(i).to_pylist() for i in range(5))
-        found = [(text_features(t), meta_features(s, g, n)) for t, s, g, n in zip(texts, sources, langs, sizes, strict=True)]
+        found = [(text_features(t), meta_features(s, g, n, t)) for t, s, g, n in zip(texts, sources, langs, sizes, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), *(pa.array([f[v][k] for f in found], pa.list_(pa.int32() if k == 0 else pa.float32())) for v in (0, 1) for k in (0, 1)), batch.column(5), batch.column(6)],
             names=["id", "ts", "tv", "ms", "mv", "quality", "toxic"],
@@ -244,17 +294,17 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), column("source", "string"), column("lang", "string"), column("n_chars", "long"))
 
 
-def _sure(batches, views, turn: int, sure: float, schema: pa.Schema):
+def _sure(batches, views, turn: int, schema: pa.Schema):
     """(target, view, value, place, id) of the documents that a view is sure of."""
     for batch in batches:
         for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
             ids, texts, sources, langs, sizes = (part.column(i).to_pylist() for i in range(5))
-            rows = _rows([text_features(t) for t in texts]), _rows([meta_features(*x) for x in zip(sources, langs, sizes, strict=True)])
+            rows = _rows([text_features(t) for t in texts]), _rows([meta_features(*x) for x in zip(sources, langs, sizes, texts, strict=True)])
             found = []
-            for (name, view), (model, scale) in views.value.items():
+            for (name, view), (model, scale, bounds) in views.value.items():
                 p = _sigmoid(model.margin(rows[view]) * scale[0] + scale[1])
                 for value, trust in ((1, p), (0, 1 - p)):
-                    found += [(name, view, value, zlib.crc32(f"{turn}|{ids[k]}".encode()), ids[k]) for k in np.flatnonzero(trust >= sure).tolist()]
+                    found += [(name, view, value, zlib.crc32(f"{turn}|{ids[k]}".encode()), ids[k]) for k in np.flatnonzero(trust >= bounds[value]).tolist()]
             columns = list(zip(*found, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
     give_back()
@@ -298,10 +348,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 8_000, pseudo: int =
     arrow = to_arrow_schema(answer)
 
     def label(views, wanted, turn):
-        models, bound = spark.sparkContext.broadcast(views), SURE
+        models = spark.sparkContext.broadcast(views)
 
         # Only ids are joined with the labelled ones, which don't take part.
-        each = free.mapInArrow(lambda it: _sure(it, models, turn, bound, arrow), answer).join(taken, "id", "left_anti")
+        each = free.mapInArrow(lambda it: _sure(it, models, turn, arrow), answer).join(taken, "id", "left_anti")
         order = Window.partitionBy("target", "view", "value").orderBy("place", "id")
         top = each.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(wanted.values()))
         picks = [r for r in top.collect() if r["r"] <= wanted[r["target"], r["view"], r["value"]]]
@@ -324,7 +374,7 @@ def _score(batches, models, names: list[str]):
         for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
             texts, sources, langs, sizes = (part.column(i).to_pylist() for i in range(1, 5))
             text = _rows([text_features(t) for t in texts])
-            meta = _rows([meta_features(*x) for x in zip(sources, langs, sizes, strict=True)])
+            meta = _rows([meta_features(*x) for x in zip(sources, langs, sizes, texts, strict=True)])
             low, toxic = (models.value[t].probability(text, meta, part.num_rows) for t in ("low", "toxic"))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(low), pa.array(toxic), pa.array((1 - low) * (1 - toxic)), pa.array((low < REJECT) & (toxic < REJECT))], names=names)
 
@@ -348,7 +398,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 columns = [part.column(i).to_pylist() if i is not None else [None] * part.num_rows for i in order]
                 text = _rows([text_features(t) for t in columns[0]])
-                meta = _rows([meta_features(*x) for x in zip(*columns[1:], strict=True)])
+                meta = _rows([meta_features(*x) for x in zip(*columns[1:], columns[0], strict=True)])
                 low, toxic = (models.value[t].probability(text, meta, part.num_rows) for t in ("low", "toxic"))
                 yield part.filter(pa.array((low < REJECT) & (toxic < REJECT)))
 

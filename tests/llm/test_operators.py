@@ -374,32 +374,141 @@ def test_quality(spark):
     assert np.mean([r.keep for r in good]) >= 0.98 and np.mean([not r.keep for r in bad]) >= 0.7
 
 
-def test_quality_brute(spark):
-    """The query against the same training on lists in one process."""
-    sf = "/root/testdata/sf0.01"
-    docs = [(r.doc_id, (quality.text_features(r.text), quality.meta_features(r.source, r.lang, r.n_chars))) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
-    labels = {r.doc_id: (r.quality, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    known = [(labels[i], f) for i, f in docs if i in labels]
-    targets = {n: quality.Target([f[0] for _, f in known], [f[1] for _, f in known], np.array([l[k] == value for l, _ in known], float)) for k, (n, _, value) in enumerate(quality.TARGETS)}
-
-    def label(views, wanted, turn):
-        out = {}
-        for (name, view), (model, scale) in views.items():
-            for value in (0, 1):
+def own_logistic(rows, y, weight):
+    """Logistic regression of dictionaries of slots, on slots scaled by log odds; returns its margin."""
+    y, weight = np.array(y, float), np.array(weight, float)
+    ones, zeros = Counter(), Counter()
+    for r, t, w in zip(rows, y, weight, strict=True):
+        for slot, v in r.items():
+            if v:
+                (ones if t else zeros)[slot] += w
+    n, pos = weight.sum(), (weight * y).sum()
+    scale = {}
+    for slot in {k for r in rows for k in r}:
+        odds = math.log((ones[slot] + 0.5) / (pos + 1)) - math.log((zeros[slot] + 0.5) / (n - pos + 1))
+        if slot < 64:
+            scale[slot] = 1.0
+        elif ones[slot] + zeros[slot] >= 4 and abs(odds) >= 0.7:
+            scale[slot] = odds
+    places = {k: i for i, k in enumerate(sorted(scale))}
+    x = np.zeros((len(rows), len(places) + 1))
+    x[:, -1] = 1
+    for i, r in enumerate(rows):
+        for slot, v in r.items():
+            if slot in scale:
+                x[i, places[slot]] = v * scale[slot]
+    w, m, g2 = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    pull, decay = weight * np.where(y > 0, 0.5 / pos, 0.5 / (n - pos)), np.append(np.full(len(places), 1e-4), 0)
+    for t in range(1, 201):
+        g = x.T @ ((1 / (1 + np.exp(-x @ w)) - y) * pull) + decay * w
+        m, g2 = 0.9 * m + 0.1 * g, 0.99 * g2 + 0.01 * g * g
+        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(g2 / (1 - 0.99**t)) + 1e-6)
+    return lambda r: sum(v * scale[k] * w[places[k]] for k, v in r.items() if k in scale) + w[-1]
+
+
+def own_curve(columns, y):
+    """Weights of a few columns and a constant: logistic regression with a small ridge, by Newton's steps."""
+    x, w = np.column_stack([*columns, np.ones(len(y))]), np.zeros(len(columns) + 1)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w - np.linalg.solve((x.T * (p * (1 - p))) @ x + 0.01 * np.eye(len(w)), x.T @ (p - y) + 0.01 * w)
+    return w
+
+
+def own_co_training(known, free, y, surer=5.0, pseudo=200, count=0.2):
+    """Two views, dictionaries of slots; ``known``: [(text, meta)], ``free``: [(id, (text, meta))]; the chance of a pair, and who taught."""
+    y = np.array(y, float)
+    kept, half = set(), set()
+    for value in (0, 1):
+        third = [i for i in range(len(y)) if y[i] == value][::3]
+        kept |= set(third)
+        half |= set(third[::2])
+    held, train, mean = sorted(kept), [i for i in range(len(y)) if i not in kept], y.mean()
+    hy, one = y[held], np.array([i in half for i in held])
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    entropy = lambda p: -np.mean(hy * np.log(np.clip(p, 1e-9, 1)) + (1 - hy) * np.log(np.clip(1 - p, 1e-9, 1)))
+    sets = [[([known[i][v] for i in train], list(y[train]), [1.0] * len(train)), ([], [], [])] for v in (0, 1)]
+    models, losses, curves = [None, None], [np.inf, np.inf], [None, None]
+    taught = []
+    for turn in range(3):
+        for v in (0, 1):
+            base, extra = sets[v]
+            if turn and not extra[0]:
+                continue
+            model = own_logistic(*(a + b for a, b in zip(base, extra, strict=True)))
+            z = np.array([model(known[i][v]) for i in held])
+            crossed = np.zeros(len(z))
+            for part in (one, ~one):
+                c = own_curve([z[~part]], hy[~part])
+                crossed[part] = sigmoid(z[part] * c[0] + c[1])
+            if entropy(crossed) <= losses[v]:
+                models[v], losses[v], curves[v] = model, entropy(crossed), own_curve([z], hy)
+                sets[v][0] = tuple(a + b for a, b in zip(base, extra, strict=True))
+            sets[v][1] = ([], [], [])
+        good = [loss < 0.95 * entropy(np.full(len(hy), hy.mean())) for loss in losses]
+        if turn == 2:
+            break
+        for v in (0, 1):
+            for value in (0, 1) if good[v] else ():
+                share = mean if value else 1 - mean
                 sure = []
-                for i, f in docs:
-                    p = quality._sigmoid(model.margin(quality._rows([f[view]])) * scale[0] + scale[1])[0]
-                    if i not in labels and (p if value else 1 - p) >= quality.SURE:
-                        sure.append((zlib.crc32(f"{turn}|{i}".encode()), i, f))
+                for i, f in free:
+                    p = sigmoid(models[v](f[v]) * curves[v][0] + curves[v][1])
+                    if (p if value else 1 - p) >= 1 - (1 - share) / surer:
+                        sure.append((zlib.crc32(f"{turn}|{i}".encode()), i, f[1 - v]))
+                for _, _, f in sorted(sure, key=lambda r: r[:2])[: max(1, int(pseudo * share))]:
+                    for k, item in enumerate((f, float(value), count)):
+                        sets[1 - v][1][k].append(item)
                 if sure:
-                    out[name, view, value] = [f for _, _, f in sorted(sure, key=lambda s: s[:2])[: wanted[name, view, value]]]
-        return dict(sorted(out.items()))
-
-    models = quality.co_train(targets, label)
-    for r in Q.op7_quality(spark, sf).collect():
-        f = dict(docs)[r.doc_id]
-        low, toxic = (models[t].probability(quality._rows([f[0]]), quality._rows([f[1]]), 1)[0] for t in ("low", "toxic"))
-        assert abs(low - r.p_low) < 1e-4 and abs(toxic - r.p_toxic) < 1e-4 and r.keep == (r.p_low < 0.5 and r.p_toxic < 0.5)
+                    taught.append((turn, v, value))
+    if not any(good):
+        return lambda f: min(mean, 0.25), taught
+    use = [v for v in (0, 1) if good[v]]
+    line = lambda v, f: models[v](f) * curves[v][0] + curves[v][1]
+    mix = own_curve([np.array([line(v, known[i][v]) for i in held]) for v in use], hy)
+    return lambda f: sigmoid(sum(w * line(v, f[v]) for w, v in zip(mix, use, strict=False)) + mix[-1]), taught
+
+
+def test_quality_brute(spark):
+    """The query against a plain co-training in one process with fits of its own."""
+    sf = "/root/testdata/sf0.01"
+    slots = lambda f: dict(zip(f[0].tolist(), f[1].tolist(), strict=True))
+    docs = [(r.doc_id, (slots(quality.text_features(r.text)), slots(quality.meta_features(r.source, r.lang, r.n_chars, r.text)))) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    table = spark.read.parquet(f"{sf}/labels.parquet")
+    labels = {r.doc_id: (r.quality, r.toxic) for r in table.collect()}
+    known, free = [(i, f) for i, f in docs if i in labels], [(i, f) for i, f in docs if i not in labels]
+    chances, teachers = {}, {}
+    for k, (name, _, value) in enumerate(quality.TARGETS):
+        chances[name], teachers[name] = own_co_training([f for _, f in known], free, [labels[i][k] == value for i, _ in known])
+    got, whole = Q.op7_quality(spark, sf).collect(), dict(docs)
+    for r in got:
+        low, toxic = (chances[t](whole[r.doc_id]) for t in ("low", "toxic"))
+        assert abs(low - r.p_low) < 1e-3 and abs(toxic - r.p_toxic) < 1e-3 and r.keep == (r.p_low < 0.5 and r.p_toxic < 0.5)
+    fitted = quality.fit(spark.read.parquet(f"{sf}/documents.parquet"), table)
+    assert {n: sorted(set(t)) for n, t in teachers.items()} == {n: sorted({x[:3] for x in v.taught}) for n, v in fitted.items()}
+
+
+def test_quality_views_teach_each_other(spark):
+    """In every round each view teaches the other what it knows better than the class's share."""
+    sf = "/root/testdata/sf0.1"
+    fitted = quality.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert {(turn, view) for turn, view, _, n in fitted["low"].taught if n} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    assert fitted["low"].better == [True, True]
+    # Nothing about a page tells toxic texts from others here: that view is dropped.
+    assert fitted["toxic"].better == [True, False] and {view for _, view, _, _ in fitted["toxic"].taught} == {0}
+
+
+def test_pseudo_labels_that_harm_are_taken_back():
+    rng = np.random.default_rng(1)
+    y = (np.arange(300) % 3 == 0).astype(float)
+    text = [(np.array([0, 100 + int(t)], np.int32), np.ones(2, np.float32)) for t in y]
+    meta = [(np.array([70 + int(t if rng.random() < 0.9 else 1 - t)], np.int32), np.ones(1, np.float32)) for t in y]
+    target = quality.Target(text, meta, y)
+    target.fit()
+    before, rows = [m.weights.copy() for m in target.models], len(target.own[1][1])
+    target.learn(1, [meta[0]] * 5000, 0)  # wrong ones
+    target.fit()
+    assert len(target.own[1][1]) == rows and all((m.weights == w).all() for m, w in zip(target.models, before, strict=True))
 
 
 def test_quality_odd(spark):
