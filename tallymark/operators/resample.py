@@ -112,62 +112,6 @@ def mantel_blocks(df: DataFrame, by: str, key: str, vector: str, width: int, rep
     return df.select(by, key, vector).groupBy(by).applyInPandas(test, f"{by} long, r double, p double, noise double")
 
 
-def mantel_power(spark, effects: list[float], sims: int, reps: int, entities: int, seed: int) -> DataFrame:
-    """(effect, sims, power): how often simulated distances with a share ``effect`` of the true ones reach p <= 0.05.
-
-    A simulation is a task's row; its random numbers depend on the effect and its number only.
-    """
-    rows = spark.range(len(effects) * sims).select((F.col("id") / sims).cast("int").alias("e"), (F.col("id") % sims).cast("int").alias("sim"))
-
-    def run(batches):
-        i, j = np.triu_indices(entities, 1)
-        for pdf in batches:
-            out = []
-            for e, sim in zip(pdf["e"].tolist(), pdf["sim"].tolist(), strict=True):
-                rng = np.random.default_rng([seed, e, sim])
-                g, t = np.zeros((entities, entities)), np.zeros((entities, entities))
-                g[i, j] = g[j, i] = rng.random(len(i))
-                t[i, j] = t[j, i] = effects[e] * g[i, j] + (1 - effects[e]) * rng.random(len(i))
-                moves = np.vstack([np.arange(entities), *(rng.permutation(entities) for _ in range(reps))])
-                r = _permuted_r(g, t, moves)
-                out.append((e, float(((np.abs(r[1:]) >= abs(r[0]) - 1e-12).sum() + 1) / (reps + 1) <= 0.05)))
-            yield pd.DataFrame(out, columns=["e", "hit"])
-
-    hits = rows.repartition(len(effects) * 4).mapInPandas(run, "e int, hit double").groupBy("e").agg(F.count("*").alias("sims"), F.avg("hit").alias("power"))
-    return hits.select(F.element_at(F.array(*map(F.lit, effects)), F.col("e") + 1).alias("effect"), "sims", "power")
-
-
-def ci_width_curve(spark, targets: list[float], rows: int, clusters: int, reps: int, seed: int) -> DataFrame:
-    """(target, achieved, width): the width of a cluster bootstrap's interval for a predictor of a given Spearman.
-
-    Simulated data of a stated size; the noise that gives the accuracy is found by bisection.
-    """
-    levels = spark.createDataFrame([(float(t),) for t in targets], "target double").repartition(len(targets))
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for target in pdf["target"].tolist():
-                rng = np.random.default_rng([seed, int(target * 1000)])
-                y, noise, own = rng.normal(size=rows), rng.normal(size=rows), rng.integers(0, clusters, rows)
-                rho = lambda x, z: np.corrcoef(_ranks(x), _ranks(z))[0, 1]
-                low, high = 0.0, 100.0
-                for _ in range(40):
-                    mid = (low + high) / 2
-                    low, high = (mid, high) if rho(y, y + mid * noise) > target else (low, mid)
-                p = y + low * noise
-                members = [np.flatnonzero(own == c) for c in range(clusters)]
-                values = []
-                for _ in range(reps):
-                    at = np.concatenate([members[c] for c in rng.integers(0, clusters, clusters)])
-                    values.append(rho(y[at], p[at]))
-                a, b = np.percentile(values, [2.5, 97.5])
-                out.append((target, float(rho(y, p)), float(b - a)))
-            yield pd.DataFrame(out, columns=["target", "achieved", "width"])
-
-    return levels.mapInPandas(run, "target double, achieved double, width double")
-
-
 def replicate_metric(rows: DataFrame, picks: DataFrame, cluster: str, y: str, models: list[str], metric) -> DataFrame:
     """(rep, model columns): ``metric(y, model, w)``, an aggregate of weighted rows, on each replicate."""
     drawn = rows.select(cluster, y, *models).join(picks, cluster)

@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import checkpointed
+from .order import running
+
 
 def cells(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
     """(key, i, j, x): a flat vector read as rows of ``width``."""
@@ -32,6 +35,24 @@ def pair_l1(df: DataFrame, key: str, vector: str, mask: Column | None = None, by
     return both.groupBy(*by, "a", "b").agg(F.avg("x").alias("dist"))
 
 
+def sample_variance(long: DataFrame, entity: str, sample: str, cell: str, value: str) -> DataFrame:
+    """(cell, within, across): mean absolute difference of an entity's two samples (0 and 1), and of all pairs of entities' first samples.
+
+    The sum over all pairs of a cell follows from each value's place in the cell's order: a
+    value at place i of n is the larger of i pairs and the smaller of n - 1 - i.  No pair is made.
+    """
+    rows = checkpointed(long.where(F.col(value).isNotNull()).select(F.col(entity).alias("e"), F.col(sample).alias("s"), F.col(cell).alias("k"), F.col(value).cast("double").alias("x")), "samples")
+    both = rows.groupBy("e", "k").agg(F.max(F.when(F.col("s") == 0, F.col("x"))).alias("a"), F.max(F.when(F.col("s") == 1, F.col("x"))).alias("b"))
+    within = both.where("a is not null and b is not null").groupBy("k").agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("within"))
+    # Equal values are counted together: their pairs differ by nothing, and a frequent value is one row.
+    seen = rows.where("s = 0").groupBy("k", "x").agg(F.count("*").alias("n"))
+    placed = running(seen, ["x"], {"before": F.col("n")}, ("k",), whole=True)
+    signed = F.col("x") * F.col("n") * (F.col("before") - (F.col("before_all") - F.col("before") - F.col("n"))).cast("double")
+    n = F.max("before_all").cast("double")
+    across = placed.groupBy("k").agg((F.sum(signed) / F.nullif(n * (n - 1) / 2, F.lit(0.0))).alias("across"))
+    return across.join(within, "k", "full").select(F.col("k").alias(cell), "within", "across")
+
+
 def contact_set(long: DataFrame, limit: float, *by: str) -> DataFrame:
     """(by, i, j): cells whose smallest value over a group's entities is under the limit."""
     return long.groupBy(*by, "i", "j").agg(F.min("x").alias("least")).where(F.col("least") < limit).select(*by, "i", "j")

@@ -692,35 +692,34 @@ def cluster_subsample(spark, sf):
 
 # Reports
 
-#: Recorded runs, device rates and scores.
-RUNS = [("bootstrap", "cpu", 1020.0), ("one_hot", "cpu", 127.0), ("one_hot_id", "cpu", 48.0), ("adapter", "a100", 11307.0), ("probes", "a10", 91.5)]
-RATES = [("a10", 0.000306), ("a100", 0.000583), ("cpu", 0.0)]
-SCORES = [("one_hot", 0.7802), ("one_hot_id", 0.7485), ("adapter", 0.7574)]
-CLAIMS = [("pooled", "$.models['one.hot'].rho", "0.780"), ("rows", "$.n", "2817"), ("within", "$.models['one.hot'].within[0]", "0.71"), ("gone", "$.absent", "1.0")]
-DOCUMENT = '{"n": 2817, "models": {"one.hot": {"rho": 0.7802, "within": [0.6328, 0.64]}}}'
 
-
-def _values(rows) -> str:
-    return ", ".join("(" + ", ".join(f"'{v.replace(chr(39), chr(39) * 2)}'" if isinstance(v, str) else f"CAST({v} AS DOUBLE)" for v in r) + ")" for r in rows)
-
-
-@query(f"""WITH r(label, device, seconds) AS (VALUES {_values(RUNS)}), d(device, rate) AS (VALUES {_values(RATES)}), s(label, rho) AS (VALUES {_values(SCORES)}), f AS (SELECT rho AS fl FROM s WHERE label = 'one_hot_id')
-SELECT label, device, seconds, round(seconds * rate, 6) AS cost, round(rho - fl, 6) AS gain, round(CASE WHEN rho - fl > 0 THEN seconds * rate / ((rho - fl) * 100) END, 6) AS cost_per_point FROM r JOIN d USING (device) LEFT JOIN s USING (label), f""", views=False)
+@query("""WITH r AS (SELECT l_returnflag || l_linestatus AS label, CASE l_linenumber % 3 WHEN 0 THEN 'cpu' WHEN 1 THEN 'a10' ELSE 'a100' END AS device, l_quantity AS seconds, l_tax, l_discount FROM lineitem),
+u AS (SELECT label, device, sum(seconds) AS seconds FROM r GROUP BY ALL), d AS (SELECT device, avg(l_tax) / 3600 AS rate FROM r GROUP BY device), s AS (SELECT label, avg(l_discount) AS rho FROM r GROUP BY label), f AS (SELECT rho AS fl FROM s WHERE label = 'NF')
+SELECT u.label, device, round(seconds, 6) AS seconds, round(seconds * rate, 6) AS cost, round(rho - fl, 6) AS gain, round(CASE WHEN round(rho - fl, 12) > 0 THEN seconds * rate / (round(rho - fl, 12) * 100) END, 2) AS cost_per_point FROM u JOIN d USING (device) LEFT JOIN s ON s.label = u.label, f""", views=False)
 def cost_benefit(spark, sf):
-    runs = spark.createDataFrame(RUNS, "label string, device string, seconds double")
-    return _rounded(report.cost_benefit(runs, spark.createDataFrame(RATES, "device string, rate double"), spark.createDataFrame(SCORES, "label string, rho double"), "one_hot_id"))
-
-
-#: The same paths as DuckDB writes them.
-_PATHS = [(a, p.replace("['", '."').replace("']", '"'), q) for a, p, q in CLAIMS]
-
-
-@query(f"""WITH c(claim, path, quoted) AS (VALUES {_values(_PATHS)}), f AS (SELECT claim, quoted, CAST(json_extract_string('{DOCUMENT}', path) AS DOUBLE) AS found FROM c),
-d AS (SELECT *, CASE WHEN quoted LIKE '%.%' THEN length(split_part(rtrim(quoted, '0'), '.', 2)) ELSE 0 END AS decimals FROM f)
-SELECT claim, quoted, found, CASE WHEN found IS NULL THEN 'missing' WHEN abs(found - CAST(quoted AS DOUBLE)) <= CASE WHEN decimals = 0 THEN 0.5 ELSE greatest(0.5 * pow(10, -decimals), 6e-4) END + 1e-12 THEN 'ok' ELSE 'mismatch' END AS verdict FROM d""", views=False)
+    """Runs are the lines of an order state on a device, rates their mean tax an hour, scores their mean discount."""
+    m = F.col("l_linenumber") % 3
+    own = table(spark, sf, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("label"), F.when(m == 0, "cpu").when(m == 1, "a10").otherwise("a100").alias("device"), F.col("l_quantity").alias("seconds"), "l_tax", "l_discount")
+    runs = own.groupBy("label", "device").agg(F.sum("seconds").alias("seconds"))
+    rates, scores = own.groupBy("device").agg((F.avg("l_tax") / 3600).alias("rate")), own.groupBy("label").agg(F.avg("l_discount").alias("rho"))
+    return _rounded(report.cost_benefit(runs, rates, scores, "NF").withColumn("cost_per_point", F.round("cost_per_point", 2)))
+
+
+@query("""WITH q AS (SELECT 'k' AS claim, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS quoted, CASE WHEN json_valid(props) THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS found FROM clicks WHERE click_id IS NOT NULL AND value IS NOT NULL
+  UNION ALL SELECT 'version', '4.1', CASE WHEN json_valid(props) THEN CAST(json_extract_string(props, '$.device.ver') AS DOUBLE) END FROM clicks WHERE click_id IS NOT NULL AND value IS NOT NULL
+  UNION ALL SELECT 'first_qty', '7', CASE WHEN json_valid(props) THEN CAST(json_extract_string(props, '$.items[0].qty') AS DOUBLE) END FROM clicks WHERE click_id IS NOT NULL AND value IS NOT NULL),
+d AS (SELECT *, CASE WHEN quoted LIKE '%.%' THEN length(split_part(rtrim(quoted, '0'), '.', 2)) ELSE 0 END AS decimals FROM q),
+v AS (SELECT claim, CASE WHEN found IS NULL THEN 'missing' WHEN abs(found - CAST(quoted AS DOUBLE)) <= CASE WHEN decimals = 0 THEN 0.5 ELSE greatest(0.5 * pow(10, -decimals), 6e-4) END + 1e-12 THEN 'ok' ELSE 'mismatch' END AS verdict FROM d)
+SELECT claim, verdict, CAST(count(*) AS BIGINT) AS n FROM v GROUP BY ALL""", views=False)
 def claims_audit(spark, sf):
-    claims = spark.createDataFrame([(a, "run.json", p, q) for a, p, q in CLAIMS], "claim string, file string, path string, quoted string")
-    return _rounded(report.claims_audit(claims, spark.createDataFrame([("run.json", DOCUMENT)], "file string, json string")).drop("path"))
+    """Numbers quoted about every click against its JSON document: three paths, one of them into an array."""
+    rows = checkpointed(table(spark, sf, "clicks").where("click_id is not null and value is not null").select(F.md5(F.coalesce("props", F.lit("")).cast("binary")).alias("file"), F.floor("value").cast("string").alias("k"), "props"), "claims")
+    quoted = (("k", "$.k", F.col("k")), ("version", "$.device.ver", F.lit("4.1")), ("first_qty", "$.items[0].qty", F.lit("7")))
+    each = F.array(*(F.struct(F.lit(c).alias("claim"), F.lit(p).alias("path"), q.alias("quoted")) for c, p, q in quoted))
+    claims = rows.select("file", F.explode(each).alias("x")).select("file", "x.*")
+    # Clicks repeat, and so do their documents: a document is named by its digest.
+    found = report.claims_audit(claims, rows.groupBy("file").agg(F.max("props").alias("json")))
+    return found.groupBy("claim", "verdict").agg(F.count("*").alias("n"))
 
 
 # Sequential and learned

@@ -95,9 +95,9 @@ def flagged_left_join(spark, sf):
 
 @query(""", t AS (SELECT * FROM train), x AS (SELECT grp, arg_max(seq9, (yl, seq9)) AS best, max(yl) AS high, arg_min(seq9, (yl, seq9)) AS worst, min(yl) AS low FROM t GROUP BY grp) SELECT grp, best, round(high, 6) AS high, worst, round(low, 6) AS low FROM x""")
 def group_extremes(spark, sf):
-    order = F.struct("yl", "seq9")
+    by = F.struct("yl", "seq9")
     rows = preds(spark, sf).where("split = 'train'")
-    return _rounded(rows.groupBy("grp").agg(F.max_by("seq9", order).alias("best"), F.max("yl").alias("high"), F.min_by("seq9", order).alias("worst"), F.min("yl").alias("low")))
+    return _rounded(rows.groupBy("grp").agg(F.max_by("seq9", by).alias("best"), F.max("yl").alias("high"), F.min_by("seq9", by).alias("worst"), F.min("yl").alias("low")))
 
 
 @query("""WITH a AS (SELECT vec_id // 16 AS s, vec_id % 16 AS m, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings WHERE len(embedding) >= 3)
@@ -110,16 +110,20 @@ def atom_distances(spark, sf):
     return _rounded(vectors.min_distance(left, right, "structure"))
 
 
-#: Recorded validation scores of two runs by epoch.
-HISTORY = [("a", 1, 0.5), ("a", 2, 0.6), ("a", 3, 0.6000001), ("a", 4, 0.59), ("a", 5, 0.7), ("b", 1, 0.4), ("b", 2, 0.3), ("b", 3, 0.35), ("b", 4, 0.39), ("b", 5, 0.9)]
+_HISTORY = "m AS (SELECT o_orderpriority AS run, year(o_orderdate) * 12 + month(o_orderdate) AS t, round(avg(o_totalprice), 2) AS s FROM orders WHERE o_orderpriority IS NOT NULL AND o_orderdate IS NOT NULL GROUP BY ALL), h AS (SELECT run, row_number() OVER (PARTITION BY run ORDER BY t) AS e, s FROM m)"
 
 
-@query(f"""WITH RECURSIVE h(run, e, s) AS (VALUES {", ".join(map(str, HISTORY))}),
-f AS (SELECT run, 0 AS k, CAST(NULL AS INTEGER) AS epoch, CAST('-inf' AS DOUBLE) AS best, 0 AS stale FROM h GROUP BY run
-  UNION ALL SELECT f.run, f.k + 1, CASE WHEN h.s > best + 1e-5 THEN h.e ELSE epoch END, CASE WHEN h.s > best + 1e-5 THEN CAST(h.s AS DOUBLE) ELSE best END, CASE WHEN h.s > best + 1e-5 THEN 0 ELSE stale + 1 END FROM f JOIN h ON h.run = f.run AND h.e = f.k + 1 WHERE stale < 3)
+@query(f"""WITH RECURSIVE {_HISTORY},
+f AS (SELECT run, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS epoch, CAST('-inf' AS DOUBLE) AS best, 0 AS stale FROM h GROUP BY run
+  UNION ALL SELECT f.run, f.k + 1, CASE WHEN h.s > best + 1e-5 THEN h.e ELSE epoch END, CASE WHEN h.s > best + 1e-5 THEN CAST(h.s AS DOUBLE) ELSE best END, CASE WHEN h.s > best + 1e-5 THEN 0 ELSE stale + 1 END FROM f JOIN h ON h.run = f.run AND h.e = f.k + 1 WHERE stale < 6)
 SELECT run, CAST(arg_max(epoch, k) AS BIGINT) AS epoch, arg_max(best, k) AS score FROM f GROUP BY run""", views=False)
 def early_stopping(spark, sf):
-    return _rounded(models.best_epoch(spark.createDataFrame(HISTORY, "run string, epoch int, score double"), "run", "epoch", "score", patience=3))
+    """The recorded scores are the months' mean prices of each priority; six months without a better one stop a run."""
+    rows = table(spark, sf, "orders").where("o_orderpriority is not null and o_orderdate is not null")
+    month = F.year("o_orderdate") * 12 + F.month("o_orderdate")
+    scores = rows.groupBy(F.col("o_orderpriority").alias("run"), month.alias("t")).agg(F.round(F.avg("o_totalprice"), 2).alias("score"))
+    history = order.numbered(scores, ["t"], "i", ("run",)).select("run", (F.col("i") + 1).cast("int").alias("epoch"), "score")
+    return _rounded(models.best_epoch(history, "run", "epoch", "score", patience=6))
 
 
 @query(f""", r AS (SELECT yl, pa, pb, {_rank("yl")} AS ry, {_rank("pa")} AS ra, {_rank("pb")} AS rb FROM val), m AS (SELECT {_corr("ra", "ry")} AS a, {_corr("rb", "ry")} AS b FROM r)

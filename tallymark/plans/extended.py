@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import attention, hash32, identity, or_na, uniform
-from ..operators import audits, contracts, encode, metrics, models, neighbours, ranks, replicates, report, resample, vectors
+from ..operators import audits, contracts, encode, gram, metrics, models, neighbours, ranks, replicates, report, resample, vectors
 from .catalogue import _BANDED, _DRAWS, REPS, SEED, _agreement, _corr, _hash, _rank, _rounded, _val, null_pairs, query
-from .views import domains, groups, pairs, preds, strings, table
+from ..operators.lineage import checkpointed
+from .views import ALPHABET, domains, groups, pairs, preds, strings, table
 
 # Joins and keys
 
@@ -203,18 +204,6 @@ def rmse_bootstrap_ci(spark, sf):
     return _rounded(resample.intervals(reps, {"pb-pa": F.col("pb") - F.col("pa")}, REPS))
 
 
-@query()
-def mantel_power(spark, sf):
-    """A simulation, of no table."""
-    return _rounded(resample.mantel_power(spark, [0.0, 0.1, 0.2, 0.4, 0.8], 200, 199, 16, SEED))
-
-
-@query()
-def ci_width_curve(spark, sf):
-    """A simulation of the published size, of no table."""
-    return _rounded(resample.ci_width_curve(spark, [0.5, 0.6, 0.7, 0.8, 0.9], 2_817, 571, 200, SEED))
-
-
 # Unseen groups, feature sets and blocks
 
 
@@ -284,6 +273,53 @@ def attention_rows(spark, sf):
     return _rounded(rows.select("vec_id", F.posexplode(attention(F.col("q"), F.col("k"), F.col("k"), 8)).alias("j", "x")))
 
 
+@query()
+def pca_embeddings(spark, sf):
+    """Every vector's coordinates on all 64 components, largest variance first."""
+    rows = table(spark, sf, "embeddings").where((F.size("embedding") == 64) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v))).select("vec_id", "embedding")
+    found = gram.principal(rows, F.col("embedding"), 64)
+    if found is None:
+        return spark.createDataFrame([], "vec_id long, component long, value double")
+    each = gram.projected(rows, found, F.col("embedding"), "x").select("vec_id", F.posexplode("x").alias("component", "value"))
+    return each.select("vec_id", F.col("component").cast("long").alias("component"), "value")
+
+
+@query()
+def feature_sweep(spark, sf):
+    """Ridge regressions refitted for sets of features, scalings and penalties: fitted on train, chosen on val, read once on test."""
+    rows = preds(spark, sf)
+    means = rows.where("split = 'train'").groupBy("grp").agg(F.avg("yl").alias("m"), F.count("*").cast("double").alias("n"))
+    known = rows.join(means.hint("merge"), "grp", "left")
+    letter = lambda p: F.substring("seq9", p, 1)
+    cells = [(letter(p) == c).cast("double") for p in range(1, 10) for c in ALPHABET]
+    counts = [(F.length("seq9") - F.length(F.replace("seq9", F.lit(c)))).cast("double") for c in ALPHABET]
+    group = [F.coalesce("m", F.lit(0.0)), F.log1p(F.coalesce("n", F.lit(0.0))), F.col("m").isNull().cast("double")]
+    at = lambda a, b: list(range(a, b))
+    sets = {"letters": at(0, 72), "anchors": [*at(8, 16), *at(64, 72)], "counts": at(72, 80), "group": at(80, 83), "letters_group": [*at(0, 72), *at(80, 83)], "all": at(0, 83)}
+    return _rounded(gram.sweep(known, F.array(*cells, *counts, *group), F.col("yl"), F.col("split"), sets, [1e-4, 1e-2, 1.0]))
+
+
+_SAMPLES = "x AS (SELECT vec_id // 2 AS e, vec_id % 2 AS s, k, CAST(embedding[k] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(k) WHERE embedding[k] IS NOT NULL)"
+
+
+@query(f"""WITH {_SAMPLES}, c AS (SELECT k FROM x GROUP BY k HAVING avg(abs(v)) < (SELECT avg(abs(v)) FROM x)),
+w AS (SELECT a.k, avg(abs(a.v - b.v)) AS within FROM x a JOIN x b ON a.e = b.e AND a.k = b.k AND a.s = 0 AND b.s = 1 GROUP BY a.k),
+p AS (SELECT a.k, avg(abs(a.v - b.v)) AS across FROM x a JOIN x b ON a.k = b.k AND a.s = 0 AND b.s = 0 AND a.e < b.e GROUP BY a.k),
+m AS (SELECT k, within, across, k IN (SELECT k FROM c) AS contact FROM w FULL JOIN p USING (k))
+SELECT 'all' AS cells, CAST(count(*) AS BIGINT) AS n, round(avg(within), 6) AS within, round(avg(across), 6) AS across, round(avg(across) / nullif(avg(within), 0), 6) AS ratio FROM m
+UNION ALL SELECT 'contacts', CAST(count(*) AS BIGINT), round(avg(within), 6), round(avg(across), 6), round(avg(across) / nullif(avg(within), 0), 6) FROM m WHERE contact""", views=False)
+def structure_variance(spark, sf):
+    """How far two samples of one structure lie apart, against all pairs of structures: over all cells, and over those with small values."""
+    long = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("e"), (F.col("vec_id") % 2).alias("s"), F.posexplode("embedding").alias("k", "v"))
+    long = checkpointed(long.select("e", "s", (F.col("k") + 1).alias("k"), F.col("v").cast("double").alias("v")).where("k <= 64 and v is not null"), "cells")
+    whole = long.agg(F.avg(F.abs("v")).alias("limit"))
+    contacts = long.groupBy("k").agg(F.avg(F.abs("v")).alias("m")).join(F.broadcast(whole)).where("m < limit").select("k", F.lit(True).alias("contact"))
+    cells = checkpointed(vectors.sample_variance(long, "e", "s", "k", "v").join(contacts, "k", "left"), "variances")
+    both = cells.select(F.lit("all").alias("cells"), "within", "across").unionByName(cells.where("contact").select(F.lit("contacts").alias("cells"), "within", "across"))
+    out = both.groupBy("cells").agg(F.count("*").alias("n"), F.avg("within").alias("within"), F.avg("across").alias("across"))
+    return _rounded(out.withColumn("ratio", F.col("across") / F.nullif(F.col("within"), F.lit(0.0))))
+
+
 # Texts and reports
 
 

@@ -79,6 +79,40 @@ def write_unit(df: DataFrame, path: str, unit: str, value: str) -> None:
     df.withColumn(unit, F.lit(value)).write.partitionBy(unit).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
+def finished_units(spark: SparkSession, path: str) -> DataFrame:
+    """(unit, rows): the ledger of :func:`run_units`; a unit that was committed twice counts once."""
+    schema = "unit string, rows long"
+    ledger = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/ledger")
+    if not ledger.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(ledger):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(f"{path}/ledger").groupBy("unit").agg(F.max("rows").alias("rows"))
+
+
+def run_units(df: DataFrame, path: str, unit: str, work, together: int = 100) -> int:
+    """Do ``work(rows)`` for all units of ``df`` that the ledger at ``path`` lacks, and say how many that were.
+
+    Units are done ``together`` at a time, whole, in one job: results first, each unit
+    replacing what an attempt that was cut off left of it, then the ledger's lines.  A unit
+    is finished when its line is there, so a run that is stopped goes on with the others.
+    Only the names of a batch reach the driver.  Rows without a unit take no part.
+    """
+    spark, done = df.sparkSession, 0
+    named = df.where(F.col(unit).isNotNull()).withColumn("_unit", F.col(unit).cast("string"))
+    while True:
+        left = named.select("_unit").distinct().join(finished_units(spark, path).select(F.col("unit").alias("_unit")), "_unit", "left_anti")
+        names = [r["_unit"] for r in left.orderBy("_unit").limit(together).collect()]
+        if not names:
+            return done
+        wanted = F.broadcast(spark.createDataFrame([(n,) for n in names], "_unit string"))
+        rows = named.join(wanted, "_unit", "left_semi")
+        out = work(rows.drop("_unit")).withColumn("_unit", F.col(unit).cast("string"))
+        out.write.partitionBy("_unit").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{path}/results")
+        counts = spark.read.schema(out.schema).parquet(f"{path}/results").groupBy("_unit").agg(F.count("*").alias("rows"))
+        lines = wanted.join(counts, "_unit", "left").select(F.col("_unit").alias("unit"), F.coalesce("rows", F.lit(0).cast("long")).alias("rows"))
+        lines.coalesce(1).write.mode("append").json(f"{path}/ledger")
+        done += len(names)
+
+
 def job_documents(df: DataFrame, chains: dict[str, str]) -> DataFrame:
     """A column ``yaml`` with one structure job a row; ``chains``: chain id to sequence column."""
     parts = [F.lit("version: 1\nsequences:\n")]
