@@ -1,4 +1,4 @@
-"""More of the catalogue: relational pieces, composed audits, suites, power curves and unseen groups."""
+"""More of the catalogue: relational pieces, composed audits, suites, unseen groups, sweeps and components."""
 
 from __future__ import annotations
 

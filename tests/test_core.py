@@ -284,13 +284,6 @@ def test_mantel_blocks_equal_the_plan(spark, sf):
         assert abs(blocks[s].r - r.r) < 1e-5 and abs(blocks[s].p - r.p) < 1e-9 and abs(blocks[s].noise - r.noise) < 1e-5
 
 
-def test_simulated_curves(spark):
-    power = {r.effect: r.power for r in resample.mantel_power(spark, [0.0, 0.8], 40, 99, 12, 1).collect()}
-    assert power[0.0] <= 0.2 and power[0.8] >= 0.95
-    curve = sorted(resample.ci_width_curve(spark, [0.5, 0.9], 600, 100, 60, 1).collect(), key=lambda r: r.target)
-    assert all(abs(r.achieved - r.target) < 0.01 for r in curve) and curve[0].width > curve[1].width > 0
-
-
 def test_mlp_learns(spark):
     rows = [("g", "AC"[i % 2] + "DE"[i // 2 % 2] + "FG"[i // 4 % 2], float(i % 2) + 0.5 * (i // 2 % 2)) for i in range(400)]
     table = spark.createDataFrame(rows, "grp string, s string, y double")
