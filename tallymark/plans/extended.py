@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import attention, hash32, identity, or_na, uniform
-from ..operators import audits, contracts, encode, gram, metrics, models, neighbours, ranks, replicates, report, resample, vectors
+from ..operators import audits, contracts, encode, gram, likelihood, metrics, models, neighbours, ranks, replicates, report, resample, vectors
 from .catalogue import _BANDED, _DRAWS, REPS, SEED, _agreement, _corr, _hash, _rank, _rounded, _val, null_pairs, query
 from ..operators.lineage import checkpointed
 from .views import ALPHABET, domains, groups, pairs, preds, strings, table
@@ -320,6 +320,43 @@ def structure_variance(spark, sf):
     return _rounded(out.withColumn("ratio", F.col("across") / F.nullif(F.col("within"), F.lit(0.0))))
 
 
+def _cells_sql(rows: str) -> str:
+    at = "substr(seq9, CAST(p AS INT), 1)"
+    return f"SELECT grp, seq9, p, {at} AS a, CASE WHEN p > 1 THEN substr(seq9, CAST(p AS INT) - 1, 1) ELSE '' END AS l, CASE WHEN p < 9 THEN substr(seq9, CAST(p AS INT) + 1, 1) ELSE '' END AS r FROM {rows}, range(1, 10) t(p)"
+
+
+@query(f""", tc AS ({_cells_sql('train')}), vc AS ({_cells_sql('(SELECT DISTINCT grp, seq9 FROM val) v')}),
+a1 AS (SELECT p, a, count(*) AS c1 FROM tc GROUP BY ALL), b1 AS (SELECT p, count(*) AS n1 FROM tc GROUP BY ALL), a2 AS (SELECT p, l, r, a, count(*) AS c2 FROM tc GROUP BY ALL), b2 AS (SELECT p, l, r, count(*) AS n2 FROM tc GROUP BY ALL),
+a3 AS (SELECT grp, p, a, count(*) AS c3 FROM tc GROUP BY ALL), b3 AS (SELECT grp, p, count(*) AS n3 FROM tc GROUP BY ALL),
+w AS (SELECT vc.grp, vc.seq9, (coalesce(c1, 0) + 1) / (coalesce(n1, 0) + 8.0) AS wide, coalesce(c2, 0) AS c2, coalesce(n2, 0) AS n2, coalesce(c3, 0) AS c3, coalesce(n3, 0) AS n3
+  FROM vc LEFT JOIN a1 USING (p, a) LEFT JOIN b1 USING (p) LEFT JOIN a2 USING (p, l, r, a) LEFT JOIN b2 USING (p, l, r) LEFT JOIN a3 USING (grp, p, a) LEFT JOIN b3 USING (grp, p)),
+q AS (SELECT *, (c2 + 4 * wide) / (n2 + 4.0) AS near FROM w), s AS (SELECT grp, seq9, sum(ln(near)) AS alone, sum(ln((c3 + 4 * near) / (n3 + 4.0))) AS ctx FROM q GROUP BY grp, seq9)
+SELECT grp, seq9, round(alone, 6) AS alone, round(ctx, 6) AS in_context, round(ctx - alone, 6) AS delta FROM s""")
+def conditioned_likelihood(spark, sf):
+    """Three scores a validation string and group, from the training strings' counts."""
+    rows = preds(spark, sf)
+    return _rounded(likelihood.masked_likelihood(rows.where("split = 'train'"), rows.where("split = 'val'"), "grp", "seq9", 9, len(ALPHABET)))
+
+
+@query(""", a3 AS (SELECT grp, p, substr(seq9, CAST(p AS INT), 1) AS a, avg(yl) AS e, count(*) AS n FROM train, range(1, 10) t(p) GROUP BY ALL),
+m AS (SELECT grp, avg(yl) AS m FROM train GROUP BY grp), f AS (SELECT grp, p, a, n * (e - m) / (n + 4.0) AS effect FROM a3 JOIN m USING (grp)),
+top AS (SELECT grp, min(seq9) AS seq9 FROM pairs WHERE grp IN (SELECT grp FROM m) GROUP BY grp), mu AS (SELECT grp, seq9, p AS pos, substr('ACDEFGHI', CAST(k AS INT), 1) AS aa FROM top, range(1, 10) t(p), range(1, 9) s(k)),
+d AS (SELECT mu.grp, pos, aa, coalesce(x.effect, 0) - coalesce(y.effect, 0) AS delta FROM mu LEFT JOIN f x ON x.grp = mu.grp AND x.p = pos AND x.a = aa LEFT JOIN f y ON y.grp = mu.grp AND y.p = pos AND y.a = substr(mu.seq9, CAST(pos AS INT), 1))
+SELECT grp, CAST(pos AS BIGINT) AS pos, aa, round(delta, 6) AS delta FROM d""")
+def mutants_fitted(spark, sf):
+    """What each substitution in a group's first string changes, by effects of letters and places fitted to the group's training rows."""
+    rows = preds(spark, sf).where("split = 'train'")
+    cells = rows.select("grp", "yl", F.explode(likelihood.masked_cells(F.col("seq9"), 9)).alias("x")).groupBy("grp", "x.p", "x.a").agg(F.avg("yl").alias("e"), F.count("*").alias("n"))
+    means = checkpointed(rows.groupBy("grp").agg(F.avg("yl").alias("m")), "means")
+    effects = checkpointed(cells.join(means.hint("merge"), "grp").select("grp", "p", "a", (F.col("n") * (F.col("e") - F.col("m")) / (F.col("n") + F.lit(4.0))).alias("effect")), "effects")
+    top = pairs(spark, sf).join(means.select("grp").hint("merge"), "grp", "left_semi").groupBy("grp").agg(F.min("seq9").alias("seq9"))
+    each = top.select("grp", "seq9", F.explode(neighbours.substitutions(F.col("seq9"), ALPHABET, 9)).alias("x")).select("grp", "x.pos", "x.aa", F.expr("substring(seq9, x.pos, 1)").alias("was"))
+    new = effects.select("grp", F.col("p").alias("pos"), F.col("a").alias("aa"), F.col("effect").alias("new"))
+    old = effects.select("grp", F.col("p").alias("pos"), F.col("a").alias("was"), F.col("effect").alias("old"))
+    both = each.join(new.hint("merge"), ["grp", "pos", "aa"], "left").join(old.hint("merge"), ["grp", "pos", "was"], "left").na.fill(0.0, ["new", "old"])
+    return _rounded(both.select("grp", "pos", "aa", (F.col("new") - F.col("old")).alias("delta")))
+
+
 # Texts and reports
 
 
