@@ -27,10 +27,16 @@ def masked_pairs(a: DataFrame, b: DataFrame | None, length: int, distance: int,
     return met.withColumn("d", hamming(F.col("a"), F.col("b"), length))
 
 
-def brute_pairs(a: DataFrame, b: DataFrame | None, length: int, distance: int, key: str = "seq") -> DataFrame:
-    """What :func:`masked_pairs` finds, by comparing every pair: an audit for small sets."""
+def brute_pairs(a: DataFrame, b: DataFrame | None, length: int, distance: int, key: str = "seq", most: int = 100_000) -> DataFrame:
+    """What :func:`masked_pairs` finds, by comparing every pair: an audit for small sets.
+
+    The compared strings are broadcast; more than ``most`` are an error.
+    """
     left = a.select(F.col(key).alias("a")).distinct()
     right = (a if b is None else b).select(F.col(key).alias("b")).distinct()
+    if right.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} strings to compare with")
+    right = F.broadcast(right)
     near = hamming(F.col("a"), F.col("b"), length) <= distance
     pairs = left.join(right, near & (F.col("a") < F.col("b")) if b is None else near)
     return pairs.withColumn("d", hamming(F.col("a"), F.col("b"), length))

@@ -41,9 +41,14 @@ def claims_audit(claims: DataFrame, documents: DataFrame) -> DataFrame:
     return rows.select("claim", "path", "quoted", "found", verdict.alias("verdict"))
 
 
-def needles(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(needle, present): whether any text holds each needle verbatim."""
-    hits = wanted.join(texts, F.contains(F.col("text"), F.col("needle"))).select("needle").distinct().withColumn("present", F.lit(True))
+def needles(texts: DataFrame, wanted: DataFrame, most: int = 10_000) -> DataFrame:
+    """(needle, present): whether any text holds each needle verbatim.
+
+    Every text is searched for every needle, so these are broadcast, and more than ``most`` are an error.
+    """
+    if (n := wanted.select("needle").distinct().limit(most + 1).count()) > most:
+        raise ValueError(f"more than {most} needles: {n}")
+    hits = texts.join(F.broadcast(wanted), F.contains(F.col("text"), F.col("needle"))).select("needle").distinct().withColumn("present", F.lit(True))
     return wanted.select("needle").distinct().join(hits, "needle", "left").select("needle", F.coalesce("present", F.lit(False)).alias("present"))
 
 

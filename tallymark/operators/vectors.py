@@ -25,11 +25,13 @@ def mean_pool(vector: Column, rows: int, width: int) -> Column:
 def pair_l1(df: DataFrame, key: str, vector: str, mask: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, a, b, dist): mean absolute difference of all pairs of a group, over the cells where ``mask`` of ``k`` holds.
 
-    Pairs of one group are all compared: groups are structures of a bounded size.
+    Pairs of one group are all compared: groups are structures of a bounded size, and have to be named.
     """
+    if not by:
+        raise ValueError("pairs of all rows are not compared: name the groups")
     left = df.select(*by, F.col(key).alias("a"), F.col(vector).alias("_va"))
     right = df.select(*by, F.col(key).alias("b"), F.col(vector).alias("_vb"))
-    met = left.join(right, list(by)).where("a < b") if by else left.join(right, F.col("a") < F.col("b"))
+    met = left.join(right, list(by)).where("a < b")
     both = met.select(*by, "a", "b", F.posexplode(F.zip_with("_va", "_vb", lambda x, y: F.abs(x.cast("double") - y.cast("double")))).alias("k", "x"))
     both = both.where(mask) if mask is not None else both
     return both.groupBy(*by, "a", "b").agg(F.avg("x").alias("dist"))
@@ -75,5 +77,7 @@ def min_distance(left: DataFrame, right: DataFrame, *by: str) -> DataFrame:
     a = left.select(*by, "i", *(F.col(c).alias(f"_a{c}") for c in "xyz"))
     b = right.select(*by, "j", *(F.col(c).alias(f"_b{c}") for c in "xyz"))
     square = sum(((F.col(f"_a{c}") - F.col(f"_b{c}")) * (F.col(f"_a{c}") - F.col(f"_b{c}")) for c in "yz"), (F.col("_ax") - F.col("_bx")) * (F.col("_ax") - F.col("_bx")))
-    met = a.join(b, list(by)) if by else a.join(b)
+    if not by:
+        raise ValueError("atoms of all rows are not compared: name the groups")
+    met = a.join(b, list(by))
     return met.groupBy(*by, "i", "j").agg(F.sqrt(F.min(square)).alias("d"))

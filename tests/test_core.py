@@ -171,9 +171,22 @@ def test_best_epoch(spark):
 
 
 def test_min_distance(spark):
-    a = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (1, 5.0, 0.0, 0.0)], "i int, x double, y double, z double")
-    b = spark.createDataFrame([(7, 5.0, 3.0, 4.0)], "j int, x double, y double, z double")
-    assert vectors.min_distance(a, b).first().d == 5.0
+    a = spark.createDataFrame([("s", 1, 0.0, 0.0, 0.0), ("s", 1, 5.0, 0.0, 0.0)], "s string, i int, x double, y double, z double")
+    b = spark.createDataFrame([("s", 7, 5.0, 3.0, 4.0)], "s string, j int, x double, y double, z double")
+    assert vectors.min_distance(a, b, "s").first().d == 5.0
+    with pytest.raises(ValueError):
+        vectors.min_distance(a, b)
+    with pytest.raises(ValueError):
+        vectors.pair_l1(a, "i", "x")
+
+
+def test_audits_of_all_pairs_are_bounded(spark):
+    words = spark.createDataFrame([("AB",), ("AC",), ("BB",)], "seq string")
+    assert neighbours.brute_pairs(words, None, 2, 1, most=3).count() == 2
+    with pytest.raises(ValueError):
+        neighbours.brute_pairs(words, None, 2, 1, most=2)
+    with pytest.raises(ValueError):
+        report.needles(words.withColumnRenamed("seq", "text"), words.withColumnRenamed("seq", "needle"), most=2)
 
 
 def test_files(spark, tmp_path):
