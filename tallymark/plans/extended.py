@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import attention, hash32, identity, or_na, uniform
@@ -357,6 +358,23 @@ def mutants_fitted(spark, sf):
     return _rounded(both.select("grp", "pos", "aa", (F.col("new") - F.col("old")).alias("delta")))
 
 
+@query(""", c AS (SELECT p AS pos, substr(seq9, CAST(p AS INT), 1) AS aa, count(*) AS n, avg(yl) AS e FROM train, range(1, 10) t(p) GROUP BY ALL), m AS (SELECT avg(yl) AS m FROM train),
+f AS (SELECT threshold, pos, aa, round(n * (e - m) / (n + 4.0), 9) AS effect FROM c, m, (SELECT unnest([1, 50, 500, 5000]) AS threshold) k WHERE n >= threshold),
+r AS (SELECT *, row_number() OVER (PARTITION BY threshold, pos ORDER BY effect DESC, aa) AS r, count(*) OVER (PARTITION BY threshold, pos) AS kept FROM f)
+SELECT CAST(threshold AS BIGINT) AS threshold, CAST(pos AS BIGINT) AS pos, CAST(any_value(kept) AS BIGINT) AS kept, round(avg(CASE WHEN aa IN ('A', 'C') THEN r END), 6) AS mean_rank, round((any_value(kept) + 1) / 2.0, 6) AS chance FROM r GROUP BY threshold, pos""")
+def anchor_rank_fitted(spark, sf):
+    """Where the expected letters come among those with enough support, by effects fitted to all training rows, against chance."""
+    rows = preds(spark, sf).where("split = 'train'").select("seq9", "yl")
+    cells = rows.select("yl", F.explode(likelihood.masked_cells(F.col("seq9"), 9)).alias("x")).groupBy(F.col("x.p").alias("pos"), F.col("x.a").alias("aa")).agg(F.count("*").alias("n"), F.avg("yl").alias("e"))
+    fitted = cells.join(F.broadcast(rows.agg(F.avg("yl").alias("m"))))
+    effect = F.round(F.col("n") * (F.col("e") - F.col("m")) / (F.col("n") + F.lit(4.0)), 9)
+    each = fitted.select("pos", "aa", "n", effect.alias("effect"), F.explode(F.array(*map(F.lit, (1, 50, 500, 5000)))).alias("threshold")).where("n >= threshold")
+    w = Window.partitionBy("threshold", "pos")  # a row a letter
+    ranked = each.select("threshold", "pos", "aa", F.row_number().over(w.orderBy(F.desc("effect"), "aa")).alias("r"), F.count("*").over(w).alias("kept"))
+    out = ranked.groupBy("threshold", "pos").agg(F.max("kept").alias("kept"), F.avg(F.when(F.col("aa").isin("A", "C"), F.col("r"))).alias("mean_rank"))
+    return _rounded(out.withColumn("chance", (F.col("kept") + 1) / 2.0))
+
+
 # Texts and reports
 
 
