@@ -7,8 +7,8 @@ scores all unlabelled documents, and of those that it is sure of the other view
 view is sure of a class where its calibrated chance to be wrong is ``SURER`` times smaller
 than that of the class's share.  A third of the labelled documents, on which neither view is
 fitted, calibrates: a view that, calibrated on one half of it, is no better on the other than
-the class's share neither teaches nor counts.  The combination of the views scores every
-document.
+the class's share neither teaches nor counts; if neither is better, as with few labels, nothing
+is taught and both count.  The combination of the views scores every document.
 
 The fits use at most ``labelled`` labelled documents, and ``pseudo`` pseudo-labels a round
 and view in the classes' proportions, both taken by hash of the id: of the pseudo-labels,
@@ -246,10 +246,10 @@ class Target:
         self.fresh[view] += len(features)
 
     def view(self) -> View:
-        if not self.usable or not any(self.better):
+        if not self.usable:
             return View(None, None, None, min(self.mean, REJECT / 2), self.taught, [False, False])
         views = np.column_stack([m.margin(h) * c[0] + c[1] for m, h, c in zip(self.models, self.held, self.calibrate, strict=True)])
-        use = np.array(self.better)
+        use = np.array(self.better) | (not any(self.better))
         mix = np.zeros(3)
         mix[np.append(use, True)] = _dense_fit(views[:, use], self.held_y)
         return View(self.models, self.calibrate, mix, self.mean, self.taught, self.better)

@@ -461,9 +461,7 @@ def own_co_training(known, free, y, surer=5.0, pseudo=200, count=0.2):
                         sets[1 - v][1][k].append(item)
                 if sure:
                     taught.append((turn, v, value))
-    if not any(good):
-        return lambda f: min(mean, 0.25), taught
-    use = [v for v in (0, 1) if good[v]]
+    use = [v for v in (0, 1) if good[v] or not any(good)]
     line = lambda v, f: models[v](f) * curves[v][0] + curves[v][1]
     mix = own_curve([np.array([line(v, known[i][v]) for i in held]) for v in use], hy)
     return lambda f: sigmoid(sum(w * line(v, f[v]) for w, v in zip(mix, use, strict=False)) + mix[-1]), taught
