@@ -35,15 +35,26 @@ def many_to_one(left: DataFrame, right: DataFrame, *keys: str, complete: bool =
     return checked.select(*left.columns, *others)
 
 
+def with_partners(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """Inner join for keys that are names and may be shared: a left row comes once for each partner.
+
+    A left row without a partner fails at run time, except one with a null key, which joins nothing.
+    """
+    others = [c for c in right.columns if c not in keys]
+    known = left.where(" and ".join(f"`{k}` is not null" for k in keys))
+    joined = known.join(right.withColumn("_n", F.lit(1)), list(keys), "left")
+    return require_one(joined, F.lit("no partner for a row of the left side")).select(*left.columns, *others)
+
+
 def require_one(joined: DataFrame, text: Column) -> DataFrame:
     column = joined.columns[0]
     return joined.withColumn(column, F.when(F.coalesce(F.col("_n") == 1, F.lit(False)), F.col(column)).otherwise(F.raise_error(text).cast(joined.schema[column].dataType)))
 
 
-def chained(left: DataFrame, *steps: tuple) -> DataFrame:
-    """Checked many-to-one joins one after another; a step is (right, key, ...)."""
+def chained(left: DataFrame, *steps: tuple, join=many_to_one) -> DataFrame:
+    """Checked joins one after another, many-to-one unless said otherwise; a step is (right, key, ...)."""
     for right, *keys in steps:
-        left = many_to_one(left, right, *keys)
+        left = join(left, right, *keys)
     return left
 
 
