@@ -39,3 +39,65 @@ def test_a_lost_row_is_still_an_error(spark):
     assert sorted((r.n, r.v) for r in contracts.with_partners(left, right, "k").collect()) == [(1, 5), (1, 6), (2, 7)]
     with pytest.raises(PySparkException):
         contracts.with_partners(left, right.where("k = 'a'"), "k").collect()
+
+
+def test_mantel_by_arrays_is_the_plan(spark):
+    """Whole structures, and ones with a short, a null and a repeated vector, against the plan a row a pair and replicate."""
+    import hashlib
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tallymark.operators import resample, vectors
+
+    names = np.array([f"mantel|7|{r}|{i}".encode() for r in (1, 99, 12345) for i in (0, 7, 123456789, 10**18)])
+    assert resample.md5_heads(names).tolist() == [int(hashlib.md5(n).hexdigest()[:8], 16) for n in names.tolist()]
+    rng = np.random.default_rng(3)
+    rows = [(i // 6, i, [float(v) for v in rng.normal(size=8).round(2)]) for i in range(31)]
+    rows[7], rows[13] = (1, 7, rows[7][2][:5]), (2, 13, None)
+    table = spark.createDataFrame([*rows, (3, 18, rows[18][2])], "structure long, id long, x array<double>")
+    for some in (table, table.where("structure = 0 or structure >= 4")):
+        got = {(r.structure, r.part): r for r in resample.mantel_parts(some, "structure", "id", "x", 8, [(0, 4), (4, 8)], 49, 7).collect()}
+        g = vectors.pair_l1(some, "id", "x", None, ("structure",)).select("structure", "a", "b", F.round("dist", 9).alias("g"))
+        t = [vectors.pair_l1(some, "id", "x", F.floor(F.col("k") / 4) == k, ("structure",)).select("structure", "a", "b", F.round("dist", 9).alias("t"), F.lit(k).alias("part")) for k in (0, 1)]
+        want = {(r.structure, r.part): r for r in resample.mantel(g.join(t[0].union(t[1]), ["structure", "a", "b"]), 49, 7, ("structure", "part")).collect()}
+        assert set(got) == set(want) and len(want) > 1
+        for k, r in want.items():
+            assert abs(got[k].r - r.r) < 1e-9 and abs(got[k].p - r.p) < 1e-9 and abs(got[k].noise - r.noise) < 1e-9
+
+
+def test_column_mapping_of_shared_names(spark, shared):
+    """No broadcast of exploded cells, and shared names as in SQL."""
+    from tallymark.operators import neighbours
+
+    assert not same_as_sql(spark, shared, "pseudoseq_mapping")
+    one = spark.createDataFrame([("a", "XY"), ("b", "ZY")], "g string, s string")
+    two = spark.createDataFrame([("a", "YXQY"), ("b", "QZYY")], "g string, t string")
+    found = neighbours.column_mapping(one, two, "g", "s", "t")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(0, 1, 1), (1, 3, 1)]
+    assert plan.count("BroadcastExchange") <= 1, plan  # the number of rows
+
+
+def test_brute_pairs_of_any_size(spark, monkeypatch):
+    """In several parts and units, within one set and across two, against plain loops; more than 100,000 strings are no error."""
+    import numpy as np
+
+    from tallymark.operators import neighbours
+
+    rng = np.random.default_rng(5)
+    words = lambda n, m: sorted({"".join(rng.choice(list("ACDEFé"), m)) for _ in range(n)})
+    apart = lambda x, y: sum(p != q for p, q in zip(x, y, strict=True))
+    df = lambda w: spark.createDataFrame([(x,) for x in [*w, w[0], None]], "seq string")
+    for length, d in ((6, 2), (40, 27)):
+        one, two = words(300, length), words(200, length)
+        two = sorted({*two, *one[:20]})
+        for size in (40, 65_536):
+            monkeypatch.setattr(neighbours, "_PART_STRINGS", size)
+            got = sorted(map(tuple, neighbours.brute_pairs(df(one), None, length, d).collect()))
+            assert got == sorted((x, y, apart(x, y)) for x in one for y in one if x < y and apart(x, y) <= d)
+            got = sorted(map(tuple, neighbours.brute_pairs(df(one), df(two), length, d).collect()))
+            assert got == sorted((x, y, apart(x, y)) for x in one for y in two if apart(x, y) <= d)
+    many = spark.range(100_001).selectExpr("lpad(cast(id as string), 6, '0') AS seq")
+    monkeypatch.undo()
+    assert neighbours.brute_pairs(many, None, 6, 0).count() == 0
