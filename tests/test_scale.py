@@ -101,3 +101,35 @@ def test_brute_pairs_of_any_size(spark, monkeypatch):
     many = spark.range(100_001).selectExpr("lpad(cast(id as string), 6, '0') AS seq")
     monkeypatch.undo()
     assert neighbours.brute_pairs(many, None, 6, 0).count() == 0
+
+
+def test_formatting_is_that_of_printf(spark):
+    """Half-way decimals go by the exact binary value, as in the SQL."""
+    from pyspark.sql import functions as F
+
+    from tallymark.functions.columns import or_na
+
+    values = [0.0625, 0.1235, 0.2345, -0.0015, 0.5005, 0.12349951, 0.0, -0.0000001, 1.0, None]
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r.t for r in table.select("i", or_na(F.col("v"), 3, 6).alias("t")).orderBy("i").collect()]
+    with duckdb.connect() as con:
+        want = [con.execute("SELECT CASE WHEN $1 IS NULL THEN 'n/a' ELSE printf('%.3f', round(CAST($1 AS DOUBLE), 6)) END", [v]).fetchall()[0][0] for v in values]
+    assert got == want
+
+
+def test_equal_rows_add_up_in_feature_sets(spark, tmp_path):
+    """Two parts with one string, under one name: one row with its scores added up, as in the SQL."""
+    from tallymark.plans.views import preds
+
+    with duckdb.connect() as c:
+        # Suppliers 1000 and 10000 share a name and measure the same.
+        c.execute(f"COPY (SELECT unnest([1000, 10000, 3]) AS s_suppkey) TO '{tmp_path}/supplier.parquet'")
+        c.execute(f"COPY (SELECT s AS l_suppkey, p AS l_partkey, CAST(10 + p * 7 % 30 AS DOUBLE) AS l_quantity FROM (SELECT unnest([1000, 10000]) AS s), range(40) t(p) UNION ALL SELECT 3, p, CAST(12 + p % 5 AS DOUBLE) FROM range(200) t(p)) TO '{tmp_path}/lineitem.parquet'")
+    assert preds(spark, str(tmp_path)).groupBy("grp", "seq9", "yl").count().where("count > 1").count() > 0
+    # Which row's n SQL's any_value takes is open, so only the correlations are compared.
+    with duckdb.connect() as con:
+        for t in ("supplier", "lineitem"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+        want = {r[0]: r[1] for r in con.execute('SELECT "set", r FROM (' + catalogue.ORACLE["feature_set_comparison"] + ")").fetchall()}
+    got = {r.set: r.r for r in catalogue.QUERIES["feature_set_comparison"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
