@@ -133,3 +133,32 @@ def test_equal_rows_add_up_in_feature_sets(spark, tmp_path):
         want = {r[0]: r[1] for r in con.execute('SELECT "set", r FROM (' + catalogue.ORACLE["feature_set_comparison"] + ")").fetchall()}
     got = {r.set: r.r for r in catalogue.QUERIES["feature_set_comparison"](spark, str(tmp_path)).collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_touched_rows_are_the_gradient():
+    """A batch's gradient of the rows it names is the whole gradient; a pass leaves the other rows."""
+    import numpy as np
+
+    from tallymark.operators import training
+
+    rng, model = np.random.default_rng(4), training.OneHot(50, (6, 4))
+    x, y, params = model.inputs(rng.integers(-1, 9, (40, 3))), rng.normal(size=40), model.start(rng)
+    rows, g, rest = model.touched(params, x, y)
+    whole = model.gradient(params, x, y)
+    own = np.zeros((50, 6))
+    own[rows] = g
+    assert np.allclose(own, whole[0]) and all(np.allclose(a, b) for a, b in zip(rest, whole[1:], strict=True))
+    after = training.one_pass(model, params, x, y, 8, 0.01, rng)
+    assert (after[0][9:] == params[0][9:]).all() and (after[0][rows] != params[0][rows]).any(axis=1).all()
+
+
+def test_rmse_replicates_are_of_cluster_sums(spark):
+    """A cluster's rows are added up before they meet the draws, with the same result."""
+    from tallymark.operators import resample
+
+    table = spark.createDataFrame([(f"c{i % 9}", float(i % 7), float(i % 5), None if i == 3 else float(i % 4)) for i in range(80)], "c string, y double, a double, b double")
+    picks = resample.draws(table, "c", 20, 7)
+    got = {r.rep: (r.a, r.b) for r in resample.replicate_rmse(table, picks, "c", "y", ["a", "b"]).collect()}
+    whole = {r.rep: (r.a, r.b) for r in resample.replicate_metric(table.where("b is not null"), picks, "c", "y", ["a", "b"], resample.weighted_rmse).collect()}
+    assert set(got) == set(whole) and all(abs(got[k][1] - whole[k][1]) < 1e-9 for k in whole)
+    assert all(a > 0 for a, _ in got.values())
