@@ -57,8 +57,8 @@ class MeanPool:
     def __init__(self, places: int, width: int, hidden: tuple[int, ...]):
         self.shape, self.tail = (places, width), Tail(width, hidden)
 
-    def inputs(self, column: list) -> np.ndarray:
-        return np.array(column, float).reshape(-1, *self.shape)
+    def inputs(self, column: np.ndarray) -> np.ndarray:
+        return np.asarray(column, float).reshape(-1, *self.shape)
 
     def start(self, rng):
         return self.tail.start(rng)
@@ -105,8 +105,8 @@ class OneHot:
     def __init__(self, count: int, hidden: tuple[int, ...]):
         self.count, self.width, self.tail = count, hidden[0], Tail(hidden[0], hidden[1:])
 
-    def inputs(self, column: list) -> np.ndarray:
-        x = np.array(column, np.int64).reshape(len(column), -1)
+    def inputs(self, column: np.ndarray) -> np.ndarray:
+        x = np.asarray(column, np.int64)
         return np.where(x < 0, self.count, x)
 
     def start(self, rng):
@@ -129,16 +129,42 @@ class OneHot:
             np.add.at(table, x[:, k], back)
         return [table[:-1], back.sum(axis=0), *grads]
 
+    def touched(self, params, x, y):
+        """The rows of the first table that a batch names, their gradients, and those of all other weights."""
+        rows, place = np.unique(x, return_inverse=True)
+        place = place.reshape(x.shape)
+        marks = np.zeros((len(x), len(rows)))
+        np.add.at(marks, (np.arange(len(x))[:, None], place), 1.0)
+        known = rows < self.count
+        rows, marks = rows[known], marks[:, known]
+        first = np.maximum(marks @ params[0][rows] + params[1], 0)
+        values = self.tail.forward(params[2:], first)
+        grads, back = self.tail.backward(params[2:], values, (values[-1] - y[:, None]) / len(y))
+        back = back * (first > 0)
+        return rows, marks.T @ back, [back.sum(axis=0), *grads]
+
 
 def one_pass(model, params: list[np.ndarray], x: np.ndarray, y: np.ndarray, batch: int, rate: float, rng: np.random.Generator) -> list[np.ndarray]:
-    """One pass of Adam over mini-batches."""
+    """One pass of Adam over mini-batches.
+
+    Of a one-hot network's first table a batch moves the rows it names only, so a batch's
+    work doesn't grow with the table.
+    """
     params, m, v = [p.copy() for p in params], [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     order = rng.permutation(len(y))
     for t, at in enumerate(range(0, len(y), batch), 1):
         pick = order[at : at + batch]
-        for i, g in enumerate(model.gradient(params, x[pick], y[pick])):
+        step = lambda a, b: rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)  # noqa: B023, E731
+        if hasattr(model, "touched"):
+            rows, g, rest = model.touched(params, x[pick], y[pick])
+            m[0][rows] = a = 0.9 * m[0][rows] + 0.1 * g
+            v[0][rows] = b = 0.999 * v[0][rows] + 0.001 * g * g
+            params[0][rows] -= step(a, b)
+        else:
+            rest = model.gradient(params, x[pick], y[pick])
+        for i, g in enumerate(rest, len(params) - len(rest)):
             m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
-            params[i] -= rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+            params[i] -= step(m[i], v[i])
     return params
 
 
@@ -151,6 +177,20 @@ def _shaped(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
     return [part.reshape(p.shape) for part, p in zip(np.split(flat, cuts), like, strict=True)]
 
 
+def _shards(batches):
+    """(number, rows) of each shard of rows sorted by shard, one held at a time."""
+    held, now = [], None
+    for pdf in batches:
+        for k, own in pdf.groupby("shard", sort=True):
+            if held and k != now:
+                yield now, pd.concat(held)
+                held = []
+            now = k
+            held.append(own)
+    if held:
+        yield now, pd.concat(held)
+
+
 def fit(train: DataFrame, held: DataFrame, model, features: Column, y: str, seeds: list[int], rounds: int = 40, patience: int = 6, batch: int = 256, rate: float = 0.01) -> list[list[np.ndarray]]:
     """The weights of each seed.  Rows without features or target take no part; at least one row must train."""
     spark = train.sparkSession
@@ -161,7 +201,9 @@ def fit(train: DataFrame, held: DataFrame, model, features: Column, y: str, seed
         raise ValueError("no row to fit on")
     shards = max(1, math.ceil(n / SHARD_ROWS))
     shard = F.pmod(F.xxhash64("x", "y", "held"), F.lit(shards))
-    dealt = rows.withColumn("shard", shard.cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", "held", F.xxhash64("x", "y"), "y").persist(StorageLevel.MEMORY_AND_DISK)
+    # A task takes several shards one after another and sends one sum of their weights.
+    tasks = min(shards, max(8, 2 * spark.sparkContext.defaultParallelism))
+    dealt = rows.withColumn("shard", shard.cast("int")).repartition(tasks, "shard").sortWithinPartitions("shard", "held", F.xxhash64("x", "y"), "y").persist(StorageLevel.MEMORY_AND_DISK)
     like = model.start(np.random.default_rng(0))
     now = {}
     for s in seeds:
@@ -176,18 +218,16 @@ def fit(train: DataFrame, held: DataFrame, model, features: Column, y: str, seed
         def work(batches):
             """A shard's held error with the weights it gets, and its weights after a pass."""
             sums = {s: [0.0, 0, np.zeros_like(w), 0] for s, w in weights.value.items()}
-            frames = list(batches)
-            pdf = pd.concat(frames) if frames else None
-            for k, own in pdf.groupby("shard", sort=True) if pdf is not None else ():
-                x, target, out = model.inputs(own["x"].tolist()), own["y"].to_numpy(float), own["held"].to_numpy(bool)
+            for k, own in _shards(batches):
+                x, target, out = model.inputs(np.stack(own["x"].to_numpy())), own["y"].to_numpy(float), own["held"].to_numpy(bool)
                 for s, total in sums.items():
                     params = _shaped(weights.value[s], like)
-                    if out.any():
-                        total[0] += float(((model.predict(params, x[out]) - target[out]) ** 2).sum())
-                        total[1] += int(out.sum())
+                    for part in np.array_split(np.flatnonzero(out), max(1, -(-int(out.sum()) // 4096))) if out.any() else ():
+                        total[0] += float(((model.predict(params, x[part]) - target[part]) ** 2).sum())
+                        total[1] += len(part)
                     if not out.all():
                         after = one_pass(model, params, x[~out], target[~out], batch, rate / math.sqrt(number), np.random.default_rng([s, number, int(k)]))
-                        total[2] = total[2] + _flat(after) * int((~out).sum())
+                        total[2] += _flat(after) * int((~out).sum())
                         total[3] += int((~out).sum())
             yield pd.DataFrame([(s, e, m, w.astype("<f8").tobytes(), c) for s, (e, m, w, c) in sums.items()], columns=["seed", "error", "held", "weights", "rows"])
 
@@ -201,8 +241,8 @@ def fit(train: DataFrame, held: DataFrame, model, features: Column, y: str, seed
 
         schema = "seed int, error double, held long, weights binary, rows long"
         parts = dealt.mapInPandas(work, schema)
-        if shards > 8:  # a level of the tree
-            parts = parts.repartition(math.ceil(math.sqrt(shards))).mapInPandas(summed, schema)
+        if tasks > 8:  # a level of the tree
+            parts = parts.repartition(math.ceil(math.sqrt(tasks))).mapInPandas(summed, schema)
         return pd.DataFrame(parts.collect(), columns=["seed", "error", "held", "weights", "rows"])
 
     active = list(seeds)
@@ -235,7 +275,7 @@ def predicted(rows: DataFrame, fitted: list[list[np.ndarray]], model, features:
         for pdf in batches:
             values, known = np.full(len(pdf), np.nan), pdf["_x"].notna().to_numpy()
             if known.any():
-                x = model.inputs(pdf["_x"][known].tolist())
+                x = model.inputs(np.stack(pdf["_x"][known].to_numpy()))
                 values[known] = np.mean([model.predict(p, x) for p in weights.value], axis=0)
             yield pdf.drop(columns="_x").assign(**{out: values})
 
