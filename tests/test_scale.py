@@ -162,3 +162,16 @@ def test_rmse_replicates_are_of_cluster_sums(spark):
     whole = {r.rep: (r.a, r.b) for r in resample.replicate_metric(table.where("b is not null"), picks, "c", "y", ["a", "b"], resample.weighted_rmse).collect()}
     assert set(got) == set(whole) and all(abs(got[k][1] - whole[k][1]) < 1e-9 for k in whole)
     assert all(a > 0 for a, _ in got.values())
+
+
+def test_a_string_goes_to_few_blocks(spark):
+    """Every mask is in one block that sees its places; nine rows a string are shuffled, not one a mask."""
+    from itertools import combinations
+
+    from tallymark.operators import neighbours
+
+    for length, furthest, blocks in ((9, 5, 9), (6, 4, 15), (4, 3, 4), (5, 1, 3)):
+        plan = neighbours.mask_plan(length, furthest)
+        masks = [m for _, own in plan for m in own]
+        assert sorted(masks) == sorted(m for d in range(1, furthest + 1) for m in combinations(range(length), d))
+        assert all(not set(places) & set(m) for places, own in plan for m in own) and len(plan) <= blocks
