@@ -626,6 +626,34 @@ def test_near_copies(spark, bucket, monkeypatch):
     assert {got[i] for i in (300, 301, 302)} == {300} and all(got[i] == i for i in range(60))
 
 
+@pytest.mark.parametrize("class_rows", [1024, 8])
+def test_near_copies_exact(spark, class_rows, monkeypatch):
+    """Fingerprints within the radius link only texts whose shingles are alike, in classes of any size; none without an id is lost."""
+    rng, rows = random.Random(12), []
+    for n in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for k in range(8):  # similarities from 1 to about 0.6
+            rows.append((len(rows), " ".join(words[: 300 - 10 * k] + [f"v{rng.randrange(10**6)}" for _ in range(10 * k)])))
+    common = [f"c{rng.randrange(10**6)}" for _ in range(240)]
+    rows += [(1000 + i, " ".join(common + [f"u{rng.randrange(10**6)}" for _ in range(40 if i % 2 else 90)])) for i in range(40)]
+    plain = near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda sets, similarity: plain(sets, similarity, class_rows))
+    table = spark.createDataFrame([*rows, (None, rows[0][1]), (None, "nothing like it")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_copies.classes(table).where("doc_id is not null").collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = {i: i for i in range(len(rows))}
+    for _ in rows:
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    want = {rows[i][0]: rows[root[i]][0] for i in root}
+    fingerprints = brute_near(rows)
+    assert any(fingerprints[i] != want[i] for i in want)
+    missed = {i for i in want if got[i] != want[i]}
+    # A link at the very edge may lie beyond the radius; nothing that isn't alike links.
+    assert len(missed) <= 2 and all(want[got[i]] == want[i] for i in want)
+
+
 def test_near_copies_reach():
     """Pairs of similarity 0.8 share a bucket of some table and lie within the radius nearly always."""
     p = near_copies.differing(0.8)

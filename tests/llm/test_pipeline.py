@@ -65,3 +65,18 @@ def test_pipeline_empty(spark, folder, tmp_path):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{path}/none/{name}.parquet")
     assert corpus_pipeline.run(spark, f"{path}/none").count() == 0
+
+
+def test_near_duplicates_exact(spark, sf):
+    """A document goes only if its five-word shingles, those of an earlier one, or a chain of such, are alike by 0.8."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted((r.doc_id, (r.text or "").lower().split()) for r in docs.collect())
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for _, w in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    least = list(range(len(rows)))
+    for _ in rows:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    want = [i for (i, _), own, at in zip(rows, least, range(len(rows)), strict=True) if own == at]
+    assert len(want) < len(rows)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()) == want
