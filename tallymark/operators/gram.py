@@ -56,7 +56,12 @@ def grams(df: DataFrame, features: Column, target: Column | None, part: Column)
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             names = np.array(batch.column(2).to_pylist(), object)
-            x = np.array([[*v, y] for v, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], float).reshape(-1, len(origin)) - origin
+            cells, y = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            if (np.diff(cells.offsets.to_numpy()) != len(origin) - 1).any():
+                raise ValueError("features differ in length")
+            # A batch's arrays are one flat buffer; a null in it becomes not a number.
+            flat = cells.flatten().to_numpy(zero_copy_only=False).astype(float)
+            x = np.column_stack([flat.reshape(-1, len(origin) - 1), y]) - origin
             x = np.column_stack([x, np.ones(len(x))])
             for name in set(names):
                 own = x[names == name]

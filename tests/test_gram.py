@@ -49,6 +49,19 @@ def test_sweep(table, data):
     assert gram.sweep(table.limit(0), F.col("x"), F.col("y"), F.col("split"), sets, [1.0]).collect() == []
 
 
+def test_rows_are_read_as_arrays(spark, table, data):
+    """Products of the rows' flat buffers; arrays of other lengths are an error."""
+    x, y, split = data
+    found = gram.grams(table, F.col("x"), F.col("y"), F.col("split"))
+    for part in ("train", "val", "test"):
+        own = np.column_stack([x, y])[split == part] - found[part].origin
+        own = np.column_stack([own, np.ones(len(own))])
+        assert np.allclose(found[part].products, own.T @ own)
+    uneven = spark.createDataFrame([([1.0, 2.0], 1.0, "a"), ([1.0], 1.0, "a"), ([1.0, 2.0, 3.0], 1.0, "a")], "x array<double>, y double, split string").coalesce(1)
+    with pytest.raises(Exception, match="differ in length"):
+        gram.grams(uneven, F.col("x"), F.col("y"), F.col("split"))
+
+
 def test_components(table, data):
     x = data[0][:, [1, 2, 3, 4]]
     vector = F.slice("x", 2, 4)
