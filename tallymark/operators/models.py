@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hash32, uniform
 from .encode import vocabulary
+from .grouped import by_group, fitted, letters_of
+from .grouped import fit as fit_grouped
 from .lineage import checkpointed
 from .order import median, numbered, running
 from .training import OneHot, fit, predicted
@@ -156,19 +158,16 @@ def mlp_predictions(train: DataFrame, held: DataFrame, rows: DataFrame, grp: str
     return predicted(ready(rows), fitted, model, F.col("_cells")).drop("_cells")
 
 
-def hurdle_predictions(train: DataFrame, rows: DataFrame, features: str, y: str) -> DataFrame:
+def hurdle_predictions(train: DataFrame, rows: DataFrame, grp: str, text: str, y: str, alphabet: str, length: int, penalty: float = 1e-3) -> DataFrame:
     """``rows`` with ``p_positive``, ``level`` and their product ``pred`` (on the log scale).
 
-    ``features``: a vector column.  A classifier says whether y > 0, a regression on the
-    positive rows how large it is.
+    A classifier says whether y > 0, a regression on the positive rows how large it is; both on
+    one-hot groups and letters.  An unseen group and a letter outside the alphabet count for nothing.
     """
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.regression import LinearRegression
-
-    marked = train.withColumn("_pos", (F.col(y) > 0).cast("double"))
-    classifier = LogisticRegression(featuresCol=features, labelCol="_pos", regParam=1e-3, maxIter=30, probabilityCol="_prob", predictionCol="_cls", rawPredictionCol="_raw").fit(marked)
-    level = LinearRegression(featuresCol=features, labelCol=y, regParam=1e-3, predictionCol="level").fit(marked.where("_pos = 1"))
-    scored = level.transform(classifier.transform(rows))
-    return scored.withColumn("p_positive", F.get(vector_to_array("_prob"), 1)).withColumn("pred", F.col("p_positive") * F.col("level")).drop("_prob", "_cls", "_raw")
-
+    cells = letters_of(text, alphabet, length)
+    ready = by_group(train.select(grp, cells.alias("_cells"), F.col(y).cast("double").alias("_y")), grp)
+    whether = ready.withColumn("_pos", (F.col("_y") > 0).cast("double"))
+    classifier = fit_grouped(whether, grp, "_cells", "_pos", len(alphabet), length, penalty, logistic=True)
+    level = fit_grouped(ready.where("_y > 0"), grp, "_cells", "_y", len(alphabet), length, penalty, logistic=False)
+    scored = fitted(fitted(rows.withColumn("_cells", cells), classifier, grp, "_cells", "_eta"), level, grp, "_cells", "level")
+    return scored.withColumn("p_positive", 1 / (1 + F.exp(-F.col("_eta")))).withColumn("pred", F.col("p_positive") * F.col("level")).drop("_cells", "_eta")
