@@ -29,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +41,7 @@ MAGIC = b"TMK2"
 END_ID = 2
 BLOCK_IDS = 2048
 SEGMENT_IDS = 2_000_000
+PIECE_BYTES = 1 << 20
 CLASSES, GROUPS, CONF = 25, 4, 8
 ONE_BITS, TWO_BITS = 10, 11
 #: Steps after which the class intervals follow their counts.
@@ -333,6 +335,16 @@ class Encoder:
         return out
 
 
+def _pieces(batch: pa.RecordBatch, most: int = PIECE_BYTES):
+    """Slices of at most that many bytes of text, or of one longer text: what a worker cuts into chunks at once."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _write(batches, path: str, id_type: pa.DataType, block_ids: int, segment_ids: int):
     encoder = Encoder(path)
     part = block_number() >> 32
@@ -351,8 +363,7 @@ def _write(batches, path: str, id_type: pa.DataType, block_ids: int, segment_ids
         return out
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            piece = batch.slice(at, 64)
+        for piece in _pieces(batch):
             for doc_id, found in zip(piece.column(0).to_pylist(), encoder.batch(piece.column(1).to_pylist()), strict=True):
                 tokens.append(np.append(found, np.int32(END_ID)))
                 ids.append(doc_id)

@@ -79,6 +79,16 @@ def test_token_files_odd(spark):
     assert [r.start for r in ordered] == list(itertools.accumulate([0, *(r.n_tokens for r in ordered)]))[:-1]
 
 
+def test_token_pieces_are_cut_by_bytes():
+    """Many short texts are one piece, few long ones several."""
+    import pyarrow as pa
+
+    cut = lambda texts: [p.column(1).to_pylist() for p in token_files._pieces(pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["id", "text"]), 10)]
+    assert cut(["a", None, "", "bc"] * 3) == [["a", None, "", "bc"] * 3]
+    assert cut(["é" * 4, "abc", "x" * 30, None, "y" * 10, ""]) == [["é" * 4], ["abc"], ["x" * 30], [None, "y" * 10, ""]]
+    assert cut([]) == []
+
+
 def test_token_blocks_round_trip():
     rng = np.random.default_rng(0)
     blocks = [rng.integers(0, 1 << 24, 5), np.zeros(0, int), np.zeros(2000, int), rng.integers(0, 50257, 2048), np.arange(100) % 7]
