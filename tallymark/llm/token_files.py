@@ -31,7 +31,7 @@ import re
 import struct
 import zlib
 from functools import lru_cache
-from itertools import filterfalse
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,7 @@ HEAD = struct.Struct("<4sIII")
 END_ID = 2
 BLOCK_IDS = 1 << 21
 SEGMENT_IDS = 2_000_000
-PIECE_BYTES = 1 << 22
+PIECE_BYTES = 1 << 23
 #: Ids a lane has at least, and lanes at most.
 LANE_IDS, LANES = 256, 4096
 CONF, STATES = 8, 128
@@ -203,14 +203,14 @@ def _encode(ids: np.ndarray) -> bytes:
         small = np.flatnonzero(span < _BOTTOM)
         while len(small):
             a, r = low[small], span[small] << _WORD
-            owners.append(small)
-            words.append(a >> 32)
+            owners.append(small.astype(np.uint16))
+            words.append((a >> 32).astype(np.int32))
             low[small], span[small] = (a & (_BOTTOM - 1)) << _WORD, r
             small = small[r < _BOTTOM]
         model.learn(symbol)
         model.step(t)
-    owners.append(np.arange(lanes))
-    words.append((low + (_BOTTOM - 1)) >> 32)
+    owners.append(np.arange(lanes, dtype=np.uint16))
+    words.append(((low + (_BOTTOM - 1)) >> 32).astype(np.int32))
     code = _in_reading_order(np.concatenate(owners), np.concatenate(words), lanes)
     raw = np.concatenate([np.zeros(0, np.int32), *escaped]).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
     body = code.astype("<u2").tobytes() + raw.tobytes()
@@ -223,24 +223,19 @@ def _checksum(ids: np.ndarray, body: bytes) -> int:
 
 def _in_reading_order(owners: np.ndarray, words: np.ndarray, lanes: int) -> np.ndarray:
     """The lanes' words as a reader takes them: three a lane, then the next one of the lane that wrote."""
-    order = np.argsort(owners.astype(np.uint16), kind="stable")
-    own, line = owners[order], words[order]
+    every, later = np.arange(lanes), len(owners) - lanes
+    order = np.argsort(np.concatenate([owners, *[every.astype(np.uint16)] * 3]), kind="stable")
+    line = np.append(words, np.zeros(3 * lanes, np.int32))[order]  # lane by lane, three zeros behind each
     over = line >> 16
     while over.any():  # carries, within a lane
         line &= 0xFFFF
         line[:-1] += over[1:]
         over = line >> 16
-    ends = np.cumsum(np.bincount(owners, minlength=lanes))
-    begins = np.diff(ends, prepend=0)
-    begins = ends - begins
-    padded = np.append(line, 0)
-    pick = lambda at, lane: padded[np.where(at < ends[lane], at, len(line))]
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    every = np.arange(lanes)
-    first = np.concatenate([pick(begins + k, every) for k in range(3)])
-    later = len(owners) - lanes
-    return np.trim_zeros(np.concatenate([first, pick(place[:later] + 3, owners[:later])]), "b")
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    ends = np.cumsum(np.bincount(owners, minlength=lanes) + 3)
+    begins = np.append(0, ends[:-1])
+    return np.trim_zeros(np.concatenate([line[begins], line[begins + 1], line[begins + 2], line[place[:later] + 3]]), "b")
 
 
 def _decode(data: bytes) -> np.ndarray:
@@ -352,7 +347,7 @@ def cut_places(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Of each byte of UTF-8 texts, whether a piece starts there: the pieces' tokens are those of the texts.
 
     A pre-token surely starts there, whatever else the text holds, and no pre-token looks
-    beyond its piece.  ``starts`` are those of texts that are not empty.
+    beyond its piece.  ``starts`` are those of texts that are not empty; they count as no cuts.
     """
     kinds = np.frombuffer(data.tobytes().translate(_KINDS), np.uint8)
     pairs = (kinds[:-1] << 3) | kinds[1:]
@@ -370,7 +365,6 @@ def cut_places(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         found[wide[np.isin(three, _WIDE) | np.isin(two, _WIDE)]] = False
     # The last of several blanks before another character stands alone, if it isn't a space.
     found[:-1] |= found[1:] & (pairs >> 3 == 6)
-    found[starts] = True
     return found
 
 
@@ -386,11 +380,10 @@ class Encoder:
     sixteenfold.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         # A character of a byte-level token stands for one byte.
@@ -401,9 +394,18 @@ class Encoder:
         # The same model behind a plain splitter, for words that are one pre-token each.
         self.words = Tokenizer.from_file(path)
         self.words.pre_tokenizer = WhitespaceSplit()
-        self.whole = isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and self.tokenizer.normalizer is None
+        split = self.tokenizer.pre_tokenizer
+        #: Whether texts may be cut: what is known of pre-tokens holds for this splitter alone.
+        self.cuts = isinstance(split, ByteLevel) and split.use_regex and not split.add_prefix_space and self.tokenizer.normalizer is None
+        self.job = None
         self._forget()
 
+    def serve(self, job: str) -> None:
+        """Pieces are remembered within one job, by all tasks of the worker."""
+        if job != self.job:
+            self.job = job
+            self._forget()
+
     def _forget(self) -> None:
         """Only piece 0, the end of a text, is known."""
         self.known: dict[bytes, int] = {}
@@ -411,8 +413,8 @@ class Encoder:
         self.pool, self.starts, self.sizes = np.array([END_ID], np.int32), np.zeros(1, np.int64), np.ones(1, np.int64)
 
     def _learn(self, fresh: list[bytes]) -> None:
-        words = list(filter(_WORD_OF.fullmatch, fresh)) if self.whole else []
-        other = list(filterfalse(_WORD_OF.fullmatch, fresh)) if self.whole else fresh
+        found = list(map(_WORD_OF.fullmatch, fresh)) if self.cuts else [None] * len(fresh)
+        words, other = list(compress(fresh, found)), [c for c, f in zip(fresh, found, strict=True) if f is None]
         ids, sizes = [], []
         for at in range(0, len(words), 2048):
             part = words[at : at + 2048]
@@ -447,17 +449,20 @@ class Encoder:
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
         begins = offsets[:-1][np.diff(offsets) > 0]
-        found = cut_places(data, begins) if len(data) else np.zeros(0, bool)
+        found = cut_places(data, begins) if self.cuts and len(data) else np.zeros(len(data), bool)
+        found[begins] = True
         for n in np.flatnonzero(np.logical_or.reduce(marked)) if marked else ():
             found[offsets[n] + 1 : offsets[n + 1]] = False
         starts = np.flatnonzero(found)
         where = np.append(starts, len(data))
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(where), pa.py_buffer(data)]).dictionary_encode()
-        words = pieces.dictionary.to_pylist()
-        fresh = list(filterfalse(self.known.__contains__, words))
-        if fresh:
+        words = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            fresh = [words[n] for n in new.tolist()]
             self._learn(fresh)
-        numbers = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            numbers[new] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(new))
         ends = np.searchsorted(starts, offsets[1:])
         lines = np.insert(numbers[pieces.indices.to_numpy()], ends, 0)
         sizes = self.sizes[lines]
@@ -467,7 +472,8 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
-    """A worker's encoder, whose pieces serve all its tasks."""
+    """A worker's encoder, whose tokenizer serves all its tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
     return Encoder(path)
 
 
@@ -481,8 +487,9 @@ def _pieces(batch: pa.RecordBatch, most: int = PIECE_BYTES):
         at = end
 
 
-def _write(batches, path: str, id_type: pa.DataType, block_ids: int, segment_ids: int):
+def _write(batches, path: str, target: str, id_type: pa.DataType, block_ids: int, segment_ids: int):
     encoder = _encoder(path)
+    encoder.serve(target)
     part = block_number() >> 32
     number, ids, lengths, tokens, held = 0, [], [], [], 0
 
@@ -490,9 +497,8 @@ def _write(batches, path: str, id_type: pa.DataType, block_ids: int, segment_ids
         nonlocal number, ids, lengths, tokens, held
         flat = np.concatenate(tokens)
         blocks = encode_blocks([flat[a : a + block_ids] for a in range(0, len(flat), block_ids)])
-        kept = pa.chunked_array(ids, id_type).combine_chunks()
         out = pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([held], pa.int64()), pa.ListArray.from_arrays([0, len(kept)], kept), pa.array([np.concatenate(lengths)], pa.list_(pa.int64())), pa.array([blocks], pa.list_(pa.binary()))],
+            [pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([held], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([np.concatenate(lengths)], pa.list_(pa.int64())), pa.array([blocks], pa.list_(pa.binary()))],
             names=["part", "number", "n_ids", "ids", "lengths", "blocks"],
         )
         number, ids, lengths, tokens, held = number + 1, [], [], [], 0
@@ -508,7 +514,7 @@ def _write(batches, path: str, id_type: pa.DataType, block_ids: int, segment_ids
                 done = int(ends[at - 1]) if at else 0
                 end = min(len(ends), int(np.searchsorted(ends, done + segment_ids - held)) + 1)
                 tokens.append(found[done : ends[end - 1]])
-                ids.append(piece.column(0).slice(at, end - at))
+                ids += piece.column(0).slice(at, end - at).to_pylist()
                 lengths.append(sizes[at:end])
                 held += len(tokens[-1])
                 if held >= segment_ids:
@@ -529,7 +535,7 @@ def write(docs: DataFrame, path: str, target: str, id_col: str = "doc_id", text_
     schema = T.StructType([T.StructField(*f) for f in fields])
     # Ranges of ids, ties dealt by text, so that one id's copies need not meet in one task.
     spread = source.repartitionByRange(F.asc("id"), F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
-    spread.mapInArrow(lambda it: _write(it, path, arrow, block_ids, segment_ids), schema).write.option("compression", "none").parquet(target)
+    spread.mapInArrow(lambda it: _write(it, path, target, arrow, block_ids, segment_ids), schema).write.option("compression", "none").parquet(target)
 
 
 def _read(batches, id_col: str, id_type: pa.DataType, packed: bool):

@@ -100,6 +100,52 @@ def test_token_blocks_round_trip():
         token_files.decode_blocks([broken])
 
 
+def test_token_blocks_share_a_model():
+    """A block's lanes learn into one model, and a block of any length has lanes of like length."""
+    rng = np.random.default_rng(3)
+    ids = rng.permutation(50257)[rng.integers(0, 300, 60_000)]
+    (data,) = token_files.encode_blocks([ids])
+    assert (token_files.decode_blocks([data])[0] == ids).all()
+    assert len(data) * 8 < 8.8 * len(ids)  # 8.2 bits an id are its entropy
+    for n in (1, 2, 255, 256, 257, 511, 512, 513, 767, 769, 5000):
+        for part in (ids[:n], ids[:n] + (rng.integers(0, 9, n) == 0) * 200_000, np.repeat(ids[: n // 7 + 1], 7)[:n]):
+            (data,) = token_files.encode_blocks([part])
+            assert (token_files.decode_blocks([data])[0] == part).all()
+            for at in (4, 12, 17, len(data) - 1):
+                with pytest.raises(ValueError):
+                    token_files.decode_blocks([data[:at] + bytes([data[at] ^ 8]) + data[at + 1 :]])
+            with pytest.raises(ValueError):
+                token_files.decode_blocks([data[:-1]])
+
+
+def test_token_pieces_are_those_of_the_library():
+    """Texts cut into pieces have the library's ids, and a word next to signs or a line's end is encoded once."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), token_files.Encoder(path)
+    rng = random.Random(4)
+    signs = [*"ab 'sLLtvre9\u00e9\n\t \x1c\x0b\x85.!\xa0\u2003\u3000\u1680\u180e\ufeff\u2014\U0001f642\u65e5\u0301\u0660\x00\x7f_<|>\r\u00b2\u01c5\u0250", "<|endoftext|>", "'ll", "  ", "\n\n"]
+    texts = ["".join(rng.choice(signs[: rng.choice([12, 60])]) for _ in range(rng.choice([0, 1, 2, 3, 8, 40]))) for _ in range(6000)]
+    for few in (encoder, token_files.Encoder(path, 50)):
+        for at in range(0, len(texts), 1000):
+            ids, sizes = few.encode(pa.array(["x", *texts[at : at + 1000], None])[1:])
+            want = [[*e.ids, 2] for e in library.encode_batch([*texts[at : at + 1000], ""], add_special_tokens=False)]
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    encoder.serve("another job")
+    encoder.encode(pa.array([f" hither{a} thither{b}" for a in ".,;:!\n" for b in ".,;:!\n"]))
+    assert len(encoder.known) == 2 + 6 + 1  # words, signs and "\n thither", not words by signs
+
+
+def test_token_files_packed(spark):
+    docs, path = odd(spark), public_tokenizers.path("byte_bpe_50k.json")
+    plain = token_files.digests(token_files.written_and_read(docs, path, segment_ids=60, block_ids=25))
+    packed = token_files.digests(token_files.written_and_read(docs, path, packed=True, segment_ids=60, block_ids=25))
+    columns = ("doc_id", "start", "n_tokens", "ids_crc32")
+    assert plain.schema == packed.schema and pairs(plain, *columns) == pairs(packed, *columns)
+
+
 # 2 byte-level BPE
 
 
