@@ -39,10 +39,12 @@ def with_partners(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     """Inner join for keys that are names and may be shared: a left row comes once for each partner.
 
     A left row without a partner fails at run time, except one with a null key, which joins nothing.
+    Both sides meet in the order of their keys, never by broadcast, so the rows of a name come
+    together, its partners again and again: what is written of them is small, however many they are.
     """
     others = [c for c in right.columns if c not in keys]
     known = left.where(" and ".join(f"`{k}` is not null" for k in keys))
-    joined = known.join(right.withColumn("_n", F.lit(1)), list(keys), "left")
+    joined = known.join(right.withColumn("_n", F.lit(1)).hint("merge"), list(keys), "left")
     return require_one(joined, F.lit("no partner for a row of the left side")).select(*left.columns, *others)
 
 

@@ -33,6 +33,18 @@ def test_shared_names_join_all_their_partners(spark, shared, name):
     assert not same_as_sql(spark, shared, name)
 
 
+def test_partners_come_together(spark):
+    """A name's rows are one run of the output, and so are a row's partners, so that what is written of them is small."""
+    from itertools import groupby
+
+    left = spark.createDataFrame([(f"k{n % 7}", n) for n in range(140)], "k string, n int").repartition(5)
+    right = spark.createDataFrame([(f"k{m % 7}", m) for m in range(35)], "k string, m int")
+    got = contracts.with_partners(left, right, "k").collect()
+    assert len(got) == 140 * 5
+    assert len([k for k, _ in groupby(got, lambda r: r.k)]) == 7
+    assert len([n for n, _ in groupby(got, lambda r: r.n)]) == 140
+
+
 def test_a_lost_row_is_still_an_error(spark):
     left = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, n int")
     right = spark.createDataFrame([("a", 5), ("a", 6), ("b", 7)], "k string, v int")
