@@ -45,6 +45,14 @@ def test_partners_come_together(spark):
     assert len([n for n, _ in groupby(got, lambda r: r.n)]) == 140
 
 
+def test_chained_join_multiplies_last(spark, shared):
+    """Names, which have many partners, are the last join: no row is shuffled after it."""
+    plan = extended.chained_join(spark, shared)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [" in line]
+    assert "[grp#" in joins[0] and "[seq9#" in joins[1], plan
+    assert "Exchange" not in plan[: plan.index(joins[0])]
+
+
 def test_a_lost_row_is_still_an_error(spark):
     left = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, n int")
     right = spark.createDataFrame([("a", 5), ("a", 6), ("b", 7)], "k string, v int")
