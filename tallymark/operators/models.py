@@ -148,8 +148,8 @@ def mlp_predictions(train: DataFrame, held: DataFrame, rows: DataFrame, grp: str
     count = known.count()
     model = OneHot(length * len(alphabet) + count, hidden)
     cells = [F.instr(F.lit(alphabet), F.substring(text, p, 1)) for p in range(1, length + 1)]
-    places = [F.when((F.length(F.substring(text, p, 1)) == 1) & (c > 0), (p - 1) * len(alphabet) + c - 1).otherwise(-1).cast("long") for p, c in enumerate(cells, 1)]
-    own = F.coalesce(F.col("_index") + length * len(alphabet), F.lit(-1)).cast("long")
+    places = [F.when((F.length(F.substring(text, p, 1)) == 1) & (c > 0), (p - 1) * len(alphabet) + c - 1).otherwise(-1).cast("int") for p, c in enumerate(cells, 1)]
+    own = F.coalesce(F.col("_index") + length * len(alphabet), F.lit(-1)).cast("int")
 
     def ready(df):
         return df.join(known.withColumnRenamed("index", "_index"), grp, "left").withColumn("_cells", F.array(*places, own)).drop("_index")

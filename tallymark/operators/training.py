@@ -13,6 +13,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ from .lineage import checkpointed
 
 #: Rows of a shard, all of which a task holds.
 SHARD_ROWS = 50_000
+#: Indices of a one-hot network's first table that a shard's rows have as marks.
+FEW = 128
 
 
 class Tail:
@@ -54,6 +58,8 @@ class Tail:
 class MeanPool:
     """The mean of a row's vectors, then a tail.  Input: an array of ``places`` times ``width`` numbers."""
 
+    kind = "<f8"
+
     def __init__(self, places: int, width: int, hidden: tuple[int, ...]):
         self.shape, self.tail = (places, width), Tail(width, hidden)
 
@@ -77,7 +83,7 @@ class Attention:
     def __init__(self, places: int, width: int, hidden: tuple[int, ...]):
         self.shape, self.tail = (places, width), Tail(width, hidden)
 
-    inputs = MeanPool.inputs
+    kind, inputs = MeanPool.kind, MeanPool.inputs
 
     def start(self, rng):
         return [rng.normal(0, 0.1, self.shape[1]), *self.tail.start(rng)]
@@ -104,6 +110,7 @@ class OneHot:
 
     def __init__(self, count: int, hidden: tuple[int, ...]):
         self.count, self.width, self.tail = count, hidden[0], Tail(hidden[0], hidden[1:])
+        self.kind = "<i2" if count < 1 << 15 else "<i4"
 
     def inputs(self, column: np.ndarray) -> np.ndarray:
         x = np.asarray(column, np.int64)
@@ -114,7 +121,10 @@ class OneHot:
 
     def _first(self, params, x):
         table = np.vstack([params[0], np.zeros((1, self.width))])
-        return np.maximum(sum(table[x[:, k]] for k in range(x.shape[1])) + params[1], 0)
+        first = np.tile(params[1], (len(x), 1))
+        for k in range(x.shape[1]):
+            first += table.take(x[:, k], axis=0)
+        return np.maximum(first, 0, out=first)
 
     def predict(self, params, x):
         return self.tail.forward(params[2:], self._first(params, x))[-1][:, 0]
@@ -129,42 +139,125 @@ class OneHot:
             np.add.at(table, x[:, k], back)
         return [table[:-1], back.sum(axis=0), *grads]
 
-    def touched(self, params, x, y):
-        """The rows of the first table that a batch names, their gradients, and those of all other weights."""
-        rows, place = np.unique(x, return_inverse=True)
-        place = place.reshape(x.shape)
-        marks = np.zeros((len(x), len(rows)))
-        np.add.at(marks, (np.arange(len(x))[:, None], place), 1.0)
-        known = rows < self.count
-        rows, marks = rows[known], marks[:, known]
-        first = np.maximum(marks @ params[0][rows] + params[1], 0)
-        values = self.tail.forward(params[2:], first)
-        grads, back = self.tail.backward(params[2:], values, (values[-1] - y[:, None]) / len(y))
-        back = back * (first > 0)
-        return rows, marks.T @ back, [back.sum(axis=0), *grads]
+    def _split(self, x: np.ndarray) -> tuple[list[int], list[int], np.ndarray]:
+        """Columns of few indices, the other columns, and the few indices, which the other columns don't name."""
+        own = [np.flatnonzero(np.bincount(x[:, k], minlength=self.count)[: self.count]) for k in range(x.shape[1])]
+        few, ids = [], np.zeros(0, np.int64)
+        for k in sorted(range(len(own)), key=lambda k: len(own[k])):
+            both = np.union1d(ids, own[k])
+            if len(both) > FEW:
+                break
+            few, ids = [*few, k], both
+        rest = [k for k in range(len(own)) if k not in few]
+        if any(np.isin(own[k], ids).any() for k in rest):
+            return [], list(range(len(own))), ids[:0]
+        return few, rest, ids
+
+    def one_pass(self, params, x, y, batch, rate, order):
+        """Sparse Adam: of the first table a batch moves the rows it names only, so its work doesn't grow with the table.
+
+        Indices of columns that have few (letters) are marks, whose table is moved as one matrix;
+        those of other columns (groups) are sorted by batch once, and their rows gathered.
+        """
+        few, rest, ids = self._split(x)
+        n, d, w = len(y), len(ids), self.width
+        x, y = x[order], y[order].astype(np.float32)
+        turn = np.arange(n) // batch
+        batches = int(turn[-1]) + 1
+        place = np.full(self.count + 1, d)  # an index that counts for nothing has a last column
+        place[ids] = np.arange(d)
+        marks, named = np.zeros(n * (d + 1), np.float32), np.zeros(batches * (d + 1), np.int64)
+        for k in few:
+            at = place[x[:, k]]
+            marks[np.arange(n) * (d + 1) + at] += 1
+            named += np.bincount(turn * (d + 1) + at, minlength=len(named))
+        marks, named = marks.reshape(n, d + 1)[:, :d], named.reshape(batches, d + 1)[:, :d] > 0
+        many = x[:, rest]
+        keys = (turn[:, None] * (self.count + 1) + many).reshape(-1)
+        by = np.argsort(keys, kind="stable")
+        keys, sources = keys[by], by // max(1, len(rest))
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        rows = keys[starts] % (self.count + 1)
+        ends = np.searchsorted(keys[starts], np.arange(batches + 1) * (self.count + 1))
+        # A row's entries in a batch are added up by turns: all first ones, all second ones and so on.
+        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
+        nth = np.arange(len(keys)) - starts[run]
+        later = np.flatnonzero(nth)
+        laters = np.searchsorted(later, np.append(starts, len(keys))[ends])
+
+        # Everything that each batch moves is one vector, of which the weights are views.
+        like = [params[0][ids], *params[1:]]
+        now = _flat(like).astype(np.float32)
+        m, v, g, spare = (np.zeros_like(now) for _ in range(4))
+        (head, *tail), grads = _shaped(now, like), _shaped(g, like)
+        table = np.vstack([params[0], np.zeros((1, w))]).astype(np.float32)
+        table_m, table_v = np.zeros_like(table), np.zeros_like(table)
+        for t in range(1, batches + 1):
+            low, high = (t - 1) * batch, min(t * batch, n)
+            own = marks[low:high]
+            first = own @ head
+            for k in range(len(rest)):
+                first += table.take(many[low:high, k], axis=0)
+            first += tail[0]
+            np.maximum(first, 0, out=first)
+            values = self.tail.forward(tail[1:], first)
+            found, back = self.tail.backward(tail[1:], values, (values[-1] - y[low:high, None]) / np.float32(high - low))
+            back *= first > 0
+            np.matmul(own.T, back, out=grads[0])
+            for into, one in zip(grads[1:], [back.sum(axis=0), *found], strict=True):
+                into[...] = one
+            still = None if named[t - 1].all() else np.flatnonzero(~named[t - 1])
+            if still is not None:
+                views = [_shaped(z, like)[0] for z in (now, m, v)]
+                kept = [z[still] for z in views]
+            _adam(now, m, v, g, spare, t, rate)
+            if still is not None:
+                for z, before in zip(views, kept, strict=True):
+                    z[still] = before
+            if rest:
+                a, b = ends[t - 1], ends[t]
+                sums = back.take(sources[starts[a:b]] - low, axis=0)
+                also, nth_time = later[laters[t - 1] : laters[t]], 1
+                while len(also):
+                    here = nth[also] == nth_time
+                    sums[run[also[here]] - a] += back[sources[also[here]] - low]
+                    also, nth_time = also[~here], nth_time + 1
+                move = rows[a:b]
+                p, pm, pv = (z.take(move, axis=0) for z in (table, table_m, table_v))
+                _adam(p, pm, pv, sums, np.empty_like(p), t, rate)
+                known = len(move) - int(move[-1] == self.count)  # the last row counts for nothing
+                table[move[:known]], table_m[move[:known]], table_v[move[:known]] = p[:known], pm[:known], pv[:known]
+        out = table[:-1].astype(float)
+        out[ids] = head
+        return [out, *(p.astype(float) for p in tail)]
+
+
+def _adam(p: np.ndarray, m: np.ndarray, v: np.ndarray, g: np.ndarray, spare: np.ndarray, t: int, rate: float) -> None:
+    """Step ``t`` of Adam in place."""
+    m *= 0.9
+    m += np.multiply(g, 0.1, out=spare)
+    v *= 0.999
+    np.multiply(g, g, out=spare)
+    spare *= 0.001
+    v += spare
+    np.sqrt(v, out=spare)
+    spare *= 1 / math.sqrt(1 - 0.999**t)
+    spare += 1e-8
+    np.divide(m, spare, out=spare)
+    spare *= rate / (1 - 0.9**t)
+    p -= spare
 
 
 def one_pass(model, params: list[np.ndarray], x: np.ndarray, y: np.ndarray, batch: int, rate: float, rng: np.random.Generator) -> list[np.ndarray]:
-    """One pass of Adam over mini-batches.
-
-    Of a one-hot network's first table a batch moves the rows it names only, so a batch's
-    work doesn't grow with the table.
-    """
-    params, m, v = [p.copy() for p in params], [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    """One pass of Adam over mini-batches."""
     order = rng.permutation(len(y))
+    if hasattr(model, "one_pass"):
+        return model.one_pass(params, x, y, batch, rate, order)
+    params, m, v = [p.copy() for p in params], [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t, at in enumerate(range(0, len(y), batch), 1):
         pick = order[at : at + batch]
-        step = lambda a, b: rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)  # noqa: B023, E731
-        if hasattr(model, "touched"):
-            rows, g, rest = model.touched(params, x[pick], y[pick])
-            m[0][rows] = a = 0.9 * m[0][rows] + 0.1 * g
-            v[0][rows] = b = 0.999 * v[0][rows] + 0.001 * g * g
-            params[0][rows] -= step(a, b)
-        else:
-            rest = model.gradient(params, x[pick], y[pick])
-        for i, g in enumerate(rest, len(params) - len(rest)):
-            m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
-            params[i] -= step(m[i], v[i])
+        for i, g in enumerate(model.gradient(params, x[pick], y[pick])):
+            _adam(params[i], m[i], v[i], g, np.empty_like(g), t, rate)
     return params
 
 
@@ -177,18 +270,69 @@ def _shaped(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
     return [part.reshape(p.shape) for part, p in zip(np.split(flat, cuts), like, strict=True)]
 
 
-def _shards(batches):
-    """(number, rows) of each shard of rows sorted by shard, one held at a time."""
-    held, now = [], None
-    for pdf in batches:
-        for k, own in pdf.groupby("shard", sort=True):
-            if held and k != now:
-                yield now, pd.concat(held)
-                held = []
-            now = k
-            held.append(own)
-    if held:
-        yield now, pd.concat(held)
+#: Bytes of a packed row, of which an Arrow batch holds up to 10,000.
+_PACKED_BYTES = 2_048
+
+
+def _binary(data: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """Rows of ``data`` as binary values, each of as many rows as ``rows`` says."""
+    each = data.nbytes // max(1, len(data))
+    ends = np.append(0, np.cumsum(rows) * each).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _pack(batches, kind: np.dtype):
+    """(shard, held, x, y) of rows sorted by shard and held: several rows' numbers in one, so that a round reads arrays."""
+    for batch in batches:
+        n, flat = len(batch), batch.column("x").flatten().to_numpy(zero_copy_only=False)
+        if not n:
+            continue
+        if len(pc.unique(pc.list_value_length(batch.column("x")))) > 1:
+            raise ValueError("features of rows differ in number")
+        if kind.kind == "i":
+            flat = np.maximum(flat, -1)
+            if flat.max(initial=-1) > np.iinfo(kind).max:
+                raise ValueError("an index is beyond the table")
+        x, y = flat.reshape(n, -1).astype(kind), batch.column("y").to_numpy(zero_copy_only=False).astype(float)
+        shard, held = batch.column("shard").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False)
+        fresh = np.append(True, (shard[1:] != shard[:-1]) | (held[1:] != held[:-1]))
+        most = max(1, _PACKED_BYTES // max(1, x.itemsize * x.shape[1] + 8))
+        first = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+        cuts = np.flatnonzero((np.arange(n) - first) % most == 0)
+        sizes = np.diff(np.append(cuts, n))
+        yield pa.RecordBatch.from_arrays([pa.array(shard[cuts]), pa.array(held[cuts]), _binary(x, sizes), _binary(y, sizes)], names=["shard", "held", "x", "y"])
+
+
+def _numbers(column: pa.Array, kind: np.dtype) -> np.ndarray:
+    """All numbers of an array of packed values."""
+    if not len(column):
+        return np.zeros(0, kind)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind) if ends[-1] > ends[0] else np.zeros(0, kind)
+
+
+def _shards(batches, kind: np.dtype):
+    """(number, features, targets, whether held) of each shard of packed rows sorted by shard, one held at a time."""
+    kept, now = [], None
+
+    def whole():
+        x, y, held = (np.concatenate(c) for c in zip(*kept, strict=True))
+        return now, x.reshape(len(y), -1), y, held
+
+    for batch in batches:
+        shard = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if kept and shard[a] != now:
+                yield whole()
+                kept = []
+            now, own = shard[a], batch.slice(a, b - a)
+            sizes = pc.binary_length(own.column(3)).to_numpy() // 8
+            kept.append((_numbers(own.column(2), kind).copy(), _numbers(own.column(3), np.dtype("<f8")).copy(), np.repeat(own.column(1).to_numpy(zero_copy_only=False), sizes)))
+    if kept:
+        yield whole()
 
 
 def fit(train: DataFrame, held: DataFrame, model, features: Column, y: str, seeds: list[int], rounds: int = 40, patience: int = 6, batch: int = 256, rate: float = 0.01) -> list[list[np.ndarray]]:
@@ -203,7 +347,9 @@ def fit(train: DataFrame, held: DataFrame, model, features: Column, y: str, seed
     shard = F.pmod(F.xxhash64("x", "y", "held"), F.lit(shards))
     # A task takes several shards one after another and sends one sum of their weights.
     tasks = min(shards, max(8, 2 * spark.sparkContext.defaultParallelism))
-    dealt = rows.withColumn("shard", shard.cast("int")).repartition(tasks, "shard").sortWithinPartitions("shard", "held", F.xxhash64("x", "y"), "y").persist(StorageLevel.MEMORY_AND_DISK)
+    placed = rows.withColumn("shard", shard.cast("int")).repartitionByRange(tasks, "shard").sortWithinPartitions("shard", "held", F.xxhash64("x", "y"), "y")
+    kind = np.dtype(model.kind)
+    dealt = placed.select("shard", "held", "x", "y").mapInArrow(lambda it: _pack(it, kind), "shard int, held boolean, x binary, y binary").persist(StorageLevel.MEMORY_AND_DISK)
     like = model.start(np.random.default_rng(0))
     now = {}
     for s in seeds:
@@ -218,8 +364,8 @@ def fit(train: DataFrame, held: DataFrame, model, features: Column, y: str, seed
         def work(batches):
             """A shard's held error with the weights it gets, and its weights after a pass."""
             sums = {s: [0.0, 0, np.zeros_like(w), 0] for s, w in weights.value.items()}
-            for k, own in _shards(batches):
-                x, target, out = model.inputs(np.stack(own["x"].to_numpy())), own["y"].to_numpy(float), own["held"].to_numpy(bool)
+            for k, features, target, out in _shards(batches, kind):
+                x = model.inputs(features)
                 for s, total in sums.items():
                     params = _shaped(weights.value[s], like)
                     for part in np.array_split(np.flatnonzero(out), max(1, -(-int(out.sum()) // 4096))) if out.any() else ():
@@ -229,7 +375,7 @@ def fit(train: DataFrame, held: DataFrame, model, features: Column, y: str, seed
                         after = one_pass(model, params, x[~out], target[~out], batch, rate / math.sqrt(number), np.random.default_rng([s, number, int(k)]))
                         total[2] += _flat(after) * int((~out).sum())
                         total[3] += int((~out).sum())
-            yield pd.DataFrame([(s, e, m, w.astype("<f8").tobytes(), c) for s, (e, m, w, c) in sums.items()], columns=["seed", "error", "held", "weights", "rows"])
+            yield pa.RecordBatch.from_pandas(pd.DataFrame([(s, e, m, w.astype("<f8").tobytes(), c) for s, (e, m, w, c) in sums.items()], columns=["seed", "error", "held", "weights", "rows"]), schema=made)
 
         def summed(batches):
             total = {}
@@ -240,7 +386,8 @@ def fit(train: DataFrame, held: DataFrame, model, features: Column, y: str, seed
             yield pd.DataFrame([(s, e, m, w.astype("<f8").tobytes(), c) for s, (e, m, w, c) in total.items()], columns=["seed", "error", "held", "weights", "rows"])
 
         schema = "seed int, error double, held long, weights binary, rows long"
-        parts = dealt.mapInPandas(work, schema)
+        made = pa.schema([("seed", pa.int32()), ("error", pa.float64()), ("held", pa.int64()), ("weights", pa.binary()), ("rows", pa.int64())])
+        parts = dealt.mapInArrow(work, schema)
         if tasks > 8:  # a level of the tree
             parts = parts.repartition(math.ceil(math.sqrt(tasks))).mapInPandas(summed, schema)
         return pd.DataFrame(parts.collect(), columns=["seed", "error", "held", "weights", "rows"])
