@@ -123,6 +123,25 @@ def test_brute_pairs_of_any_size(spark, monkeypatch):
     assert neighbours.brute_pairs(many, None, 6, 0).count() == 0
 
 
+@pytest.mark.parametrize("length", [1, 2, 3, 9, 20])
+def test_all_pairs_by_bitmaps(monkeypatch, length):
+    """Every pair is compared, 64 by an operation: against loops, for any distance, in one piece and in several."""
+    import numpy as np
+
+    from tallymark.operators import neighbours
+
+    rng = np.random.default_rng(1)
+    for distance in (0, 1, 2, 3, length + 1):
+        for n, m, letters in ((1, 1, 1), (50, 70, 3), (33, 64, 2), (70, 129, 5), (0, 5, 2), (5, 0, 2)):
+            x, y = rng.integers(0, letters, (n, length)), rng.integers(0, letters, (m, length))
+            x = x[np.lexsort(x.T[::-1])]
+            apart = (x[:, None, :] != y[None, :, :]).sum(axis=2)
+            want = sorted((i, j, apart[i, j]) for i, j in zip(*np.nonzero(apart <= distance), strict=True))
+            for size in (64, 64 << 20):
+                monkeypatch.setattr(neighbours, "_BITMAP_BYTES", size)
+                assert sorted(t for found in neighbours._all_pairs(x, y, letters, distance) for t in zip(*found, strict=True)) == want
+
+
 def test_formatting_is_that_of_printf(spark):
     """Half-way decimals go by the exact binary value, as in the SQL."""
     from pyspark.sql import functions as F
