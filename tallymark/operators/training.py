@@ -139,6 +139,20 @@ class OneHot:
             np.add.at(table, x[:, k], back)
         return [table[:-1], back.sum(axis=0), *grads]
 
+    def touched(self, params, x, y):
+        """The rows of the first table that a batch names, their gradients, and those of all other weights."""
+        rows, place = np.unique(x, return_inverse=True)
+        place = place.reshape(x.shape)
+        marks = np.zeros((len(x), len(rows)))
+        np.add.at(marks, (np.arange(len(x))[:, None], place), 1.0)
+        known = rows < self.count
+        rows, marks = rows[known], marks[:, known]
+        first = np.maximum(marks @ params[0][rows] + params[1], 0)
+        values = self.tail.forward(params[2:], first)
+        grads, back = self.tail.backward(params[2:], values, (values[-1] - y[:, None]) / len(y))
+        back = back * (first > 0)
+        return rows, marks.T @ back, [back.sum(axis=0), *grads]
+
     def _split(self, x: np.ndarray) -> tuple[list[int], list[int], np.ndarray]:
         """Columns of few indices, the other columns, and the few indices, which the other columns don't name."""
         own = [np.flatnonzero(np.bincount(x[:, k], minlength=self.count)[: self.count]) for k in range(x.shape[1])]
@@ -227,8 +241,9 @@ class OneHot:
                 _adam(p, pm, pv, sums, np.empty_like(p), t, rate)
                 known = len(move) - int(move[-1] == self.count)  # the last row counts for nothing
                 table[move[:known]], table_m[move[:known]], table_v[move[:known]] = p[:known], pm[:known], pv[:known]
-        out = table[:-1].astype(float)
-        out[ids] = head
+        # Rows that none of these name stay as they are, to the last bit.
+        out, moved = params[0].copy(), np.unique(rows[rows < self.count])
+        out[moved], out[ids] = table[moved], head
         return [out, *(p.astype(float) for p in tail)]
 
 
